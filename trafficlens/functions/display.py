@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+def _fixed(c: Column, places: int) -> Column:
+    """Fixed decimals, rounded by the exact binary value and without digit grouping."""
+    return F.call_function("format_number", c.cast("double"), F.lit("0." + "0" * places))
+
+
 def fmt_usd(c: Column, places: int = 4) -> Column:
-    return F.concat(F.lit("$"), F.format_string(f"%.{places}f", c.cast("double")))
+    return F.concat(F.lit("$"), _fixed(c, places))
 
 
 def fmt_pct(c: Column) -> Column:
-    return F.format_string("%.1f%%", (c * 100).cast("double"))
+    return F.concat(_fixed(c * 100, 1), F.lit("%"))
 
 
 def fmt_label(ts: Column, grain: str) -> Column:

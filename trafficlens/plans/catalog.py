@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import usage_catalog
+from . import replay_catalog, request_catalog, usage_catalog
 
-MODULES = [usage_catalog]
+MODULES = [usage_catalog, request_catalog, replay_catalog]
 
 
 def queries() -> dict:
