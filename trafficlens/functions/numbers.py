@@ -20,8 +20,8 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def money(c: Column) -> Column:
-    """Sums of doubles depend on their order beyond some digits: keep 6 decimals."""
-    return F.round(F.coalesce(c, F.lit(0.0)), 6)
+    """Sums of doubles depend on their order in the last digits: keep 8 decimals."""
+    return F.round(F.coalesce(c, F.lit(0.0)), 8)
 
 
 def estimate_cost(pt: Column, ct: Column, p_rate: Column, c_rate: Column) -> Column:

@@ -25,12 +25,16 @@ def label_groups(usage: DataFrame) -> DataFrame:
 
 
 def metric_totals(usage: DataFrame, keys: DataFrame) -> DataFrame:
-    """All counters in long form (metric, labels, value) from one scan of the log.
+    """All counters in long form (metric, labels, value) from one scan of the log."""
+    return totals_of_groups(label_groups(usage), keys)
+
+
+def totals_of_groups(groups: DataFrame, keys: DataFrame) -> DataFrame:
+    """Counters of the reduced log.
 
     Rejected requests count only as rejections, failed ones not towards tokens and cost. A
     request that reached the semantic cache and missed is a success without hit or an error.
     """
-    groups = label_groups(usage)
     prefixes = keys.select(F.col("id").alias("api_key_id"), "key_prefix")
     g = groups.join(prefixes, "api_key_id", "left")
     n, status, hit = F.col("n").cast("double"), F.col("status"), F.col("cache_hit")

@@ -91,6 +91,7 @@ def _replay(short_ms: int, long_ms: int):
             ends = np.cumsum(batch.column("ms").value_lengths().to_numpy())
             ms = batch.column("ms").flatten().to_numpy()
             n = batch.column("n").flatten().to_numpy()
+            taken = batch.column("taken").flatten().to_numpy()
             acc, why, start = [], [], 0
             for row, end in enumerate(ends):
                 if (names[row], islands[row]) != current:
@@ -114,11 +115,11 @@ def _replay(short_ms: int, long_ms: int):
                     pa.array(lim_s, type=pa.int32()),
                     pa.array(lim_l, type=pa.int32()),
                     lists(ms, pa.int64()),
-                    lists(n, pa.int64()),
-                    lists(np.concatenate(acc), pa.int64()),
+                    # what earlier slots took is not there for the requests of this replay
+                    lists(np.concatenate(acc) - taken, pa.int64()),
                     lists(np.concatenate(why), pa.int8()),
                 ],
-                names=["key", "per_short", "per_long", "ms", "n", "accepted", "reason"],
+                names=["key", "per_short", "per_long", "ms", "accepted", "reason"],
             )
 
     return run
@@ -134,6 +135,10 @@ def key_limits(keys: DataFrame, per_short: int = S.PER_MINUTE, per_long: int = S
     )
 
 
+def _unit(seconds: int) -> str:
+    return {S.MINUTE_SECONDS: "minute", S.DAY_SECONDS: "day"}.get(seconds, f"{seconds}s")
+
+
 def replay_rate_limit(
     requests: DataFrame,
     limits: DataFrame | None = None,
@@ -145,17 +150,26 @@ def replay_rate_limit(
     long_seconds: int = S.DAY_SECONDS,
     per_short: int = S.PER_MINUTE,
     per_long: int = S.PER_DAY,
+    earlier_slots: DataFrame | None = None,
     cell_ms: int = CELL_MS,
 ) -> DataFrame:
     """Add ``decision`` (ok, short or long), ``retry_after`` seconds and ``detail`` to each request.
 
     ``limits`` holds ``per_short`` and ``per_long`` per key; a limit of 0 or less is off. Requests
-    of one key are taken by (millisecond, id). The key must not be null.
+    of one key are taken by (millisecond, id). The key must not be null. ``earlier_slots`` (key,
+    ms, n) are slots taken before these requests; taken slots alone always fit again, so they
+    simply lead the replay.
     """
     short_ms, long_ms = short_seconds * 1000, long_seconds * 1000
     cell_ms = min(cell_ms, max(short_ms, long_ms))
     rows = requests.withColumn("_ms", millis(F.col(ts)))
-    counts = rows.groupBy(F.col(key).alias("key"), F.col("_ms").alias("ms")).agg(F.count("*").alias("n"))
+    asked = rows.groupBy(F.col(key).alias("key"), F.col("_ms").alias("ms")).agg(F.count("*").alias("n"))
+    if earlier_slots is None:
+        counts = asked.withColumn("taken", F.lit(0).cast("bigint"))
+    else:
+        taken = earlier_slots.select("key", "ms", F.col("n").cast("bigint").alias("n"), F.col("n").cast("bigint").alias("taken"))
+        both = asked.withColumn("taken", F.lit(0).cast("bigint")).unionByName(taken)
+        counts = both.groupBy("key", "ms").agg(F.sum("n").alias("n"), F.sum("taken").alias("taken"))
 
     cells = spans(counts, "key", "ms", cell_ms, F.col("n"))
     if limits is not None:
@@ -186,19 +200,18 @@ def replay_rate_limit(
         .join(todo, ["key", "cell"])
         .groupBy("key", "island", "cell", "per_short", "per_long")
         # at most one entry per millisecond of the cell
-        .agg(F.array_sort(F.collect_list(F.struct("ms", "n"))).alias("points"))
-        .select("key", "island", "cell", "per_short", "per_long", F.col("points.ms").alias("ms"), F.col("points.n").alias("n"))
+        .agg(F.array_sort(F.collect_list(F.struct("ms", "n", "taken"))).alias("points"))
+        .select("key", "island", "cell", "per_short", "per_long", *[F.col(f"points.{c}").alias(c) for c in ("ms", "n", "taken")])
         .repartition("key", "island")
         .sortWithinPartitions("key", "island", "cell")
     )
     key_type = requests.schema[key].dataType.simpleString()
     replayed = packed.mapInArrow(
         _replay(short_ms, long_ms),
-        f"key {key_type}, per_short int, per_long int, ms array<bigint>, n array<bigint>, "
-        "accepted array<bigint>, reason array<tinyint>",
+        f"key {key_type}, per_short int, per_long int, ms array<bigint>, accepted array<bigint>, reason array<tinyint>",
     )
     decided = replayed.select(
-        "key", "per_short", "per_long", F.inline(F.arrays_zip("ms", "n", "accepted", "reason"))
+        "key", "per_short", "per_long", F.inline(F.arrays_zip("ms", "accepted", "reason"))
     ).filter(F.col("reason") != OK)
 
     # Where only some requests of a millisecond were accepted, these are the ones with the lowest ids.
@@ -217,8 +230,7 @@ def replay_rate_limit(
     )
     turned_away = F.col("reason").isNotNull() & ~F.coalesce(F.col(id_) <= F.col("_last_ok"), F.lit(False))
     is_short = F.col("reason") == SHORT
-    per = lambda seconds, name: {S.MINUTE_SECONDS: "minute", S.DAY_SECONDS: "day"}.get(seconds, name)
-    unit = F.when(is_short, per(short_seconds, f"{short_seconds}s")).otherwise(per(long_seconds, f"{long_seconds}s"))
+    unit = F.when(is_short, _unit(short_seconds)).otherwise(_unit(long_seconds))
     return rows.join(rejected, [key, "_ms"], "left").select(
         *requests.columns,
         F.when(~turned_away, "ok").when(is_short, "short").otherwise("long").alias("decision"),

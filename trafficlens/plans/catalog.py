@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import replay_catalog, request_catalog, usage_catalog, vector_catalog
+from . import replay_catalog, request_catalog, stream_catalog, usage_catalog, vector_catalog
 
-MODULES = [usage_catalog, request_catalog, replay_catalog, vector_catalog]
+MODULES = [usage_catalog, request_catalog, replay_catalog, vector_catalog, stream_catalog]
 
 
 def queries() -> dict:

@@ -72,7 +72,7 @@ def overview(usage: DataFrame, as_of: str | datetime, hours: float = 24, minutes
     sums = (
         cells.select(F.explode(F.filter(items, lambda x: x.isNotNull())).alias("i"))
         .groupBy("i.section", "i.label", "i.metric")
-        .agg(F.round(F.sum("i.value"), 6).alias("value"))
+        .agg(F.round(F.sum("i.value"), 8).alias("value"))
     )
     p95 = usage_ops.p95_latency(usage, as_of, hours).select(
         F.lit("totals").alias("section"), F.lit("").alias("label"), F.lit("p95_latency_ms").alias("metric"),

@@ -43,7 +43,7 @@ def window(hours, alias=""):
 
 
 def money(expr):
-    return f"round(coalesce({expr}, 0), 6)"
+    return f"round(coalesce({expr}, 0), 8)"
 
 
 # scans ---------------------------------------------------------------------------------------
@@ -125,8 +125,8 @@ REPORTS = {
     ),
     "cost_saved": (
         usage.cost_saved,
-        f"""select hits, misses, round(coalesce(paid/nullif(misses,0),0),6) as avg_miss_cost,
-            round(hits*coalesce(paid/nullif(misses,0),0),6) as cost_saved from (
+        f"""select hits, misses, round(coalesce(paid/nullif(misses,0),0),8) as avg_miss_cost,
+            round(hits*coalesce(paid/nullif(misses,0),0),8) as cost_saved from (
             select count(*) filter (where cache_hit<>'none') as hits, count(*) filter (where cache_hit='none') as misses,
             sum(cost_usd) filter (where cache_hit='none') as paid
             from {U} where status='success' and {{w}}) x""",
@@ -410,7 +410,7 @@ add(
 )
 
 # metrics -------------------------------------------------------------------------------------
-M = "select '{m}' as metric, {l} as labels, round(sum({v}),6) as value from g where {w} group by 1, 2"
+M = "select '{m}' as metric, {l} as labels, round(sum({v}),8) as value from g where {w} group by 1, 2"
 METRIC_SQL = "with g as (select u.*, k.key_prefix as pfx from usage_logs u left join api_keys k on k.id=u.api_key_id)\n" + "\nunion all\n".join(
     M.format(m=m, l=l, v=v, w=w)
     for m, l, v, w in [
