@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .. import settings as S
@@ -17,7 +18,7 @@ from ..session import scratch_path
 Embedder = Callable[[list[str], str | None], np.ndarray]
 EmbedderFactory = Callable[[], Embedder]
 
-_SPLIT = re.compile(r"[ \t\n\r\f]+")
+_SPACE = r"[ \t\n\r\f]+"
 
 
 def hashed_terms(dim: int = S.EMBEDDING_DIM) -> EmbedderFactory:
@@ -38,12 +39,15 @@ def hashed_terms(dim: int = S.EMBEDDING_DIM) -> EmbedderFactory:
             return p
 
         def embed(texts: list[str], model: str | None) -> np.ndarray:
-            out = np.zeros((len(texts), dim))
-            for i, text in enumerate(texts):
-                words = [w for w in _SPLIT.split(text.lower()) if w]
-                if words:
-                    out[i] = np.bincount([place(w) for w in words], minlength=dim)
-            length = np.linalg.norm(out, axis=1, keepdims=True)
+            lower = pc.utf8_lower(pa.array(texts, type=pa.large_string()))
+            split = pc.split_pattern_regex(lower, _SPACE)
+            rows = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy())
+            words = split.flatten().dictionary_encode()
+            at = np.array([place(w) if w else -1 for w in words.dictionary.to_pylist()], dtype=np.int64)
+            where = at[words.indices.to_numpy()] if len(at) else np.zeros(0, dtype=np.int64)
+            real = where >= 0
+            out = np.bincount(rows[real] * dim + where[real], minlength=len(texts) * dim).reshape(len(texts), dim)
+            length = np.linalg.norm(out.astype(np.float64), axis=1, keepdims=True)
             return (out / np.where(length > 0, length, 1.0)).astype(np.float32)
 
         return embed
@@ -66,7 +70,8 @@ def embed_udf(factory: EmbedderFactory, model: str | None = None, batch: int = S
                     vectors[i] = v
             yield pd.Series(vectors)
 
-    return embed
+    # keeps the optimizer from moving filters on the vectors, and so a second run, below a distinct
+    return embed.asNondeterministic()
 
 
 def embed_prompts(

@@ -89,13 +89,16 @@ def hits_by_fills(
     the one of the cell before can be alive.
     """
     ttl_ms = ttl_seconds * 1000
-    own = fills.select(
-        F.col("key").alias(key), cell_of(F.col("ms"), ttl_ms).alias("_cell"),
-        F.lit(0).alias("age"), F.col("ms").alias("fms"), F.col("id").alias("fid"),
-    )
-    nxt = own.withColumn("_cell", F.col("_cell") + 1).withColumn("age", F.lit(1))
-    both = own.unionByName(nxt).groupBy(key, "_cell").agg(
-        *[F.max(F.when(F.col("age") == a, F.col(c))).alias(f"{c}{a}") for a in (0, 1) for c in ("fms", "fid")]
+    both = (
+        fills.withColumn("age", F.explode(F.array(F.lit(0), F.lit(1))))
+        .groupBy(F.col("key").alias(key), (cell_of(F.col("ms"), ttl_ms) + F.col("age")).alias("_cell"))
+        .agg(
+            *[
+                F.max(F.when(F.col("age") == a, F.col(c))).alias(f"{name}{a}")
+                for a in (0, 1)
+                for c, name in (("ms", "fms"), ("id", "fid"))
+            ]
+        )
     )
     joined = rows.withColumn("_cell", cell_of(F.col(ms), ttl_ms)).join(both, [key, "_cell"], "left")
 

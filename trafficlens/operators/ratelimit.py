@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .. import settings as S
 from ..functions.credentials import limit_of
 from ..functions.times import millis
-from .timeline import CELL_MS, cell_of, spans, with_islands
+from .timeline import CELL_MS, cell_of, with_islands
 
 OK, SHORT, LONG = 0, 1, 2
 
@@ -163,15 +163,20 @@ def replay_rate_limit(
     short_ms, long_ms = short_seconds * 1000, long_seconds * 1000
     cell_ms = min(cell_ms, max(short_ms, long_ms))
     rows = requests.withColumn("_ms", millis(F.col(ts)))
-    asked = rows.groupBy(F.col(key).alias("key"), F.col("_ms").alias("ms")).agg(F.count("*").alias("n"))
+    points = rows.select(F.col(key).alias("key"), cell_of(F.col("_ms"), cell_ms).alias("cell"), F.col("_ms").alias("ms"))
+    # the filter spells out what the joins below imply, so that both uses of the counts share one shuffle
+    asked = points.filter("key is not null and cell is not null").groupBy("key", "cell", "ms").agg(F.count("*").alias("n"))
     if earlier_slots is None:
         counts = asked.withColumn("taken", F.lit(0).cast("bigint"))
     else:
-        taken = earlier_slots.select("key", "ms", F.col("n").cast("bigint").alias("n"), F.col("n").cast("bigint").alias("taken"))
+        n = F.col("n").cast("bigint")
+        taken = earlier_slots.select("key", cell_of(F.col("ms"), cell_ms).alias("cell"), "ms", n.alias("n"), n.alias("taken"))
         both = asked.withColumn("taken", F.lit(0).cast("bigint")).unionByName(taken)
-        counts = both.groupBy("key", "ms").agg(F.sum("n").alias("n"), F.sum("taken").alias("taken"))
+        counts = both.groupBy("key", "cell", "ms").agg(F.sum("n").alias("n"), F.sum("taken").alias("taken"))
 
-    cells = spans(counts, "key", "ms", cell_ms, F.col("n"))
+    cells = counts.groupBy("key", "cell").agg(
+        F.sum("n").alias("n"), F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms")
+    )
     if limits is not None:
         cells = cells.join(limits.select(F.col(key).alias("key"), "per_short", "per_long"), "key", "left")
     else:
@@ -196,8 +201,7 @@ def replay_rate_limit(
     todo = cells.withColumn("tight", tight_islands).filter("tight").select("key", "cell", "island", "per_short", "per_long")
 
     packed = (
-        counts.withColumn("cell", cell_of(F.col("ms"), cell_ms))
-        .join(todo, ["key", "cell"])
+        counts.join(todo, ["key", "cell"])
         .groupBy("key", "island", "cell", "per_short", "per_long")
         # at most one entry per millisecond of the cell
         .agg(F.array_sort(F.collect_list(F.struct("ms", "n", "taken"))).alias("points"))

@@ -20,7 +20,7 @@ from .exact_cache import replay_exact_cache
 from .ratelimit import replay_rate_limit
 
 SMALL_GROUP = 4096  # a group of at most this many distinct prompts is decided in one task
-FIRST_BATCH = 256  # earliest undecided prompts per cell that are examined in the first round
+FIRST_BATCH = 1024  # undecided prompts per cell that are examined in the first round, at most
 
 
 def _greedy(max_dist: float):
@@ -45,13 +45,25 @@ def _greedy(max_dist: float):
     return run
 
 
+def _earliest(undecided: DataFrame, batch: int) -> DataFrame:
+    """All items of a group up to a time, chosen so that none of its cells has more than ``batch``.
+
+    Nothing earlier is left out, so these items need to be compared only with each other.
+    """
+    rank = F.row_number().over(Window.partitionBy("grp", "cell").orderBy("ms", "id"))
+    ends = undecided.select("grp", "cell", "ms", "id").withColumn("_rank", rank).filter(F.col("_rank") == batch)
+    ends = ends.groupBy("grp").agg(F.min(F.struct("ms", "id")).alias("_end"))
+    inside = F.col("_end").isNull() | (F.struct("ms", "id") <= F.col("_end"))
+    return undecided.join(ends, "grp", "left").filter(inside).drop("_end")
+
+
 def _fills_in_rounds(items: DataFrame, max_dist: float, block: int, first_batch: int, pivots) -> DataFrame:
     """Fills of groups of any size, in rounds over all groups at once.
 
-    A round examines the earliest undecided items per cell: those without an earlier undecided
-    neighbour are fills, and every later neighbour of a fill is a hit. The earliest undecided
-    item of a group always is a fill, a dense crowd of near copies disappears with its first
-    fill, and the batch grows each round. Each round is written to the checkpoint folder.
+    A round examines the earliest undecided items: those without an earlier undecided neighbour
+    are fills, and every later neighbour of a fill, examined or not, is a hit. The earliest
+    undecided item of a group always is a fill, a dense crowd of near copies disappears with its
+    first fill, and the batch grows each round. Each round is written to the checkpoint folder.
     """
     if isinstance(pivots, str):
         pivots = sim.choose_pivots(items, max_dist, block)
@@ -60,10 +72,9 @@ def _fills_in_rounds(items: DataFrame, max_dist: float, block: int, first_batch:
     flat = ["grp", "id", "ms", "vec"]
     fills, batch = None, first_batch
     while not undecided.isEmpty():
-        rank = F.row_number().over(Window.partitionBy("grp", "cell").orderBy("ms", "id"))
-        examined = undecided.withColumn("_rank", rank).filter(F.col("_rank") <= batch).drop("_rank")
+        examined = _earliest(undecided, batch)
         waiting = sim.blocked_search(
-            sim.place_queries(examined.select(*flat), pivots, reach), undecided, max_dist, earlier=True, block=block
+            sim.place_queries(examined.select(*flat), pivots, reach), examined, max_dist, earlier=True, block=block
         )
         new = cut(examined.join(waiting.select(F.col("qid").alias("id")), "id", "left_anti"))
         rest = undecided.join(new.select("id"), "id", "left_anti")

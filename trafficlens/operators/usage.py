@@ -245,6 +245,7 @@ def write_rollup(usage: DataFrame, path: str) -> None:
     """Rewrite only the day folders present in ``usage``; running a day again changes nothing."""
     (
         rollup_daily(usage)
+        .hint("rebalance", "day")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("day")

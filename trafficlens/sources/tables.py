@@ -38,13 +38,11 @@ def load_usage(
 def append_usage(df: DataFrame, path: str) -> None:
     """Append usage rows into their day folders.
 
-    Rows are spread by day and id, so that a day holding most of the rows is written by many
-    tasks and no task opens a file per day.
+    The rebalance gathers a day in few tasks, so there are no files per day and input task, and
+    splits a day that holds most of the rows into tasks of the advisory partition size.
     """
     rows = _shape(df, schemas.USAGE).withColumn(DAY, F.to_date("created_at"))
-    files_per_day = 16
-    rows = rows.repartition(F.col(DAY), F.pmod(F.xxhash64("id"), F.lit(files_per_day)))
-    rows.write.mode("append").partitionBy(DAY).parquet(path)
+    rows.hint("rebalance", DAY).write.mode("append").partitionBy(DAY).parquet(path)
 
 
 def _shape(df: DataFrame, schema: T.StructType) -> DataFrame:

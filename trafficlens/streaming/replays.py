@@ -28,6 +28,12 @@ def _save(df: DataFrame, path: str, kind: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/{kind}/batch_id={batch_id}")
 
 
+def _unexpired(state: DataFrame, batch: DataFrame, lifetime_ms: int) -> DataFrame:
+    """State rows still of use after the batch; an empty batch has no time and expires nothing."""
+    now = batch.agg(F.max(millis(F.col("ts")))).head()[0]
+    return state if now is None else state.filter(F.col("ms") > F.lit(now - lifetime_ms))
+
+
 def _start(stream: DataFrame, path: str, step, trigger: dict):
     return (
         stream.writeStream.option("checkpointLocation", f"{path}/checkpoint")
@@ -56,10 +62,8 @@ def stream_exact_cache(
         _save(out, path, "rows", batch_id)
         new = out.filter("is_fill").select(F.col(key).alias("key"), millis(F.col("ts")).alias("ms"), "id")
         last = fills.unionByName(new).groupBy("key").agg(F.max(F.struct("ms", "id")).alias("f"))
-        now = out.agg(F.max(millis(F.col("ts"))).alias("now"))
-        # an empty batch has no time of its own and expires nothing
-        live = last.join(now, F.col("now").isNull() | (F.col("f.ms") > F.col("now") - F.lit(ttl_seconds * 1000)))
-        _save(live.select("key", "f.ms", "f.id"), path, "state", batch_id)
+        live = _unexpired(last.select("key", "f.ms", "f.id"), out, ttl_seconds * 1000)
+        _save(live, path, "state", batch_id)
 
     return _start(stream, path, step, trigger)
 
@@ -81,8 +85,6 @@ def stream_rate_limit(
             F.col(key).alias("key"), millis(F.col("ts")).alias("ms"), F.lit(1).cast("bigint").alias("n")
         )
         all_slots = slots.unionByName(taken).groupBy("key", "ms").agg(F.sum("n").alias("n"))
-        now = out.agg(F.max(millis(F.col("ts"))).alias("now"))
-        live = all_slots.join(now, F.col("now").isNull() | (F.col("ms") > F.col("now") - F.lit(widest)))
-        _save(live.select("key", "ms", "n"), path, "state", batch_id)
+        _save(_unexpired(all_slots, out, widest), path, "state", batch_id)
 
     return _start(stream, path, step, trigger or {})
