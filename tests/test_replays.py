@@ -148,10 +148,12 @@ def attributed(df):
     return {r.id: (r.cache_hit, r.is_fill, r.fill_id) for r in df.collect()}
 
 
-@pytest.mark.parametrize("seed,cell", [(1, 60_000), (2, 500), (3, 20_000)])
-def test_exact_cache_equals_loop(spark, seed, cell):
+@pytest.mark.parametrize("seed,cell,hot", [(1, 60_000, 10**6), (2, 500, 0), (3, 20_000, 100), (4, 60_000, 100)])
+def test_exact_cache_equals_loop(spark, seed, cell, hot):
     rows = random_rows(seed)
-    got = exact_cache.replay_exact_cache(frame(spark, rows), 20, key="key", fillable="fillable", cell_ms=cell)
+    got = exact_cache.replay_exact_cache(
+        frame(spark, rows), 20, key="key", fillable="fillable", cell_ms=cell, hot_rows=hot
+    )
     assert attributed(got) == cache(rows, 20_000)
 
 

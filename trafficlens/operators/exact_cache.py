@@ -1,13 +1,16 @@
 """Replay of the exact-match cache: first success fills, later ones hit until the TTL ends.
 
-The fills of a hash form a chain (the next one is the first eligible request at or after the
-previous fill plus the TTL), so a hash has at most one fill per TTL-long cell. The chain is
-followed over distinct times only; hits are then read off by joining rows to the fills on
-(hash, cell), which spreads a hot hash over its cells.
+The fills of a hash form a chain: the next one is the first eligible request at or after the
+previous fill plus the TTL. The requests of a hash are sorted once and the chain jumps from fill to
+fill. A hot hash is not sorted in one task: its requests are first reduced to distinct
+times, packed and sorted per minute on many tasks, and only the packed minutes are streamed in order.
+Hits are then read off by joining rows to the fills on (hash, TTL-long cell), which spreads a
+hot hash over its cells; a cell has at most one fill.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,68 +19,102 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import settings as S
 from ..functions.times import millis
-from .timeline import CELL_MS, cell_of, spans, with_islands
+from .timeline import CELL_MS, HOT_KEY_ROWS, cell_of, hot_keys
 
 
-def _chain(ttl_ms: int):
+class _Chain:
+    """Follows one hash after the other; remembers when the current one may fill again."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl, self.key, self.due = ttl_ms, None, None
+
+    def fills(self, key, times: list, start: int, end: int) -> Iterator[int]:
+        """Positions of the fills among the sorted ``times[start:end]`` of ``key``."""
+        if key != self.key or self.due is None:
+            self.key, self.due = key, times[start]
+        i = start
+        while times[end - 1] >= self.due:
+            i = bisect_left(times, self.due, i, end)
+            yield i
+            self.due = times[i] + self.ttl
+
+
+def _runs(keys: list) -> Iterator[tuple[int, int]]:
+    """Stretches of equal neighbours."""
+    start = 0
+    for i in range(1, len(keys) + 1):
+        if i == len(keys) or keys[i] != keys[start]:
+            yield start, i
+            start = i
+
+
+def _chain_rows(ttl_ms: int):
+    """Fills among plain rows (key, ms, id) sorted by (key, ms, id)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain = _Chain(ttl_ms)
+        for batch in batches:
+            keys, times = batch.column("key").to_pylist(), batch.column("ms").to_pylist()
+            picks = [i for s, e in _runs(keys) for i in chain.fills(keys[s], times, s, e)]
+            if picks:
+                yield batch.take(pa.array(picks, type=pa.int64()))
+
+    return run
+
+
+def _chain_packed(ttl_ms: int):
+    """Fills among cells (key, cell, ms array, ids array) sorted by (key, cell)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, next_fill = None, None
+        chain = _Chain(ttl_ms)
         for batch in batches:
-            keys, islands = batch.column("key"), batch.column("island").to_pylist()
-            names = keys.to_pylist()
-            ends = np.cumsum(batch.column("ms").value_lengths().to_numpy())
-            ms, ids = batch.column("ms").flatten().to_numpy(), batch.column("ids").flatten()
-            rows, picks, start = [], [], 0
+            keys, ids = batch.column("key").to_pylist(), batch.column("ids").flatten()
+            ends = np.cumsum(batch.column("ms").value_lengths().to_numpy()).tolist()
+            flat = batch.column("ms").flatten()
+            times, rows, picks, start = flat.to_pylist(), [], [], 0
             for row, end in enumerate(ends):
-                if (names[row], islands[row]) != current:
-                    current, next_fill = (names[row], islands[row]), None
-                times, i = ms[start:end], 0
-                while True:
-                    if next_fill is not None:
-                        i = int(np.searchsorted(times, next_fill, side="left"))
-                    if i >= len(times):
-                        break
-                    rows.append(row)
-                    picks.append(start + i)
-                    next_fill = int(times[i]) + ttl_ms
+                found = list(chain.fills(keys[row], times, start, end))
+                picks += found
+                rows += [row] * len(found)
                 start = end
             if picks:
                 at = pa.array(picks, type=pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [keys.take(pa.array(rows, type=pa.int64())), pa.array(ms[picks], type=pa.int64()), ids.take(at)],
-                    names=["key", "ms", "id"],
-                )
+                key = batch.column("key").take(pa.array(rows, type=pa.int64()))
+                yield pa.RecordBatch.from_arrays([key, flat.take(at), ids.take(at)], names=["key", "ms", "id"])
 
     return run
 
 
 def fill_chain(
-    candidates: DataFrame, ttl_seconds: int, key: str = "key", ms: str = "ms", id_: str = "id", cell_ms: int = CELL_MS
+    candidates: DataFrame, ttl_seconds: int, key: str = "key", ms: str = "ms", id_: str = "id",
+    cell_ms: int = CELL_MS, hot_rows: int = HOT_KEY_ROWS,
 ) -> DataFrame:
     """The fills among requests that may fill: columns key, ms, id."""
     ttl_ms = ttl_seconds * 1000
-    cell_ms = min(cell_ms, ttl_ms)
-    points = candidates.groupBy(F.col(key).alias("key"), F.col(ms).alias("ms")).agg(F.min(id_).alias("id"))
-    cells = with_islands(spans(points, "key", "ms", cell_ms), "key", ttl_ms)
-    # a stretch shorter than the TTL has exactly one fill, its first request
-    whole = cells.groupBy("key", "island").agg(F.min("first_ms").alias("first"), F.max("last_ms").alias("last"))
-    single = F.col("last") - F.col("first") < F.lit(ttl_ms)
-    firsts = whole.filter(single).select("key", F.col("first").alias("ms"))
-    todo = cells.join(whole.filter(~single).select("key", "island"), ["key", "island"]).select("key", "cell", "island")
+    rows = candidates.select(F.col(key).alias("key"), F.col(ms).alias("ms"), F.col(id_).alias("id"))
+    rows = rows.filter(F.col("key").isNotNull())
+    out = f"key {rows.schema['key'].dataType.simpleString()}, ms bigint, id {rows.schema['id'].dataType.simpleString()}"
+    hot = hot_keys(rows, "key", hot_rows)
+    fills = (
+        rows.join(hot, "key", "left_anti")
+        .repartition("key")
+        .sortWithinPartitions("key", "ms", "id")
+        .mapInArrow(_chain_rows(ttl_ms), out)
+    )
+    if hot.isEmpty():
+        return fills
     packed = (
-        points.withColumn("cell", cell_of(F.col("ms"), cell_ms))
-        .join(todo, ["key", "cell"])
-        .groupBy("key", "island", "cell")
+        rows.join(hot, "key", "left_semi")
+        .groupBy("key", cell_of(F.col("ms"), cell_ms).alias("cell"), "ms")
+        .agg(F.min("id").alias("id"))
+        .groupBy("key", "cell")
         # at most one entry per millisecond of the cell
         .agg(F.array_sort(F.collect_list(F.struct("ms", "id"))).alias("points"))
-        .select("key", "island", "cell", F.col("points.ms").alias("ms"), F.col("points.id").alias("ids"))
-        .repartition("key", "island")
-        .sortWithinPartitions("key", "island", "cell")
+        .select("key", "cell", F.col("points.ms").alias("ms"), F.col("points.id").alias("ids"))
+        .repartition("key")
+        .sortWithinPartitions("key", "cell")
     )
-    key_type = candidates.schema[key].dataType.simpleString()
-    id_type = candidates.schema[id_].dataType.simpleString()
-    followed = packed.mapInArrow(_chain(ttl_ms), f"key {key_type}, ms bigint, id {id_type}")
-    return points.join(firsts, ["key", "ms"]).select("key", "ms", "id").unionByName(followed)
+    return fills.unionByName(packed.mapInArrow(_chain_packed(ttl_ms), out))
 
 
 def hits_by_fills(
@@ -126,6 +163,7 @@ def replay_exact_cache(
     fillable: str | None = None,
     earlier_fills: DataFrame | None = None,
     cell_ms: int = CELL_MS,
+    hot_rows: int = HOT_KEY_ROWS,
 ) -> DataFrame:
     """Add ``cache_hit`` (none or exact), ``is_fill`` and the ``fill_id`` that answered.
 
@@ -137,7 +175,7 @@ def replay_exact_cache(
     candidates = can_fill.select(F.col(key).alias("key"), F.col("_ms").alias("ms"), F.col(id_).alias("id"))
     if earlier_fills is not None:
         candidates = candidates.unionByName(earlier_fills.select("key", "ms", "id"))
-    fills = fill_chain(candidates, ttl_seconds, cell_ms=cell_ms)
+    fills = fill_chain(candidates, ttl_seconds, cell_ms=cell_ms, hot_rows=hot_rows)
     out = hits_by_fills(rows, fills, ttl_seconds, key, "_ms", id_)
     return out.select(
         *requests.columns,

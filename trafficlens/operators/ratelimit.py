@@ -3,9 +3,12 @@
 Only accepted requests take a slot, so whether one is accepted depends on all earlier decisions.
 That chain is followed per key, but over compressed input:
 
-1. rows become one count per (key, millisecond), combined before the shuffle;
-2. stretches between silences longer than both windows are independent (islands), and a stretch
-   whose raw counts never reach a limit needs no replay at all, everything in it is accepted;
+1. rows are counted per key and stretch of the longest window, combined before the shuffle; where
+   two neighbouring stretches stay within the lowest limit nothing can be rejected, and that is
+   the end of it for most keys;
+2. the others become one count per (key, millisecond). Stretches between silences longer than
+   both windows are independent (islands), and an island whose raw counts never reach a limit
+   needs no replay either;
 3. what remains is packed into one row per (key, cell) and streamed in time order. A full
    window is skipped in one step to the moment it opens, so the work grows with the accepted
    requests, and memory holds just the accepted slots of one window;
@@ -24,6 +27,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .. import settings as S
 from ..functions.credentials import limit_of
 from ..functions.times import millis
+from ..session import keep
 from .timeline import CELL_MS, cell_of, with_islands
 
 OK, SHORT, LONG = 0, 1, 2
@@ -135,6 +139,33 @@ def key_limits(keys: DataFrame, per_short: int = S.PER_MINUTE, per_long: int = S
     )
 
 
+def _busy_stretches(
+    points: DataFrame, key: str, limits: DataFrame | None, per_short: int, per_long: int
+) -> DataFrame:
+    """Stretches (as long as the longest window) per key that may hold a rejection, with the limits.
+
+    No window reaches further back than the stretch before its own. Where two neighbouring
+    stretches together hold no more rows than the lowest limit, everything is accepted. A
+    stretch is also kept for the one after it, whose windows reach into it.
+    """
+    sizes = points.groupBy("key", "big").agg(F.sum("n").alias("n"))
+    if limits is not None:
+        sizes = sizes.join(limits.select(F.col(key).alias("key"), "per_short", "per_long"), "key", "left")
+    else:
+        sizes = sizes.withColumns({c: F.lit(None).cast("int") for c in ("per_short", "per_long")})
+    sizes = sizes.withColumns(
+        {
+            "per_short": F.coalesce("per_short", F.lit(per_short)).cast("int"),
+            "per_long": F.coalesce("per_long", F.lit(per_long)).cast("int"),
+        }
+    )
+    lowest = F.least(*[F.when(F.col(c) > 0, F.col(c)) for c in ("per_short", "per_long")])
+    by_big = Window.partitionBy("key").orderBy("big")
+    full = F.coalesce(F.sum("n").over(by_big.rangeBetween(-1, 0)) > lowest, F.lit(False))
+    kept = F.max("full").over(by_big.rangeBetween(0, 1))
+    return sizes.withColumn("full", full).withColumn("kept", kept).filter("kept").select("key", "big", "per_short", "per_long")
+
+
 def _unit(seconds: int) -> str:
     return {S.MINUTE_SECONDS: "minute", S.DAY_SECONDS: "day"}.get(seconds, f"{seconds}s")
 
@@ -163,29 +194,25 @@ def replay_rate_limit(
     short_ms, long_ms = short_seconds * 1000, long_seconds * 1000
     cell_ms = min(cell_ms, max(short_ms, long_ms))
     rows = requests.withColumn("_ms", millis(F.col(ts)))
-    points = rows.select(F.col(key).alias("key"), cell_of(F.col("_ms"), cell_ms).alias("cell"), F.col("_ms").alias("ms"))
+    points = rows.select(F.col(key).alias("key"), F.col("_ms").alias("ms"), F.lit(1).alias("n"))
+    taken = F.lit(0)
+    if earlier_slots is not None:
+        slots = earlier_slots.select("key", "ms", "n", F.col("n").alias("taken"))
+        points, taken = points.withColumn("taken", taken).unionByName(slots), F.col("taken")
+    points = points.withColumn("big", cell_of(F.col("ms"), max(short_ms, long_ms)))
+
+    # Usually few: kept as a table, so that its true size decides whether the rows need a shuffle.
+    busy = keep(_busy_stretches(points, key, limits, per_short, per_long), "busy")
     # the filter spells out what the joins below imply, so that both uses of the counts share one shuffle
-    asked = points.filter("key is not null and cell is not null").groupBy("key", "cell", "ms").agg(F.count("*").alias("n"))
-    if earlier_slots is None:
-        counts = asked.withColumn("taken", F.lit(0).cast("bigint"))
-    else:
-        n = F.col("n").cast("bigint")
-        taken = earlier_slots.select("key", cell_of(F.col("ms"), cell_ms).alias("cell"), "ms", n.alias("n"), n.alias("taken"))
-        both = asked.withColumn("taken", F.lit(0).cast("bigint")).unionByName(taken)
-        counts = both.groupBy("key", "cell", "ms").agg(F.sum("n").alias("n"), F.sum("taken").alias("taken"))
-
-    cells = counts.groupBy("key", "cell").agg(
-        F.sum("n").alias("n"), F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms")
+    counts = (
+        points.join(busy, ["key", "big"])
+        .withColumn("cell", cell_of(F.col("ms"), cell_ms))
+        .filter("key is not null and cell is not null")
+        .groupBy("key", "cell", "ms", "per_short", "per_long")
+        .agg(F.sum("n").alias("n"), *([] if earlier_slots is None else [F.sum("taken").alias("taken")]))
     )
-    if limits is not None:
-        cells = cells.join(limits.select(F.col(key).alias("key"), "per_short", "per_long"), "key", "left")
-    else:
-        cells = cells.withColumn("per_short", F.lit(None).cast("int")).withColumn("per_long", F.lit(None).cast("int"))
-    cells = cells.withColumns(
-        {
-            "per_short": F.coalesce("per_short", F.lit(per_short)).cast("int"),
-            "per_long": F.coalesce("per_long", F.lit(per_long)).cast("int"),
-        }
+    cells = counts.groupBy("key", "cell", "per_short", "per_long").agg(
+        F.sum("n").alias("n"), F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms")
     )
     by_cell = Window.partitionBy("key").orderBy("cell")
 
@@ -198,13 +225,13 @@ def replay_rate_limit(
     )
     cells = with_islands(cells.withColumn("tight", tight), "key", max(short_ms, long_ms))
     tight_islands = F.max("tight").over(Window.partitionBy("key", "island"))
-    todo = cells.withColumn("tight", tight_islands).filter("tight").select("key", "cell", "island", "per_short", "per_long")
+    todo = cells.withColumn("tight", tight_islands).filter("tight").select("key", "cell", "island")
 
     packed = (
         counts.join(todo, ["key", "cell"])
         .groupBy("key", "island", "cell", "per_short", "per_long")
         # at most one entry per millisecond of the cell
-        .agg(F.array_sort(F.collect_list(F.struct("ms", "n", "taken"))).alias("points"))
+        .agg(F.array_sort(F.collect_list(F.struct("ms", "n", taken.cast("bigint").alias("taken")))).alias("points"))
         .select("key", "island", "cell", "per_short", "per_long", *[F.col(f"points.{c}").alias(c) for c in ("ms", "n", "taken")])
         .repartition("key", "island")
         .sortWithinPartitions("key", "island", "cell")
@@ -218,24 +245,17 @@ def replay_rate_limit(
         "key", "per_short", "per_long", F.inline(F.arrays_zip("ms", "accepted", "reason"))
     ).filter(F.col("reason") != OK)
 
-    # Where only some requests of a millisecond were accepted, these are the ones with the lowest ids.
-    mixed = decided.filter("accepted > 0").select("key", F.col("ms").alias("_ms"), "accepted")
-    rank = F.row_number().over(Window.partitionBy("key", "_ms").orderBy("_id"))
-    last_ok = (
-        rows.select(F.col(key).alias("key"), "_ms", F.col(id_).alias("_id"))
-        .join(mixed, ["key", "_ms"])
-        .withColumn("_rank", rank)
-        .filter(F.col("_rank") == F.col("accepted"))
-        .select("key", F.col("_ms").alias("ms"), F.col("_id").alias("_last_ok"))
-    )
-    rejected = decided.join(last_ok, ["key", "ms"], "left").select(
-        F.col("key").alias(key), F.col("ms").alias("_ms"), "reason", "_last_ok",
+    rejected = decided.select(
+        F.col("key").alias(key), F.col("ms").alias("_ms"), "reason", "accepted",
         F.when(F.col("reason") == SHORT, F.col("per_short")).otherwise(F.col("per_long")).alias("_limit"),
     )
-    turned_away = F.col("reason").isNotNull() & ~F.coalesce(F.col(id_) <= F.col("_last_ok"), F.lit(False))
+    # Where only some requests of a millisecond were accepted, these are the ones with the lowest ids.
+    # The rank needs the same shuffle and sort as the join.
+    rank = F.row_number().over(Window.partitionBy(key, "_ms").orderBy(id_))
+    turned_away = F.col("reason").isNotNull() & (F.col("_rank") > F.col("accepted"))
     is_short = F.col("reason") == SHORT
     unit = F.when(is_short, _unit(short_seconds)).otherwise(_unit(long_seconds))
-    return rows.join(rejected, [key, "_ms"], "left").select(
+    return rows.withColumn("_rank", rank).join(rejected, [key, "_ms"], "left").select(
         *requests.columns,
         F.when(~turned_away, "ok").when(is_short, "short").otherwise("long").alias("decision"),
         F.when(turned_away, F.when(is_short, short_seconds).otherwise(long_seconds)).alias("retry_after"),

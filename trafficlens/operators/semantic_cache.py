@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import settings as S
 from ..functions.times import millis
-from ..session import cut
+from ..session import keep
 from . import similarity as sim
 from .exact_cache import replay_exact_cache
 from .ratelimit import replay_rate_limit
@@ -63,12 +63,12 @@ def _fills_in_rounds(items: DataFrame, max_dist: float, block: int, first_batch:
     A round examines the earliest undecided items: those without an earlier undecided neighbour
     are fills, and every later neighbour of a fill, examined or not, is a hit. The earliest
     undecided item of a group always is a fill, a dense crowd of near copies disappears with its
-    first fill, and the batch grows each round. Each round is written to the checkpoint folder.
+    first fill, and the batch grows each round. Each round is written to the shared folder.
     """
     if isinstance(pivots, str):
         pivots = sim.choose_pivots(items, max_dist, block)
     reach = sim.reachable_cells(max_dist)
-    undecided = cut(sim.place_entries(items, pivots))
+    undecided = keep(sim.place_entries(items, pivots))
     flat = ["grp", "id", "ms", "vec"]
     fills, batch = None, first_batch
     while not undecided.isEmpty():
@@ -76,12 +76,12 @@ def _fills_in_rounds(items: DataFrame, max_dist: float, block: int, first_batch:
         waiting = sim.blocked_search(
             sim.place_queries(examined.select(*flat), pivots, reach), examined, max_dist, earlier=True, block=block
         )
-        new = cut(examined.join(waiting.select(F.col("qid").alias("id")), "id", "left_anti"))
+        new = keep(examined.join(waiting.select(F.col("qid").alias("id")), "id", "left_anti"))
         rest = undecided.join(new.select("id"), "id", "left_anti")
         hits = sim.blocked_search(
             sim.place_queries(rest.select(*flat), pivots, reach), new, max_dist, earlier=True, block=block
         )
-        undecided = cut(rest.join(hits.select(F.col("qid").alias("id")), "id", "left_anti"))
+        undecided = keep(rest.join(hits.select(F.col("qid").alias("id")), "id", "left_anti"))
         fills = new if fills is None else fills.unionByName(new)
         batch *= 4
     return items.limit(0) if fills is None else fills.select(*items.columns)
@@ -137,11 +137,11 @@ def replay_semantic(
     )
     vectors = prompts.select(F.col(model).alias("grp"), F.col(prompt).alias("prompt"), "vec")
     # one row per distinct (model, prompt): used three times below, so it is kept
-    items = cut(firsts.join(vectors, ["grp", "prompt"]))
+    items = keep(firsts.join(vectors, ["grp", "prompt"]))
     can = items.filter(F.col("fill").isNotNull()).select(
         "grp", F.col("fill.id").alias("id"), F.col("fill.ms").alias("ms"), "vec"
     )
-    fills = cut(semantic_fills(can, max_dist, small, block, first_batch, pivots))
+    fills = keep(semantic_fills(can, max_dist, small, block, first_batch, pivots))
     asked = items.select("grp", F.col("first.id").alias("id"), F.col("first.ms").alias("ms"), "vec")
     found = sim.nearest(asked, fills, max_dist, records=True, pivots=pivots, block=block)
     # the record holders of a prompt: few, because each must be nearer than all before it
@@ -186,7 +186,7 @@ def replay_funnel(
     """
     columns = requests.columns
     slim = ["id", "api_key_id", "ts", "model", "prompt", "request_hash"] + ([fillable] if fillable else [])
-    gated = cut(replay_rate_limit(requests.select(*slim), limits, **(limiter or {})))
+    gated = keep(replay_rate_limit(requests.select(*slim), limits, **(limiter or {})))
     admitted = gated.filter(F.col("decision") == "ok").select(*slim)
     if prompts is None:
         plain, labelled = admitted, None
@@ -194,7 +194,7 @@ def replay_funnel(
         has_vector = prompts.select("model", "prompt")
         known = admitted.filter(F.col("prompt").isNotNull())
         plain = admitted.join(has_vector, ["model", "prompt"], "left_anti").select(*slim)
-        seen = cut(replay_semantic(known.join(has_vector, ["model", "prompt"], "left_semi").select(*slim), prompts,
+        seen = keep(replay_semantic(known.join(has_vector, ["model", "prompt"], "left_semi").select(*slim), prompts,
                                    threshold, fillable=fillable, **search))
         fills = seen.filter("is_fill").select(
             "request_hash", F.col("id").alias("_own_id"), millis(F.col("ts")).alias("_own_ms")
@@ -228,7 +228,7 @@ def threshold_sweep(
     rows = requests.withColumn("_ms", millis(F.col("ts")))
     first = F.min(F.struct(F.col("_ms").alias("ms"), F.col("id").alias("id")))
     items = rows.groupBy(F.col("model").alias("grp"), "prompt").agg(first.alias("o"), F.count("*").alias("n"))
-    items = cut(items.join(prompts.select(F.col("model").alias("grp"), "prompt", "vec"), ["grp", "prompt"]))
+    items = keep(items.join(prompts.select(F.col("model").alias("grp"), "prompt", "vec"), ["grp", "prompt"]))
     points = items.select("grp", F.col("o.id").alias("id"), F.col("o.ms").alias("ms"), "vec")
     found = sim.nearest(points, points, sim.max_distance(min(thresholds)), earlier=True)
     counted = items.select(F.col("o.id").alias("qid"), "n").join(found.select("qid", "dist"), "qid", "left")

@@ -10,14 +10,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.times import millis
+from ..session import keep
 
 CELL_MS = 60_000
+HOT_KEY_ROWS = 2_000_000  # a key with more rows than this is never sorted in one task
 
 
 def cell_of(ms: Column, cell_ms: int) -> Column:
     return F.floor(ms / F.lit(cell_ms)).cast("bigint")
 
 
+def hot_keys(rows: DataFrame, key: str, more_than: int = HOT_KEY_ROWS) -> DataFrame:
+    """Keys with more rows than one task should sort; few by nature, at most rows / ``more_than``."""
+    sizes = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    return keep(sizes.filter(F.col("_n") > more_than).select(key), "hot-keys")
+
+
 def spans(points: DataFrame, key: str, ms: str, cell_ms: int, n: Column | None = None) -> DataFrame:
     """Per (key, cell): number of rows, first and last time. At most one row per key and cell."""
     return points.groupBy(key, cell_of(F.col(ms), cell_ms).alias("cell")).agg(
@@ -57,34 +65,32 @@ def sliding_counts(
 
     The window is a whole number of cells long. The count at time t of cell c is the total of the
     cells before c that lie in the window, plus what cell c has seen up to t, minus what the
-    cell dropping out had seen at the same offset.
+    cell dropping out had seen at the same offset. So each row appears twice, as an arrival in
+    its own cell and as an expiry one window later, and no task sees more than a cell of a key.
     """
     span_ms = seconds * 1000
     while span_ms % cell_ms:
         cell_ms //= 2
     k = span_ms // cell_ms
-    rows = requests.withColumn("_ms", millis(F.col(ts)))
-    counts = rows.groupBy(key, "_ms").agg(F.count("*").alias("n"))
-    arrivals = counts.select(
-        key, cell_of(F.col("_ms"), cell_ms).alias("cell"), F.col("_ms").alias("at"), F.col("n").alias("delta"),
-        F.lit(True).alias("asked"),
+    cell = cell_of(millis(F.col(ts)), cell_ms)
+    row = F.struct(*requests.columns)
+    moves = F.array(
+        F.struct(cell.alias("cell"), millis(F.col(ts)).alias("at"), F.lit(1).alias("move"), row.alias("row")),
+        F.struct(
+            (cell + k).alias("cell"), (millis(F.col(ts)) + span_ms).alias("at"), F.lit(-1).alias("move"),
+            F.lit(None).cast(requests.schema).alias("row"),
+        ),
     )
-    expiries = arrivals.select(
-        key, (F.col("cell") + k).alias("cell"), (F.col("at") + span_ms).alias("at"), (-F.col("delta")).alias("delta"),
-        F.lit(False).alias("asked"),
-    )
-    inside = Window.partitionBy(key, "cell").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
-    running = arrivals.unionByName(expiries).withColumn("running", F.sum("delta").over(inside)).filter("asked")
-    before = Window.partitionBy(key).orderBy("cell").rangeBetween(-k, -1)
+    events = requests.select(F.col(key).alias("key"), F.inline(moves))
+    inside = Window.partitionBy("key", "cell").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    running = events.withColumn("running", F.sum("move").over(inside)).filter(F.col("row").isNotNull())
+    before = Window.partitionBy("key").orderBy("cell").rangeBetween(-k, -1)
     base = (
-        arrivals.groupBy(key, "cell")
-        .agg(F.sum("delta").alias("n"))
-        .select(key, "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    )
-    per_ms = running.join(base, [key, "cell"]).select(
-        key, F.col("at").alias("_ms"), (F.col("base") + F.col("running")).alias(out)
+        requests.groupBy(F.col(key).alias("key"), cell.alias("cell"))
+        .agg(F.count("*").alias("n"))
+        .select("key", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     )
-    return rows.join(per_ms, [key, "_ms"], "left").select(*requests.columns, out)
+    return running.join(base, ["key", "cell"]).select("row.*", (F.col("base") + F.col("running")).alias(out))
 
 
 def asof_last(

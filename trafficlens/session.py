@@ -47,11 +47,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
+    """A fresh path under the shared folder, which is cleared with the rest of that folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably (survives lost executors) and drop its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def keep(df: DataFrame, name: str = "kept") -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    This cuts the lineage in a way that survives lost executors, later steps read only the
+    columns they need, and the planner knows the true size, so it broadcasts the table exactly
+    where it is small enough.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

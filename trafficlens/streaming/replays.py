@@ -15,7 +15,7 @@ from .. import settings as S
 from ..functions.times import millis
 from ..operators.exact_cache import replay_exact_cache
 from ..operators.ratelimit import replay_rate_limit
-from ..session import cut
+from ..session import keep
 
 
 def _state_before(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
@@ -58,7 +58,7 @@ def stream_exact_cache(
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fills = _state_before(spark, path, batch_id, schema)
-        out = cut(replay_exact_cache(batch, ttl_seconds, key=key, fillable=fillable, earlier_fills=fills))
+        out = keep(replay_exact_cache(batch, ttl_seconds, key=key, fillable=fillable, earlier_fills=fills))
         _save(out, path, "rows", batch_id)
         new = out.filter("is_fill").select(F.col(key).alias("key"), millis(F.col("ts")).alias("ms"), "id")
         last = fills.unionByName(new).groupBy("key").agg(F.max(F.struct("ms", "id")).alias("f"))
@@ -79,7 +79,7 @@ def stream_rate_limit(
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         slots = _state_before(spark, path, batch_id, schema)
-        out = cut(replay_rate_limit(batch, limits, key=key, earlier_slots=slots, **options))
+        out = keep(replay_rate_limit(batch, limits, key=key, earlier_slots=slots, **options))
         _save(out, path, "rows", batch_id)
         taken = out.filter(F.col("decision") == "ok").select(
             F.col(key).alias("key"), millis(F.col("ts")).alias("ms"), F.lit(1).cast("bigint").alias("n")
