@@ -1,7 +1,6 @@
 """Physical plans: pushdown, pruning, no cross joins, no Python where none is needed."""
 
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from trafficlens.operators import paging, usage
@@ -63,11 +62,13 @@ def test_aggregates_combine_before_the_shuffle(spark, sf):
     assert "partial_sum" in p
 
 
-def test_replays_never_sort_raw_rows_by_key(spark, sf):
-    """The replay input is shuffled as one row per (key, island, cell)."""
+def test_hot_keys_are_packed_before_they_meet(spark, sf):
+    """A hot key reaches the task that follows it as one row per cell, not as its raw rows."""
+    from trafficlens.operators.exact_cache import replay_exact_cache
     from trafficlens.operators.ratelimit import replay_rate_limit
 
-    p = plan(replay_rate_limit(view(spark, sf, "requests_flat")))
-    assert "hashpartitioning(key" in p and "island" in p
-    raw = view(spark, sf, "requests_flat").select(F.col("id"))
-    assert "Exchange" not in plan(raw)
+    rows = view(spark, sf, "requests_flat")
+    p = plan(replay_rate_limit(rows, per_short=1, hot_rows=0))
+    assert "hashpartitioning(key" in p and "island" in p and "collect_list(struct(ms" in p
+    p = plan(replay_exact_cache(rows, key="k", hot_rows=0))
+    assert "collect_list(struct(ms" in p and "LeftAnti" in p

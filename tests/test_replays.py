@@ -55,11 +55,11 @@ def decisions(df):
     return {r.id: r.decision for r in df.select("id", "decision").collect()}
 
 
-@pytest.mark.parametrize("seed,cell", [(1, 60_000), (2, 1_000), (3, 7_000)])
-def test_rate_limit_equals_loop(spark, seed, cell):
+@pytest.mark.parametrize("seed,cell,hot", [(1, 60_000, 10**6), (2, 1_000, 0), (3, 7_000, 0), (4, 60_000, 150)])
+def test_rate_limit_equals_loop(spark, seed, cell, hot):
     rows = random_rows(seed)
     got = ratelimit.replay_rate_limit(
-        frame(spark, rows), key="key", short_seconds=10, long_seconds=100, per_short=3, per_long=12, cell_ms=cell
+        frame(spark, rows), key="key", short_seconds=10, long_seconds=100, per_short=3, per_long=12, cell_ms=cell, hot_rows=hot
     )
     assert decisions(got) == limiter(rows, lambda k: (3, 12), 10_000, 100_000)
 
@@ -88,11 +88,12 @@ def test_rate_limit_edges(spark):
     assert [r.decision for r in off] == ["ok", "ok", "long", "long", "long"]
 
 
-def test_rate_limit_continues_from_slots(spark):
+@pytest.mark.parametrize("hot", [0, 10**6])
+def test_rate_limit_continues_from_slots(spark, hot):
     rows = random_rows(5)
     cut = 200_000
     first, second = [r for r in rows if r[2] < cut], [r for r in rows if r[2] >= cut]
-    args = dict(key="key", short_seconds=10, long_seconds=100, per_short=3, per_long=12)
+    args = dict(key="key", short_seconds=10, long_seconds=100, per_short=3, per_long=12, hot_rows=hot)
     a = ratelimit.replay_rate_limit(frame(spark, first), **args)
     done = decisions(a)
     base = int((T0 - datetime(1970, 1, 1)).total_seconds() * 1000)

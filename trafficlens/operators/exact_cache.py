@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import settings as S
 from ..functions.times import millis
-from .timeline import CELL_MS, HOT_KEY_ROWS, cell_of, hot_keys
+from .timeline import CELL_MS, HOT_KEY_ROWS, cell_of, hot_keys, runs
 
 
 class _Chain:
@@ -39,15 +39,6 @@ class _Chain:
             self.due = times[i] + self.ttl
 
 
-def _runs(keys: list) -> Iterator[tuple[int, int]]:
-    """Stretches of equal neighbours."""
-    start = 0
-    for i in range(1, len(keys) + 1):
-        if i == len(keys) or keys[i] != keys[start]:
-            yield start, i
-            start = i
-
-
 def _chain_rows(ttl_ms: int):
     """Fills among plain rows (key, ms, id) sorted by (key, ms, id)."""
 
@@ -55,7 +46,7 @@ def _chain_rows(ttl_ms: int):
         chain = _Chain(ttl_ms)
         for batch in batches:
             keys, times = batch.column("key").to_pylist(), batch.column("ms").to_pylist()
-            picks = [i for s, e in _runs(keys) for i in chain.fills(keys[s], times, s, e)]
+            picks = [i for s, e in runs(keys) for i in chain.fills(keys[s], times, s, e)]
             if picks:
                 yield batch.take(pa.array(picks, type=pa.int64()))
 

@@ -6,12 +6,12 @@ That chain is followed per key, but over compressed input:
 1. rows are counted per key and stretch of the longest window, combined before the shuffle; where
    two neighbouring stretches stay within the lowest limit nothing can be rejected, and that is
    the end of it for most keys;
-2. the others become one count per (key, millisecond). Stretches between silences longer than
-   both windows are independent (islands), and an island whose raw counts never reach a limit
-   needs no replay either;
-3. what remains is packed into one row per (key, cell) and streamed in time order. A full
-   window is skipped in one step to the moment it opens, so the work grows with the accepted
-   requests, and memory holds just the accepted slots of one window;
+2. the others become one count per (key, millisecond), which are streamed per key in time order.
+   A full window is skipped in one step to the moment it opens, so the work grows with the
+   accepted requests, and memory holds just the accepted slots of one window;
+3. a hot key is not sorted in one task: its counts are packed and sorted per cell on many tasks.
+   Stretches between silences longer than both windows are independent (islands) and replayed
+   on different tasks, and an island whose raw counts never reach a limit is skipped;
 4. the decisions go back to the rows by (key, millisecond), which spreads a hot key over all tasks.
 """
 
@@ -28,7 +28,7 @@ from .. import settings as S
 from ..functions.credentials import limit_of
 from ..functions.times import millis
 from ..session import keep
-from .timeline import CELL_MS, cell_of, with_islands
+from .timeline import CELL_MS, HOT_KEY_ROWS, cell_of, runs, with_islands
 
 OK, SHORT, LONG = 0, 1, 2
 
@@ -129,6 +129,38 @@ def _replay(short_ms: int, long_ms: int):
     return run
 
 
+def _replay_counts(short_ms: int, long_ms: int):
+    """The same over plain counts (key, ms, n, taken, limits) sorted by (key, ms); rejections only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        short, long, current = _Gate(short_ms), _Gate(long_ms), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.column("key").to_pylist()
+            cols = [batch.column(c).to_numpy() for c in ("ms", "n", "taken", "per_short", "per_long")]
+            ms, n, taken, lim_s, lim_l = cols
+            acc, why = [], []
+            for start, end in runs(names):
+                if names[start] != current:
+                    current = names[start]
+                    short.clear()
+                    long.clear()
+                a, r = _replay_cell(ms[start:end], n[start:end], short, long, int(lim_s[start]), int(lim_l[start]))
+                acc.append(a)
+                why.append(r)
+            accepted, reason = np.concatenate(acc) - taken, np.concatenate(why)
+            hit = np.flatnonzero(reason)
+            if len(hit):
+                kept = batch.select(["key", "per_short", "per_long", "ms"]).take(pa.array(hit))
+                yield pa.RecordBatch.from_arrays(
+                    [*kept.columns, pa.array(accepted[hit], type=pa.int64()), pa.array(reason[hit], type=pa.int8())],
+                    names=["key", "per_short", "per_long", "ms", "accepted", "reason"],
+                )
+
+    return run
+
+
 def key_limits(keys: DataFrame, per_short: int = S.PER_MINUTE, per_long: int = S.PER_DAY) -> DataFrame:
     """Limits per key: its JSON overrides or the defaults."""
     o = F.col("rate_limit_overrides")
@@ -163,7 +195,39 @@ def _busy_stretches(
     by_big = Window.partitionBy("key").orderBy("big")
     full = F.coalesce(F.sum("n").over(by_big.rangeBetween(-1, 0)) > lowest, F.lit(False))
     kept = F.max("full").over(by_big.rangeBetween(0, 1))
-    return sizes.withColumn("full", full).withColumn("kept", kept).filter("kept").select("key", "big", "per_short", "per_long")
+    return sizes.withColumn("full", full).withColumn("kept", kept).filter("kept").select(
+        "key", "big", "per_short", "per_long", F.col("n").alias("rows")
+    )
+
+
+def _packed_islands(counts: DataFrame, short_ms: int, long_ms: int, cell_ms: int) -> DataFrame:
+    """Counts of hot keys as one row per (key, island, cell), without islands that need no replay."""
+    # the filter spells out what the join below implies, so that both uses of the counts share one shuffle
+    counts = counts.withColumn("cell", cell_of(F.col("ms"), cell_ms)).filter("key is not null and cell is not null")
+    cells = counts.groupBy("key", "cell", "per_short", "per_long").agg(
+        F.sum("n").alias("n"), F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms")
+    )
+    by_cell = Window.partitionBy("key").orderBy("cell")
+
+    def most(width_ms: int):
+        """No window ending in this cell holds more rows than this."""
+        return F.sum("n").over(by_cell.rangeBetween(-(-(-width_ms // cell_ms)), 0))
+
+    tight = ((F.col("per_short") > 0) & (most(short_ms) > F.col("per_short"))) | (
+        (F.col("per_long") > 0) & (most(long_ms) > F.col("per_long"))
+    )
+    cells = with_islands(cells.withColumn("tight", tight), "key", max(short_ms, long_ms))
+    tight_islands = F.max("tight").over(Window.partitionBy("key", "island"))
+    todo = cells.withColumn("tight", tight_islands).filter("tight").select("key", "cell", "island")
+    return (
+        counts.join(todo, ["key", "cell"])
+        .groupBy("key", "island", "cell", "per_short", "per_long")
+        # at most one entry per millisecond of the cell
+        .agg(F.array_sort(F.collect_list(F.struct("ms", "n", "taken"))).alias("points"))
+        .select("key", "island", "cell", "per_short", "per_long", *[F.col(f"points.{c}").alias(c) for c in ("ms", "n", "taken")])
+        .repartition("key", "island")
+        .sortWithinPartitions("key", "island", "cell")
+    )
 
 
 def _unit(seconds: int) -> str:
@@ -183,6 +247,7 @@ def replay_rate_limit(
     per_long: int = S.PER_DAY,
     earlier_slots: DataFrame | None = None,
     cell_ms: int = CELL_MS,
+    hot_rows: int = HOT_KEY_ROWS,
 ) -> DataFrame:
     """Add ``decision`` (ok, short or long), ``retry_after`` seconds and ``detail`` to each request.
 
@@ -203,47 +268,35 @@ def replay_rate_limit(
 
     # Usually few: kept as a table, so that its true size decides whether the rows need a shuffle.
     busy = keep(_busy_stretches(points, key, limits, per_short, per_long), "busy")
-    # the filter spells out what the joins below imply, so that both uses of the counts share one shuffle
     counts = (
-        points.join(busy, ["key", "big"])
-        .withColumn("cell", cell_of(F.col("ms"), cell_ms))
-        .filter("key is not null and cell is not null")
-        .groupBy("key", "cell", "ms", "per_short", "per_long")
+        points.join(busy.drop("rows"), ["key", "big"])
+        .filter("key is not null")
+        .groupBy("key", "ms", "per_short", "per_long")
         .agg(F.sum("n").alias("n"), *([] if earlier_slots is None else [F.sum("taken").alias("taken")]))
     )
-    cells = counts.groupBy("key", "cell", "per_short", "per_long").agg(
-        F.sum("n").alias("n"), F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms")
-    )
-    by_cell = Window.partitionBy("key").orderBy("cell")
-
-    def most(width_ms: int):
-        """No window ending in this cell holds more rows than this."""
-        return F.sum("n").over(by_cell.rangeBetween(-(-(-width_ms // cell_ms)), 0))
-
-    tight = ((F.col("per_short") > 0) & (most(short_ms) > F.col("per_short"))) | (
-        (F.col("per_long") > 0) & (most(long_ms) > F.col("per_long"))
-    )
-    cells = with_islands(cells.withColumn("tight", tight), "key", max(short_ms, long_ms))
-    tight_islands = F.max("tight").over(Window.partitionBy("key", "island"))
-    todo = cells.withColumn("tight", tight_islands).filter("tight").select("key", "cell", "island")
-
-    packed = (
-        counts.join(todo, ["key", "cell"])
-        .groupBy("key", "island", "cell", "per_short", "per_long")
-        # at most one entry per millisecond of the cell
-        .agg(F.array_sort(F.collect_list(F.struct("ms", "n", taken.cast("bigint").alias("taken")))).alias("points"))
-        .select("key", "island", "cell", "per_short", "per_long", *[F.col(f"points.{c}").alias(c) for c in ("ms", "n", "taken")])
-        .repartition("key", "island")
-        .sortWithinPartitions("key", "island", "cell")
-    )
+    hot = keep(busy.groupBy("key").agg(F.sum("rows").alias("rows")).filter(F.col("rows") > hot_rows).select("key"), "hot-keys")
+    entry = ["key", "per_short", "per_long", "ms", "n"]
     key_type = requests.schema[key].dataType.simpleString()
-    replayed = packed.mapInArrow(
-        _replay(short_ms, long_ms),
-        f"key {key_type}, per_short int, per_long int, ms array<bigint>, accepted array<bigint>, reason array<tinyint>",
+    out = f"key {key_type}, per_short int, per_long int, "
+    decided = (
+        counts.join(hot, "key", "left_anti")
+        .select(*entry, taken.cast("bigint").alias("taken"))
+        .repartition("key")
+        .sortWithinPartitions("key", "ms")
+        .mapInArrow(_replay_counts(short_ms, long_ms), out + "ms bigint, accepted bigint, reason tinyint")
     )
-    decided = replayed.select(
-        "key", "per_short", "per_long", F.inline(F.arrays_zip("ms", "accepted", "reason"))
-    ).filter(F.col("reason") != OK)
+    if not hot.isEmpty():
+        packed = _packed_islands(
+            counts.join(hot, "key", "left_semi").select(*entry, taken.cast("bigint").alias("taken")),
+            short_ms, long_ms, cell_ms,
+        )
+        replayed = packed.mapInArrow(
+            _replay(short_ms, long_ms), out + "ms array<bigint>, accepted array<bigint>, reason array<tinyint>"
+        )
+        decided = decided.unionByName(
+            replayed.select("key", "per_short", "per_long", F.inline(F.arrays_zip("ms", "accepted", "reason")))
+            .filter(F.col("reason") != OK)
+        )
 
     rejected = decided.select(
         F.col("key").alias(key), F.col("ms").alias("_ms"), "reason", "accepted",

@@ -71,17 +71,19 @@ def _fills_in_rounds(items: DataFrame, max_dist: float, block: int, first_batch:
     undecided = keep(sim.place_entries(items, pivots))
     flat = ["grp", "id", "ms", "vec"]
     fills, batch = None, first_batch
+
+    def search(queries: DataFrame, entries: DataFrame) -> DataFrame:
+        """Ids of the queries that have an earlier neighbour among the (placed) entries."""
+        wide = None if pivots is None else sim.blocks_of(entries.count(), block)
+        placed = sim.place_queries(queries.select(*flat), pivots, reach, wide)
+        found = sim.blocked_search(placed, entries, max_dist, earlier=True, block=block, anywhere=pivots is not None)
+        return found.select(F.col("qid").alias("id"))
+
     while not undecided.isEmpty():
-        examined = _earliest(undecided, batch)
-        waiting = sim.blocked_search(
-            sim.place_queries(examined.select(*flat), pivots, reach), examined, max_dist, earlier=True, block=block
-        )
-        new = keep(examined.join(waiting.select(F.col("qid").alias("id")), "id", "left_anti"))
+        examined = keep(_earliest(undecided, batch))
+        new = keep(examined.join(search(examined, examined), "id", "left_anti"))
         rest = undecided.join(new.select("id"), "id", "left_anti")
-        hits = sim.blocked_search(
-            sim.place_queries(rest.select(*flat), pivots, reach), new, max_dist, earlier=True, block=block
-        )
-        undecided = keep(rest.join(hits.select(F.col("qid").alias("id")), "id", "left_anti"))
+        undecided = keep(rest.join(search(rest, new), "id", "left_anti"))
         fills = new if fills is None else fills.unionByName(new)
         batch *= 4
     return items.limit(0) if fills is None else fills.select(*items.columns)

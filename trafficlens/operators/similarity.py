@@ -23,6 +23,7 @@ from .. import settings as S
 BLOCK = 4096  # rows per side of one matrix product
 MAX_PIVOTS = 1024  # pivots are collected and shipped to every task: at most this many vectors
 DIGITS = 9
+ANYWHERE = -1  # the cell that holds a copy of all entries, for queries that reach very many cells
 
 
 def max_distance(threshold: float) -> float:
@@ -86,12 +87,14 @@ def choose_pivots(entries: DataFrame, max_dist: float, block: int = BLOCK) -> np
     return pivots if visited <= 0.5 else None
 
 
-def _place(pivots: np.ndarray, pick):
+def _place(pivots: np.ndarray, pick, wide_over: int | None):
     def run(batches):
         for batch in batches:
             vec = batch.column("vec")
             reach = pick(to_matrix(vec), pivots)
             cells = [np.flatnonzero(r).astype(np.int32) for r in reach]
+            if wide_over is not None:
+                cells = [c if len(c) <= wide_over else np.array([ANYWHERE], dtype=np.int32) for c in cells]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(cells, type=pa.list_(pa.int32()))], names=[*batch.schema.names, "cells"]
             )
@@ -99,12 +102,15 @@ def _place(pivots: np.ndarray, pick):
     return run
 
 
-def _with_cells(df: DataFrame, pivots: np.ndarray | None, pick) -> DataFrame:
-    """Add ``cell``; a row that reaches several cells is repeated."""
+def _with_cells(df: DataFrame, pivots: np.ndarray | None, pick, wide_over: int | None = None) -> DataFrame:
+    """Add ``cell``; a row that reaches several cells is repeated.
+
+    One that reaches more than ``wide_over`` cells gets the single cell ``ANYWHERE`` instead.
+    """
     if pivots is None or len(pivots) < 2:
         return df.withColumn("cell", F.lit(0))
     fields = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-    placed = df.mapInArrow(_place(pivots, pick), f"{fields}, cells array<int>")
+    placed = df.mapInArrow(_place(pivots, pick, wide_over), f"{fields}, cells array<int>")
     return placed.withColumn("cell", F.explode("cells")).drop("cells")
 
 
@@ -136,8 +142,14 @@ def place_entries(entries: DataFrame, pivots: np.ndarray | None) -> DataFrame:
     return _with_cells(entries, pivots, nearest_cell)
 
 
-def place_queries(queries: DataFrame, pivots: np.ndarray | None, pick) -> DataFrame:
-    return _with_cells(queries, pivots, pick)
+def place_queries(queries: DataFrame, pivots: np.ndarray | None, pick, wide_over: int | None = None) -> DataFrame:
+    return _with_cells(queries, pivots, pick, wide_over)
+
+
+def blocks_of(n: int, block: int) -> int:
+    """Blocks that hold ``n`` entries. A query that reaches more cells than this is cheaper to
+    compare with all blocks."""
+    return max(1, math.ceil(n / block))
 
 
 # blocked search ------------------------------------------------------------------------------
@@ -196,15 +208,18 @@ def _search(max_dist: float, earlier: bool, records: bool):
 
 def blocked_search(
     queries: DataFrame, entries: DataFrame, max_dist: float, earlier: bool = False, records: bool = False,
-    block: int = BLOCK,
+    block: int = BLOCK, anywhere: bool = False,
 ) -> DataFrame:
     """Matches of placed queries (grp, cell, id, ms, vec) among placed entries: qid, dist, ms, id.
 
     One row per query: its nearest entry within ``max_dist``, the earliest among equals. With
     ``earlier`` only entries before the query count. With ``records`` a query gets one row for
-    every entry, in time order, that is nearer than all before it.
+    every entry, in time order, that is nearer than all before it. ``anywhere`` serves queries in
+    the cell ``ANYWHERE``.
     """
     key = ["grp", "cell"]
+    if anywhere:
+        entries = entries.unionByName(entries.withColumn("cell", F.lit(ANYWHERE)))
     blocks = lambda n: F.ceil(F.col(n) / F.lit(block)).cast("int")
     sizes = (
         queries.groupBy(*key).agg(F.count("*").alias("nq"))
@@ -247,10 +262,13 @@ def nearest(
     """Exact search: place both sides by pivots chosen for the data, then search block by block."""
     if isinstance(pivots, str):
         pivots = choose_pivots(entries, max_dist, block)
-    return blocked_search(
-        place_queries(queries, pivots, reachable_cells(max_dist)), place_entries(entries, pivots),
-        max_dist, earlier, records, block,
-    )
+    if pivots is None:
+        return blocked_search(
+            place_queries(queries, None, None), place_entries(entries, None), max_dist, earlier, records, block
+        )
+    wide = blocks_of(entries.count(), block)
+    placed = place_queries(queries, pivots, reachable_cells(max_dist), wide)
+    return blocked_search(placed, place_entries(entries, pivots), max_dist, earlier, records, block, anywhere=True)
 
 
 # lookups -------------------------------------------------------------------------------------

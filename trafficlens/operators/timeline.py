@@ -7,6 +7,8 @@ task. Time is cut into cells; rows are first reduced to one per (key, millisecon
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.times import millis
@@ -20,6 +22,15 @@ def cell_of(ms: Column, cell_ms: int) -> Column:
     return F.floor(ms / F.lit(cell_ms)).cast("bigint")
 
 
+def runs(keys: list) -> Iterator[tuple[int, int]]:
+    """Stretches of equal neighbours."""
+    start = 0
+    for i in range(1, len(keys) + 1):
+        if i == len(keys) or keys[i] != keys[start]:
+            yield start, i
+            start = i
+
+
 def hot_keys(rows: DataFrame, key: str, more_than: int = HOT_KEY_ROWS) -> DataFrame:
     """Keys with more rows than one task should sort; few by nature, at most rows / ``more_than``."""
     sizes = rows.groupBy(key).agg(F.count("*").alias("_n"))
