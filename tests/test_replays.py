@@ -167,6 +167,23 @@ def test_exact_cache_edges(spark):
     assert [g[0] for g in got.values()] == ["none", "exact"] and sum(g[1] for g in got.values()) == 1
 
 
+@pytest.mark.parametrize("hot", [0, 10**6])
+def test_delayed_cache_equals_loop(spark, hot):
+    rows = random_rows(9)
+    delay = lambda i: (i * 7919) % 30 * 1000
+    df = frame(spark, rows).withColumn("delay", (F.col("id") * 7919) % 30 * 1000)
+    got = exact_cache.replay_exact_cache_delayed(df, "delay", 20, key="key", fillable="fillable", hot_rows=hot)
+    sets, want = {}, {}
+    for i, key, ms, fillable in sorted(rows, key=lambda x: (x[2], x[0])):
+        mine = sets.setdefault(key, [])
+        hit = any(v < ms < v + 20_000 for v in mine)
+        want[i] = ("exact" if hit else "none", fillable and not hit)
+        if fillable and not hit:
+            mine.append(ms + delay(i))
+    assert {r.id: (r.cache_hit, r.is_fill) for r in got.collect()} == want
+    assert len(set(want.values())) == 3
+
+
 def test_sliding_counts_equal_loop(spark):
     rows = random_rows(6)
     for seconds, cell in ((10, 60_000), (100, 1_000), (60, 60_000)):

@@ -10,6 +10,7 @@ hot hash over its cells; a cell has at most one fill.
 
 from __future__ import annotations
 
+import heapq
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import settings as S
 from ..functions.times import millis
-from .timeline import CELL_MS, HOT_KEY_ROWS, cell_of, hot_keys, runs
+from .timeline import CELL_MS, HOT_KEY_ROWS, asof_last, cell_of, hot_keys, runs
 
 
 class _Chain:
@@ -174,3 +175,94 @@ def replay_exact_cache(
         "is_fill",
         "fill_id",
     )
+
+
+def _delayed_sets(ttl_ms: int, packed: bool):
+    """Times at which answers become visible, among requests sorted by (key, ms)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, visible, pending = None, None, []
+        for batch in batches:
+            keys, ms, delay = batch.column("key").to_pylist(), batch.column("ms"), batch.column("delay")
+            if packed:
+                ends = np.cumsum(ms.value_lengths().to_numpy()).tolist()
+                stretches = zip(range(len(ends)), [0, *ends], ends)
+                times, delays = ms.flatten().to_pylist(), delay.flatten().to_pylist()
+            else:
+                stretches = ((s, s, e) for s, e in runs(keys))
+                times, delays = ms.to_pylist(), delay.to_pylist()
+            rows, sets = [], []
+            for row, start, end in stretches:
+                if keys[row] != current:
+                    current, visible, pending = keys[row], None, []
+                i = start
+                while i < end:
+                    now = times[i]
+                    while pending and pending[0] < now:
+                        visible = heapq.heappop(pending)
+                    if visible is not None and now - visible < ttl_ms:
+                        # nothing changes until the entry expires or the next answer arrives
+                        change = min(visible + ttl_ms, pending[0] + 1 if pending else visible + ttl_ms)
+                        i = bisect_left(times, change, i + 1, end)
+                        continue
+                    rows.append(row)
+                    sets.append(now + delays[i])
+                    heapq.heappush(pending, now + delays[i])
+                    i += 1
+            if sets:
+                key = batch.column("key").take(pa.array(rows, type=pa.int64()))
+                yield pa.RecordBatch.from_arrays([key, pa.array(sets, type=pa.int64())], names=["key", "set_ms"])
+
+    return run
+
+
+def replay_exact_cache_delayed(
+    requests: DataFrame,
+    latency_ms: str,
+    ttl_seconds: int = S.CACHE_TTL_SECONDS,
+    *,
+    key: str = "request_hash",
+    ts: str = "ts",
+    fillable: str | None = None,
+    cell_ms: int = CELL_MS,
+    hot_rows: int = HOT_KEY_ROWS,
+) -> DataFrame:
+    """The replay when an answer is set ``latency_ms`` after its request and visible from then on.
+
+    Requests of the same millisecond do not see it yet. Until then equal requests all go upstream and each of them sets the entry anew. Adds
+    ``cache_hit`` and ``is_fill``.
+    """
+    ttl_ms = ttl_seconds * 1000
+    rows = requests.withColumn("_ms", millis(F.col(ts)))
+    can_fill = rows if fillable is None else rows.filter(F.col(fillable))
+    points = can_fill.filter(F.col(key).isNotNull()).select(
+        F.col(key).alias("key"), F.col("_ms").alias("ms"), F.col(latency_ms).cast("bigint").alias("delay")
+    )
+    out = f"key {points.schema['key'].dataType.simpleString()}, set_ms bigint"
+    hot = hot_keys(points, "key", hot_rows)
+    sets = (
+        points.join(hot, "key", "left_anti")
+        .repartition("key")
+        .sortWithinPartitions("key", "ms", "delay")
+        .mapInArrow(_delayed_sets(ttl_ms, False), out)
+    )
+    if not hot.isEmpty():
+        packed = (
+            points.join(hot, "key", "left_semi")
+            .withColumn("cell", cell_of(F.col("ms"), cell_ms))
+            # requests of one time and latency set the same entry
+            .distinct()
+            .groupBy("key", "cell")
+            .agg(F.array_sort(F.collect_list(F.struct("ms", "delay"))).alias("p"))
+            .select("key", "cell", F.col("p.ms").alias("ms"), F.col("p.delay").alias("delay"))
+            .repartition("key")
+            .sortWithinPartitions("key", "cell")
+        )
+        sets = sets.unionByName(packed.mapInArrow(_delayed_sets(ttl_ms, True), out))
+    before = rows.withColumn("_before", F.col("_ms") - 1)
+    found = asof_last(before, sets.withColumnRenamed("key", key), key, "_before", "set_ms", cell_ms)
+    alive = F.coalesce(F.col("_ms") - F.col("set_ms") < F.lit(ttl_ms), F.lit(False))
+    can = F.lit(True) if fillable is None else F.col(fillable)
+    return found.select(
+        *requests.columns, F.when(alive, "exact").otherwise("none").alias("cache_hit"), (~alive & can).alias("is_fill")
+    )

@@ -135,6 +135,32 @@ add(
 )
 
 
+DELAY = "e.k*60000"
+
+
+def _delayed(s, d):
+    rows = flat(s, d).withColumn("delay", F.col("k") * 60_000)
+    out = exact_cache.replay_exact_cache_delayed(rows, "delay", 7200, key="event_type", fillable="fillable")
+    return out.select("id", "cache_hit", "is_fill")
+
+
+add(
+    "exact_cache_delayed", _delayed,
+    f"""with recursive r as (
+      select e.id, e.event_type as key, {MS.format(c='e.ts')} as ms, e.fillable as f, {DELAY} as delay,
+        row_number() over (partition by e.event_type order by {MS.format(c='e.ts')}, e.id) as rn from requests_flat e),
+    s as (
+      select key, rn, id, f as is_fill, false as hit, case when f then [ms + delay] else cast([] as bigint[]) end as sets
+      from r where rn=1
+      union all
+      select key, rn, id, f and not hit, hit, case when f and not hit then list_append(live, ms + delay) else live end from (
+        select r.key, r.rn, r.id, r.f, r.ms, r.delay, list_filter(s.sets, lambda x: x > r.ms - 7200000) as live,
+          len(list_filter(s.sets, lambda x: x > r.ms - 7200000 and x < r.ms)) > 0 as hit
+        from s join r on r.key=s.key and r.rn=s.rn+1) a)
+    select id, case when hit then 'exact' else 'none' end as cache_hit, is_fill from s""", "requests_flat",
+)
+
+
 def _by_hash(s, d):
     rows = flat(s, d).join(_hashes(s, d), "id")
     return exact_cache.replay_exact_cache(rows, 86400, fillable="fillable").select(*CACHE_OUT)

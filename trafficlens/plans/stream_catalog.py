@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import settings as S
 from ..operators import usage
 from ..session import scratch_path
-from ..sources import driver_views as dv, tables
+from ..sources import documents, driver_views as dv, schemas, tables
 from ..sources.driver_views import base, view, with_views
 from ..streaming import live, replays
 from . import reports, usage_catalog as uc
@@ -116,6 +116,60 @@ add(
 )
 
 
+def _stored(spark, df, schema, load, name):
+    """Write ``df`` in a table's schema and scan it back."""
+    path = scratch_path(spark, name)
+    df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]).write.parquet(path)
+    return load(spark, path)
+
+
+def _entries(s, d):
+    df = base(s, d, "embeddings").select(
+        F.col("vec_id").alias("id"), F.md5(F.col("vec_id").cast("string")).alias("request_hash"), "embedding",
+        F.lit("").alias("prompt_text"), F.col("label").cast("string").alias("model"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("created_at"),
+    )
+    out = _stored(s, df, schemas.ENTRIES, tables.load_entries, "entries")
+    return out.select("id", "request_hash", "model", "created_at", F.size("embedding").alias("dim"))
+
+
+add(
+    "entries_scan", _entries,
+    """select vec_id as id, md5(cast(vec_id as varchar)) as request_hash, cast(label as varchar) as model,
+      timestamp '2024-01-01 00:00:00' as created_at, cast(len(embedding) as int) as dim from embeddings""",
+)
+
+
+def _responses(s, d):
+    docs = documents.parse_responses(view(s, d, "response_docs"))
+    df = docs.select(
+        F.md5(F.col("id").cast("string")).alias("request_hash"), F.col("response.model").alias("model"),
+        F.lit(None).cast(schemas.MESSAGES).alias("messages"), "response",
+        F.col("response.usage.prompt_tokens").alias("prompt_tokens"),
+        F.col("response.usage.completion_tokens").alias("completion_tokens"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("expires_at"),
+    )
+    out = _stored(s, df, schemas.RESPONSES, tables.load_responses, "responses")
+    return out.select(
+        "request_hash", "model", "prompt_tokens", "completion_tokens", F.size("response.choices").alias("choices"),
+        F.col("response.id").alias("response_id"),
+    )
+
+
+add(
+    "responses_scan", _responses,
+    """select md5(cast(id as varchar)) as request_hash, doc->>'$.model' as model,
+      coalesce(cast(doc->>'$.usage.prompt_tokens' as int),0) as prompt_tokens,
+      coalesce(cast(doc->>'$.usage.completion_tokens' as int),0) as completion_tokens,
+      cast(json_array_length(doc->'$.choices') as int) as choices, doc->>'$.id' as response_id
+    from (select id, cast(body as json) as doc from response_docs) x""", "response_docs",
+)
+add(
+    "jobs_scan", lambda s, d: _stored(s, view(s, d, "jobs"), schemas.JOBS, tables.load_jobs, "jobs"),
+    "select id, api_key_id, kind, status, input, result, error, created_at, started_at, finished_at from jobs", "jobs",
+)
+
+
 def _rollup(s, d):
     path = scratch_path(s, "rollup")
     rows = uc.u(s, d)

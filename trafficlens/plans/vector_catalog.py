@@ -70,9 +70,8 @@ add(
 
 
 def _responses(s, d):
-    """A response per entry whose number is not a multiple of 4, keyed by its hash."""
-    e = base(s, d, "embeddings").filter(F.col("vec_id") % 4 != 0)
-    return e.select(F.md5(F.col("vec_id").cast("string")).alias("request_hash"), F.col("label").alias("response"))
+    """A response per labelled document, keyed by the hash of its number; other entries have none."""
+    return base(s, d, "labels").select(F.md5(F.col("doc_id").cast("string")).alias("request_hash"), F.col("quality").alias("response"))
 
 
 def _attached(s, d):
@@ -86,8 +85,8 @@ add(
     f"""with {QUERY_SQL},
     p as (select q.id as qid, v.id as eid, {cosine('q.vec', 'v.vec')} as dist from q join v on v.grp=q.grp),
     b as (select qid, arg_min(eid, (dist, eid)) as eid from p where dist<=0.75 group by 1)
-    select md5(cast(b.eid as varchar)) as request_hash, b.qid as id, e.label as response
-    from b join embeddings e on e.vec_id=b.eid where b.eid%4<>0""",
+    select md5(cast(b.eid as varchar)) as request_hash, b.qid as id, l.quality as response
+    from b join labels l on l.doc_id=b.eid""",
 )
 add(
     "semantic_lookup_ivf_recall",
