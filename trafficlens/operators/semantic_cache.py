@@ -19,7 +19,7 @@ from . import similarity as sim
 from .exact_cache import replay_exact_cache
 from .ratelimit import replay_rate_limit
 
-SMALL_GROUP = 4096  # a group of at most this many distinct prompts is decided in one task
+SMALL_GROUP = 8192  # a group of at most this many distinct prompts is decided in one task
 FIRST_BATCH = 1024  # undecided prompts per cell that are examined in the first round, at most
 
 
@@ -193,6 +193,7 @@ def replay_funnel(
     if prompts is None:
         plain, labelled = admitted, None
     else:
+        prompts = keep(prompts.select("model", "prompt", "vec"), "prompts")
         has_vector = prompts.select("model", "prompt")
         known = admitted.filter(F.col("prompt").isNotNull())
         plain = admitted.join(has_vector, ["model", "prompt"], "left_anti").select(*slim)

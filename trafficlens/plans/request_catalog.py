@@ -89,11 +89,16 @@ add(
 
 
 def _hashes(s, d):
-    r = requests(s, d)
+    """The hash of every request. Equal documents are hashed once, so no request row carries its messages."""
+    flat = view(s, d, "requests_flat")
     null_int, null_double = F.lit(None).cast("int"), F.lit(None).cast("double")
-    return r.select(
-        "id", M.request_hash(F.col("model"), F.col("messages"), F.col("temperature"), null_double, null_int).alias("request_hash")
+    docs = flat.select("conv_id", "model", "temperature").distinct().join(conversation_messages(s, d), "conv_id")
+    hashed = docs.select(
+        F.col("conv_id").alias("c"), F.col("model").alias("m"), F.col("temperature").alias("t"),
+        M.request_hash(F.col("model"), F.col("messages"), F.col("temperature"), null_double, null_int).alias("request_hash"),
     )
+    same = (F.col("conv_id") == F.col("c")) & (F.col("model") == F.col("m")) & F.col("temperature").eqNullSafe(F.col("t"))
+    return flat.join(hashed, same).select("id", "request_hash")
 
 
 add(
