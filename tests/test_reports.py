@@ -1,5 +1,6 @@
 """Edge cases of the reports, sources and paging."""
 
+import math
 from datetime import datetime
 
 import pytest
@@ -54,6 +55,21 @@ def test_percentiles_interpolate_and_truncate(spark):
     assert tuple(usage.latency_hourly(u, NOW).head())[1:] == (25, 39, 40)
 
 
+def test_approximate_percentiles_are_order_statistics(spark, sf):
+    from trafficlens.sources.driver_views import view
+
+    u = view(spark, sf, "usage_logs")
+    values = {}
+    for r in u.filter("status = 'success'").select(F.date_trunc("hour", "created_at").cast("timestamp_ntz").alias("t"), "latency_ms").collect():
+        values.setdefault(r.t, []).append(r.latency_ms)
+    got = usage.latency_hourly_approx(u, NOW, hours=24 * 31).collect()
+    assert len(got) == len(values)
+    for r in got:
+        v = sorted(values[r.t])
+        for q, x in ((0.5, r.p50), (0.95, r.p95), (0.99, r.p99)):
+            assert x == v[math.ceil(q * len(v)) - 1]
+
+
 def test_unused_keys_stay(spark):
     k = spark.createDataFrame([(1, "a", "p1"), (2, "b", "p2"), (3, "c", "p3")], "id bigint, name string, key_prefix string")
     u = log(spark, row("2024-01-30 10:00:00", key=2), row("2024-01-01 00:00:00", key=3))

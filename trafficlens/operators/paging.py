@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import settings as S
 from ..functions.times import bucket, ts_lit
+from .filters import job_rows, maybe_eq, usage_rows
 
 SHALLOW = 10_000
 
@@ -75,6 +76,20 @@ def newest_page_after(
     return df.orderBy(F.desc(ts), F.desc(id_)).limit(limit)
 
 
+def usage_page(usage: DataFrame, limit: int = S.PAGE_DEFAULT, offset: int = 0) -> DataFrame:
+    """One page of usage rows, shaped for output."""
+    return usage_rows(newest_page(usage, limit, offset))
+
+
+def usage_page_after(usage: DataFrame, cursor: tuple | None = None, limit: int = S.PAGE_DEFAULT) -> DataFrame:
+    return usage_rows(newest_page_after(usage, cursor, limit))
+
+
+def jobs_page(jobs: DataFrame, status: str | None = None, limit: int = S.PAGE_DEFAULT, offset: int = 0) -> DataFrame:
+    """One page of jobs, optionally of one state."""
+    return job_rows(newest_page(maybe_eq(jobs, "status", status), limit, offset))
+
+
 def page_info(totals: DataFrame, limit: int = S.PAGE_DEFAULT, page: int = 0) -> DataFrame:
     """Total, page number and whether there is a page before and after (pages count from 0)."""
     return totals.select(

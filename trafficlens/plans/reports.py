@@ -111,7 +111,7 @@ def usage_explorer(
     rows = filters.maybe_eq(filters.between_ts(usage, from_, to, as_of), "api_key_id", api_key_id)
     return {
         "summary": usage_ops.usage_rollup(rows),
-        "rows": filters.usage_rows(paging.newest_page(rows, limit, offset)),
+        "rows": paging.usage_page(rows, limit, offset),
     }
 
 
@@ -122,6 +122,6 @@ def jobs_report(
     rows = filters.maybe_eq(jobs, "status", status)
     return {
         "total": usage_ops.filtered_count(rows),
-        "rows": filters.job_rows(paging.newest_page(rows, limit, offset)),
+        "rows": paging.jobs_page(rows, None, limit, offset),
         "summary": job_ops.job_summary(rows),
     }

@@ -311,8 +311,8 @@ def with_cost(s, d):
 # pages ---------------------------------------------------------------------------------------
 PAGE = "id, created_at"
 add(
-    "usage_page", lambda s, d: paging.newest_page(u(s, d)).select("id", "created_at"),
-    f"select {PAGE} from {U} order by created_at desc, id desc limit 50", U,
+    "usage_page", lambda s, d: paging.usage_page(u(s, d)).select("id", "created_at"),
+    f"select id, {ISO.format(c='created_at')} as created_at from (select * from {U} order by created_at desc, id desc limit 50) x", U,
 )
 add(
     "usage_page_deep",
@@ -321,13 +321,14 @@ add(
 )
 add(
     "usage_page_after",
-    lambda s, d: paging.newest_page_after(u(s, d), ("2024-01-20 00:00:00", 0), 500).select("id", "created_at"),
-    f"""select {PAGE} from {U} where created_at < timestamp '2024-01-20 00:00:00'
-        order by created_at desc, id desc limit 500""", U,
+    lambda s, d: paging.usage_page_after(u(s, d), ("2024-01-20 00:00:00", 0), 500).select("id", "created_at"),
+    f"""select id, {ISO.format(c='created_at')} as created_at from (
+        select * from {U} where created_at < timestamp '2024-01-20 00:00:00'
+        order by created_at desc, id desc limit 500) x""", U,
 )
 add(
     "jobs_page",
-    lambda s, d: filters.job_rows(paging.newest_page(filters.maybe_eq(view(s, d, J), "status", "failed"), 50, 100)),
+    lambda s, d: paging.jobs_page(view(s, d, J), "failed", 50, 100),
     f"""select cast(id as varchar) as id, cast(api_key_id as varchar) as api_key_id, kind, status, input, error, """
     + ", ".join(f"{ISO.format(c=c)} as {c}" for c in ("created_at", "started_at", "finished_at"))
     + f" from (select * from {J} where status='failed' order by created_at desc, id desc limit 50 offset 100) x", J,
