@@ -59,7 +59,8 @@ def decisions(df):
 def test_rate_limit_equals_loop(spark, seed, cell, hot):
     rows = random_rows(seed)
     got = ratelimit.replay_rate_limit(
-        frame(spark, rows), key="key", short_seconds=10, long_seconds=100, per_short=3, per_long=12, cell_ms=cell, hot_rows=hot
+        frame(spark, rows), key="key", short_seconds=10, long_seconds=100, per_short=3, per_long=12, cell_ms=cell, hot_rows=hot,
+        few_stretches=10**6 if seed % 2 else 0,
     )
     assert decisions(got) == limiter(rows, lambda k: (3, 12), 10_000, 100_000)
 

@@ -31,6 +31,7 @@ from ..session import keep
 from .timeline import CELL_MS, HOT_KEY_ROWS, cell_of, runs, with_islands
 
 OK, SHORT, LONG = 0, 1, 2
+FEW_STRETCHES = 200_000  # busy stretches that are small enough to look up in place of a shuffle
 
 
 class _Gate:
@@ -248,6 +249,7 @@ def replay_rate_limit(
     earlier_slots: DataFrame | None = None,
     cell_ms: int = CELL_MS,
     hot_rows: int = HOT_KEY_ROWS,
+    few_stretches: int = FEW_STRETCHES,
 ) -> DataFrame:
     """Add ``decision`` (ok, short or long), ``retry_after`` seconds and ``detail`` to each request.
 
@@ -308,11 +310,24 @@ def replay_rate_limit(
     turned_away = F.col("reason").isNotNull() & (F.col("_rank") > F.col("accepted"))
     is_short = F.col("reason") == SHORT
     unit = F.when(is_short, _unit(short_seconds)).otherwise(_unit(long_seconds))
-    return rows.withColumn("_rank", rank).join(rejected, [key, "_ms"], "left").select(
-        *requests.columns,
+    decision = [
         F.when(~turned_away, "ok").when(is_short, "short").otherwise("long").alias("decision"),
         F.when(turned_away, F.when(is_short, short_seconds).otherwise(long_seconds)).alias("retry_after"),
         F.when(
             turned_away, F.concat(F.lit("rate limit exceeded: "), F.col("_limit").cast("string"), F.lit("/"), unit)
         ).alias("detail"),
+    ]
+
+    def decide(part: DataFrame) -> DataFrame:
+        return part.withColumn("_rank", rank).join(rejected, [key, "_ms"], "left").select(*requests.columns, *decision)
+
+    if busy.count() > few_stretches:
+        return decide(rows)
+    # Few stretches are looked up where the rows are; rows outside of them need no shuffle at all.
+    rows = rows.withColumn("_big", cell_of(F.col("_ms"), max(short_ms, long_ms)))
+    where = busy.select(F.col("key").alias(key), F.col("big").alias("_big"))
+    quiet = rows.join(where, [key, "_big"], "left_anti").select(
+        *requests.columns, F.lit("ok").alias("decision"), F.lit(None).cast("int").alias("retry_after"),
+        F.lit(None).cast("string").alias("detail"),
     )
+    return quiet.unionByName(decide(rows.join(where, [key, "_big"], "left_semi")))
