@@ -4,9 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-
-from . import language, mixing, packing, quality, secrets_scan
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from . import (
+    fingerprint,
+    language,
+    mixing,
+    near_dedup,
+    neighbours,
+    packing,
+    quality,
+    secrets_scan,
+    suffix_dedup,
+    window_dedup,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +29,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language.identify(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
@@ -27,6 +42,24 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_dedup.strike_repeats(table(spark, sf_dir, "documents"))
+
+
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    return found.select("doc_id", "n_shingles", "component_id", kept)
+
+
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -36,7 +69,88 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op3_language, op4_quality, op9_packing, op10_secrets)
+    f.__name__: f
+    for f in (
+        op1_mixing,
+        op2_suffix_dedup,
+        op3_language,
+        op4_quality,
+        op5_window_dedup,
+        op6_fingerprint,
+        op7_near_dedup,
+        op8_neighbours,
+        op9_packing,
+        op10_secrets,
+    )
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
+
+#: Words, sources in order, targets by raising the level until no source is above its top, and the
+#: integers crossed along each source by size.
+_MIXING = rf"""
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source, CAST(len({_WORDS.format(text="coalesce(text, '')")}) AS BIGINT) AS size FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 2.0 * sum(size)::DOUBLE AS top,
+    list_value(3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE)[1 + CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT)] AS weight
+  FROM sized GROUP BY source),
+total AS (SELECT 1.5 * sum(source_size)::DOUBLE AS share FROM sources),
+levels AS (
+  SELECT 0 AS round, 0.0::DOUBLE AS level
+  UNION ALL
+  SELECT round + 1, next FROM (
+    SELECT l.round, l.level,
+      (SELECT (t.share - coalesce(sum(CASE WHEN weight * l.level >= top THEN top END), 0))
+        / sum(CASE WHEN weight * l.level >= top THEN NULL ELSE weight END) FROM sources, total t) AS next
+    FROM levels l) WHERE next > level),
+final AS (SELECT max(level) AS level FROM levels),
+targets AS (SELECT source, source_size, least(weight * level, top) AS target FROM sources, final),
+rates AS (
+  SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
+    CASE WHEN t.source_size > 0 THEN CAST(round(t.target / t.source_size * 1000000000) AS BIGINT) ELSE 0 END AS expected,
+    CAST('0x' || substr(md5('mix' || coalesce(d.source, '')), 1, 8) AS BIGINT) % 1000000000 AS shift
+  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+summed AS (
+  SELECT *, shift + coalesce(sum(expected) OVER (PARTITION BY source ORDER BY size, md5(doc_id::VARCHAR), doc_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM rates)
+SELECT doc_id, size, source_size, target,
+  CAST(((before + expected) // 1000000000 - before // 1000000000) * size AS BIGINT) AS taken,
+  CAST((before + expected) // 1000000000 - before // 1000000000 AS BIGINT) AS copies
+FROM summed"""
+
+_WINDOWS = rf"""
+WITH texts AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS ws FROM documents),
+words AS (SELECT doc_id, ws, unnest(generate_series(1, len(ws)::BIGINT)) AS i FROM texts),
+starts AS (
+  SELECT doc_id, i, ws[i] AS word, CASE WHEN i + 34 <= len(ws) THEN md5(array_to_string(ws[i:i + 34], ' ')) END AS w FROM words),
+counted AS (SELECT *, w IS NOT NULL AND count(*) OVER (PARTITION BY w) > 1 AS again FROM starts),
+marked AS (
+  SELECT *, coalesce(bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), false) AS gone
+  FROM counted)
+SELECT t.doc_id, CAST(len(t.ws) AS BIGINT) AS n_words, CAST(coalesce(m.n_removed, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(m.kept, '')) AS kept_sha256
+FROM texts t LEFT JOIN (
+  SELECT doc_id, sum(gone::INT) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM marked GROUP BY doc_id) m
+USING (doc_id)"""
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_NEAR = rf"""
+WITH RECURSIVE texts AS (SELECT doc_id, {_WORDS.format(text=_LOWER)} AS ws FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 4], ' ') END AS s
+  FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 4, 1)::BIGINT)) AS i FROM texts WHERE len(ws) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+both AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM both JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * both.n >= 85 * (a.n + b.n - both.n)),
+reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM texts
+  UNION
+  SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+least AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM least LEFT JOIN sizes USING (doc_id)"""
+
+ORACLES: dict[str, str] = {"op1_mixing": _MIXING, "op5_window_dedup": _WINDOWS, "op7_near_dedup": _NEAR}

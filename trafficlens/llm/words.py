@@ -91,7 +91,11 @@ class Words:
     def hash(self, lane: int = 0) -> np.ndarray:
         if lane not in self._hash:
             base = BASES[lane]
-            h = stretch_hash(prefix_hash(self.data, base), self.begin, self.end, base)
+            h = np.zeros(len(self), U)
+            for i, j in runs(np.append(self.begin, len(self.data)), 1 << 20):
+                lo, hi = self.begin[i], self.end[j - 1]
+                prefix = prefix_hash(self.data[lo:hi], base)
+                h[i:j] = stretch_hash(prefix, self.begin[i:j] - lo, self.end[i:j] - lo, base)
             self._hash[lane] = mixed(h + (self.end - self.begin).astype(U) * U(0xA0761D6478BD642F))
         return self._hash[lane]
 
