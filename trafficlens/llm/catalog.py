@@ -101,7 +101,7 @@ levels AS (
   UNION ALL
   SELECT round + 1, next FROM (
     SELECT l.round, l.level,
-      (SELECT (t.share - coalesce(sum(CASE WHEN weight * l.level >= top THEN top END), 0))
+      (SELECT (any_value(t.share) - coalesce(sum(CASE WHEN weight * l.level >= top THEN top END), 0))
         / sum(CASE WHEN weight * l.level >= top THEN NULL ELSE weight END) FROM sources, total t) AS next
     FROM levels l) WHERE next > level),
 final AS (SELECT max(level) AS level FROM levels),
@@ -141,10 +141,10 @@ shingles AS (
   SELECT DISTINCT doc_id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 4], ' ') END AS s
   FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 4, 1)::BIGINT)) AS i FROM texts WHERE len(ws) > 0)),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
-both AS (
+pairs AS (
   SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 links AS (
-  SELECT x, y FROM both JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * both.n >= 85 * (a.n + b.n - both.n)),
+  SELECT x, y FROM pairs JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * pairs.n >= 85 * (a.n + b.n - pairs.n)),
 reach AS (
   SELECT doc_id AS x, doc_id AS y FROM texts
   UNION
