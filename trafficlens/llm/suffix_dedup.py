@@ -132,13 +132,15 @@ def _to_sort(state: np.ndarray) -> np.ndarray:
 
 
 def _strings(block: Block, state: np.ndarray, example: np.ndarray, length: int):
-    """Of crowded anchors: the strings of each context sent: (entry, start, key, second, repeated)."""
+    """Of crowded anchors: the strings of the contexts sent, once each: (start, key, second, repeated)."""
     e = np.flatnonzero((state & SENDER > 0) & (state & CROWDED > 0))
     before = np.arange(block.spread + 1)
     start = block.place[example[e]][:, None] - before
     inside = (start >= block.first[example[e]][:, None]) & (start + length <= block.last[example[e]][:, None])
     row, col = np.nonzero(inside)
-    start, entry = start[row, col], e[row]
+    # a string may hold several anchors, so it is in several contexts
+    start, at = np.unique(start[row, col], return_inverse=True)
+    known = np.bincount(at, state[e[row]] & REPEATED > 0, minlength=len(start)) > 0
     out = []
     for base in BASES:
         h = np.zeros(len(start), U)
@@ -148,7 +150,7 @@ def _strings(block: Block, state: np.ndarray, example: np.ndarray, length: int):
             prefix = prefix_hash(block.data[a : s.max() + length], base)
             h[lo : lo + STEP] = mixed(stretch_hash(prefix, s - a, s - a + length, base))
         out.append(h)
-    return entry, start, out[0], (out[1] >> U(32)).astype(np.uint32), state[entry] & REPEATED > 0
+    return start, out[0], (out[1] >> U(32)).astype(np.uint32), known
 
 
 def _contexts(length: int, gram: int, segments: int):
@@ -170,7 +172,7 @@ def _contexts(length: int, gram: int, segments: int):
                 known=state[e[part]] & REPEATED > 0, text=text,
             )
             rows.append((s, b, CONTEXTS, data))
-        _, _, first, second, known = _strings(block, state, example, length)
+        _, first, second, known = _strings(block, state, example, length)
         keys, seconds, count, at = B.distinct(first, second)
         more = (np.bincount(at, 1.0 + known, minlength=len(keys)) > 1) if len(keys) else np.zeros(0, bool)
         for s, part in B.cuts(B.segment_of(keys, segments), segments):
@@ -352,7 +354,7 @@ def _removed(block: Block, replies: pa.Table, length: int) -> np.ndarray:
         place = block.place[example[e[hit]]]
         np.add.at(cover, place - most[hit], 1)
         np.add.at(cover, place - least[hit] + length, -1)
-    _, start, first, second, _ = _strings(block, state, example, length)
+    start, first, second, _ = _strings(block, state, example, length)
     if len(start):
         _, _, _, at = B.distinct(first, second)
         hit = np.concatenate([m["bits"] for _, _, m in B.read(replies, TWICE)])[at]
