@@ -85,7 +85,7 @@ def test_credentials(spark):
     assert one(spark, C.key_prefix(F.lit(""))) is None
     assert one(spark, C.key_prefix(F.lit(tag + "abcdefghij"))) == tag + "abcdef"
     for header, token, state in [
-        ("Bearer  x ", "x", "token"), ("bearer abc", "abc", "token"), ("Basic abc", None, "invalid_scheme"),
+        ("Bearer  x ", "x", "token"), ("Bearer \t x\u00a0\n", "x", "token"), ("bearer abc", "abc", "token"), ("Basic abc", None, "invalid_scheme"),
         ("Bearer", None, "invalid_scheme"), ("", None, "missing"),
     ]:
         assert one(spark, C.bearer_token(F.lit(header))) == token
@@ -96,6 +96,10 @@ def test_credentials(spark):
 def test_limits_from_overrides(spark):
     get = lambda o: one(spark, C.limit_of(F.lit(o).cast("string"), "per_minute", 60))
     assert [get(o) for o in (None, "{}", '{"per_day":3}', '{"per_minute":0}', '{"per_minute":7}')] == [60, 60, 60, 0, 7]
+    odd = ['{"per_minute":2.5}', '{"per_minute":true}', '{"per_minute":"x"}', '{"per_minute":-0.5}', '{"per_minute":null}', "broken"]
+    assert [get(o) for o in odd] == [2, 1, 60, 0, 60, 60]
+    problem = lambda o: one(spark, C.limit_problem(F.lit(o), "per_minute"))
+    assert [problem(o) for o in odd] == [None, None, "x", None, None, None]
 
 
 def test_backoff(spark):
@@ -112,6 +116,9 @@ def test_error_classes(spark):
     assert cls("openai", "RateLimitError") == "rate_limit"
     assert cls("gemini", "DeadlineExceeded") == "timeout"
     assert cls("gemini", "RateLimitError") == "other"
+    assert cls("openai", "InternalServerError") == "server"
+    assert cls("gemini", "ServiceUnavailable") == "server"
+    assert cls("anything", "ProviderBadRequestError") == "bad_request"
     assert cls("anthropic", "ProviderDisabledError") == "disabled"
     how = lambda c: one(spark, errors.error_handling(F.lit(c)))
     assert [how(c) for c in ("timeout", "auth", "other")] == ["retryable", "fatal", "next_provider"]
@@ -139,6 +146,9 @@ def test_display(spark):
 def test_vectors(spark):
     a, b = F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(1.0), F.lit(1.0))
     assert abs(one(spark, V.cosine_distance(a, b)) - (1 - 2**-0.5)) < 1e-12
+    zero, long = F.array(F.lit(0.0), F.lit(0.0)), F.array(F.lit(1.0), F.lit(1.0), F.lit(1.0))
+    assert one(spark, V.cosine_distance(a, zero)) is None
+    assert one(spark, V.cosine_distance(a, long)) is None
     assert one(spark, V.unit(F.array(F.lit(0.0), F.lit(0.0)))) is None
 
 

@@ -21,4 +21,5 @@ def unit(a: Column) -> Column:
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
-    return F.lit(1.0) - dot(a, b) / (norm(a) * norm(b))
+    """1 - cosine; null (a miss) for zero vectors and for vectors of different length."""
+    return F.lit(1.0) - F.try_divide(dot(a, b), norm(a) * norm(b))

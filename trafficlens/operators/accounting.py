@@ -10,7 +10,7 @@ from ..functions.numbers import estimate_cost
 def with_cost(df: DataFrame, pricing: DataFrame, out: str = "cost_usd") -> DataFrame:
     """Add the cost of the row's tokens; models without a price cost 0.
 
-    The price list joins by its size: a literal list is broadcast, a large one is shuffled.
+    The price list joins by its size: literal rows (``pricing_df``) are broadcast, a large table is shuffled.
     """
     cost = estimate_cost(
         F.col("prompt_tokens"), F.col("completion_tokens"), F.col("prompt_per_1k"), F.col("completion_per_1k")

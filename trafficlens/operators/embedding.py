@@ -86,26 +86,20 @@ def embed_prompts(
     return distinct.withColumn("vec", vec).filter(F.exists("vec", lambda x: x != 0))
 
 
-def _embed_chunks(factory: EmbedderFactory, sizes: dict[str, int]):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        embedder = factory()
-        for pdf in frames:
-            vectors, errors = [None] * len(pdf), [None] * len(pdf)
-            # a call never mixes jobs, so a failing text can only fail its own job
-            for _, at in pdf.groupby("job_id", sort=False).indices.items():
-                provider, model = pdf["provider"].iat[at[0]], pdf["model"].iat[at[0]]
-                size = sizes.get(provider, min(sizes.values()))
-                for start in range(0, len(at), size):
-                    part = at[start : start + size]
-                    try:
-                        for i, v in zip(part, embedder([pdf["text"].iat[i] for i in part], model)):
-                            vectors[i] = v
-                    except Exception as e:  # whatever the embedder raises fails the job
-                        for i in part:
-                            errors[i] = str(e) or type(e).__name__
-            yield pd.DataFrame(
-                {"job_id": pdf["job_id"], "pos": pdf["pos"], "vec": vectors, "error": errors}
-            )
+def _embed_chunk(factory: EmbedderFactory):
+    """One call: the texts of one chunk of one job, in order."""
+    made = []
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if not made:
+            made.append(factory())  # once per task
+        pdf = pdf.sort_values("pos")
+        vectors, error = [None] * len(pdf), None
+        try:
+            vectors = list(made[0](pdf["text"].tolist(), pdf["model"].iat[0]))
+        except Exception as e:  # whatever the embedder raises fails the job
+            error = str(e) or type(e).__name__
+        return pd.DataFrame({"job_id": pdf["job_id"], "pos": pdf["pos"], "vec": vectors, "error": error})
 
     return run
 
@@ -116,19 +110,24 @@ def run_embedding_jobs(
     """Run batch embedding jobs: (result per job, vectors).
 
     ``jobs``: job_id, provider, model. ``inputs``: job_id, pos, text, one row per text, so that a
-    job with very many texts is spread over all tasks and never gathered in one. Any failing call
-    fails the whole job and discards its vectors; the error of the earliest text is kept. The
+    job with very many texts is spread over all tasks and never gathered in one. A call gets the
+    texts of one chunk (``pos`` divided by the provider's chunk size), so calls and errors do not
+    depend on the partitions. Any failing call fails the whole job and discards its vectors; the
+    error of the first failing chunk is kept. A provider without a chunk size has the least. The
     vectors stay in long form, ordered by ``pos`` within the job.
     """
     spark = jobs.sparkSession
+    sizes = sizes or S.CHUNK_SIZES
+    known = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])
+    size = F.coalesce(F.try_element_at(known, F.col("provider")), F.lit(min(sizes.values())))
     work = inputs.join(jobs.select("job_id", "provider", "model"), "job_id").select(
-        "job_id", "pos", "text", "provider", "model"
+        "job_id", "pos", "text", "model", F.floor(F.col("pos") / size).alias("chunk")
     )
     id_type = inputs.schema["job_id"].dataType.simpleString()
     path = scratch_path(spark, "embedded")
     # both results read the vectors, so they are computed once and kept in the shared folder
-    work.mapInPandas(
-        _embed_chunks(factory, sizes or S.CHUNK_SIZES), f"job_id {id_type}, pos int, vec array<float>, error string"
+    work.groupBy("job_id", "chunk").applyInPandas(
+        _embed_chunk(factory), f"job_id {id_type}, pos int, vec array<float>, error string"
     ).write.parquet(path)
     embedded = spark.read.parquet(path)
     outcome = embedded.groupBy("job_id").agg(

@@ -6,15 +6,23 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import settings as S
 from ..functions.numbers import chunk_no
+from ..sources.documents import parsed_once
 
 
 def read_inputs(df: DataFrame, col: str = "input") -> DataFrame:
-    """The JSON ``input`` (a string or a list of strings) as ``texts array<string>``; null if neither."""
-    text = F.trim(F.col(col))
-    as_list = F.when(F.startswith(text, F.lit("[")), text).when(
-        F.startswith(text, F.lit('"')), F.concat(F.lit("["), text, F.lit("]"))
+    """The JSON ``input`` (a string or a list of strings) as ``texts array<string>``; null if neither.
+
+    A list that holds anything but strings is none.
+    """
+    parsed = parsed_once(df, col, "_input")
+    v = F.col("_input")
+    kind = F.schema_of_variant(v)
+    items = F.when(F.startswith(kind, F.lit("ARRAY")), F.try_variant_get(v, "$", "array<variant>"))
+    is_text = lambda x: F.coalesce(F.schema_of_variant(x) == "STRING", F.lit(False))
+    texts = F.when(kind == "STRING", F.array(F.try_variant_get(v, "$", "string"))).when(
+        F.forall(items, is_text), F.transform(items, lambda x: F.try_variant_get(x, "$", "string"))
     )
-    return df.withColumn("texts", F.from_json(as_list, "array<string>", {"mode": "PERMISSIVE"}))
+    return parsed.withColumn("texts", texts).drop("_input")
 
 
 def explode_inputs(

@@ -16,6 +16,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .. import settings as S
@@ -37,9 +38,9 @@ def to_matrix(column) -> np.ndarray:
         column = column.combine_chunks()
     if len(column) == 0:
         return np.zeros((0, 1))
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    if flat.size % len(column):
+    if pc.count_distinct(pc.list_value_length(column), mode="all").as_py() > 1:
         raise ValueError("vectors of different length in one group")
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     m = flat.reshape(len(column), -1)
     length = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(length > 0, length, 1.0)
@@ -55,7 +56,8 @@ def sample_pivots(items: DataFrame, n: int) -> np.ndarray:
     if not rows:
         return np.zeros((0, 1))
     m = np.unique(np.array([r.vec for r in rows], dtype=np.float64), axis=0)
-    return m / np.linalg.norm(m, axis=1, keepdims=True)
+    length = np.linalg.norm(m, axis=1, keepdims=True)
+    return m[length[:, 0] > 0] / length[length > 0][:, None]
 
 
 def cells_within(q: np.ndarray, pivots: np.ndarray, radius: float) -> np.ndarray:
@@ -299,16 +301,17 @@ def _lookup(queries: DataFrame, entries: DataFrame, search) -> DataFrame:
     return queries.join(hits, ["grp", "vec"], "left")
 
 
-def train_lists(entries: DataFrame, lists: int = S.VECTOR_LISTS, seed: int = 7, per_list: int = 50) -> np.ndarray:
-    """Centres of inverted lists: k-means over a fixed-size sample of the unit vectors."""
+def train_lists(entries: DataFrame, lists: int = S.VECTOR_LISTS, seed: int = 7) -> np.ndarray:
+    """Centres of inverted lists: k-means over all distinct unit vectors."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     from ..functions.vectors import unit
 
-    sample = entries.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(lists * per_list)
-    points = sample.select(array_to_vector(unit(F.col("vec"))).alias("features")).filter(F.col("features").isNotNull())
+    distinct = entries.select(unit(F.col("vec")).alias("vec")).filter("vec is not null").distinct()
+    points = distinct.select(array_to_vector("vec").alias("features")).cache()
     model = KMeans(k=lists, seed=seed, maxIter=10, distanceMeasure="cosine").fit(points)
+    points.unpersist()
     centres = np.array(model.clusterCenters())
     return centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
 

@@ -62,6 +62,21 @@ def latency_hourly(usage: DataFrame, as_of, hours: float = 24) -> DataFrame:
     return latency_quantiles(rows, ["t"], {"p50": 0.5, "p95": 0.95, "p99": 0.99}).orderBy("t")
 
 
+def within_rank(rows: DataFrame, approx: DataFrame, by: str, accuracy: int = 10_000) -> DataFrame:
+    """Are approximate p50, p95, p99 of ``latency_ms`` within 1/accuracy of their rank, per group?
+
+    A value has the ranks from the share of rows below it to the share at or below it.
+    """
+    names = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    counts = rows.groupBy(by, "latency_ms").agg(F.count("*").alias("n")).join(approx, by)
+    share = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0)) / F.sum("n")
+    near = [
+        ((share(F.col("latency_ms") < F.col(c)) <= p + 1 / accuracy) & (share(F.col("latency_ms") <= F.col(c)) >= p - 1 / accuracy)).alias(c)
+        for c, p in names.items()
+    ]
+    return counts.groupBy(by).agg(*near)
+
+
 def latency_hourly_approx(usage: DataFrame, as_of, hours: float = 24, accuracy: int = 10_000) -> DataFrame:
     """The same series from mergeable sketches of bounded size (relative error 1/accuracy)."""
     rows = success_only(since(usage, as_of, hours=hours))

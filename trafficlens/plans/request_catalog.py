@@ -8,7 +8,7 @@ from .. import settings as S
 from ..functions import messages as M
 from ..functions.times import iso
 from ..functions.numbers import backoff_seconds
-from ..operators import attempts, filters, inputs, jobs, stores
+from ..operators import attempts, filters, inputs, jobs, keys, stores
 from ..sources import documents
 from ..sources.driver_views import base, view, with_views
 
@@ -59,14 +59,18 @@ def _valid(s, d):
 
 DOC_SQL = """with j as (select id, body, case when json_valid(body) then cast(body as json) end as doc from request_docs),
 p as (select id, body, case when doc is null then 'malformed' when doc->>'$.model' is null then 'model missing'
-    when len(cast(doc->'$.messages' as json[]))>0 and doc->>'$.messages[0].role' not in ('system','user','assistant') then 'bad role' end as problem,
+    when json_type(doc,'$.model')<>'VARCHAR' then 'bad model'
+    when len(cast(doc->'$.messages' as json[]))>0 and doc->>'$.messages[0].role' not in ('system','user','assistant') then 'bad role'
+    when json_array_length(doc->'$.messages')>0 and doc->>'$.messages[0].content' is null then 'content missing'
+    when json_type(doc,'$.messages[0].content')<>'VARCHAR' then 'bad content'
+    when cast(doc->>'$.max_tokens' as double) <> floor(cast(doc->>'$.max_tokens' as double)) then 'bad number' end as problem,
     doc from j)
 """
 add(
     "parse_requests", _valid,
     DOC_SQL + """select id, doc->>'$.model' as model, json_array_length(doc->'$.messages')::bigint as n_messages,
     doc->>'$.messages[0].role' as role, doc->>'$.messages[0].content' as content,
-    cast(doc->>'$.temperature' as double) as temperature, cast(doc->>'$.max_tokens' as int) as max_tokens
+    cast(doc->>'$.temperature' as double) as temperature, cast(cast(doc->>'$.max_tokens' as double) as int) as max_tokens
     from p where problem is null""", "request_docs",
 )
 add(
@@ -80,11 +84,40 @@ add(
       doc->>'$.provider' as response_provider, cache_hit as x_cache_hit,
       coalesce(cast(c->>'$.index' as int),0) as choice_index, c->>'$.message.role' as role,
       c->>'$.message.content' as content, c->>'$.finish_reason' as finish_reason,
+      coalesce(cast(doc->>'$.usage.prompt_tokens' as int),0) as prompt_tokens,
+      coalesce(cast(doc->>'$.usage.completion_tokens' as int),0) as completion_tokens,
       coalesce(cast(doc->>'$.usage.total_tokens' as int),0) as total_tokens
     from (select id, cache_hit, cast(body as json) as doc, unnest(cast(cast(body as json)->'$.choices' as json[])) as c
           from response_docs) x""", "response_docs",
 )
 
+BAD_RESPONSES = """
+select event_id as id, case
+    when event_id%5=0 then '{{"id":"r","model":"m1","provider":"gemini"}}'
+    when event_id%5=1 then '{{"id":7,"model":"m1","provider":"gemini","choices":[]}}'
+    when event_id%5=2 then '{{"id":"r","model":"m1","provider":"gemini","choices":[{{"message":{{"role":"assistant","content":null}}}}]}}'
+    when event_id%5=3 and event_id%2=0 then '[1]'
+    when event_id%5=3 then '{{"id":"r","model":"m1","provider":"gemini","choices":[],"usage":{{"total_tokens":1.5}}}}'
+    else '{{"id":"r","model":"m1","provider":"gemini","choices":[{{"message":{{"role":"assistant","content":"x"}}}}]}}' end as body
+from {events}
+"""
+add(
+    "rejected_responses", lambda s, d: documents.rejected_responses(s.sql(BAD_RESPONSES, events=base(s, d, "events"))),
+    f"""with r as ({BAD_RESPONSES.format(events='events')}), j as (select id, body, cast(body as json) as doc from r)
+    select * from (select id, body, case when json_type(doc)<>'OBJECT' then 'malformed'
+      when json_type(doc,'$.id')<>'VARCHAR' then 'bad field' when json_type(doc,'$.choices') is null then 'choices missing'
+      when json_array_length(doc->'$.choices')>0 and doc->>'$.choices[0].message.content' is null then 'bad message'
+      when json_type(doc,'$.usage.total_tokens')='DOUBLE' then 'bad number' end as problem from j) x where problem is not null""",
+)
+add(
+    "requests_coverage",
+    lambda s, d: view(s, d, "requests_flat").agg(F.countDistinct("conv_id").alias("used")).crossJoin(
+        base(s, d, "conversations").agg(F.countDistinct("conv_id").alias("given"))
+    ),
+    "select (select count(distinct conv_id) from requests_flat) as used, (select count(distinct conv_id) from conversations) as given",
+    "requests_flat",
+)
+
 # message functions ---------------------------------------------------------------------------
 
 
@@ -165,6 +198,7 @@ select event_id as id, case
     when event_id%7=0 then '"one text"'
     when event_id%7=1 then '[]'
     when event_id%7=2 then '42'
+    when event_id%11=0 then concat('["a",', case event_id%3 when 0 then '5' when 1 then 'null' else '{{"x":1}}' end, ']')
     when event_id%7=3 then concat('["', repeat('x","', cast(regexp_extract(props,'([0-9]+)',1) as int)+50), 'last"]')
     else concat('["', event_type, '","', regexp_extract(props,'([0-9]+)',1), '"]') end as input
 from {events}
@@ -176,7 +210,7 @@ def _input_docs(s, d):
 
 
 INPUT_SQL = f"""with d as ({INPUT_DOCS.format(events='events')}),
-t as (select id, case when starts_with(input,'[') then cast(cast(input as json) as varchar[])
+t as (select id, case when starts_with(input,'["a",') then null when starts_with(input,'[') then cast(cast(input as json) as varchar[])
              when starts_with(input,'"') then [cast(input as json)->>'$'] end as texts from d),
 p as (select *, case when texts is null then 'malformed' when len(texts)=0 then 'input empty'
              when len(texts)>100 then 'too many inputs' end as problem from t)
@@ -271,7 +305,7 @@ add(
 )
 add(
     "orphan_jobs",
-    lambda s, d: __import__("trafficlens.operators.keys", fromlist=["x"]).orphans(
+    lambda s, d: keys.orphans(
         view(s, d, "jobs"), filters.active_keys(view(s, d, "api_keys")), "api_key_id"
     ).select("id", "api_key_id"),
     """select id, api_key_id from jobs j where not exists

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import settings as S
 from ..functions import credentials, display, errors, numbers, times
+from ..functions.times import bucket
 from ..operators import filters, keys, metrics, paging, quality, usage
 from ..operators.accounting import with_cost as price
 from ..sources.driver_views import base, view, with_views
@@ -140,7 +141,21 @@ for _name, (_fn, _sql, _hours) in REPORTS.items():
         _sql.replace("{w}", window(_hours)), U,
     )
 
-add("latency_hourly_approx", lambda s, d: usage.latency_hourly_approx(u(s, d), AS_OF, hours=MONTH))
+
+
+def _rank_error(s, d):
+    """Per hour: is the share of rows at or below each approximate quantile within 1/accuracy of it?"""
+    approx = usage.latency_hourly_approx(u(s, d), AS_OF, hours=MONTH)
+    rows = filters.success_only(filters.since(u(s, d), AS_OF, hours=MONTH)).select(
+        bucket(F.col("created_at"), "hour").alias("t"), "latency_ms"
+    )
+    return usage.within_rank(rows, approx, "t")
+
+
+add(
+    "latency_hourly_approx", _rank_error,
+    f"select date_trunc('hour', created_at) as t, true as p50, true as p95, true as p99 from {U} where status='success' and {window(MONTH)} group by 1", U,
+)
 add(
     "tokens_by_provider",
     lambda s, d: usage.tokens_by_provider(u(s, d), AS_OF, days=31),
@@ -361,7 +376,7 @@ add(
 HEADERS = """
 select event_id as id, case
     when event_id%11=0 then null when event_id%11=1 then '' when event_id%11=2 then 'Basic abc'
-    when event_id%11=3 then 'Bearer' when event_id%11=4 then 'bearer  key-000007xxxx '
+    when event_id%11=3 then 'Bearer' when event_id%11=4 then concat('bearer  key-000007xxxx ', chr(9))
     when event_id%11=5 then 'Bearer other-000001'
     else concat('BEARER key-', lpad(cast(user_id*12 as string),6,'0'), 'secret') end as header
 from {events}
@@ -377,13 +392,30 @@ add(
             when strpos(header,' ')=0 or lower(split_part(header,' ',1))<>'bearer' then 'invalid_scheme'
             else 'token' end as st,
             case when strpos(header,' ')>0 and lower(split_part(header,' ',1))='bearer'
-                 then trim(substr(header, strpos(header,' ')+1)) end as tok from h),
+                 then trim(substr(header, strpos(header,' ')+1), concat(' ', chr(9))) end as tok from h),
     p as (select *, case when starts_with(tok,'key-') then substr(tok,1,10) end as pre from t)
     select p.id, p.header, k.id as api_key_id,
       case when st<>'token' then st when pre is null then 'invalid_key' when k.id is null then 'unknown'
            when k.revoked_at is not null then 'revoked' else 'ok' end as resolution
     from p left join {K} k on k.key_prefix=p.pre""", K,
 )
+ODD_LIMITS = """
+select c_custkey as id, case c_custkey%7 when 0 then '{{"per_minute":2.5,"per_day":true}}' when 1 then '{{"per_minute":"7","per_day":-1.5}}'
+    when 2 then '{{"per_minute":"many","per_day":null}}' when 3 then '{{"per_minute":[1]}}' when 4 then 'broken' when 5 then '{{}}' end as o
+from {customer}
+"""
+add(
+    "odd_key_limits",
+    lambda s, d: s.sql(ODD_LIMITS, customer=base(s, d, "customer")).select(
+        "id",
+        credentials.limit_of(F.col("o"), "per_minute", 60).alias("per_minute"),
+        credentials.limit_of(F.col("o"), "per_day", 10000).alias("per_day"),
+        credentials.limit_problem(F.col("o"), "per_minute").alias("problem"),
+    ),
+    """select c_custkey as id, case c_custkey%7 when 0 then 2 when 1 then 7 else 60 end::int as per_minute,
+      case c_custkey%7 when 0 then 1 when 1 then -1 else 10000 end::int as per_day,
+      case c_custkey%7 when 2 then 'many' when 3 then '[1]' end as problem from customer""",
+)
 add(
     "key_limits",
     lambda s, d: k(s, d).select(
@@ -437,13 +469,21 @@ add(
 )
 ERROR_LOG = """
 select event_id as id, case when event_id%2=0 then 'openai' else 'gemini' end as provider,
-  case when event_id%3=0 then case when event_id%2=0 then 'RateLimitError' else 'ResourceExhausted' end
+  case when event_id%10=0 then case when event_id%4=0 then 'InternalServerError' else 'PermissionDeniedError' end
+       when event_id%10=5 then case when event_id%4=1 then 'ServiceUnavailable' else 'NotFound' end
+       when event_id%14=1 then 'ProviderRateLimitError' when event_id%14=4 then 'ProviderServerError'
+       when event_id%3=0 then case when event_id%2=0 then 'RateLimitError' else 'ResourceExhausted' end
        when event_id%3=1 then case when event_id%2=0 then 'BadRequestError' else 'PermissionDenied' end
        when event_type='view' then 'ProviderDisabledError'
        when event_type='click' then 'APIConnectionError' else 'SomethingElse' end as error_name
 from {events}
 """
-CLASSES = ", ".join(f"('{p}','{n}','{c}')" for p, n, c in S.ERROR_CLASSES)
+# the rule by itself: what each client raises, by the class that catches it
+CLASSES = """('openai','RateLimitError','rate_limit'),('openai','APIConnectionError','timeout'),('openai','BadRequestError','bad_request'),
+  ('openai','InternalServerError','server'),('openai','PermissionDeniedError','server'),('gemini','ResourceExhausted','rate_limit'),
+  ('gemini','PermissionDenied','auth'),('gemini','ServiceUnavailable','server'),('gemini','NotFound','server'),
+  ('openai','ProviderRateLimitError','rate_limit'),('gemini','ProviderRateLimitError','rate_limit'),
+  ('openai','ProviderServerError','server'),('gemini','ProviderServerError','server')"""
 add(
     "errors_by_provider",
     lambda s, d: metrics.errors_by_provider(s.sql(ERROR_LOG, events=base(s, d, "events"))),

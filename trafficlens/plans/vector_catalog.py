@@ -91,8 +91,11 @@ add(
 add(
     "semantic_lookup_ivf_recall",
     lambda s, d: sim.recall(
-        sim.semantic_lookup_ivf(queries_(s, d), entries(s, d), LOOSE), sim.semantic_lookup(queries_(s, d), entries(s, d), LOOSE)
-    ),
+        sim.semantic_lookup_ivf(queries_(s, d), entries(s, d), LOOSE, nprobe=30), sim.semantic_lookup(queries_(s, d), entries(s, d), LOOSE)
+    ).select("exact_hits", (F.col("recall") >= 0.9).alias("good")),
+    f"""with {QUERY_SQL},
+    p as (select q.id as qid from q join v on v.grp=q.grp where {cosine('q.vec', 'v.vec')} <= 0.75)
+    select count(distinct qid) as exact_hits, true as good from p""",
 )
 add(
     "nearest_earlier",
@@ -403,8 +406,9 @@ def _failing(dim):
         embed = inner()
 
         def checked(texts, model):
-            if any(len(t) < 12 for t in texts):
-                raise ValueError("text too short")
+            for t in texts:
+                if len(t) < 12:
+                    raise ValueError(f"refused {t}")
             return embed(texts, model)
 
         return checked
@@ -427,8 +431,9 @@ add(
     "embedding_jobs", lambda s, d: _jobs(s, d)[0],
     f"""select job_id, case when job_id%2=0 then 'openai' else 'gemini' end as provider, 'terms' as model,
       case when bad=0 then 'succeeded' else 'failed' end as status, case when bad=0 then n end as count,
-      case when bad=0 then {DIM} end as dimensions, case when bad>0 then 'text too short' end as error
-    from (select job_id, count(*) as n, count(*) filter (where length(text)<12) as bad from embedding_inputs group by 1) x""",
+      case when bad=0 then {DIM} end as dimensions, case when bad>0 then concat('refused ', first_bad) end as error
+    from (select job_id, count(*) as n, count(*) filter (where length(text)<12) as bad,
+      arg_min(text, pos) filter (where length(text)<12) as first_bad from embedding_inputs group by 1) x""",
     "embedding_inputs",
 )
 add(

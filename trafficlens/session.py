@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,17 +29,14 @@ def build_session(master: str | None = None, app: str = "trafficlens", **conf: s
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session may fall back to a temporary folder, because there the driver
-    and the executors are one process.
+    Where it is unset, a folder in the warehouse, which every executor reaches as well.
     """
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not current:
         current = sc.getCheckpointDir()
     if not current:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-        current = tempfile.mkdtemp(prefix="trafficlens-")
+        current = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
     return current

@@ -51,12 +51,48 @@ ERROR_CLASSES = [
     ("openai", "AuthenticationError", "auth"),
     ("openai", "BadRequestError", "bad_request"),
     ("openai", "APIStatusError", "server"),
+    ("openai", "PermissionDeniedError", "server"),
+    ("openai", "NotFoundError", "server"),
+    ("openai", "ConflictError", "server"),
+    ("openai", "UnprocessableEntityError", "server"),
+    ("openai", "InternalServerError", "server"),
     ("gemini", "ResourceExhausted", "rate_limit"),
     ("gemini", "DeadlineExceeded", "timeout"),
     ("gemini", "Unauthenticated", "auth"),
     ("gemini", "PermissionDenied", "auth"),
     ("gemini", "InvalidArgument", "bad_request"),
     ("gemini", "GoogleAPIError", "server"),
+    ("gemini", "GoogleAPICallError", "server"),
+    ("gemini", "RetryError", "server"),
+    ("gemini", "ClientError", "server"),
+    ("gemini", "BadRequest", "server"),
+    ("gemini", "FailedPrecondition", "server"),
+    ("gemini", "OutOfRange", "server"),
+    ("gemini", "Unauthorized", "server"),
+    ("gemini", "Forbidden", "server"),
+    ("gemini", "NotFound", "server"),
+    ("gemini", "Conflict", "server"),
+    ("gemini", "AlreadyExists", "server"),
+    ("gemini", "Aborted", "server"),
+    ("gemini", "TooManyRequests", "server"),
+    ("gemini", "Cancelled", "server"),
+    ("gemini", "ServerError", "server"),
+    ("gemini", "InternalServerError", "server"),
+    ("gemini", "Unknown", "server"),
+    ("gemini", "DataLoss", "server"),
+    ("gemini", "MethodNotImplemented", "server"),
+    ("gemini", "BadGateway", "server"),
+    ("gemini", "ServiceUnavailable", "server"),
+    ("gemini", "GatewayTimeout", "server"),
+]
+# The names under which the service itself logs the classes, whatever the provider.
+LOGGED_ERRORS = [
+    ("ProviderRateLimitError", "rate_limit"),
+    ("ProviderTimeoutError", "timeout"),
+    ("ProviderServerError", "server"),
+    ("ProviderAuthError", "auth"),
+    ("ProviderBadRequestError", "bad_request"),
+    ("ProviderDisabledError", "disabled"),
 ]
 RETRYABLE = ["rate_limit", "timeout", "server"]
 FATAL = ["auth", "bad_request", "disabled"]

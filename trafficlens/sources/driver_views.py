@@ -68,7 +68,7 @@ from {customer}
 REQUESTS_FLAT = """
 select e.event_id as id, e.ts, e.user_id as api_key_id, e.event_type,
   cast(regexp_extract(e.props,'([0-9]+)',1) as int) as k,
-  cast(regexp_extract(e.props,'([0-9]+)',1) as int)
+  (e.event_id + cast(regexp_extract(e.props,'([0-9]+)',1) as int))
     % (select count(distinct conv_id) from {conversations}) as conv_id,
   case when e.event_id%2=0 then 'gemini-2.0-flash' else 'gpt-4o-mini' end as model,
   case when e.event_id%5=0 then cast(0.5 as double) end as temperature,
@@ -127,6 +127,12 @@ from {orders} where o_orderstatus='F'
 REQUEST_DOCS = """
 select event_id as id,
   case when event_id%17=0 then '{{"model": broken'
+       when event_id%23=0 then '{{"model":"m1","messages":[{{"role":"user","content":["part",{{"type":"text"}}]}}]}}'
+       when event_id%29=0 then '{{"model":5,"messages":[{{"role":"user","content":"x"}}]}}'
+       when event_id%31=0 then '{{"model":"m2","messages":[{{"role":"user","content":"x"}}],"temperature":"0.25","max_tokens":5.0}}'
+       when event_id%37=0 then '{{"model":"m2","messages":[{{"role":"user","content":12}}]}}'
+       when event_id%41=0 then '{{"model":"m2","messages":[{{"role":"user","content":null}}]}}'
+       when event_id%43=0 then '{{"model":"m2","messages":[{{"role":"user","content":"x"}}],"max_tokens":5.5}}'
        else concat('{{', case when event_id%13=0 then '' else '"model":"m1",' end,
          case when event_id%19=0 then '"messages":[]'
               else concat('"messages":[{{"role":"',

@@ -73,7 +73,9 @@ def stream_usage(spark: SparkSession, path: str, files_per_batch: int = 100) ->
 
 
 def pricing_df(spark: SparkSession, prices: list[tuple] | None = None) -> DataFrame:
-    """The price list; a handful of literal rows, so it is always safe to broadcast."""
-    return spark.createDataFrame(
-        prices or S.PRICES, "provider string, model string, prompt_per_1k double, completion_per_1k double"
-    )
+    """The price list as literal rows of the plan, so the planner knows its size and broadcasts it
+    as long as it is small; a longer list is joined like any table."""
+    rows = [f"(:p{i}, :m{i}, cast({a!r} as double), cast({b!r} as double))" for i, (_, _, a, b) in enumerate(prices or S.PRICES)]
+    names = {f"{c}{i}": r[j] for i, r in enumerate(prices or S.PRICES) for j, c in enumerate("pm")}
+    text = f"select * from values {', '.join(rows)} as t(provider, model, prompt_per_1k, completion_per_1k)"
+    return spark.sql(text, args=names)
