@@ -112,3 +112,52 @@ def test_shared_folder_is_no_local_temporary_one(spark):
         conf = type("C", (), {"get": staticmethod(lambda k, d=None: "/shared/warehouse" if k == "spark.sql.warehouse.dir" else d)})
 
     assert shared_dir(Session()) == "/shared/warehouse/_scratch"
+
+
+def test_retention_drops_whole_day_folders(spark, sf, tmp_path):
+    from trafficlens.operators import usage
+    from trafficlens.sources import tables
+
+    path, out = str(tmp_path / "usage"), str(tmp_path / "rollup")
+    log = view(spark, sf, "usage_logs")
+    tables.append_usage(log, path)
+    days = sorted(p.name for p in (tmp_path / "usage").glob("dt=*"))
+    gone = tables.drop_days(spark, path, "2024-01-20 12:00:00", days=10)
+    assert gone == [d for d in days if d < "dt=2024-01-10"] and gone
+    left = tables.load_usage(spark, path)
+    assert left.count() == log.filter("created_at >= '2024-01-10'").count()
+    changed = tables.load_days(spark, path, "2024-01-15", "2024-01-16")
+    assert "PartitionFilters: [isnotnull(dt" in changed._jdf.queryExecution().executedPlan().toString()
+    usage.write_rollup(changed, out)
+    assert sorted(p.name for p in (tmp_path / "rollup").glob("day=*")) == ["day=2024-01-15", "day=2024-01-16"]
+
+
+def test_only_questions_with_vectors_are_stored(spark):
+    from trafficlens.operators import stores
+
+    rows = [(1, "h1", "user", "a", [1.0]), (2, "h1", "user", "a", [1.0]), (3, "h2", "system", "b", [1.0]), (4, "h3", "user", "", [1.0]), (5, "h4", "user", "c", None)]
+    data = [(i, h, "m", [(r, t)], ((1, 2),), e) for i, h, r, t, e in rows]
+    schema = """id long, request_hash string, model string, messages array<struct<role:string,content:string>>,
+      response struct<usage:struct<prompt_tokens:int,completion_tokens:int>>, embedding array<float>"""
+    incoming = spark.createDataFrame(data, schema).withColumn("created_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    old = spark.createDataFrame([("h2",)], "request_hash string")
+    responses, entries = stores.rows_to_store(old, incoming)
+    assert sorted(r["request_hash"] for r in responses.collect()) == ["h1", "h3", "h4"]
+    assert sorted(r["id"] for r in entries.collect()) == [1, 2]
+
+
+def test_a_chain_of_near_prompts_takes_few_rounds(spark, monkeypatch):
+    """Each vector is near the one before it only; a loop over single fills would need 500 rounds."""
+    import numpy as np
+
+    from trafficlens.operators import semantic_cache as sc
+
+    angle = np.arange(1000) * 0.1 % 6.2 + (np.arange(1000) // 62) * 1e-3
+    rows = [("g", i, i, [float(np.cos(a)), float(np.sin(a)), float(i // 62)]) for i, a in enumerate(angle)]
+    items = spark.createDataFrame(rows, "grp string, id long, ms long, vec array<float>")
+    rounds = []
+    kept = sc.keep
+    monkeypatch.setattr(sc, "keep", lambda df, *a: rounds.append(1) or kept(df, *a))
+    found = {r["id"] for r in sc.semantic_fills(items, 0.006, small=400, first_batch=300, block=256, pivots=None).collect()}
+    whole = {r["id"] for r in sc.semantic_fills(items, 0.006, small=5000).collect()}
+    assert found == whole and len(rounds) <= 60  # five tables a round

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .. import settings as S
 from ..functions.times import millis
@@ -45,25 +45,33 @@ def _greedy(max_dist: float):
     return run
 
 
+HALVES = 12  # an early part is as small as 1/2**HALVES of a cell, at least
+
+
 def _earliest(undecided: DataFrame, batch: int) -> DataFrame:
-    """All items of a group up to a time, chosen so that none of its cells has more than ``batch``.
+    """All items of a group up to a time, with about ``batch`` items in its fullest cell.
 
-    Nothing earlier is left out, so these items need to be compared only with each other.
+    Nothing earlier is left out, so these items need to be compared only with each other. The time
+    is a quantile from mergeable sketches, so no task sorts a group.
     """
-    rank = F.row_number().over(Window.partitionBy("grp", "cell").orderBy("ms", "id"))
-    ends = undecided.select("grp", "cell", "ms", "id").withColumn("_rank", rank).filter(F.col("_rank") == batch)
-    ends = ends.groupBy("grp").agg(F.min(F.struct("ms", "id")).alias("_end"))
-    inside = F.col("_end").isNull() | (F.struct("ms", "id") <= F.col("_end"))
-    return undecided.join(ends, "grp", "left").filter(inside).drop("_end")
+    parts = F.percentile_approx("ms", [2.0**-k for k in range(HALVES + 1)], 20_000)
+    halvings = F.least(F.greatest(F.ceil(F.log2(F.col("n") / F.lit(batch))), F.lit(0)), F.lit(HALVES)).cast("int")
+    cells = undecided.groupBy("grp", "cell").agg(F.count("*").alias("n"), parts.alias("q"))
+    ends = cells.groupBy("grp").agg(F.min(F.element_at("q", halvings + 1)).alias("_end"))
+    return undecided.join(ends, "grp").filter(F.col("ms") <= F.col("_end")).drop("_end")
 
 
-def _fills_in_rounds(items: DataFrame, max_dist: float, block: int, first_batch: int, pivots) -> DataFrame:
+def _fills_in_rounds(
+    items: DataFrame, max_dist: float, block: int, first_batch: int, pivots, small: int = SMALL_GROUP
+) -> DataFrame:
     """Fills of groups of any size, in rounds over all groups at once.
 
-    A round examines the earliest undecided items: those without an earlier undecided neighbour
-    are fills, and every later neighbour of a fill, examined or not, is a hit. The earliest
-    undecided item of a group always is a fill, a dense crowd of near copies disappears with its
-    first fill, and the batch grows each round. Each round is written to the shared folder.
+    A round examines the earliest undecided items. Groups with few of them are decided whole, in
+    time order, so a chain of near prompts ends in one round; in the others those without an
+    earlier undecided neighbour are fills. Every later neighbour of a fill, examined or not, is a
+    hit. The earliest undecided item of a group always is a fill, a dense crowd of near copies
+    disappears with its first fill, and the batch grows each round. Each round is written to the
+    shared folder.
     """
     if isinstance(pivots, str):
         pivots = sim.choose_pivots(items, max_dist, block)
@@ -79,10 +87,19 @@ def _fills_in_rounds(items: DataFrame, max_dist: float, block: int, first_batch:
         found = sim.blocked_search(placed, entries, max_dist, earlier=True, block=block, anywhere=pivots is not None)
         return found.select(F.col("qid").alias("id"))
 
+    schema = ", ".join(f"{n} {t}" for n, t in undecided.dtypes)
     while not undecided.isEmpty():
         examined = keep(_earliest(undecided, batch))
-        new = keep(examined.join(search(examined, examined), "id", "left_anti"))
-        rest = undecided.join(new.select("id"), "id", "left_anti")
+        few = keep(examined.groupBy("grp").agg((F.count("*") <= small).alias("_few")))
+        whole = examined.join(few.filter("_few"), "grp", "left_semi").groupBy("grp").applyInArrow(_greedy(max_dist), schema)
+        many = examined.join(few.filter("not _few"), "grp", "left_semi")
+        if few.filter("not _few").isEmpty():
+            new = keep(whole)
+        else:
+            new = keep(whole.unionByName(many.join(search(many, many), "id", "left_anti").select(*undecided.columns)))
+        # what was decided whole is done, whether fill or hit
+        done = new.select("id").union(examined.join(few.filter("_few"), "grp", "left_semi").select("id")).distinct()
+        rest = undecided.join(done, "id", "left_anti")
         undecided = keep(rest.join(search(rest, new), "id", "left_anti"))
         fills = new if fills is None else fills.unionByName(new)
         batch *= 4
@@ -107,7 +124,7 @@ def semantic_fills(
     if big_names.isEmpty():
         return fills
     big = items.join(big_names, "grp").select(*items.columns)
-    return fills.unionByName(_fills_in_rounds(big, max_dist, block, first_batch, pivots))
+    return fills.unionByName(_fills_in_rounds(big, max_dist, block, first_batch, pivots, small))
 
 
 def replay_semantic(

@@ -30,13 +30,14 @@ def attach_response(hits: DataFrame, responses: DataFrame, key: str = "request_h
     return hits.join(responses.select(key, "response"), key, "inner")
 
 
-def store_entries(
-    responses: DataFrame, entries: DataFrame, incoming: DataFrame, ttl_seconds: int = S.CACHE_TTL_SECONDS
+def rows_to_store(
+    responses: DataFrame, incoming: DataFrame, ttl_seconds: int = S.CACHE_TTL_SECONDS
 ) -> tuple[DataFrame, DataFrame]:
-    """Both stores after a batch of answered requests.
+    """The rows that a batch of answered requests adds to the two stores.
 
     ``incoming``: id, request_hash, model, messages, response, embedding, created_at. A response
-    is kept once per hash, a vector entry is appended for every request.
+    is kept once per hash, the first one; the vector store gets an entry for every request that
+    has a user text and a vector.
     """
     usage = F.col("response.usage")
     rows = incoming.select(
@@ -44,8 +45,17 @@ def store_entries(
         usage["prompt_tokens"].alias("prompt_tokens"), usage["completion_tokens"].alias("completion_tokens"),
         "created_at", expires_at(F.col("created_at"), ttl_seconds).alias("expires_at"), "id",
     )
-    new_entries = incoming.select(
-        "id", "request_hash", "embedding",
-        F.coalesce(last_user_message(F.col("messages")), F.lit("")).alias("prompt_text"), "model", "created_at",
-    )
-    return upsert_responses(responses, rows, order=["created_at", "id"]), entries.unionByName(new_entries)
+    first = first_per_key(rows, "request_hash", ["created_at", "id"]).drop("id")
+    text = last_user_message(F.col("messages"))
+    entries = incoming.select("id", "request_hash", "embedding", text.alias("prompt_text"), "model", "created_at")
+    entries = entries.filter(F.coalesce(F.col("prompt_text"), F.lit("")) != "").filter(F.col("embedding").isNotNull())
+    return first.join(responses.select("request_hash"), "request_hash", "left_anti"), entries
+
+
+def store_entries(
+    responses: DataFrame, entries: DataFrame, incoming: DataFrame, ttl_seconds: int = S.CACHE_TTL_SECONDS
+) -> tuple[DataFrame, DataFrame]:
+    """Both stores after a batch of answered requests; to append only, write ``rows_to_store``."""
+    new_responses, new_entries = rows_to_store(responses, incoming, ttl_seconds)
+    kept = new_responses.select(*[c for c in new_responses.columns if c in responses.columns])
+    return responses.unionByName(kept, allowMissingColumns=True), entries.unionByName(new_entries)

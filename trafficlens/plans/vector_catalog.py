@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.times import millis
-from ..operators import embedding, ratelimit, semantic_cache as sc, similarity as sim, stores
+from ..operators import accounting, embedding, ratelimit, semantic_cache as sc, similarity as sim, stores
 from ..sources.driver_views import base, view, view_sql, with_views
+from ..sources.tables import pricing_df
 from .replay_catalog import MS, limit_sql
 from .request_catalog import _hashes
 
@@ -363,6 +364,36 @@ add("replay_funnel_without_semantic", lambda s, d: funnel(s, d, semantic=False).
     union all select id, 'rate_limited', null from s where decision<>'ok'""",
     "requests_flat", "api_keys")
 
+CALLS = """
+select id, case when model='gpt-4o-mini' then 'openai' else 'gemini' end as provider, k*7+1 as prompt_tokens,
+  (k*13)%400 as completion_tokens, fillable as ok
+from requests_flat
+"""
+
+
+def _funnel_usage(s, d):
+    flat = view(s, d, "requests_flat")
+    flat.createOrReplaceTempView("requests_flat")
+    calls = s.sql(CALLS)
+    layers = funnel(s, d).select("id", "api_key_id", "model", "layer", "fill_id")
+    return accounting.funnel_usage(layers, calls, pricing_df(s)).withColumn("cost_usd", F.round("cost_usd", 9))
+
+
+add(
+    "funnel_usage", _funnel_usage,
+    f"""with calls as ({CALLS}),
+    layers as (select id, layer, fill_id from ({ORACLES['replay_funnel']}) f),
+    x as (select r.id, r.api_key_id, r.model, l.layer, c.provider, c.ok, c.prompt_tokens as pt, c.completion_tokens as ct
+      from layers l join requests_flat r using (id) join calls c on c.id=coalesce(l.fill_id, l.id)),
+    y as (select id, api_key_id, model, case when layer='rate_limited' then 'ratelimit' else provider end as provider,
+      case when layer='none' and ok then pt else 0 end as prompt_tokens, case when layer='none' and ok then ct else 0 end as completion_tokens,
+      case when layer in ('exact','semantic') then layer else 'none' end as cache_hit,
+      case when layer='rate_limited' then 'rate_limited' when layer='none' and not ok then 'error' else 'success' end as status from x)
+    select y.*, round(case when provider='openai' then prompt_tokens/1000.0::double*0.00015 + completion_tokens/1000.0::double*0.0006
+      when provider='gemini' then prompt_tokens/1000.0::double*0.0001 + completion_tokens/1000.0::double*0.0004 else 0 end, 9) as cost_usd from y""",
+    "requests_flat",
+)
+
 # stores --------------------------------------------------------------------------------------
 
 
@@ -370,9 +401,11 @@ def _stored(s, d):
     """Every document answered once more: how both stores look afterwards, counted per model."""
     rows = base(s, d, "documents").select(
         F.col("doc_id").alias("id"), F.md5("text").alias("request_hash"), F.col("lang").alias("model"),
-        F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))).alias("messages"),
+        F.array(
+            F.struct(F.when(F.col("doc_id") % 7 == 0, "system").otherwise("user").alias("role"), F.col("text").alias("content"))
+        ).alias("messages"),
         F.struct(F.struct(F.lit(1).alias("prompt_tokens"), F.lit(2).alias("completion_tokens")).alias("usage")).alias("response"),
-        F.array(F.col("n_chars").cast("float")).alias("embedding"),
+        F.when(F.col("doc_id") % 5 != 0, F.array(F.col("n_chars").cast("float"))).alias("embedding"),
         F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("created_at"),
     )
     old = base(s, d, "documents").filter(F.col("source") == "web").select(
@@ -391,7 +424,8 @@ add(
     "store_entries", _stored,
     """with h as (select md5(text) as h, min(lang) as lang from documents group by 1),
     r as (select lang as model, count(*) as responses from h group by 1),
-    e as (select lang as model, count(*)*2 as entries, cast(sum(length(text)) as bigint) as prompt_chars from documents group by 1)
+    e as (select lang as model, count(*) + count(*) filter (where doc_id%7<>0 and doc_id%5<>0) as entries,
+      cast(sum(length(text)) filter (where doc_id%7<>0 and doc_id%5<>0) as bigint) as prompt_chars from documents group by 1)
     select e.model, entries, prompt_chars, responses from e left join r using (model)""",
 )
 

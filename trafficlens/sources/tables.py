@@ -7,7 +7,7 @@ check of ``spark.sql.autoBroadcastJoinThreshold`` (and AQE at run time) decides.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -45,10 +45,31 @@ def append_usage(df: DataFrame, path: str) -> None:
     rows.hint("rebalance", DAY).write.mode("append").partitionBy(DAY).parquet(path)
 
 
+def drop_days(spark: SparkSession, path: str, as_of: str | datetime, days: float = 30) -> list[str]:
+    """Retention: remove the day folders that lie wholly before ``as_of`` less ``days``; their names.
+
+    Works on folder names alone; rows of the day in which the limit falls stay (``usage.retain``).
+    """
+    limit = (as_datetime(as_of) - timedelta(days=days)).date().isoformat()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.isDirectory())
+    gone = [n for n in found if n.startswith(f"{DAY}=") and n.removeprefix(f"{DAY}=") < limit]
+    for name in gone:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, name), True)
+    return gone
+
+
 def _shape(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
+def load_days(spark: SparkSession, path: str, first: str, last: str) -> DataFrame:
+    """Whole days of the usage fact, from their folders only; feeds a rollup of changed days."""
+    with_day = T.StructType([*schemas.USAGE.fields, T.StructField(DAY, T.DateType())])
+    return _scan(spark, path, with_day).filter(F.col(DAY).between(F.lit(first).cast("date"), F.lit(last).cast("date"))).drop(DAY)
+
+
 def load_keys(spark: SparkSession, path: str) -> DataFrame:
     return _scan(spark, path, schemas.KEYS)
 
