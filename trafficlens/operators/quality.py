@@ -24,7 +24,10 @@ class Rules:
 
 # Constraints of the tables.
 USAGE_RULES = Rules(
-    not_null=["id", "request_id", "api_key_id", "model", "provider", "status", "cache_hit", "created_at"],
+    not_null=[
+        "id", "request_id", "api_key_id", "model", "provider", "status", "cache_hit", "created_at",
+        "prompt_tokens", "completion_tokens", "total_tokens", "cost_usd", "latency_ms",
+    ],
     max_length={"request_id": 64, "model": 128, "provider": 64, "status": 32},
     domain={"cache_hit": S.CACHE_LAYERS, "status": S.STATUSES},
     unique=["id"],
@@ -39,7 +42,17 @@ JOB_RULES = Rules(
     domain={"kind": S.JOB_KINDS, "status": S.JOB_STATUSES},
     unique=["id"],
 )
-ENTRY_RULES = Rules(not_null=["request_hash", "embedding", "prompt_text", "model"], max_length={"model": 128})
+RESPONSE_RULES = Rules(
+    not_null=["request_hash", "model", "messages", "response", "prompt_tokens", "completion_tokens", "created_at"],
+    max_length={"request_hash": 64, "model": 128},
+    unique=["request_hash"],
+)
+ENTRY_RULES = Rules(
+    not_null=["id", "request_hash", "embedding", "prompt_text", "model", "created_at"],
+    max_length={"request_hash": 64, "model": 128},
+    vector_dim={"embedding": S.EMBEDDING_DIM},
+    unique=["id"],
+)
 
 
 def _row_checks(rules: Rules) -> list[tuple[str, Column]]:

@@ -523,6 +523,46 @@ def _checks_sql(table, rules, foreign=()):
 
 add("quality_usage", _usage_quality, _checks_sql(U, quality.USAGE_RULES, [("api_key_id", K)]), U, K)
 add("quality_keys", lambda s, d: quality.quality_report(k(s, d), quality.KEY_RULES), _checks_sql(K, quality.KEY_RULES), K)
+STORED = """
+select doc_id as id, md5(cast(doc_id%1000 as string)) as request_hash, case when doc_id%9<>0 then lang end as model, text as messages,
+  text as response, cast(n_chars as int) as prompt_tokens, 0 as completion_tokens, timestamp '2024-01-01 00:00:00' as created_at
+from {documents}
+"""
+STORED_ENTRIES = """
+select vec_id as id, md5(cast(vec_id%3000 as string)) as request_hash, embedding, cast(label as string) as prompt_text,
+  'm' as model, timestamp '2024-01-01 00:00:00' as created_at
+from {embeddings}
+"""
+
+
+def _stored(s, d, text, name):
+    return s.sql(text, **{name: base(s, d, name)})
+
+
+def _entry_quality(s, d):
+    parents = _stored(s, d, STORED, "documents").select(F.col("request_hash").alias("id"))
+    rules = quality.Rules(**{**quality.ENTRY_RULES.__dict__, "foreign": {"request_hash": parents}})
+    return quality.quality_report(_stored(s, d, STORED_ENTRIES, "embeddings"), rules)
+
+
+add("quality_jobs", lambda s, d: quality.quality_report(view(s, d, "jobs"), quality.JOB_RULES), _checks_sql("jobs", quality.JOB_RULES), "jobs")
+add(
+    "quality_responses", lambda s, d: quality.quality_report(_stored(s, d, STORED, "documents"), quality.RESPONSE_RULES),
+    f"with r as ({STORED.format(documents='documents')})\n" + _checks_sql("r", quality.RESPONSE_RULES),
+)
+add(
+    "quality_entries", _entry_quality,
+    f"with p as (select request_hash as id from ({STORED.format(documents='documents')}) x), e as ({STORED_ENTRIES.format(embeddings='embeddings')})\n"
+    + _checks_sql("e", quality.ENTRY_RULES, [("request_hash", "p")]),
+)
+add(
+    "orphan_entries",
+    lambda s, d: keys.orphans(
+        _stored(s, d, STORED_ENTRIES, "embeddings"), _stored(s, d, STORED, "documents"), "request_hash", "request_hash"
+    ).select("id", "request_hash"),
+    f"""with p as ({STORED.format(documents='documents')}), e as ({STORED_ENTRIES.format(embeddings='embeddings')})
+    select id, request_hash from e where not exists (select 1 from p where p.request_hash=e.request_hash)""",
+)
 VECTOR_RULES = quality.Rules(not_null=["vec_id", "embedding"], vector_dim={"embedding": 64}, unique=["vec_id"])
 add(
     "quality_vectors", lambda s, d: quality.quality_report(base(s, d, "embeddings"), VECTOR_RULES),
