@@ -161,3 +161,19 @@ def test_a_chain_of_near_prompts_takes_few_rounds(spark, monkeypatch):
     found = {r["id"] for r in sc.semantic_fills(items, 0.006, small=400, first_batch=300, block=256, pivots=None).collect()}
     whole = {r["id"] for r in sc.semantic_fills(items, 0.006, small=5000).collect()}
     assert found == whole and len(rounds) <= 60  # five tables a round
+
+
+def test_a_hot_hash_is_followed_island_by_island(spark):
+    from trafficlens.operators import exact_cache
+
+    ms = [d * 86_400_000 + m * 61_000 for d in range(40) for m in range(30)]
+    rows = spark.createDataFrame([("h", t, i) for i, t in enumerate(ms)], "key string, ms long, id long")
+    cells = rows.withColumn("cell", F.floor(F.col("ms") / 60_000))
+    assert exact_cache.islands(cells, 3_600_000).select("island").distinct().count() == 40
+    want, due = [], -1
+    for i, t in enumerate(ms):
+        if t >= due:
+            want.append(i)
+            due = t + 600_000
+    got = exact_cache.fill_chain(rows, 600, hot_rows=100).collect()
+    assert sorted(r["id"] for r in got) == want

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import settings as S
 from ..functions.times import millis
@@ -77,6 +77,19 @@ def _chain_packed(ttl_ms: int):
     return run
 
 
+def islands(rows: DataFrame, gap_ms: int) -> DataFrame:
+    """(key, cell, island): stretches of a key that a silence of at least ``gap_ms`` separates.
+
+    A request after a silence of a TTL fills in any case, so each island can be followed by itself.
+    Only the ends of each cell are ranked. A silence inside a cell is left alone.
+    """
+    ends = rows.groupBy("key", "cell").agg(F.min("ms").alias("first"), F.max("ms").alias("last"))
+    order = Window.partitionBy("key").orderBy("cell")
+    new = (F.col("first") - F.lag("last").over(order) >= gap_ms).cast("int")
+    starts = ends.withColumn("new", F.coalesce(new, F.lit(0)))
+    return starts.select("key", "cell", F.sum("new").over(order).alias("island"))
+
+
 def fill_chain(
     candidates: DataFrame, ttl_seconds: int, key: str = "key", ms: str = "ms", id_: str = "id",
     cell_ms: int = CELL_MS, hot_rows: int = HOT_KEY_ROWS,
@@ -95,16 +108,18 @@ def fill_chain(
     )
     if hot.isEmpty():
         return fills
+    busy = rows.join(hot, "key", "left_semi").withColumn("cell", cell_of(F.col("ms"), cell_ms))
     packed = (
-        rows.join(hot, "key", "left_semi")
-        .groupBy("key", cell_of(F.col("ms"), cell_ms).alias("cell"), "ms")
+        busy.groupBy("key", "cell", "ms")
         .agg(F.min("id").alias("id"))
         .groupBy("key", "cell")
         # at most one entry per millisecond of the cell
         .agg(F.array_sort(F.collect_list(F.struct("ms", "id"))).alias("points"))
         .select("key", "cell", F.col("points.ms").alias("ms"), F.col("points.id").alias("ids"))
-        .repartition("key")
+        .join(islands(busy, ttl_ms), ["key", "cell"])
+        .repartition("key", "island")
         .sortWithinPartitions("key", "cell")
+        .select("key", "cell", "ms", "ids")
     )
     return fills.unionByName(packed.mapInArrow(_chain_packed(ttl_ms), out))
 
