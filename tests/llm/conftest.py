@@ -64,8 +64,3 @@ def odd(spark, rows):
 @pytest.fixture(scope="session")
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
-
-
-def plain(df) -> list[tuple]:
-    """The five columns of documents, with repeats."""
-    return [tuple(r) for r in df.select("doc_id", "text", "lang", "source", "n_chars").collect()]

@@ -12,7 +12,7 @@ def small_blocks(monkeypatch):
     """Blocks and segments of a few documents, so that every exchange has several."""
     dealt = blocks.dealt
     monkeypatch.setattr(blocks, "PER_SEGMENT", 2)
-    monkeypatch.setattr(blocks, "dealt", lambda docs: dealt(docs, 4000))
+    monkeypatch.setattr(blocks, "dealt", lambda docs: dealt(docs, 16000))
 
 
 def sorted_rows(pairs):
