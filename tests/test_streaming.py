@@ -101,3 +101,19 @@ def test_usage_table_streams(spark, split, tmp_path):
     tables.append_usage(spark.read.parquet(split["usage_logs"]), path)
     got = live.drain_updates(live.stream_rpm(tables.stream_usage(spark, path)), ["minute"])
     assert got.agg(F.sum("count")).head()[0] == spark.read.parquet(split["usage_logs"]).count()
+
+
+def test_scratch_and_state_do_not_grow(spark, split, tmp_path):
+    """Six micro-batches leave the rows and two states, and nothing in the shared folder."""
+    import os
+
+    from trafficlens.session import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    requests = spark.readStream.schema(spark.read.parquet(split["requests_flat"]).schema).option("maxFilesPerTrigger", 1)
+    frame = requests.parquet(split["requests_flat"]).withColumn("request_hash", F.col("conv_id").cast("string"))
+    replays.stream_exact_cache(frame, str(tmp_path / "cache"), 86_400).awaitTermination()
+    assert set(os.listdir(folder)) == before
+    assert len(list((tmp_path / "cache" / "rows").glob("batch_id=*"))) >= 6
+    assert len(list((tmp_path / "cache" / "state").glob("batch_id=*"))) <= 2

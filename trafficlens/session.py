@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_open = threading.local()
+
 
 def build_session(master: str | None = None, app: str = "trafficlens", **conf: str) -> SparkSession:
     """A session with the settings every job here relies on (UTC, AQE, Arrow)."""
@@ -43,8 +48,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder, which is cleared with the rest of that folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder; removed at the end of the ``scratch`` it is made in,
+    or else with the rest of that folder."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if getattr(_open, "paths", None):
+        _open.paths[-1].append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it is stored."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables kept inside are removed at the end; write what is to stay before that."""
+    _open.paths = [*getattr(_open, "paths", []), []]
+    try:
+        yield
+    finally:
+        for path in _open.paths.pop():
+            remove(spark, path)
 
 
 def keep(df: DataFrame, name: str = "kept") -> DataFrame:

@@ -3,7 +3,8 @@
 A keyed state operator would put all requests of one hot key of a micro-batch into one task. The
 batch replays do not, so each micro-batch runs them, starting from the state that the previous
 batch wrote. State and rows of a batch live in folders named by the batch number: a batch that
-is run again after a failure reads the state of its predecessor and overwrites its own output.
+is run again after a failure reads the state of its predecessor and overwrites its own output. Older
+states and the tables of a batch's own work are removed.
 Rows are expected in event order from batch to batch, as a log written at arrival is.
 """
 
@@ -15,7 +16,7 @@ from .. import settings as S
 from ..functions.times import millis
 from ..operators.exact_cache import replay_exact_cache
 from ..operators.ratelimit import replay_rate_limit
-from ..session import keep
+from ..session import keep, remove, scratch
 
 
 def _state_before(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
@@ -28,6 +29,11 @@ def _save(df: DataFrame, path: str, kind: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/{kind}/batch_id={batch_id}")
 
 
+def _drop_old_state(spark: SparkSession, path: str, batch_id: int) -> None:
+    """Only the state before this batch, for running it again, and the state after it stay."""
+    remove(spark, f"{path}/state/batch_id={batch_id - 2}")
+
+
 def _unexpired(state: DataFrame, batch: DataFrame, lifetime_ms: int) -> DataFrame:
     """State rows still of use after the batch; an empty batch has no time and expires nothing."""
     now = batch.agg(F.max(millis(F.col("ts")))).head()[0]
@@ -35,9 +41,14 @@ def _unexpired(state: DataFrame, batch: DataFrame, lifetime_ms: int) -> DataFram
 
 
 def _start(stream: DataFrame, path: str, step, trigger: dict):
+    def tidy(batch: DataFrame, batch_id: int) -> None:
+        with scratch(batch.sparkSession):
+            step(batch, batch_id)
+        _drop_old_state(batch.sparkSession, path, batch_id)
+
     return (
         stream.writeStream.option("checkpointLocation", f"{path}/checkpoint")
-        .foreachBatch(step)
+        .foreachBatch(tidy)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
