@@ -2,14 +2,14 @@
 
 import pytest
 
-import __spark_entry__ as entry
+from trafficlens.plans import catalog
 from trafficlens.operators import paging, usage
 from trafficlens.plans.usage_catalog import AS_OF
 from trafficlens.sources import tables
 from trafficlens.sources.driver_views import view
 
 SQL_ONLY = [
-    n for n in entry.queries()
+    n for n in catalog.queries()
     if not any(w in n for w in ("rate_limit_by", "rate_limit_dec", "exact_cache", "semantic", "stream", "embed", "nearest", "funnel",
                                 "hash_classes", "sweep", "attach", "store"))
 ]
@@ -21,7 +21,7 @@ def plan(df):
 
 @pytest.mark.parametrize("name", SQL_ONLY)
 def test_no_cross_join_and_no_python(spark, sf, name):
-    p = plan(entry.queries()[name](spark, sf))
+    p = plan(catalog.queries()[name](spark, sf))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
     assert "Python" not in p and "Pandas" not in p
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import settings as S
 from ..functions.times import bucket, ts_lit
+from ..session import keep
 from .filters import job_rows, maybe_eq, usage_rows
 
 SHALLOW = 10_000
@@ -25,7 +28,8 @@ def newest_page(
     """Rows ``offset .. offset+limit`` by (ts, id) descending.
 
     A shallow page is a top-k. A deep one would move ``offset`` rows to one task, so it first
-    finds, from row counts per second, the few seconds the page can lie in, and ranks only those.
+    finds, from row counts per second, the few seconds the page can lie in, and reads and ranks only
+    those.
     """
     _check(limit, offset)
     order = [F.desc(ts), F.desc(id_)]
@@ -48,6 +52,12 @@ def newest_page(
         .filter((F.col("_before") < offset + limit) & (F.col("_before") + F.col("_n") > offset))
         .select("_s", "_before")
     )
+    starts = keep(starts, "page_seconds")
+    first, last = starts.agg(F.min("_s"), F.max("_s")).first()
+    if first is None:
+        return df.limit(0)
+    # the seconds found are a range that the scan can skip by
+    df = df.filter((F.col(ts) >= ts_lit(first)) & (F.col(ts) < ts_lit(last + timedelta(seconds=1))))
     rank = F.col("_before") + F.row_number().over(Window.partitionBy("_s").orderBy(*order))
     return (
         df.withColumn("_s", second)

@@ -277,9 +277,16 @@ def nearest(
 
 
 def _distinct_vectors(df: DataFrame) -> DataFrame:
-    """One item per distinct (grp, vec), the earliest: copies would only repeat its distances."""
-    first = df.groupBy("grp", "vec").agg(F.min(F.struct("ms", "id")).alias("o"))
-    return first.select("grp", "vec", F.col("o.ms").alias("ms"), F.col("o.id").alias("id"))
+    """One item per distinct (grp, vec), the earliest: copies would only repeat its distances.
+
+    Vectors are told apart by 128 bits of hashes (_v1, _v2), so they are no grouping keys.
+    """
+    first = _keyed(df).groupBy("grp", "_v1", "_v2").agg(F.min(F.struct("ms", "id")).alias("o"), F.first("vec").alias("vec"))
+    return first.select("grp", "_v1", "_v2", "vec", F.col("o.ms").alias("ms"), F.col("o.id").alias("id"))
+
+
+def _keyed(df: DataFrame) -> DataFrame:
+    return df.withColumns({"_v1": F.xxhash64("vec"), "_v2": F.xxhash64(F.lit(1), "vec")})
 
 
 def semantic_lookup(
@@ -293,12 +300,12 @@ def semantic_lookup(
 
 
 def _lookup(queries: DataFrame, entries: DataFrame, search) -> DataFrame:
-    distinct = _distinct_vectors(queries)
-    found = search(distinct, _distinct_vectors(entries)).select(
+    distinct, flat = _distinct_vectors(queries), ["grp", "vec", "ms", "id"]
+    found = search(distinct.select(*flat), _distinct_vectors(entries).select(*flat)).select(
         F.col("qid").alias("_rep"), F.col("id").alias("entry_id"), "dist"
     )
-    hits = distinct.select("grp", "vec", F.col("id").alias("_rep")).join(found, "_rep").drop("_rep")
-    return queries.join(hits, ["grp", "vec"], "left")
+    hits = distinct.select("grp", "_v1", "_v2", F.col("id").alias("_rep")).join(found, "_rep").drop("_rep")
+    return _keyed(queries).join(hits, ["grp", "_v1", "_v2"], "left").drop("_v1", "_v2")
 
 
 def train_lists(entries: DataFrame, lists: int = S.VECTOR_LISTS, seed: int = 7) -> np.ndarray:

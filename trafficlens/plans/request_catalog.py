@@ -111,9 +111,9 @@ add(
 )
 add(
     "requests_coverage",
-    lambda s, d: view(s, d, "requests_flat").agg(F.countDistinct("conv_id").alias("used")).crossJoin(
-        base(s, d, "conversations").agg(F.countDistinct("conv_id").alias("given"))
-    ),
+    lambda s, d: view(s, d, "requests_flat").select("conv_id", F.lit("used").alias("side"))
+    .union(base(s, d, "conversations").select("conv_id", F.lit("given"))).distinct()
+    .agg(F.count_if(F.col("side") == "used").alias("used"), F.count_if(F.col("side") == "given").alias("given")),
     "select (select count(distinct conv_id) from requests_flat) as used, (select count(distinct conv_id) from conversations) as given",
     "requests_flat",
 )
@@ -144,12 +144,13 @@ add(
 
 
 def _hash_classes(s, d):
-    """Do both hashes put the same requests together?"""
-    r = requests(s, d)
+    """Do both hashes put the same requests together? Equal documents are hashed once."""
+    same = view(s, d, "requests_flat").groupBy("conv_id", "model", "temperature").agg(F.count("*").alias("n"))
+    r = same.join(conversation_messages(s, d), "conv_id")
     null_int, null_double = F.lit(None).cast("int"), F.lit(None).cast("double")
     args = (F.col("model"), F.col("messages"), F.col("temperature"), null_double, null_int)
-    both = r.select(M.request_hash(*args).alias("a"), M.request_hash_py(*args).alias("b"))
-    pairs = both.groupBy("a", "b").agg(F.count("*").alias("n"))
+    both = r.select(M.request_hash(*args).alias("a"), M.request_hash_py(*args).alias("b"), "n")
+    pairs = both.groupBy("a", "b").agg(F.sum("n").alias("n"))
     return pairs.agg(
         F.count("*").alias("pairs"), F.count_distinct("a").alias("hashes"), F.count_distinct("b").alias("python_hashes"),
         F.sum("n").alias("requests"),
