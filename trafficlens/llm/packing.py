@@ -14,6 +14,7 @@ an empty table gives no pieces. Only doc_id and text are read.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -25,9 +26,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import keep
 from .ranks import running
+from .words import Words, as_bytes, runs
 
 LENGTH = 2048
-KNOWN = 500_000  # words whose ids a worker remembers before it starts anew
+KNOWN = 1_000_000
+STEP = 1 << 21
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -38,36 +41,91 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 @cache
 def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
 
 
-def _encoder(path: str, words: bool):
-    """Text -> its ids as little-endian 32-bit bytes.
+MARKS = np.zeros(256, bool)
+MARKS[[c for c in range(33, 127) if not chr(c).isalnum() and c != 39]] = True
 
-    ``words``: the vocabulary drops white space, so a text's ids are those of its words in a row
-    and each distinct word is encoded once.
+
+def _after_letter(data: np.ndarray) -> np.ndarray:
+    """Where a mark (no apostrophe) follows an ASCII letter: a pre-token begins there in any case."""
+    out = np.zeros(len(data), bool)
+    out[1:] = MARKS[data[1:]] & (data[:-1] >= 97) & (data[:-1] <= 122)
+    return out
+
+
+class Encoder:
+    """Texts -> ids, for a vocabulary that drops white space, folds case and never joins letters
+    with marks: a text's ids are those of its words in a row.
+
+    Each distinct word is encoded once while it is remembered, by its 64-bit hash; the table of
+    words is a few arrays, dropped when it holds ``KNOWN`` words. Texts that could hold a special
+    token go to the tokenizer whole.
     """
-    tokenizer = _tokenizer(path)
-    ids_of = lambda texts: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-    known: dict[bytes, bytes] = {}
-
-    def encode(texts: list[str]) -> Iterator[bytes]:
-        if not words:
-            yield from ids_of(texts)
-            return
-        for text in texts:
-            parts = text.encode().split()
-            new = [w for w in dict.fromkeys(parts) if w not in known]
-            if new:
-                if len(known) + len(new) > KNOWN:
-                    known.clear()
-                    new = list(dict.fromkeys(parts))
-                known.update(zip(new, ids_of([w.decode() for w in new]), strict=True))
-            yield b"".join(map(known.__getitem__, parts))
-
-    return encode
+
+    def __init__(self, path: str):
+        self.tokenizer = _tokenizer(path)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.key, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, "<u4")
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        """Words of letters are one pre-token each, so they are encoded in one go."""
+        row = [i for i, w in enumerate(words) if w.isalpha()]
+        found = self.tokenizer.encode(" ".join(words[i] for i in row), add_special_tokens=False)
+        ids, word = np.array(found.ids, "<u4"), np.array(found.word_ids, np.int64)
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        if len(first) != len(row):
+            row, first, ids = [], first[:0], ids[:0]
+        rest = sorted(set(range(len(words))) - set(row))
+        others = self.whole([words[i] for i in rest])
+        order = np.array(row + rest, np.int64)
+        size = np.concatenate([np.diff(np.append(first, len(ids))), [len(x) for x in others]]).astype(np.int64)
+        start = len(self.ids) + np.cumsum(size) - size
+        self.ids = np.concatenate([self.ids, ids, *others])
+        key = np.concatenate([self.key, keys[order]])
+        sort = np.argsort(key, kind="stable")
+        self.key = key[sort]
+        self.start, self.size = np.concatenate([self.start, start])[sort], np.concatenate([self.size, size])[sort]
+
+    def __call__(self, column: pa.Array) -> list[np.ndarray]:
+        data, at = as_bytes(column)
+        words = Words(data, at, lower=True, cuts=_after_letter)
+        keys, first, back = np.unique(words.hash(), return_index=True, return_inverse=True)
+        place = np.searchsorted(self.key, keys)
+        new = np.flatnonzero(np.append(self.key, 0)[place] != keys) if len(self.key) else np.arange(len(keys))
+        if len(self.key) + len(new) > KNOWN and len(self.key):
+            self._forget()
+            new = np.arange(len(keys))
+        if len(new):
+            raw, pick = words.data, first[new]
+            begin, end = words.begin[pick].tolist(), words.end[pick].tolist()
+            self._learn(keys[new], [raw[a:b].tobytes().decode() for a, b in zip(begin, end, strict=True)])
+        place = np.searchsorted(self.key, keys)[back] if len(keys) else back
+        size = self.size[place]
+        end = np.cumsum(size)
+        ids = self.ids[np.repeat(self.start[place] - (end - size), size) + np.arange(end[-1] if len(end) else 0)]
+        edge = np.concatenate(([0], end))[words.first]
+        out = np.split(ids, edge[1:-1]) if len(at) > 2 else [ids] * (len(at) - 1)
+        special = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))  # <|
+        for i in np.unique(np.searchsorted(at, special, side="right") - 1).tolist():
+            out[i] = self.whole([column[i].as_py() or ""])[0]
+        return out
+
+
+@cache
+def _encoder(path: str) -> Encoder:
+    """One per worker, so tasks that follow one another share what it has learnt."""
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, path: str | None = None, end_id: int = 1, length: int = LENGTH, words: bool = True) -> DataFrame:
@@ -77,18 +135,20 @@ def pieces(docs: DataFrame, path: str | None = None, end_id: int = 1, length: in
     tail = np.array([end_id], "<u4").tobytes()
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(path, words)
+        encoder = _encoder(path)
         for batch in it:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            _, at = as_bytes(batch.column("text"))
+            for lo, hi in runs(at, STEP):
+                part = batch.slice(lo, hi - lo)
+                column = part.column("text")
                 row, out = [], []
-                for i, ids in enumerate(encode([t or "" for t in part.column("text").to_pylist()])):
-                    ids += tail
-                    n = len(ids) // 4
+                for i, ids in enumerate(encoder(column) if words else encoder.whole([t or "" for t in column.to_pylist()])):
+                    raw = ids.tobytes() + tail
+                    n = len(raw) // 4
                     for a in range(0, n, length):
                         b = min(n, a + length)
                         row.append(i)
-                        out.append((a, b - a, zlib.crc32(ids[4 * a : 4 * b]), n))
+                        out.append((a, b - a, zlib.crc32(raw[4 * a : 4 * b]), n))
                 columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 4
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id").take(pa.array(row, pa.int64())), *columns],

@@ -68,17 +68,18 @@ def stretch_hash(prefix: np.ndarray, begin: np.ndarray, end: np.ndarray, base: i
 class Words:
     """The maximal runs of non-space bytes of each text: begin, end, the text each lies in, a hash."""
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, at: np.ndarray, lower: bool = False, cuts=None):
+        """``cuts``: bytes -> where a word begins although no space is before it."""
         self.data, self.at = (LOWER[data] if lower else data), at
         solid = ~SPACE[self.data]
         first = solid.copy()
         first[1:] &= ~solid[:-1]
-        last = solid.copy()
-        last[:-1] &= ~solid[1:]
         edge = at[:-1][np.diff(at) > 0]
         first[edge] = solid[edge]
-        if len(edge):
-            last[edge[1:] - 1] = solid[edge[1:] - 1]
+        if cuts is not None:
+            first |= solid & cuts(self.data)
+        last = solid.copy()
+        last[:-1] &= ~solid[1:] | first[1:]
         self.begin, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.per_text = np.diff(np.searchsorted(self.begin, at))
         self.first = np.concatenate(([0], np.cumsum(self.per_text)))
