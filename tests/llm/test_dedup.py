@@ -84,7 +84,7 @@ def test_one_of_each(request, table):
     assert all(len(g) == 1 for g in after.values())
 
 
-def test_open_pairs_find_a_bridge(spark, monkeypatch):
+def test_open_buckets_find_a_bridge(spark, monkeypatch):
     """Two texts that resemble a third but not each other are one group, whoever leads."""
     r = random.Random(9)
     base = [f"w{r.randint(0, 10**6)}" for _ in range(400)]
@@ -109,3 +109,35 @@ def test_components(spark):
     nodes = {name(x) for pair in links if pair[0] != pair[1] for x in pair}
     group = groups(nodes, [(name(a), name(b)) for a, b in links])
     assert found == {n: min(group[n]) for n in nodes}
+
+
+def test_components_after_more_links(spark):
+    r = random.Random(8)
+    name = lambda i: b"%04d" % i
+    frame = lambda links: spark.createDataFrame([(bytearray(name(a)), bytearray(name(b))) for a, b in links], "a binary, b binary")
+    first = [(r.randint(0, 200), r.randint(0, 200)) for _ in range(80)]
+    more = [(r.randint(0, 260), r.randint(0, 260)) for _ in range(40)]
+    comps = near_dedup.components(frame(first))
+    found = {bytes(x["node"]): bytes(x["root"]) for x in near_dedup.joined_components(comps, frame(more)).collect()}
+    links = [(a, b) for a, b in first + more if a != b]
+    group = groups({name(x) for pair in links for x in pair}, [(name(a), name(b)) for a, b in links])
+    assert found == {n: min(g) for n, g in group.items()}
+
+
+def test_links_that_leaders_miss(spark):
+    """Pairs of versions resemble each other more than their common base, so their links come last."""
+    r = random.Random(21)
+    base = [f"w{r.randint(0, 10**6)}" for _ in range(300)]
+    versions = [" ".join(base)]
+    for k in range(12):
+        words = list(base)
+        for i in r.sample(range(300), 6):
+            words[i] = f"x{k}-{i}"
+        versions.append(" ".join(words))
+        words[r.randint(0, 299)] = f"y{k}"
+        versions.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(versions)), "doc_id long, text string")
+    _, group = near_groups(versions)
+    assert 3 < len({min(g) for g in group.values()}) < len(versions)
+    found = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df).collect()}
+    assert found == {i: min(g) for i, g in group.items()}

@@ -22,12 +22,14 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 U = np.uint64
-#: Bytes of text in a block; grows with the square root of the input beyond BLOCKS_FROM bytes, so
-#: that the rows between blocks and segments stay far fewer than the keys.
+#: Bytes of text in a block of an input of FULL_FROM to GROW_FROM bytes. Small inputs get smaller
+#: blocks, for enough tasks; large ones blocks that grow with the square root of the input, so that
+#: the messages between blocks and segments stay far fewer than the keys.
 BLOCK_BYTES = 4 << 20
-BLOCKS_FROM = 1 << 36
-#: Blocks to a segment.
-PER_SEGMENT = 8
+FULL_FROM, GROW_FROM = 1 << 30, 1 << 34
+#: Blocks to a segment, and how many segments there are at most, times the root of the blocks.
+PER_SEGMENT = 2
+SEGMENTS_TIMES = 16
 MESSAGE = "segment int, block int, kind int, data binary"
 
 
@@ -35,10 +37,12 @@ def dealt(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, i
     """(rows of block, doc_id, text; blocks; segments; bytes of all texts)."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
     total = docs.agg(F.sum(size + 64)).first()[0] or 0
-    blocks = max(1, math.ceil(total / (block_bytes * max(1.0, math.sqrt(total / BLOCKS_FROM)))))
+    scale = max(0.25, min(1.0, math.sqrt(total / FULL_FROM))) * max(1.0, math.sqrt(total / GROW_FROM))
+    blocks = max(1, math.ceil(total / (block_bytes * scale)))
+    segments = max(1, min(blocks, 32), min(blocks // PER_SEGMENT, int(SEGMENTS_TIMES * math.sqrt(blocks))))
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
     rows = docs.select(block.alias("block"), "doc_id", "text").repartition(blocks, "block")
-    return rows, blocks, max(1, blocks // PER_SEGMENT), total
+    return rows, blocks, segments, total
 
 
 def _planes(x: np.ndarray) -> bytes:

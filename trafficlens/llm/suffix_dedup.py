@@ -169,7 +169,7 @@ def _contexts(length: int, gram: int, segments: int):
             text = np.concatenate([block.data[i:j] for i, j in zip(first.tolist(), last.tolist(), strict=True)])
             data = B.packed(
                 sorted=anchor[e[part]], before=(place - first).astype(np.uint16), after=(last - place).astype(np.uint16),
-                known=state[e[part]] & REPEATED > 0, text=text,
+                text=text,
             )
             rows.append((s, b, CONTEXTS, data))
         _, first, second, known = _strings(block, state, example, length)
@@ -285,7 +285,19 @@ class Suffixes:
         return out
 
 
-def extents(anchor, before, after, known, text, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+def _whole_groups(anchor: np.ndarray, size: np.ndarray) -> list[slice]:
+    """Stretches of whole groups of equal anchors with about STEP bytes of contexts each."""
+    end = np.append(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, len(anchor))
+    total = np.cumsum(size)[end - 1]
+    out, i, done = [], 0, 0
+    while i < len(end):
+        j = max(i + 1, int(np.searchsorted(total, done + STEP, side="right")))
+        out.append(slice(int(end[i - 1]) if i else 0, int(end[j - 1])))
+        i, done = j, int(total[j - 1])
+    return out
+
+
+def extents(anchor, before, after, text, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """For each context (by anchor): the least and largest distance before its anchor at which a
     string that another context holds too begins; (1, 0) if there is none."""
     n, spread = len(anchor), length - gram
@@ -313,19 +325,20 @@ def _sort(length: int, gram: int):
         noted = table.filter(pc.equal(table.column("kind"), NOTED))
         rows = []
         if parts := B.read(table, CONTEXTS):
-            names = ("sorted", "before", "after", "known")
-            anchor, before, after, known = (np.concatenate([p[k] for _, _, p in parts]) for k in names)
+            names = ("sorted", "before", "after")
+            anchor, before, after = (np.concatenate([p[k] for _, _, p in parts]) for k in names)
             of = np.repeat(np.arange(len(parts)), [len(p["sorted"]) for _, _, p in parts])
             size = before.astype(np.int64) + after
             begin = np.cumsum(size) - size
             text = np.concatenate([p["text"] for _, _, p in parts])
             order = np.argsort(anchor, kind="stable")
-            joined = np.concatenate([text[a : a + s] for a, s in zip(begin[order].tolist(), size[order].tolist(), strict=True)])
-            least, most = extents(anchor[order], before[order], after[order], known[order], joined, length, gram)
-            back = np.argsort(order)
+            least, most = np.zeros(len(order), np.uint8), np.zeros(len(order), np.uint8)
+            for some in _whole_groups(anchor[order], size[order]):
+                o = order[some]
+                joined = np.concatenate([text[a : a + s] for a, s in zip(begin[o].tolist(), size[o].tolist(), strict=True)])
+                least[o], most[o] = extents(anchor[o], before[o], after[o], joined, length, gram)
             for i, (s, b, _) in enumerate(parts):
-                mine = back[of == i]
-                rows.append((s, b, EXTENTS, B.packed(least=least[mine], most=most[mine])))
+                rows.append((s, b, EXTENTS, B.packed(least=least[of == i], most=most[of == i])))
         parts = B.read(table, STRINGS)
         found = B.repeated([(p["sorted"], p["second"], p["more"]) for _, _, p in parts])
         rows += [(s, b, TWICE, B.packed(bits=x)) for (s, b, _), x in zip(parts, found, strict=True)]
