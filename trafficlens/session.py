@@ -9,7 +9,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_open = threading.local()
+#: Paths made in the open ``scratch`` blocks, per thread, the innermost last.
+_open: dict[int, list[list[str]]] = {}
 
 
 def build_session(master: str | None = None, app: str = "trafficlens", **conf: str) -> SparkSession:
@@ -51,8 +52,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder; removed at the end of the ``scratch`` it is made in,
     or else with the rest of that folder."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if getattr(_open, "paths", None):
-        _open.paths[-1].append(path)
+    blocks = _open.get(threading.get_ident())
+    if blocks:
+        blocks[-1].append(path)
     return path
 
 
@@ -65,11 +67,12 @@ def remove(spark: SparkSession, path: str) -> None:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables kept inside are removed at the end; write what is to stay before that."""
-    _open.paths = [*getattr(_open, "paths", []), []]
+    blocks = _open.setdefault(threading.get_ident(), [])
+    blocks.append([])
     try:
         yield
     finally:
-        for path in _open.paths.pop():
+        for path in blocks.pop():
             remove(spark, path)
 
 
