@@ -29,7 +29,7 @@ BUCKETS = 1 << 12
 LONGEST = 3
 PER_LANGUAGE = 400
 CLUSTERS = 4
-SLACK = 0.5
+SLACK = 0.25
 #: Labels that a table may have; more is an error, as each has centroids.
 MOST_LABELS = 1000
 STEP = 1 << 20
