@@ -5,11 +5,12 @@ equal sets form one class; everything below works on classes, so copies cost not
 
 * The signature is the minimum of each of ``HASHES`` universal hashes over the set; ``BANDS`` bands
   of it are the keys of buckets. At similarity 0.85 a pair shares no bucket once in 10**9.
-* Pairs are tested in three steps, so that no bucket ever emits its pairs: every class with the
-  best of the leaders of its buckets (a leader is the member that shares the most buckets, which
-  in a group of near copies is the one most others resemble), then with the other leaders, then,
-  in buckets that still hold several components, the members outside the largest component with
-  all others. Pairs that already lie in one component are not tested again. This loses no link.
+* Pairs are tested in two steps, so that no bucket ever emits its pairs: every class with the
+  leaders of its buckets (a leader is the member that shares the most buckets, which in a group of
+  near copies is the one most others resemble); then, in buckets that still hold several
+  components, the members outside the largest component with all others, chunk by chunk, where a
+  task emits a link only between what it has not joined yet. A pair is tested in the first band
+  that it shares only. This loses no link.
 * A pair is tested by its signatures first (``DOUBT`` standard deviations below the threshold
   drop it) and then exactly on the full sets.
 * Components of the confirmed links come from alternating large-star and small-star steps, each
@@ -24,7 +25,6 @@ are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -109,12 +109,12 @@ def profiles(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def bucket_members(classes: DataFrame) -> DataFrame:
-    """(bucket, node, members) of the buckets that hold two classes or more."""
+    """(bucket, band, node, members) of the buckets that hold two classes or more."""
     width = 4 * HASHES // BANDS
     bands = classes.select("node", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"), "signature")
-    bands = bands.select(F.expr(f"xxhash64(band, substring(signature, band * {width} + 1, {width}))").alias("bucket"), "node")
+    bands = bands.select("band", F.expr(f"xxhash64(band, substring(signature, band * {width} + 1, {width}))").alias("bucket"), "node")
     sizes = bands.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    return bands.join(sizes, "bucket").select("bucket", "node", "members")
+    return bands.join(sizes, "bucket").select("bucket", "band", "node", "members")
 
 
 def leader_pairs(members: DataFrame) -> DataFrame:
@@ -170,19 +170,24 @@ def full_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, shingle: in
     return one.select("node", "text").mapInArrow(batches, "node binary, shingles binary")
 
 
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted sets?"""
+    if len(x) < len(y):
+        x, y = y, x
+    if 100 * len(y) < percent * len(x):
+        return False
+    at = np.searchsorted(x, y)
+    both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs with 100 * intersection >= percent * union of their full sets."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            good = []
-            for i, (x, y) in enumerate(zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-                at = np.searchsorted(x, y)
-                both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    good.append(i)
-            good = pa.array(good, pa.int64())
+            both = zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True)
+            good = pa.array([i for i, (x, y) in enumerate(both) if linked(np.frombuffer(x, U), np.frombuffer(y, U), percent)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(c).take(good) for c in ("a", "b")], names=["a", "b"])
 
     a, b = (sets.withColumnsRenamed({"node": x, "shingles": f"set_{x}"}) for x in "ab")
@@ -193,108 +198,122 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the least node that is reachable, for all nodes of the links (a, b).
 
-    Alternates large-star and small-star until the links stay the same, which are then stars.
+    Alternates large-star and small-star until the links are stars.
     """
     edges = keep(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
 
-    def state(e: DataFrame):
-        return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def stars(e: DataFrame) -> bool:
+        """Has every node that is the larger end of a link just that one link?"""
+        ends = e.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+        ends = ends.union(e.select("b", F.lit(0), F.lit(1))).groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+        return ends.filter("up > 1 OR (up = 1 AND down > 0)").isEmpty()
 
-    now = state(edges)
-    while now[0]:
+    while not stars(edges):
+        # large-star: the larger neighbours of a node move to its least neighbour or itself
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = both.join(least, "a").filter("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = keep(large, "large_star")
+        # small-star: the smaller neighbours of a node, and the node, move to the least of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = moved.union(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-        edges = keep(small, "small_star")
-        before, now = now, state(edges)
-        if before == now:
-            break
+        moved = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
+        edges = keep(moved.select("e.*").filter("a <> b").distinct(), "small_star")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )
 
 
+def joined_components(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after more links: only the components that these touch are joined anew."""
+    a, b = (comps.withColumnsRenamed({"node": x, "root": f"root_{x}"}) for x in "ab")
+    roots = links.join(a, "a", "left").join(b, "b", "left").select(
+        F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")
+    )
+    moved = keep(components(roots), "joined").select(F.col("node").alias("root"), F.col("root").alias("top"))
+    old = comps.join(moved, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    new = moved.join(comps, moved["root"] == comps["node"], "left_anti")
+    return old.union(new.select(F.col("root").alias("node"), F.col("top").alias("root")))
+
+
 def _placed(members: DataFrame, comps: DataFrame) -> DataFrame:
     """Members with their component, of the buckets that hold several components."""
     found = members.join(comps, "node", "left").withColumn("comp", F.coalesce("root", "node"))
     sides = found.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-    return found.join(sides.select("bucket"), "bucket").select("bucket", "node", "comp")
+    return found.join(sides.select("bucket"), "bucket").select("bucket", "band", "node", "comp")
+
+
+def _blobs(column, dtype) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype) for x in column.to_pylist()]
+
+
+def _compare(percent: int, least: float):
+    """Links between the members of a pair of chunks that join components, one for each join."""
+
+    def compare(key, table):
+        node, band = table.column("node").to_pylist(), table.column("band")[0].as_py()
+        comp = np.unique(np.array(table.column("comp").to_pylist(), object), return_inverse=True)[1]
+        sig = np.stack(_blobs(table.column("signature"), np.uint32))
+        sets = _blobs(table.column("shingles"), U)
+        minor = np.array(table.column("minor").to_pylist(), bool)
+        rest, a, b = np.flatnonzero(~minor), [], []
+        for x in np.flatnonzero(minor):
+            other = rest[comp[rest] != comp[x]]
+            same = sig[other] == sig[x]
+            share = same.mean(axis=1)
+            shared = same.reshape(len(other), BANDS, HASHES // BANDS).all(axis=2)
+            near = np.flatnonzero((share >= least) & (shared.argmax(axis=1) == band))
+            for y in other[near[np.argsort(-share[near], kind="stable")]]:
+                if comp[y] != comp[x] and linked(sets[x], sets[y], percent):
+                    comp[comp == comp[y]] = comp[x]
+                    a.append(node[x])
+                    b.append(node[y])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return compare
 
 
-def open_pairs(members: DataFrame, comps: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of buckets with several components: members outside the largest, with all others.
+def open_links(members: DataFrame, comps: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) that join components: in buckets with several of them, members outside the
+    largest one are compared with all others.
 
-    Members are dealt into chunks of bounded size; each pair of chunks is compared by signature
-    in one task and emits only what could reach the threshold.
+    Members are dealt into chunks of bounded size, and each pair of chunks is one piece of work
+    that holds their signatures and sets and emits no more links than it has members.
     """
     placed = keep(_placed(members, comps), "open_buckets")
-    # of buckets with the same members one is enough
-    content = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-    placed = placed.join(content.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket")
     sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("total"))
-    marked = placed.join(largest, "bucket").withColumn("minor", F.col("comp") != F.col("top.comp"))
     chunk = F.floor(F.col("total") / CHUNK).cast("int") + 1
     few = F.floor((F.col("total") - F.col("top.n")) / CHUNK).cast("int") + 1
-    marked = marked.select(
-        "bucket", "node", "comp", "minor",
+    marked = placed.join(largest, "bucket").select(
+        "bucket", "band", "node", "comp", (F.col("comp") != F.col("top.comp")).alias("minor"),
         F.pmod(F.xxhash64("node"), chunk).cast("int").alias("any_no"),
         F.pmod(F.xxhash64("node"), few).cast("int").alias("minor_no"),
         chunk.alias("chunks"), few.alias("minors"),
     )
-    as_any = marked.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("minors") - 1))).select(
-        "bucket", "i", F.col("any_no").alias("j"), "node", "comp", F.lit(False).alias("minor")
-    )
-    as_minor = marked.filter("minor").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        "bucket", F.col("minor_no").alias("i"), "j", "node", "comp", F.lit(True).alias("minor")
-    )
-    cells = as_any.union(as_minor).join(classes.select("node", "signature"), "node")
-    least = _likely(threshold)
-
-    def compare(key, table):
-        node = np.array(table.column("node").to_pylist(), object)
-        comp = np.unique(np.array(table.column("comp").to_pylist(), object), return_inverse=True)[1]
-        sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, HASHES)
-        minor = np.array(table.column("minor").to_pylist(), bool)
-        rest, a, b = np.flatnonzero(~minor), [], []
-        for x in np.flatnonzero(minor):
-            other = rest[comp[rest] != comp[x]]
-            near = other[(sig[other] == sig[x]).mean(axis=1) >= least]
-            a += [max(node[x], y) for y in node[near]]
-            b += [min(node[x], y) for y in node[near]]
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    return cells.groupBy("bucket", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
+    numbers = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    as_any = F.transform(numbers("minors"), lambda i: F.struct(i.alias("i"), F.col("any_no").alias("j"), F.lit(False).alias("minor")))
+    as_minor = F.transform(numbers("chunks"), lambda j: F.struct(F.col("minor_no").alias("i"), j.alias("j"), F.lit(True).alias("minor")))
+    places = F.when(F.col("minor"), F.concat(as_any, as_minor)).otherwise(as_any)
+    full = classes.select("node", "signature").join(sets, "node")
+    cells = marked.join(full, "node").select("bucket", "band", "node", "comp", "signature", "shingles", F.explode(places).alias("at"))
+    cells = cells.select("bucket", "at.i", "at.j", "at.minor", "band", "node", "comp", "signature", "shingles")
+    return cells.groupBy("bucket", "i", "j").applyInArrow(_compare(percent, _likely(percent / 100)), "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, row_key, n_shingles, root, component_id) of every row; root names the group, null for an empty set."""
-    threshold = percent / 100
     found = keep(profiles(docs, shingle), "profiles")
     own = found.filter("node IS NOT NULL").groupBy("node")
     classes = keep(
         own.agg(F.first("signature").alias("signature"), F.min("row_key").alias("row_key"), F.min("doc_id").alias("least_id")), "classes"
     )
     members = keep(bucket_members(classes), "members")
-    likely = keep(with_estimates(leader_pairs(members), classes, threshold), "leader_pairs")
-    best = Window.partitionBy("b").orderBy(F.col("estimate").desc(), "a")
-    ranked = keep(likely.withColumn("place", F.row_number().over(best)), "ranked_pairs")
-    sets = keep(full_sets(docs, classes, _nodes(ranked), shingle), "sets")
-    links = [keep(confirmed(ranked.filter("place = 1"), sets, percent), "links")]
-    comps = keep(components(links[0]), "components")
-    links.append(keep(confirmed(_apart(ranked.filter("place > 1"), comps), sets, percent), "links"))
-    comps = keep(components(reduce(DataFrame.union, links)), "components")
-    rest = keep(open_pairs(members, comps, classes, threshold), "open_pairs")
-    rest = rest.join(_ordered(ranked), ["a", "b"], "left_anti")
-    more = _nodes(rest).join(sets.select("node"), "node", "left_anti")
-    sets_too = sets.union(full_sets(docs, classes, more, shingle))
-    links.append(keep(confirmed(rest, sets_too, percent), "links"))
-    if not links[-1].isEmpty():
-        comps = keep(components(reduce(DataFrame.union, links)), "components")
+    sets = keep(full_sets(docs, classes, members.select("node").distinct(), shingle), "sets")
+    likely = with_estimates(leader_pairs(members), classes, percent / 100)
+    comps = keep(components(confirmed(likely, sets, percent)), "components")
+    links = keep(open_links(members, comps, classes, sets, percent), "links")
+    if not links.isEmpty():
+        comps = keep(joined_components(comps, links), "components")
     ids = comps.join(classes.select("node", "least_id"), "node")
     smallest = ids.groupBy("root").agg(F.min("least_id").alias("linked_id"))
     linked = comps.join(smallest, "root").select("node", "root", "linked_id")
@@ -307,21 +326,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE)
     )
 
 
-def _nodes(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-
-
-def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """The pairs that do not lie in one component yet."""
-    a, b = (comps.withColumnsRenamed({"node": x, "root": f"root_{x}"}) for x in "ab")
-    both = pairs.select("a", "b").join(a, "a", "left").join(b, "b", "left")
-    return both.filter("NOT coalesce(root_a, a) <=> coalesce(root_b, b)").select("a", "b")
-
-
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One row of each group (the least doc_id, then the least row key) and all rows without words."""
     found = keep(near_duplicates(docs, percent), "near_duplicates")
