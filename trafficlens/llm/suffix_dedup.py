@@ -411,9 +411,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text
     rows, _, segments, _ = B.dealt(docs)
     by_block = rows.groupBy("block")
     anchors = by_block.applyInArrow(_anchors(length, gram, segments), B.MESSAGE)
-    states = anchors.groupBy("segment").applyInArrow(_states, B.MESSAGE)
+    states = anchors.repartition(segments, "segment").groupBy("segment").applyInArrow(_states, B.MESSAGE)
     sent = by_block.cogroup(states.groupBy("block")).applyInArrow(_contexts(length, gram, segments), B.MESSAGE)
-    answers = sent.groupBy("segment").applyInArrow(_sort(length, gram), B.MESSAGE)
+    answers = sent.repartition(segments, "segment").groupBy("segment").applyInArrow(_sort(length, gram), B.MESSAGE)
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * texts
     cut = _cut(length, gram, texts, to_arrow_type(docs.schema["doc_id"].dataType))

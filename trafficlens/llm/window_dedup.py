@@ -166,9 +166,9 @@ def strike_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -
     width = max(1 << 16, int(total * CELLS_PER_BYTE))
     by_block = rows.groupBy("block")
     parts = by_block.applyInArrow(_sketch(window, width, segments), B.MESSAGE)
-    marks = parts.groupBy("segment").applyInArrow(_merge, B.MESSAGE)
+    marks = parts.repartition(segments, "segment").groupBy("segment").applyInArrow(_merge, B.MESSAGE)
     wanted = by_block.cogroup(marks.groupBy("block")).applyInArrow(_wanted(window, width, segments), B.MESSAGE)
-    found = wanted.groupBy("segment").applyInArrow(_count, B.MESSAGE)
+    found = wanted.repartition(segments, "segment").groupBy("segment").applyInArrow(_count, B.MESSAGE)
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + ", text string" * texts
     from pyspark.sql.pandas.types import to_arrow_type
