@@ -221,6 +221,26 @@ def test_search_of_a_large_shard_prunes_and_recalls():
     assert recall >= 0.9 and verified < 0.7 * 200 * 4000
 
 
+@pytest.mark.parametrize("case", ["even", "uneven", "outlier", "two lengths", "long queries"])
+@pytest.mark.parametrize("dim", [32, 64])
+def test_recall_whatever_the_lengths(case, dim):
+    r = np.random.default_rng(11)
+    x = r.normal(size=(60, dim))[r.integers(0, 60, 4000)] + r.normal(size=(4000, dim)) * 0.7
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q = x[:200].copy()
+    if case == "uneven":
+        x *= np.exp(r.normal(size=(4000, 1)) * 0.5)
+    if case == "outlier":
+        x[300] *= 30
+    if case == "two lengths":
+        x[r.random(4000) < 0.5] *= 5
+    if case == "long queries":
+        q *= 10
+    best, score, _ = neighbours.Shard(np.arange(4000), x, 20).search(q, 20)
+    exact = np.sort(q @ x.T, axis=1)[:, ::-1][:, :20]
+    assert (score[:, :20] >= exact[:, -1:] - 1e-9).mean() >= 0.98
+
+
 def test_odd_vectors(spark):
     x = [1.0, 2.0, 0.5]
     rows = [(i, x) for i in range(0, 70)] + [(0, x), (100, None), (101, []), (102, [0.0, 0.0, 0.0]), (103, [1.0, None, 2.0])]

@@ -3,14 +3,17 @@
 Rows are dealt into shards by hash and queries into blocks; one task searches one shard for one
 block of queries, and the best of all shards are merged. In a shard
 
-* the largest inner product becomes the least Euclidean distance by one more component,
-  sqrt(M^2 - |x|^2), where M is the largest norm of the shard;
 * vectors are projected on ``PROJECTIONS`` Gaussian (2-stable) directions, so that the projected
   squared distance over the true one follows a chi-square law with as many degrees of freedom;
-* a kd-tree over the projections gives the leaves in the order of their projected distance, and
-  the vectors of the next leaves are verified by their true inner product;
-* a query stops when the chi-square law says that a vector nearer than its k-th best would have
-  been met by now with probability ``SURE``: chi2_m(next distance^2 / k-th distance^2) >= SURE.
+* a kd-tree over the projections and the length, which is kept as it is, makes the leaves; each
+  leaf has its own M, the largest length in it;
+* for a leaf the query is scaled to length M. A vector x whose inner product with the query of
+  length one is above s then has |Mq - x|^2 < 2M^2 - 2Ms, so with t the ``SURE`` quantile of the
+  chi-square law its projection lies within t(2M^2 - 2Ms) with probability ``SURE``. Solved for s,
+  the projected distance of a leaf gives the score that it can hold, M - distance^2 / 2Mt;
+* leaves are verified by their true inner products from the highest such score on, and a query
+  stops when its k-th best score is above that of the next leaf. So no vector and no query is
+  measured by the length of another.
 
 Equal vectors are one point of the tree that keeps its smallest ids. Scores are sums in double
 precision over the original components.
@@ -27,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-PROJECTIONS = 6
-SURE = 0.8
+PROJECTIONS = 8
+SURE = 0.99
 LEAF = 32
 SHARD = 8192
 BLOCK = 1024
@@ -46,6 +49,17 @@ def chi_square(x: np.ndarray, degrees: int = PROJECTIONS) -> np.ndarray:
     return 1 - np.exp(-half) * total
 
 
+def quantile(sure: float, degrees: int = PROJECTIONS) -> float:
+    """The value that ``chi_square`` takes to ``sure``, by halving; infinite for 1."""
+    lo, hi = 0.0, 1000.0
+    if sure >= 1:
+        return np.inf
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (lo, mid) if chi_square(np.array([mid]), degrees)[0] >= sure else (mid, hi)
+    return hi
+
+
 def directions(dim: int, m: int = PROJECTIONS) -> np.ndarray:
     return np.random.default_rng(20140901).standard_normal((dim, m))
 
@@ -66,14 +80,13 @@ class Shard:
         self.known = np.array([len(u) for u in unique])
         for i, u in enumerate(unique):
             self.ids[i, : len(u)] = u
-        squares = (self.x**2).sum(axis=1)
-        self.top = squares.max()
-        self.plane = directions(x.shape[1] + 1)
-        lifted = np.hstack([self.x, np.sqrt(np.maximum(self.top - squares, 0))[:, None]])
-        self.points = lifted @ self.plane
+        self.plane = directions(x.shape[1])
+        length = np.linalg.norm(self.x, axis=1)
+        self.points = np.hstack([self.x @ self.plane, length[:, None]])
         self.leaves = self._split(np.arange(len(first)), leaf)
-        self.low = np.stack([self.points[i].min(axis=0) for i in self.leaves])
-        self.high = np.stack([self.points[i].max(axis=0) for i in self.leaves])
+        self.low = np.stack([self.points[i, :-1].min(axis=0) for i in self.leaves])
+        self.high = np.stack([self.points[i, :-1].max(axis=0) for i in self.leaves])
+        self.top = np.array([length[i].max() for i in self.leaves])
         width = max(map(len, self.leaves))
         self.member = np.stack([np.resize(i, width) for i in self.leaves])  # short leaves repeat members
 
@@ -93,24 +106,20 @@ class Shard:
     def search(self, q: np.ndarray, k: int, sure: float = SURE) -> tuple[np.ndarray, np.ndarray, int]:
         """(vectors, scores) of the k + 1 best distinct vectors of each query, and pairs verified."""
         n, keep_ = len(q), min(k + 1, len(self.x))
-        at = np.hstack([q, np.zeros((n, 1))]) @ self.plane
+        norm = np.linalg.norm(q, axis=1)
+        at = (q / norm[:, None]) @ self.plane
         gap = np.zeros((n, len(self.leaves)))
         for d in range(at.shape[1]):
-            away = np.maximum(self.low[:, d] - at[:, d, None], at[:, d, None] - self.high[:, d])
-            gap += np.maximum(away, 0) ** 2
-        turn = np.argsort(gap, axis=1, kind="stable")
-        gap = np.take_along_axis(gap, turn, axis=1)
+            place = at[:, d, None] * self.top
+            gap += np.maximum(np.maximum(self.low[:, d] - place, place - self.high[:, d]), 0) ** 2
+        bound = (self.top - gap / (2 * self.top * quantile(sure))) * norm[:, None]
+        turn = np.argsort(-bound, axis=1, kind="stable")
+        bound = np.take_along_axis(bound, turn, axis=1)
         best = np.full((n, keep_), -1)
         score = np.full((n, keep_), -np.inf)
-        norm = (q**2).sum(axis=1) + self.top
         alive, verified = np.arange(n), 0
         for step in range(0, len(self.leaves), LEAVES):
-            if step:
-                reach = np.maximum(norm[alive] - 2 * score[alive, -1], 0)  # squared distance of the k-th best
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    ratio = np.where(np.isfinite(reach), gap[alive, step] / reach, 0.0)
-                # a distance of zero cannot be improved
-                alive = alive[~((reach <= 0) | (chi_square(np.nan_to_num(ratio, posinf=1e9)) >= sure))]
+            alive = alive[bound[alive, step] >= score[alive, -1]]
             if not len(alive):
                 break
             for part in np.array_split(alive, -(-len(alive) // 256)):
