@@ -87,6 +87,38 @@ def test_language_rejects_what_is_far_away(spark):
     assert language.keep_known(df).count() >= 0.99 * df.count()
 
 
+FOREIGN = [
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. ",
+    "Watu wote wamezaliwa huru, hadhi na haki zao ni sawa. Wote wamejaliwa akili na dhamiri, hivyo yapasa watendeane kindugu. ",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem. ",
+]
+
+
+@pytest.mark.parametrize("size", [400, 4000])
+def test_language_rejects_foreign_latin_text_and_gibberish(spark, size):
+    import base64
+    import string
+
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit(df)
+    r = random.Random(7)
+    far = [(t * size)[:size] for t in FOREIGN]
+    far += ["".join(r.choice(string.ascii_lowercase + " ") for _ in range(size)) for _ in range(3)]
+    far += [base64.b64encode(r.randbytes(size)).decode()[:size] for _ in range(3)]
+    found = language.predict(spark.createDataFrame([(t,) for t in far], "text string"), model).collect()
+    assert [t["text"][:30] for t in found if not t["rejected"]] == []
+
+
+def test_language_spares_short_clean_texts(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit(df.filter("doc_id % 2 = 0"))
+    words = [r["text"].split() for r in df.filter("doc_id % 2 = 1").collect() if r["text"]]
+    short = [(" ".join(w[len(w) // 2 :][:n]),) for w in words for n in (3, 8, 20, 60)]
+    short = [t for t in short if any(map(str.isalpha, t[0]))]
+    found = language.predict(spark.createDataFrame(short, "text string"), model)
+    assert found.filter("rejected").count() <= 0.01 * len(short)
+
+
 def test_gram_counts_of_long_texts(monkeypatch):
     text = ("abc déf, xyz " * 500).encode()
     data = np.frombuffer(text, np.uint8)

@@ -5,8 +5,11 @@ bytes of longer characters as they are, everything else a blank), with unit leng
 frequencies come from all training texts. The centroids are spherical k-means clusters within each
 language, fitted on a bounded sample of labelled texts (``PER_LANGUAGE`` of each language at most,
 those with the smallest hashes). A text gets the language of the centroid with the largest cosine.
-It is rejected when it has no letters or is too far from every centroid: its cosine is below
-``SLACK`` times the lowest thousandth of the sample's.
+It is rejected when it has no letters or is too far from every centroid for its length: its cosine
+is below ``SLACK`` times the lowest hundredth of the sample's cosines in its class of length. Length
+is the number of different n-grams, so that a text that repeats a word counts as short; a class
+spans a factor of sqrt(2). The sample's texts and stretches of 8 to 2,048 bytes of them fill the
+classes; a class of fewer than ``FEW`` takes the limit of the class below, the shortest have none.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0 and rejected; rows with
 a null language or text are no training rows; without training rows every text is ``und``. Rows
@@ -15,6 +18,7 @@ that repeat are predicted each by itself. Only doc_id, text and (to learn) lang
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +33,10 @@ BUCKETS = 1 << 12
 LONGEST = 3
 PER_LANGUAGE = 400
 CLUSTERS = 4
-SLACK = 0.25
+SLACK = 0.6
+LOW = 0.01
+FEW = 50
+STRETCHES = [1 << k for k in range(3, 12)]
 #: Labels that a table may have; more is an error, as each has centroids.
 MOST_LABELS = 1000
 STEP = 1 << 20
@@ -103,13 +110,42 @@ def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def length_class(counts: np.ndarray) -> np.ndarray:
+    """Half octaves of the number of different n-grams."""
+    return (2 * np.log2(np.maximum(np.count_nonzero(counts, axis=1), 1))).astype(int)
+
+
+CLASSES = int(length_class(np.ones((1, BUCKETS)))[0]) + 1
+
+
+def window(text: bytes) -> bytes:
+    """The part of a text that its stretches are cut from, at a place that depends on the text."""
+    a = zlib.crc32(text) % max(len(text) - STRETCHES[-1] + 1, 1)
+    return text[a : a + STRETCHES[-1]]
+
+
+def stretches(text: bytes) -> list[bytes]:
+    """A stretch of each size that is shorter than the text."""
+    places = [(n, zlib.crc32(text, n) % (len(text) - n + 1)) for n in STRETCHES if n < len(text)]
+    return [text[a : a + n] for n, a in places]
+
+
+def limits(kinds: np.ndarray, cosines: np.ndarray) -> np.ndarray:
+    """The least cosine of each class of length that is not rejected."""
+    out = np.zeros(CLASSES)
+    for c in range(CLASSES):
+        own = cosines[kinds == c]
+        out[c] = SLACK * np.quantile(own, LOW) if len(own) >= FEW else out[max(c - 1, 0)]
+    return out
+
+
 @dataclass
 class Model:
     languages: list[str]
     idf: np.ndarray
     centroids: np.ndarray  # clusters x buckets
     language: np.ndarray  # number of each centroid's language
-    least: float  # cosine below which a text is rejected
+    least: np.ndarray  # cosine below which a text is rejected, by class of length
 
 
 def document_frequency(rows: DataFrame) -> tuple[int, np.ndarray]:
@@ -171,26 +207,41 @@ def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, k: int = CLUSTERS) ->
     def featurise(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for i, j, counts in count_batches(batch.column("text")):
-                x = [v.tobytes() for v in vectors(counts, idf)]
-                yield pa.RecordBatch.from_arrays([batch.column("lang").slice(i, j - i), pa.array(x, pa.binary())], names=["lang", "x"])
-
-    sample = sample_by_label(rows, "lang", per_language).mapInArrow(featurise, "lang string, x binary")
-    by: dict[str, list[bytes]] = {}
-    for lang, x in sample.collect():
-        by.setdefault(lang, []).append(x)
-    languages, centroids, language, cosines = sorted(by), [], [], []
+                texts = batch.column("text").slice(i, j - i).cast(pa.binary()).to_pylist()
+                columns = [
+                    batch.column("lang").slice(i, j - i),
+                    pa.array([v.tobytes() for v in vectors(counts, idf)], pa.binary()),
+                    pa.array(length_class(counts)),
+                    pa.array([window(t) for t in texts], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "x", "kind", "part"])
+
+    sample = sample_by_label(rows, "lang", per_language).mapInArrow(featurise, "lang string, x binary, kind bigint, part binary")
+    by: dict[str, list[tuple[bytes, int, bytes]]] = {}
+    for lang, x, kind, part in sample.collect():
+        by.setdefault(lang, []).append((bytes(x), kind, bytes(part)))
+    languages, centroids, language = sorted(by), [], []
     for i, lang in enumerate(languages):
-        x = np.stack([np.frombuffer(v, np.float32) for v in sorted(by[lang])])
+        x = np.stack([np.frombuffer(v, np.float32) for v, _, _ in sorted(by[lang])])
         x = x[np.linalg.norm(x, axis=1) > 0]
         if len(x):
             c = clusters(x, k)
             centroids.append(c)
             language += [i] * len(c)
-            cosines.append((x @ c.T).max(axis=1))
     if not centroids:
-        return Model([], idf, np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), 0.0)
-    least = SLACK * float(np.quantile(np.concatenate(cosines), 0.001))
-    return Model(languages, idf, np.vstack(centroids).astype(np.float32), np.array(language), least)
+        return Model([], idf, np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), np.zeros(CLASSES))
+    centres = np.vstack(centroids).astype(np.float32)
+    kinds, cosines = [], []
+    for rows_ in by.values():
+        x = np.stack([np.frombuffer(v, np.float32) for v, _, _ in rows_])
+        kinds.append(np.array([kind for _, kind, _ in rows_]))
+        cosines.append((x @ centres.T).max(axis=1))
+        for _, _, counts in count_batches(pa.array([s for _, _, part in rows_ for s in stretches(part)], pa.binary())):
+            kinds.append(length_class(counts))
+            cosines.append((vectors(counts, idf) @ centres.T).max(axis=1))
+    kinds, cosines = np.concatenate(kinds), np.concatenate(cosines)
+    lettered = cosines > 0
+    return Model(languages, idf, centres, np.array(language), limits(kinds[lettered], cosines[lettered]))
 
 
 def predict(rows: DataFrame, model: Model) -> DataFrame:
@@ -200,7 +251,7 @@ def predict(rows: DataFrame, model: Model) -> DataFrame:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             n = batch.num_rows
-            best, score = np.full(n, len(names) - 1), np.zeros(n)
+            best, score, least = np.full(n, len(names) - 1), np.zeros(n), np.zeros(n)
             if len(model.centroids):
                 letters = np.array([any(map(str.isalpha, t or "")) for t in batch.column("text").to_pylist()], bool)
                 for i, j, counts in count_batches(batch.column("text")):
@@ -208,8 +259,9 @@ def predict(rows: DataFrame, model: Model) -> DataFrame:
                     top = np.argmax(cosine, axis=1)
                     score[i:j] = np.clip(cosine[np.arange(j - i), top], 0, 1)
                     best[i:j] = model.language[top]
+                    least[i:j] = model.least[length_class(counts)]
                 best[~letters], score[~letters] = len(names) - 1, 0
-            rejected = (best == len(names) - 1) | (score < model.least)
+            rejected = (best == len(names) - 1) | (score < least)
             found = [pa.array(names[best], pa.string()), pa.array(score), pa.array(rejected)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=[*batch.schema.names, "lang_pred", "score", "rejected"])
 
