@@ -119,6 +119,16 @@ def test_language_spares_short_clean_texts(spark):
     assert found.filter("rejected").count() <= 0.01 * len(short)
 
 
+def test_sample_counts_copies_once(spark):
+    rows = spark.range(20_000).selectExpr("concat('text ', id % 20) AS text", "'aa' AS lang")
+    rows = rows.union(spark.range(300).selectExpr("concat('other ', id)", "'bb'"))
+    found = [tuple(r) for r in language.sample_by_label(rows, "lang", 10).collect()]
+    assert len(set(found)) == len(found)
+    assert sorted(lang for _, lang in found) == ["aa"] * 10 + ["bb"] * 10
+    everything = [tuple(r) for r in language.sample_by_label(rows, "lang", 400).collect()]
+    assert len(set(everything)) == len(everything) == 320
+
+
 def test_gram_counts_of_long_texts(monkeypatch):
     text = ("abc déf, xyz " * 500).encode()
     data = np.frombuffer(text, np.uint8)

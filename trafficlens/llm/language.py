@@ -3,8 +3,8 @@
 A text is the TF-IDF vector of its hashed byte n-grams (one to three bytes; letters in lower case,
 bytes of longer characters as they are, everything else a blank), with unit length. Document
 frequencies come from all training texts. The centroids are spherical k-means clusters within each
-language, fitted on a bounded sample of labelled texts (``PER_LANGUAGE`` of each language at most,
-those with the smallest hashes). A text gets the language of the centroid with the largest cosine.
+language, fitted on a bounded sample of labelled texts (``PER_LANGUAGE`` different ones of each language at
+most, those with the smallest hashes). A text gets the language of the centroid with the largest cosine.
 It is rejected when it has no letters or is too far from every centroid for its length: its cosine
 is below ``SLACK`` times the lowest hundredth of the sample's cosines in its class of length. Length
 is the number of different n-grams, so that a text that repeats a word counts as short; a class
@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
+from ..session import keep
 from .words import as_bytes, mixed, runs
 
 BUCKETS = 1 << 12
@@ -167,20 +168,33 @@ def document_frequency(rows: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def sample_by_label(rows: DataFrame, label: str, most: int) -> DataFrame:
-    """At most ``most`` rows of each label: those with the smallest hashes of the whole row.
+    """At most ``most`` different rows of each label: those with the smallest hashes of the whole row.
 
-    A first cut by hash leaves about twice as many, so that no task ranks a whole label.
+    Copies count once. Only hashes are ranked: a first cut leaves about twice as many, so that no
+    task ranks a whole label. A task then sends each row that was picked once.
     """
-    counts = rows.groupBy(label).count().limit(MOST_LABELS + 1).collect()
+    hashed = rows.withColumn("_hash", F.xxhash64(*rows.columns))
+    different = keep(hashed.select(label, "_hash").distinct(), "sample_hashes")
+    counts = different.groupBy(label).count().limit(MOST_LABELS + 1).collect()
     if len(counts) > MOST_LABELS:
         raise ValueError(f"more than {MOST_LABELS} labels")
     if not counts:
         return rows
     part = F.create_map(*[F.lit(x) for value, n in counts for x in (value, min(1.0, (2 * most + 50) / n))])
-    hashed = rows.withColumn("_hash", F.xxhash64(*rows.columns))
-    near = hashed.filter(F.pmod("_hash", F.lit(1 << 30)) < part[F.col(label)] * float(1 << 30))
+    near = different.filter(F.pmod("_hash", F.lit(1 << 30)) < part[F.col(label)] * float(1 << 30))
     place = F.row_number().over(Window.partitionBy(label).orderBy(F.pmod("_hash", F.lit(1 << 30)), "_hash"))
-    return near.withColumn("_place", place).filter(F.col("_place") <= most).select(*rows.columns)
+    picked = np.array([h for (h,) in near.withColumn("_place", place).filter(F.col("_place") <= most).select("_hash").collect()], np.int64)
+
+    def once(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = picked
+        for batch in it:
+            hashes = batch.column("_hash").to_numpy()
+            at = np.flatnonzero(np.isin(hashes, left))
+            at = at[np.unique(hashes[at], return_index=True)[1]]
+            left = np.setdiff1d(left, hashes[at])
+            yield batch.take(pa.array(at))
+
+    return hashed.mapInArrow(once, hashed.schema).dropDuplicates(["_hash"]).select(*rows.columns)
 
 
 def clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
