@@ -117,3 +117,32 @@ def test_scratch_and_state_do_not_grow(spark, split, tmp_path):
     assert set(os.listdir(folder)) == before
     assert len(list((tmp_path / "cache" / "rows").glob("batch_id=*"))) >= 6
     assert len(list((tmp_path / "cache" / "state").glob("batch_id=*"))) <= 2
+
+
+@pytest.mark.parametrize("rows_", [3, 4000])
+def test_streamed_tables_keep_rows_without_time_and_their_partitions(spark, tmp_path, rows_):
+    from trafficlens.plans.stream_catalog import PARTS, stream_table
+
+    at = F.when(F.col("id") % 7 != 5, F.timestamp_seconds(F.col("id") * 60 + 1_700_000_000)).cast("timestamp_ntz")
+    table = spark.range(0, rows_, 1, 4).withColumn("ts", at).union(spark.range(-3, 0).withColumn("ts", F.lit(None).cast("timestamp_ntz")))
+    table.write.parquet(str(tmp_path / "t.parquet"))
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 30))
+    try:
+        files = spark.read.parquet(str(tmp_path / "t.parquet")).rdd.getNumPartitions()
+        batches = []
+
+        def batch(df, _):
+            kept = df.withColumn("file", F.input_file_name()).collect()
+            batches.append(kept)
+
+        stream = stream_table(spark, str(tmp_path), "t")
+        stream.writeStream.foreachBatch(batch).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(r["id"] for b in batches for r in b) == list(range(-3, rows_))
+    assert len(batches) == PARTS and files > 1
+    times = [[r["ts"] for r in b if r["ts"]] for b in batches]
+    times = [t for t in times if t]
+    assert all(max(a) < min(b) for a, b in zip(times, times[1:], strict=False))
+    if rows_ > 1000:
+        assert all(len({r["file"] for r in b}) == files for b in batches)

@@ -26,7 +26,11 @@ def add(name, fn, sql=None, *views):
 
 
 def stream_table(spark, d, name):
-    """A given table as a file stream that takes several micro-batches, in the order of its first time column."""
+    """A given table as a file stream that takes several micro-batches, in the order of its first time column.
+
+    Each part is dealt over as many files as the table has partitions, and a micro-batch takes just
+    that many files: a part. Rows without a time come first.
+    """
     table = base(spark, d, name)
     at = next((c for c, t in table.dtypes if t.startswith("timestamp") or t == "date"), None)
     if at is None:
@@ -34,9 +38,13 @@ def stream_table(spark, d, name):
     lo, hi = (F.lit(x) for x in table.agg(F.min(at), F.max(at)).first())
     part = lambda x: F.floor((F.unix_micros(x.cast("timestamp")) - F.unix_micros(lo.cast("timestamp"))) * PARTS / (F.unix_micros(hi.cast("timestamp")) - F.unix_micros(lo.cast("timestamp")) + 1))
     path = scratch_path(spark, f"stream_{name}")
+    files = table.rdd.getNumPartitions()
     for i in range(PARTS):
-        table.filter(part(F.col(at)) == i).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        table.filter(F.coalesce(part(F.col(at)), F.lit(0)) == i).repartition(files).write.mode("append").parquet(path)
+        # a part of few rows may leave files out; files without rows keep the next part out of its batch
+        for _ in range((i + 1) * files - len(spark.read.schema(table.schema).parquet(path).inputFiles())):
+            table.limit(0).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def stream_view(spark, d, name, streamed):
