@@ -141,3 +141,13 @@ def test_links_that_leaders_miss(spark):
     assert 3 < len({min(g) for g in group.values()}) < len(versions)
     found = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df).collect()}
     assert found == {i: min(g) for i, g in group.items()}
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_signatures_drop_hardly_a_link(percent):
+    """The exact chance that a pair at the threshold has too few equal minima for the exact test."""
+    from math import ceil, comb
+
+    n, p = near_dedup.HASHES, percent / 100
+    need = ceil(n * near_dedup._likely(p))
+    assert sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(need)) < 1e-9

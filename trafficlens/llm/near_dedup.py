@@ -38,7 +38,7 @@ from .words import U, Words, as_bytes, mixed, runs
 SHINGLE = 5
 HASHES = 112
 BANDS = 28
-DOUBT = 4.5
+DOUBT = 7.0
 STEP = 1 << 20
 #: Members of a bucket that are compared in one piece of work.
 CHUNK = 512
