@@ -149,3 +149,109 @@ def copies(rows) -> list[int]:
 def plain(df) -> list[tuple]:
     """The five columns of documents, with repeats."""
     return [tuple(r) for r in df.select("doc_id", "text", "lang", "source", "n_chars").collect()]
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def contaminated(texts, items, n=10):
+    """[(n_words, hit word numbers, names of the items that occur, is one without a name among them)]"""
+    windows = defaultdict(set)
+    for name, text in items:
+        w = TERM.findall((text or "").translate(LOWER))
+        for i in range(max(len(w) - n + 1, 1) if w else 0):
+            windows[tuple(w[i : i + n])].add(name)
+    out = []
+    for text in texts:
+        w, hit, names = TERM.findall((text or "").translate(LOWER)), set(), set()
+        for k in {len(x) for x in windows}:
+            for i in range(len(w) - k + 1):
+                found = windows.get(tuple(w[i : i + k]))
+                if found:
+                    hit.update(range(i, i + k))
+                    names |= found
+        out.append((len(w), hit, names - {None}, None in names))
+    return out
+
+
+def longest(texts, items, least):
+    """(item, word) -> (length, the (document number, word) of all longest matches)."""
+    words = [TERM.findall((t or "").translate(LOWER)) for t in texts]
+    out = {}
+    for name, text in items:
+        w = TERM.findall((text or "").translate(LOWER))
+        for j in range(len(w) - least + 1):
+            best, places = 0, set()
+            for d, x in enumerate(words):
+                for p in range(len(x)):
+                    k = 0
+                    while j + k < len(w) and p + k < len(x) and w[j + k] == x[p + k]:
+                        k += 1
+                    if k > best:
+                        best, places = k, set()
+                    if k == best:
+                        places.add((d, p))
+            if best >= least:
+                out[name, j] = (best, places)
+    return out
+
+
+def fill_middle(doc_id, text):
+    """(n, form, prefix_chars, middle_chars, output)"""
+    text = text or ""
+    digest = sha(f"1:{'' if doc_id is None else doc_id}")
+    h1, h2, h3, h4 = (int(digest[8 * i : 8 * i + 8], 16) for i in range(4))
+    n = len(text)
+    a, b = sorted((h1 % (n + 1), h2 % (n + 1)))
+    if not n or any(m in text for m in ("<P>", "<S>", "<M>")) or h3 % 100 >= 90:
+        return n, "plain", None, None, text
+    if h4 % 100 < 20:
+        return n, "spm", a, b - a, "<S>" + text[b:] + "<P>" + text[:a] + "<M>" + text[a:b]
+    return n, "psm", a, b - a, "<P>" + text[:a] + "<S>" + text[b:] + "<M>" + text[a:b]
+
+
+def leaf(row) -> str:
+    return sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row))
+
+
+def merkle(rows, fanout=16):
+    """[(row, leaf, subroot, root, proof, folded root)] for rows (doc_id, text, lang, source, n_chars)."""
+    import zlib
+
+    def climb(digests):
+        """The levels of a tree, from the leaves to the top."""
+        out = [digests]
+        while len(out[-1]) > 1:
+            out.append([sha("".join(out[-1][i : i + fanout])) for i in range(0, len(out[-1]), fanout)])
+        return out
+
+    def siblings(tree, i):
+        """[(before, after)] level by level."""
+        out = []
+        for level in tree[:-1]:
+            run = i // fanout * fanout
+            out.append(("".join(level[run:i]), "".join(level[i + 1 : run + fanout])))
+            i //= fanout
+        return out
+
+    def fields(doc_id, text, lang, source, n_chars):
+        return leaf((doc_id, source, lang, n_chars, text))
+
+    by = defaultdict(list)
+    for r in rows:
+        by[r[3]].append(r)
+    order = sorted(by, key=lambda s: (s is not None, (s or "").encode()))
+    for s in order:
+        by[s].sort(key=lambda r: (r[0] is not None, r[0] or 0, fields(*r)))
+    trees = {s: climb([fields(*r) for r in by[s]]) for s in order}
+    upper = climb([trees[s][-1][0] for s in order])
+    out = []
+    for k, s in enumerate(order):
+        for i, r in enumerate(by[s]):
+            path = siblings(trees[s], i) + siblings(upper, k)
+            wrong = r[0] is not None and r[1] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 0
+            at = fields(r[0], r[1].translate(LOWER), *r[2:]) if wrong else fields(*r)
+            for a, b in path:
+                at = sha(a + at + b)
+            out.append((r, fields(*r), trees[s][-1][0], upper[-1][0], "".join(a + b for a, b in path), at))
+    return out

@@ -6,6 +6,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import WORD, base_spans, copies, plain, redacted, sha, targets
 from hypothesis import given, settings, strategies as st
@@ -364,7 +365,9 @@ def test_word_cache_changes_no_id():
     r = random.Random(1)
     odd = ["Don't, we'll;'s a,'s", "É,é. … a…,b!!x's", "<|ENDOFTEXT|> a<|endoftext|>b <|x", "a\x1cb\x85c\xa0d İIſ Kk Σ ΑΣ a̸≮", "", "x_y-z/1.2,3a4 [q]{r}~^`"]
     odd += ["".join(r.choice("abÉB'.,!<|é \n\t1_́…") for _ in range(40)) for _ in range(800)]
-    assert list(encoder(odd)) == encoder.whole(odd)
+    expected = encoder.whole(odd)
+    found = list(encoder(pa.array(odd)))
+    assert len(found) == len(expected) and all(np.array_equal(x, y) for x, y in zip(found, expected, strict=True))
 
 
 # secrets

@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
+    decontaminate,
+    fill_middle,
     fingerprint,
     language,
+    merkle,
     mixing,
     near_dedup,
     neighbours,
@@ -68,6 +71,40 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hit = decontaminate.n_hit(F.col("spans"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        (F.size("items") + F.col("nameless").cast("int")).cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_middle.transform(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n",
+        "form",
+        F.col("prefix_units").alias("prefix_chars"),
+        F.col("middle_units").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.proofs(table(spark, sf_dir, "documents"), merkle.tampered())
+    folded = merkle.fold(F.coalesce("claim", "leaf"), F.col("path"))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), folded.alias("folded_root")
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -81,6 +118,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_neighbours,
         op9_packing,
         op10_secrets,
+        op11_decontamination,
+        op12_fill_middle,
+        op13_merkle,
     )
 }
 
@@ -153,4 +193,96 @@ least AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM least LEFT JOIN sizes USING (doc_id)"""
 
-ORACLES: dict[str, str] = {"op1_mixing": _MIXING, "op5_window_dedup": _WINDOWS, "op7_near_dedup": _NEAR}
+_HIT = rf"""
+WITH texts AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+items AS (
+  SELECT item_id::VARCHAR AS item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[i:i + least(len(ws), 10) - 1], ' ') AS w
+  FROM (SELECT item_id, ws, unnest(generate_series(1, greatest(len(ws) - 9, 1)::BIGINT)) AS i FROM items WHERE len(ws) > 0)),
+starts AS (
+  SELECT doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') AS w
+  FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws)::BIGINT)) AS i FROM texts), (SELECT DISTINCT n FROM windows)
+  WHERE i + n - 1 <= len(ws)),
+found AS (SELECT doc_id, i, n, item_id FROM starts JOIN windows USING (n, w)),
+hit AS (
+  SELECT doc_id, count(DISTINCT j) AS n_hit
+  FROM (SELECT DISTINCT doc_id, unnest(generate_series(i, i + n - 1)) AS j FROM found) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM texts LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+_MIDDLE = """
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id::VARCHAR) AS h FROM documents),
+drawn AS (
+  SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+    ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM texts),
+cut AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (SELECT *, substring(t, 1, a) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1, n - b) AS s FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM parts"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value})::VARCHAR || ':' || {value}, '-')"
+
+
+_LEAF = " || ".join(_field(c) for c in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", "{text}"))
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: crc32 of the decimal digits, bit by bit.
+_CRC = """xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda r, c: list_reduce(list_prepend(xor(r, c), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384))))"""
+
+#: Trees of the sources and of their top nodes, level by level; then every leaf climbs both.
+_TREES = rf"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, source, sha256({_LEAF.format(text="text")}) AS leaf,
+    CASE WHEN {_CRC} % 5 = 0 THEN sha256({_LEAF.format(text=_LOWERED)}) END AS claim,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents),
+nodes AS (
+  SELECT source, 0 AS level, i, n, leaf AS digest FROM leaves
+  UNION ALL
+  SELECT source, any_value(level) + 1, i // 16, (any_value(n) + 15) // 16, sha256(string_agg(digest, '' ORDER BY i))
+  FROM nodes WHERE n > 1 GROUP BY source, i // 16),
+tops AS (
+  SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+upper AS (
+  SELECT 0 AS level, i, n, subroot AS digest FROM tops
+  UNION ALL
+  SELECT any_value(level) + 1, i // 16, (any_value(n) + 15) // 16, sha256(string_agg(digest, '' ORDER BY i)) FROM upper WHERE n > 1 GROUP BY i // 16),
+climb AS (
+  SELECT doc_id, source, 0 AS level, i, n, '' AS proof, coalesce(claim, leaf) AS folded FROM leaves
+  UNION ALL
+  SELECT c.doc_id, any_value(c.source), any_value(c.level) + 1, any_value(c.i) // 16, (any_value(c.n) + 15) // 16,
+    any_value(c.proof) || coalesce(string_agg(d.digest, '' ORDER BY d.i) FILTER (d.i <> c.i), ''),
+    sha256(string_agg(CASE WHEN d.i = c.i THEN c.folded ELSE d.digest END, '' ORDER BY d.i))
+  FROM climb c JOIN nodes d ON d.source IS NOT DISTINCT FROM c.source AND d.level = c.level AND d.i // 16 = c.i // 16
+  WHERE c.n > 1 GROUP BY c.doc_id),
+rise AS (
+  SELECT c.doc_id, 0 AS level, t.i, t.n, c.proof, c.folded FROM climb c JOIN tops t ON t.source IS NOT DISTINCT FROM c.source WHERE c.n = 1
+  UNION ALL
+  SELECT c.doc_id, any_value(c.level) + 1, any_value(c.i) // 16, (any_value(c.n) + 15) // 16,
+    any_value(c.proof) || coalesce(string_agg(d.digest, '' ORDER BY d.i) FILTER (d.i <> c.i), ''),
+    sha256(string_agg(CASE WHEN d.i = c.i THEN c.folded ELSE d.digest END, '' ORDER BY d.i))
+  FROM rise c JOIN upper d ON d.level = c.level AND d.i // 16 = c.i // 16 WHERE c.n > 1 GROUP BY c.doc_id)
+SELECT r.doc_id, l.leaf, t.subroot, u.digest AS root, sha256(r.proof) AS proof_sha256, r.folded AS folded_root, r.folded = u.digest AS verified
+FROM rise r JOIN leaves l ON l.doc_id = r.doc_id JOIN tops t ON t.source IS NOT DISTINCT FROM l.source, (SELECT digest FROM upper WHERE n = 1) u
+WHERE r.n = 1"""
+
+ORACLES: dict[str, str] = {
+    "op1_mixing": _MIXING,
+    "op5_window_dedup": _WINDOWS,
+    "op7_near_dedup": _NEAR,
+    "op11_decontamination": _HIT,
+    "op12_fill_middle": _MIDDLE,
+    "op13_merkle": _TREES,
+}
