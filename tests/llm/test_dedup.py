@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import near_groups, groups, sha, struck_bytes, struck_words
 
@@ -41,6 +42,15 @@ def test_bytes(request, monkeypatch, table, length, gram, crowd):
     assert sorted_rows(found) == sorted_rows(expected)
 
 
+@pytest.mark.parametrize("segments", [32, 115])
+def test_anchors_spread_over_segments(segments):
+    r = random.Random(12)
+    texts = [" ".join(r.choice("abcdefghij") * r.randint(1, 6) + str(r.randint(0, 999)) for _ in range(400)) for _ in range(300)]
+    block = suffix_dedup.Block(pa.table({"doc_id": range(len(texts)), "text": texts}), 200, 64)
+    count = np.bincount(blocks.segment_of(block.keys[0], segments), minlength=segments)
+    assert len(block.keys[0]) > 5000 and count.min() > 0 and count.max() <= 3 * count.mean()
+
+
 @pytest.mark.parametrize("collide", [False, True])
 def test_suffix_order(monkeypatch, collide):
     """The hashed mergesort orders like bytes do, also when every hash collides."""

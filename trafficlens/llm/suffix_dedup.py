@@ -96,7 +96,8 @@ class Block:
         last = np.minimum(place + length, self.at[text + 1])
         around = stretch_hash(prefix_hash(part, BASES[1]), first - a, last - a, BASES[1])
         around = mixed(around + (place - first).astype(U) * U(0xC2B2AE3D27D4EB4F) + (last - place).astype(U) * U(0x165667B19E3779F9))
-        return place, hashes[hit], around
+        # an anchor's hash is the least of many, so its upper bits say little; mixed, it deals evenly to segments
+        return place, mixed(hashes[hit]), around
 
 
 def _anchors(length: int, gram: int, segments: int):
