@@ -2,8 +2,8 @@
 
 The fills of a hash form a chain: the next one is the first eligible request at or after the
 previous fill plus the TTL. The requests of a hash are sorted once and the chain jumps from fill to
-fill. A hot hash is not sorted in one task: its requests are first reduced to distinct
-times, packed and sorted per minute on many tasks, and only the packed minutes are streamed in order.
+fill. A hot hash is never gathered: its chain is followed on many tasks by composed transfer
+functions of its TTL-long cells (``chains``), however long it goes without a silence.
 Hits are then read off by joining rows to the fills on (hash, TTL-long cell), which spreads a
 hot hash over its cells; a cell has at most one fill.
 """
@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import settings as S
 from ..functions.times import millis
+from ..session import keep
+from .chains import jumps
 from .timeline import CELL_MS, HOT_KEY_ROWS, asof_last, cell_of, hot_keys, runs
 
 
@@ -54,38 +56,16 @@ def _chain_rows(ttl_ms: int):
     return run
 
 
-def _chain_packed(ttl_ms: int):
-    """Fills among cells (key, cell, ms array, ids array) sorted by (key, cell)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chain = _Chain(ttl_ms)
-        for batch in batches:
-            keys, ids = batch.column("key").to_pylist(), batch.column("ids").flatten()
-            ends = np.cumsum(batch.column("ms").value_lengths().to_numpy()).tolist()
-            flat = batch.column("ms").flatten()
-            times, rows, picks, start = flat.to_pylist(), [], [], 0
-            for row, end in enumerate(ends):
-                found = list(chain.fills(keys[row], times, start, end))
-                picks += found
-                rows += [row] * len(found)
-                start = end
-            if picks:
-                at = pa.array(picks, type=pa.int64())
-                key = batch.column("key").take(pa.array(rows, type=pa.int64()))
-                yield pa.RecordBatch.from_arrays([key, flat.take(at), ids.take(at)], names=["key", "ms", "id"])
-
-    return run
-
-
 def islands(rows: DataFrame, gap_ms: int) -> DataFrame:
-    """(key, cell, island): stretches of a key that a silence of at least ``gap_ms`` separates.
+    """(key, cell, island): stretches of a key that a silence of a TTL and its longest delay separates.
 
-    A request after a silence of a TTL fills in any case, so each island can be followed by itself.
-    Only the ends of each cell are ranked. A silence inside a cell is left alone.
+    After such a silence every answer has arrived and expired, so each island can be followed by
+    itself. Only the ends of each cell are ranked. A silence inside a cell is left alone.
     """
-    ends = rows.groupBy("key", "cell").agg(F.min("ms").alias("first"), F.max("ms").alias("last"))
+    ends = rows.groupBy("key", "cell").agg(F.min("ms").alias("first"), F.max("ms").alias("last"), F.max("delay").alias("delay"))
     order = Window.partitionBy("key").orderBy("cell")
-    new = (F.col("first") - F.lag("last").over(order) >= gap_ms).cast("int")
+    longest = F.greatest(F.max("delay").over(Window.partitionBy("key")), F.lit(0))
+    new = (F.col("first") - F.lag("last").over(order) >= longest + F.lit(gap_ms)).cast("int")
     starts = ends.withColumn("new", F.coalesce(new, F.lit(0)))
     return starts.select("key", "cell", F.sum("new").over(order).alias("island"))
 
@@ -108,20 +88,8 @@ def fill_chain(
     )
     if hot.isEmpty():
         return fills
-    busy = rows.join(hot, "key", "left_semi").withColumn("cell", cell_of(F.col("ms"), cell_ms))
-    packed = (
-        busy.groupBy("key", "cell", "ms")
-        .agg(F.min("id").alias("id"))
-        .groupBy("key", "cell")
-        # at most one entry per millisecond of the cell
-        .agg(F.array_sort(F.collect_list(F.struct("ms", "id"))).alias("points"))
-        .select("key", "cell", F.col("points.ms").alias("ms"), F.col("points.id").alias("ids"))
-        .join(islands(busy, ttl_ms), ["key", "cell"])
-        .repartition("key", "island")
-        .sortWithinPartitions("key", "cell")
-        .select("key", "cell", "ms", "ids")
-    )
-    return fills.unionByName(packed.mapInArrow(_chain_packed(ttl_ms), out))
+    busy = keep(rows.join(hot, "key", "left_semi").groupBy("key", "ms").agg(F.min("id").alias("id")), "hot-times")
+    return fills.unionByName(busy.join(jumps(busy, ttl_ms, cell_ms), ["key", "ms"]).select("key", "ms", "id"))
 
 
 def hits_by_fills(
@@ -200,6 +168,7 @@ def _delayed_sets(ttl_ms: int, packed: bool):
         for batch in batches:
             keys, ms, delay = batch.column("key").to_pylist(), batch.column("ms"), batch.column("delay")
             if packed:
+                keys = list(zip(keys, batch.column("island").to_pylist(), strict=True))
                 ends = np.cumsum(ms.value_lengths().to_numpy()).tolist()
                 stretches = zip(range(len(ends)), [0, *ends], ends)
                 times, delays = ms.flatten().to_pylist(), delay.flatten().to_pylist()
@@ -262,16 +231,15 @@ def replay_exact_cache_delayed(
         .mapInArrow(_delayed_sets(ttl_ms, False), out)
     )
     if not hot.isEmpty():
+        # requests of one time and latency set the same entry
+        busy = points.join(hot, "key", "left_semi").withColumn("cell", cell_of(F.col("ms"), cell_ms)).distinct()
         packed = (
-            points.join(hot, "key", "left_semi")
-            .withColumn("cell", cell_of(F.col("ms"), cell_ms))
-            # requests of one time and latency set the same entry
-            .distinct()
-            .groupBy("key", "cell")
+            busy.groupBy("key", "cell")
             .agg(F.array_sort(F.collect_list(F.struct("ms", "delay"))).alias("p"))
-            .select("key", "cell", F.col("p.ms").alias("ms"), F.col("p.delay").alias("delay"))
-            .repartition("key")
-            .sortWithinPartitions("key", "cell")
+            .join(islands(busy, ttl_ms), ["key", "cell"])
+            .select("key", "island", "cell", F.col("p.ms").alias("ms"), F.col("p.delay").alias("delay"))
+            .repartition("key", "island")
+            .sortWithinPartitions("key", "island", "cell")
         )
         sets = sets.unionByName(packed.mapInArrow(_delayed_sets(ttl_ms, True), out))
     before = rows.withColumn("_before", F.col("_ms") - 1)
