@@ -65,6 +65,31 @@ def test_rate_limit_equals_loop(spark, seed, cell, hot):
     assert decisions(got) == limiter(rows, lambda k: (3, 12), 10_000, 100_000)
 
 
+@pytest.mark.parametrize("seed,per_short,per_long,cell", [(11, 6, 60, 1000), (12, 4, 25, 2500), (13, 5, 0, 10_000), (14, 0, 40, 1000), (15, 3, 200, 20_000)])
+def test_rate_limit_cuts_at_calm_windows(spark, seed, per_short, per_long, cell):
+    """A hot key with bursts and calm stretches but no silence of the long window."""
+    r = random.Random(seed)
+    rows, at = [], 0
+    for i in range(1500):
+        at += r.randrange(200) if i % 150 < 40 else r.randrange(5_000)
+        rows.append((i, "hot", at, True))
+    got = ratelimit.replay_rate_limit(
+        frame(spark, rows), key="key", short_seconds=10, long_seconds=100, per_short=per_short, per_long=per_long, cell_ms=cell, hot_rows=0,
+    )
+    want = limiter(rows, lambda k: (per_short, per_long), 10_000, 100_000)
+    assert decisions(got) == want and len(set(want.values())) > 1
+
+
+def test_a_key_without_silence_is_replayed_in_many_islands(spark):
+    r = random.Random(2)
+    points = [("hot", 60_000 * minute + r.randrange(60_000), 1, 0, 3, 10_000) for minute in range(4000) for _ in range(5 if minute % 50 == 7 else 1)]
+    df = spark.createDataFrame(points, "key string, ms bigint, n bigint, taken bigint, per_short int, per_long int")
+    packed = ratelimit._packed_islands(df, 60_000, 86_400_000, 60_000)
+    sizes = [r["count"] for r in packed.groupBy("island").count().collect()]
+    # only the bursts with the calm minutes before them are left, each by itself
+    assert len(sizes) >= 60 and max(sizes) <= 6
+
+
 def test_rate_limit_with_overrides(spark):
     rows = random_rows(4)
     table = {"hot": (0, 20), "k1": (2, 0), "k2": (0, 0), "k3": (1, 1)}

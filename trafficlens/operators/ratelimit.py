@@ -10,8 +10,10 @@ That chain is followed per key, but over compressed input:
    A full window is skipped in one step to the moment it opens, so the work grows with the
    accepted requests, and memory holds just the accepted slots of one window;
 3. a hot key is not sorted in one task: its counts are packed and sorted per cell on many tasks.
-   Stretches between silences longer than both windows are independent (islands) and replayed
-   on different tasks, and an island whose raw counts never reach a limit is skipped;
+   Its stretches are independent (islands) and replayed on different tasks where it was silent for
+   longer than both windows, and also where a short window's raw counts stay within its limit and
+   the long limit cannot be reached before all earlier slots have left its window. An island whose
+   raw counts never reach a limit is skipped. A key that is always over a limit stays one island;
 4. the decisions go back to the rows by (key, millisecond), which spreads a hot key over all tasks.
 """
 
@@ -206,18 +208,32 @@ def _packed_islands(counts: DataFrame, short_ms: int, long_ms: int, cell_ms: int
     # the filter spells out what the join below implies, so that both uses of the counts share one shuffle
     counts = counts.withColumn("cell", cell_of(F.col("ms"), cell_ms)).filter("key is not null and cell is not null")
     cells = counts.groupBy("key", "cell", "per_short", "per_long").agg(
-        F.sum("n").alias("n"), F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms")
+        F.sum("n").alias("n"), F.sum("taken").alias("taken"), F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms")
     )
     by_cell = Window.partitionBy("key").orderBy("cell")
 
-    def most(width_ms: int):
-        """No window ending in this cell holds more rows than this."""
-        return F.sum("n").over(by_cell.rangeBetween(-(-(-width_ms // cell_ms)), 0))
+    def within(n, width_ms: int):
+        """No window ending in this cell holds more than this."""
+        return F.sum(n).over(by_cell.rangeBetween(-(-(-width_ms // cell_ms)), 0))
 
-    tight = ((F.col("per_short") > 0) & (most(short_ms) > F.col("per_short"))) | (
-        (F.col("per_long") > 0) & (most(long_ms) > F.col("per_long"))
+    def all_of(flag: str, width_ms: int):
+        """Does it hold for this cell and all that begin within ``width_ms``?"""
+        return F.min(flag).over(by_cell.rangeBetween(0, -(-width_ms // cell_ms) - 1))
+
+    # a cell no longer than the short window never accepts more than the short limit
+    capped = (F.col("per_short") > 0) & F.lit(cell_ms <= short_ms)
+    cells = cells.withColumn("most", F.when(capped, F.greatest(F.least("n", "per_short"), "taken")).otherwise(F.col("n")))
+    cells = cells.withColumns(
+        {
+            "calm_short": (F.col("per_short") <= 0) | (within("n", short_ms) <= F.col("per_short")),
+            "calm_long": (F.col("per_long") <= 0) | (within("most", long_ms) <= F.col("per_long")),
+        }
     )
-    cells = with_islands(cells.withColumn("tight", tight), "key", max(short_ms, long_ms))
+    # Where a whole short window is calm, all its requests are accepted whatever came before, and where the
+    # long window stays calm until all earlier slots have left it, they do not matter: a new start.
+    cut = all_of("calm_short", short_ms) & all_of("calm_long", long_ms + cell_ms)
+    cells = cells.withColumns({"tight": ~(F.col("calm_short") & F.col("calm_long")), "cut": cut})
+    cells = with_islands(cells, "key", max(short_ms, long_ms), F.col("cut"))
     tight_islands = F.max("tight").over(Window.partitionBy("key", "island"))
     todo = cells.withColumn("tight", tight_islands).filter("tight").select("key", "cell", "island")
     return (

@@ -46,13 +46,16 @@ def spans(points: DataFrame, key: str, ms: str, cell_ms: int, n: Column | None =
     )
 
 
-def with_islands(cells: DataFrame, key: str, gap_ms: int) -> DataFrame:
+def with_islands(cells: DataFrame, key: str, gap_ms: int, cut: Column | None = None) -> DataFrame:
     """Number the stretches of a key's cells that are at least ``gap_ms`` apart.
 
-    Needs cells no longer than the gap, so that a gap can only lie between two cells.
+    Needs cells no longer than the gap, so that a gap can only lie between two cells. A cell for
+    which ``cut`` holds begins a stretch as well.
     """
     w = Window.partitionBy(key).orderBy("cell")
     quiet = F.col("first_ms") - F.lag("last_ms").over(w) >= F.lit(gap_ms)
+    if cut is not None:
+        quiet = F.coalesce(quiet, F.lit(False)) | cut
     starts = F.when(quiet, 1).otherwise(0)
     return cells.withColumn("_starts", starts).withColumn("island", F.sum("_starts").over(w)).drop("_starts")
 

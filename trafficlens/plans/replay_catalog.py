@@ -83,6 +83,14 @@ add(
     .replace("from s\"\"\"", "") + ") select r.event_type, x.decision, count(*) as n from x join requests_flat r using (id) group by 1,2",
     "requests_flat",
 )
+add(
+    # every key is treated as a hot one: cut into islands at calm windows, replayed island by island
+    "rate_limit_islands",
+    lambda s, d: ratelimit.replay_rate_limit(
+        flat(s, d), key="event_type", short_seconds=3600, per_short=4, per_long=90, hot_rows=0
+    ).select(*OUT),
+    limit_sql("e.event_type", 3_600_000, 86_400_000, 4, 90, ("3600s", "day"), "requests_flat"), "requests_flat",
+)
 add(
     "sliding_counts_minute",
     lambda s, d: timeline.sliding_counts(flat(s, d), 3600, key="event_type").select("id", "in_window"),
@@ -135,6 +143,14 @@ add(
 )
 
 
+add(
+    # every key is treated as a hot one: its chain is followed by composed transfer functions
+    "exact_cache_composed",
+    lambda s, d: exact_cache.replay_exact_cache(flat(s, d), 43200, key="event_type", fillable="fillable", hot_rows=0).select(*CACHE_OUT),
+    cache_sql("e.event_type", 43_200_000, "e.fillable", "requests_flat"), "requests_flat",
+)
+
+
 DELAY = "e.k*60000"
 
 
