@@ -31,7 +31,7 @@ def items(spark, rows):
 
 def unit(v):
     v = np.asarray(np.asarray(v, dtype=np.float32), dtype=np.float64)
-    return v / np.linalg.norm(v)
+    return v / (np.linalg.norm(v) or 1.0)
 
 
 def distances(q, e):
@@ -80,11 +80,31 @@ def test_cells_lose_nothing(seed, max_dist, k):
         assert reach[i, cell[j]]
 
 
-def test_pivots_are_used_only_where_they_help(spark):
-    df = items(spark, clustered(3, 300, centres=40, spread=0.02))
-    assert sim.choose_pivots(df, 0.01, block=4) is not None
-    assert sim.choose_pivots(df, 1.0, block=4) is None
-    assert sim.choose_pivots(df, 0.01) is None
+@pytest.mark.parametrize(("earlier", "max_dist"), [(False, 0.08), (True, 1.1)])
+def test_tree_equals_brute_force(spark, monkeypatch, earlier, max_dist):
+    monkeypatch.setattr(sim, "FAN", 8)
+    monkeypatch.setattr(sim, "LEAF", 4)
+    e, q = clustered(1, 400, centres=30), clustered(2, 150, centres=30)
+    e += [("a", 1000 + i, i, [0.0] * 12) for i in range(3)] + [("a", 2000 + i, i, e[0][3]) for i in range(100)]
+    q += [("a", 3000, 500, [0.0] * 12)]
+    got = sim.nearest(items(spark, q), items(spark, e), max_dist, earlier=earlier, block=8)
+    assert result(got) == brute_nearest(q, e, max_dist, earlier)
+    tree = sim.Tree(items(spark, e), 8)
+    assert len(tree.levels) > 1 and tree.entries.count() == len(e)
+    sizes = {(r["grp"], r["cell"]): r["count"] for r in tree.entries.groupBy("grp", "cell").count().collect()}
+    # only the cell of equal vectors is larger
+    assert sorted(sizes.values())[-2] <= 32
+
+
+def test_copies_of_a_query_do_not_grow_with_the_entries(spark):
+    copies, rng = [], np.random.default_rng(6)
+    for n in (500, 8000):
+        # more clusters as there are more entries, so that a query has as many neighbours
+        centre = rng.normal(size=(n // 25, 12))
+        near = lambda m: (centre[rng.integers(0, len(centre), m)] + 0.01 * rng.normal(size=(m, 12))).tolist()  # noqa: B023, E731
+        tree = sim.Tree(items(spark, [("a", i, i, v) for i, v in enumerate(near(n))]), 8)
+        copies.append(tree.place(items(spark, [("a", i, i, v) for i, v in enumerate(near(200))]), 0.005).count() / 200)
+    assert copies[1] <= 1.5 * copies[0] + 1
 
 
 def test_records_are_the_nearest_so_far(spark):
@@ -176,6 +196,40 @@ def test_replay_semantic_equals_loop(spark, options):
     assert {w[0] for w in want.values()} == {"none", "semantic"}
 
 
+@pytest.mark.parametrize("shape", ["chain", "clique", "mixed"])
+@pytest.mark.parametrize("most_pairs", [10**6, 8])
+def test_pieces_of_any_shape_end_in_few_rounds(spark, monkeypatch, shape, most_pairs):
+    n = 1000 if most_pairs > 8 else 20
+    angle = np.arange(n) * 0.005 if shape == "chain" else np.random.default_rng(1).random(n) * (0.004 if shape == "clique" else 3.0)
+    rows = [("a", i, i, [float(np.cos(x)), float(np.sin(x))]) for i, x in enumerate(angle)]
+    rounds, earliest = [], sc._earliest
+    monkeypatch.setattr(sc, "_earliest", lambda df, batch: rounds.append(batch) or earliest(df, batch))
+    max_dist = round(1 - np.cos(0.0051), 9)
+    got = sc.semantic_fill_masks(items(spark, rows), [max_dist, 4 * max_dist], small=0, block=256, most_pairs=most_pairs)
+    u = [unit(r[3]) for r in rows]
+    want = {}
+    for t, d in enumerate((max_dist, 4 * max_dist)):
+        fills = []
+        for i in range(n):
+            if not any(round(1 - float(u[i] @ u[j]), 9) <= d for j in fills):
+                fills.append(i)
+                want[i] = want.get(i, 0) | 1 << t
+    assert {r["id"]: r["mask"] for r in got.collect()} == want
+    assert most_pairs == 8 or len(rounds) <= 3
+
+
+@pytest.mark.parametrize("options", [{}, {"small": 0, "first_batch": 8, "block": 32}])
+def test_sweep_equals_a_replay_for_each_threshold(spark, options):
+    rows, vec = requests(12)
+    thresholds = [0.99, 0.8, 0.97, 0.9, 0.95, 0.85]
+    got = sc.threshold_sweep_exact(request_frame(spark, rows), prompt_frame(spark, vec), thresholds, fillable="fillable", **options)
+    want = {}
+    for t in thresholds:
+        replay = brute_semantic(rows, vec, sim.max_distance(t))
+        want[t] = (len(rows), sum(x[0] == "semantic" for x in replay.values()))
+    assert {r["threshold"]: (r["requests"], r["hits"]) for r in got.collect()} == want
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.integers(0, 100_000), st.integers(1, 700), st.floats(0.01, 0.9))
 def test_greedy_equals_loop(seed, n, max_dist):

@@ -21,35 +21,171 @@ from .ratelimit import replay_rate_limit
 
 SMALL_GROUP = 8192  # a group of at most this many distinct prompts is decided in one task
 FIRST_BATCH = 1024  # undecided prompts per cell that are examined in the first round, at most
+MOST_PAIRS = 4_000_000  # near pairs (ids only) of a group's round that one task decides
+HALVES = 12  # an early part is as small as 1/2**HALVES of a cell, at least
+
+
+def _bits(mask: np.ndarray, n: int) -> np.ndarray:
+    """Masks as rows of ``n`` booleans."""
+    return (mask[:, None] >> np.arange(n)[None, :]) & 1 > 0
+
+
+def _masks(bits: np.ndarray) -> np.ndarray:
+    return (bits.astype(np.int64) << np.arange(bits.shape[1])[None, :]).sum(axis=1)
+
 
+def _greedy(dists: float | list[float]):
+    """Fills among one small group: each item is compared with the fills so far, in time order.
 
-def _greedy(max_dist: float):
-    """Fills among one small group: each item is compared with the fills so far, in time order."""
+    Bit t of ``mask`` tells that the item is a fill for the distance t; one product serves all.
+    """
+    dists = dists if isinstance(dists, list) else [dists]
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("ms", "ascending"), ("id", "ascending")])
         m = sim.to_matrix(table["vec"])
-        fills: list[int] = []
+        fills, bits = [], []
         for at in range(0, len(m), 256):
             part = m[at : at + 256]
-            free = np.ones(len(part), dtype=bool)
+            free = np.ones((len(part), len(dists)), dtype=bool)
             if fills:
-                free = ~(np.round(1.0 - part @ m[fills].T, sim.DIGITS) <= max_dist).any(axis=1)
-            near = np.round(1.0 - part @ part.T, sim.DIGITS) <= max_dist
-            for i in np.flatnonzero(free):
-                if free[i]:
+                apart, of = np.round(1.0 - part @ m[fills].T, sim.DIGITS), np.array(bits)
+                for t, d in enumerate(dists):
+                    free[:, t] = ~(apart[:, of[:, t]] <= d).any(axis=1)
+            inside = np.round(1.0 - part @ part.T, sim.DIGITS)
+            for i in np.flatnonzero(free.any(axis=1)):
+                mine = free[i].copy()
+                if mine.any():
                     fills.append(at + int(i))
-                    free[i + 1 :] &= ~near[i, i + 1 :]
-        return table.take(pa.array(fills, type=pa.int64()))
+                    bits.append(mine)
+                    for t in np.flatnonzero(mine):
+                        free[i + 1 :, t] &= ~(inside[i, i + 1 :] <= dists[t])
+        mask = _masks(np.array(bits).reshape(-1, len(dists)))
+        return table.take(pa.array(fills, type=pa.int64())).append_column("mask", pa.array(mask, pa.int64()))
 
     return run
 
 
-HALVES = 12  # an early part is as small as 1/2**HALVES of a cell, at least
+def _before(q: pa.Table, e: pa.Table):
+    """(entries in time order, their times and ids), and which of them come before each query."""
+    e = e.sort_by([("ms", "ascending"), ("id", "ascending")])
+    em, ei = e["ms"].to_numpy(), e["id"].to_numpy()
+
+    def before(ms: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        return (em[None, :] < ms[:, None]) | ((em[None, :] == ms[:, None]) & (ei[None, :] < ids[:, None]))
+
+    return e, em, ei, before
+
+
+def _near_pairs(dists: list[float]):
+    """(grp, qid, qms, id, dist) of all earlier entries that are near for a distance still open to both."""
+
+    def run(q: pa.Table, e: pa.Table) -> pa.Table:
+        out = {"qid": [], "qms": [], "id": [], "dist": []}
+        if q.num_rows and e.num_rows:
+            e, em, ei, before = _before(q, e)
+            entries, queries = sim.to_matrix(e["vec"]), sim.to_matrix(q["vec"])
+            qm, qi = q["ms"].to_numpy(), q["id"].to_numpy()
+            q_open, e_open = (_bits(x["open"].to_numpy(), len(dists)) for x in (q, e))
+            step = max(1, 2_000_000 // len(em))
+            for at in range(0, len(qi), step):
+                part = slice(at, at + step)
+                apart = np.round(1.0 - queries[part] @ entries.T, sim.DIGITS) + 0.0
+                near = np.zeros(apart.shape, bool)
+                for t, d in enumerate(dists):
+                    near |= (apart <= d) & q_open[part, t][:, None] & e_open[:, t][None, :]
+                i, j = np.nonzero(near & before(qm[part], qi[part]))
+                out["qid"].append(qi[part][i])
+                out["qms"].append(qm[part][i])
+                out["id"].append(ei[j])
+                out["dist"].append(apart[i, j])
+        types = {"qid": pa.int64(), "qms": pa.int64(), "id": pa.int64(), "dist": pa.float64()}
+        columns = {c: pa.array(np.concatenate(v) if v else [], types[c]) for c, v in out.items()}
+        grp = (q if q.num_rows else e)["grp"]
+        name = pa.array([grp[0].as_py()] * len(columns["qid"]), grp.type) if len(grp) else pa.array([], grp.type)
+        return pa.table({"grp": name, **columns})
+
+    return run
+
+
+def _answered(dists: list[float]):
+    """(qid, mask): the distances for which a query has an earlier fill near enough."""
+
+    def run(q: pa.Table, e: pa.Table) -> pa.Table:
+        ids, masks = [], []
+        if q.num_rows and e.num_rows:
+            e, em, ei, before = _before(q, e)
+            entries, queries = sim.to_matrix(e["vec"]), sim.to_matrix(q["vec"])
+            qm, qi, bits = q["ms"].to_numpy(), q["id"].to_numpy(), _bits(e["mask"].to_numpy(), len(dists))
+            step = max(1, 2_000_000 // len(em))
+            for at in range(0, len(qi), step):
+                part = slice(at, at + step)
+                apart = np.round(1.0 - queries[part] @ entries.T, sim.DIGITS)
+                apart[~before(qm[part], qi[part])] = np.inf
+                hit = np.stack([(apart[:, bits[:, t]] <= d).any(axis=1) for t, d in enumerate(dists)], axis=1)
+                some = np.flatnonzero(hit.any(axis=1))
+                ids.append(qi[part][some])
+                masks.append(_masks(hit[some]))
+        return pa.table(
+            {c: pa.array(np.concatenate(v) if v else [], pa.int64()) for c, v in (("qid", ids), ("mask", masks))}
+        )
+
+    return run
+
+
+def _first_fills(dists: list[float]):
+    """(qid, t, ms, id): for each distance the earliest fill that is near enough."""
+
+    def run(q: pa.Table, e: pa.Table) -> pa.Table:
+        out = {"qid": [], "t": [], "ms": [], "id": []}
+        if q.num_rows and e.num_rows:
+            e, em, ei, _ = _before(q, e)
+            entries, queries = sim.to_matrix(e["vec"]), sim.to_matrix(q["vec"])
+            qi, bits = q["id"].to_numpy(), _bits(e["mask"].to_numpy(), len(dists))
+            step = max(1, 2_000_000 // len(em))
+            for at in range(0, len(qi), step):
+                apart = np.round(1.0 - queries[at : at + step] @ entries.T, sim.DIGITS)
+                for t, d in enumerate(dists):
+                    near = (apart <= d) & bits[:, t][None, :]
+                    some = np.flatnonzero(near.any(axis=1))
+                    j = near[some].argmax(axis=1)
+                    for c, v in (("qid", qi[at + some]), ("t", np.full(len(some), t)), ("ms", em[j]), ("id", ei[j])):
+                        out[c].append(v)
+        return pa.table({c: pa.array(np.concatenate(v) if v else [], pa.int64()) for c, v in out.items()})
+
+    return run
+
+
+def _decided(dists: list[float]):
+    """(id, mask): the fills among the examined items that have near pairs, per distance.
+
+    Items are taken in time order; one is a fill for a distance unless one of its earlier near items is.
+    All of these are examined too, those without pairs being fills for all distances open to them.
+    """
+
+    def run(pairs: pa.Table, items: pa.Table) -> pa.Table:
+        ids, masks = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if items.num_rows and pairs.num_rows:
+            order = np.argsort(items["id"].to_numpy(), kind="stable")
+            ids, open_ = items["id"].to_numpy()[order], items["open"].to_numpy()[order]
+            q, e = (np.searchsorted(ids, pairs[c].to_numpy()) for c in ("qid", "id"))
+            turn = np.lexsort((pairs["qid"].to_numpy(), pairs["qms"].to_numpy()))
+            q, e, apart = q[turn], e[turn], pairs["dist"].to_numpy()[turn]
+            close = np.stack([apart <= d for d in dists], axis=1)
+            state = _bits(open_, len(dists))
+            edge = np.flatnonzero(np.diff(q)) + 1
+            for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(q)], strict=True):
+                state[q[lo]] &= ~(close[lo:hi] & state[e[lo:hi]]).any(axis=0)
+            asked = np.unique(q)
+            ids, masks = ids[asked], _masks(state[asked])
+        return pa.table({"id": pa.array(ids, pa.int64()), "mask": pa.array(masks, pa.int64())})
+
+    return run
 
 
 def _earliest(undecided: DataFrame, batch: int) -> DataFrame:
-    """All items of a group up to a time, with about ``batch`` items in its fullest cell.
+    """All items of a group up to a time, with about ``batch`` items in its fullest cell; all of them
+    where no cell has more.
 
     Nothing earlier is left out, so these items need to be compared only with each other. The time
     is a quantile from mergeable sketches, so no task sorts a group.
@@ -57,60 +193,58 @@ def _earliest(undecided: DataFrame, batch: int) -> DataFrame:
     parts = F.percentile_approx("ms", [2.0**-k for k in range(HALVES + 1)], 20_000)
     halvings = F.least(F.greatest(F.ceil(F.log2(F.col("n") / F.lit(batch))), F.lit(0)), F.lit(HALVES)).cast("int")
     cells = undecided.groupBy("grp", "cell").agg(F.count("*").alias("n"), parts.alias("q"))
-    ends = cells.groupBy("grp").agg(F.min(F.element_at("q", halvings + 1)).alias("_end"))
-    return undecided.join(ends, "grp").filter(F.col("ms") <= F.col("_end")).drop("_end")
+    ends = cells.groupBy("grp").agg(F.min(F.when(halvings > 0, F.element_at("q", halvings + 1))).alias("_end"))
+    return undecided.join(ends, "grp").filter("_end IS NULL OR ms <= _end").drop("_end")
 
 
 def _fills_in_rounds(
-    items: DataFrame, max_dist: float, block: int, first_batch: int, pivots, small: int = SMALL_GROUP
+    items: DataFrame, dists: list[float], block: int, first_batch: int, pivots, most_pairs: int = MOST_PAIRS
 ) -> DataFrame:
     """Fills of groups of any size, in rounds over all groups at once.
 
-    A round examines the earliest undecided items. Groups with few of them are decided whole, in
-    time order, so a chain of near prompts ends in one round; in the others those without an
-    earlier undecided neighbour are fills. Every later neighbour of a fill, examined or not, is a
-    hit. The earliest undecided item of a group always is a fill, a dense crowd of near copies
-    disappears with its first fill, and the batch grows each round. Each round is written to the
-    shared folder.
+    A round examines the earliest undecided items and finds the near pairs among them. The graph of
+    these pairs, ids without vectors, is decided whole: connected pieces of any shape, such as a chain of
+    near prompts or a crowd, end in one round. Should a group have more pairs than one task takes, only
+    items without an earlier near one are decided, and the next round goes on. Every later neighbour
+    of a fill, examined or not, is a hit. The batch grows each round, and each round is written to the
+    shared folder. ``open`` holds a bit for each distance that an item is not decided for.
     """
-    if isinstance(pivots, str):
-        pivots = sim.choose_pivots(items, max_dist, block)
-    reach = sim.reachable_cells(max_dist)
-    undecided = keep(sim.place_entries(items, pivots))
-    flat = ["grp", "id", "ms", "vec"]
+    loosest = max(dists)
+    tree = sim.placed_for(items, pivots, block)
+    undecided = keep(tree.entries.withColumn("open", F.lit((1 << len(dists)) - 1).cast("bigint")), "undecided")
     fills, batch = None, first_batch
-
-    def search(queries: DataFrame, entries: DataFrame) -> DataFrame:
-        """Ids of the queries that have an earlier neighbour among the (placed) entries."""
-        wide = None if pivots is None else sim.blocks_of(entries.count(), block)
-        placed = sim.place_queries(queries.select(*flat), pivots, reach, wide)
-        found = sim.blocked_search(placed, entries, max_dist, earlier=True, block=block, anywhere=pivots is not None)
-        return found.select(F.col("qid").alias("id"))
-
-    schema = ", ".join(f"{n} {t}" for n, t in undecided.dtypes)
+    columns = undecided.columns
+    grp = undecided.schema["grp"].dataType.simpleString()
     while not undecided.isEmpty():
-        examined = keep(_earliest(undecided, batch))
-        few = keep(examined.groupBy("grp").agg((F.count("*") <= small).alias("_few")))
-        whole = examined.join(few.filter("_few"), "grp", "left_semi").groupBy("grp").applyInArrow(_greedy(max_dist), schema)
-        many = examined.join(few.filter("not _few"), "grp", "left_semi")
-        if few.filter("not _few").isEmpty():
-            new = keep(whole)
-        else:
-            new = keep(whole.unionByName(many.join(search(many, many), "id", "left_anti").select(*undecided.columns)))
-        # what was decided whole is done, whether fill or hit
-        done = new.select("id").union(examined.join(few.filter("_few"), "grp", "left_semi").select("id")).distinct()
-        rest = undecided.join(done, "id", "left_anti")
-        undecided = keep(rest.join(search(rest, new), "id", "left_anti"))
+        examined = keep(_earliest(undecided, batch).select(*columns), "examined")
+        asked = tree.place(examined.drop("cell"), loosest)
+        pairs = sim.by_blocks(asked, examined, _near_pairs(dists), f"grp {grp}, qid bigint, qms bigint, id bigint, dist double", block)
+        pairs = keep(pairs, "near-pairs")
+        few = pairs.groupBy("grp").agg(F.count("*").alias("n")).filter(F.col("n") <= most_pairs).select("grp")
+        whole = pairs.join(few, "grp", "left_semi").groupBy("grp").cogroup(
+            examined.select("grp", "id", "open").join(few, "grp", "left_semi").groupBy("grp")
+        ).applyInArrow(_decided(dists), "id bigint, mask bigint")
+        later = pairs.select(F.col("qid").alias("id"), "grp").distinct()
+        left = later.join(few, "grp", "left_anti").select("id", F.lit(-1).cast("bigint").alias("mask"))
+        # -1: undecided; no row: nothing near before it
+        found = keep(examined.join(whole.unionByName(left), "id", "left"), "decided").select(*columns, "mask")
+        new = found.filter("mask IS NULL OR mask > 0").select(*columns, F.coalesce("mask", "open").alias("mask"))
+        rest = keep(undecided.join(found.filter("mask IS NULL OR mask >= 0").select("id"), "id", "left_anti").select(*columns), "rest")
+        hit = sim.by_blocks(tree.place(rest.drop("cell"), loosest), new.drop("open"), _answered(dists), "qid bigint, mask bigint", block)
+        hit = hit.groupBy(F.col("qid").alias("id")).agg(F.bit_or("mask").alias("mask"))
+        still = F.col("open").bitwiseAND(F.bitwise_not(F.coalesce("mask", F.lit(0).cast("bigint"))))
+        undecided = keep(rest.join(hit, "id", "left").withColumn("open", still).filter("open <> 0").select(*columns), "undecided")
         fills = new if fills is None else fills.unionByName(new)
-        batch *= 4
-    return items.limit(0) if fills is None else fills.select(*items.columns)
+        batch = min(8 * batch, 1 << 40)
+    names = [*items.columns, "mask"]
+    return items.limit(0).withColumn("mask", F.lit(0).cast("bigint")) if fills is None else fills.select(*names)
 
 
-def semantic_fills(
-    items: DataFrame, max_dist: float, small: int = SMALL_GROUP, block: int = sim.BLOCK,
-    first_batch: int = FIRST_BATCH, pivots="auto",
+def semantic_fill_masks(
+    items: DataFrame, dists: list[float], small: int = SMALL_GROUP, block: int = sim.BLOCK,
+    first_batch: int = FIRST_BATCH, pivots="auto", most_pairs: int = MOST_PAIRS,
 ) -> DataFrame:
-    """The fills among items (grp, id, ms, vec), in (ms, id) order per group.
+    """The fills among items (grp, id, ms, vec), in (ms, id) order per group; bit t of ``mask``: for distance t.
 
     Groups whose checked size fits one task are decided there; all others in rounds.
     """
@@ -119,12 +253,31 @@ def semantic_fills(
     big_names = sizes.filter(F.col("_n") > small).select("grp")
     small_names = sizes.filter(F.col("_n") <= small).select("grp")
     little = items.join(small_names, "grp").select(*items.columns)
-    schema = ", ".join(f"{n} {t}" for n, t in items.dtypes)
-    fills = little.groupBy("grp").applyInArrow(_greedy(max_dist), schema)
+    schema = ", ".join(f"{n} {t}" for n, t in items.dtypes) + ", mask bigint"
+    fills = little.groupBy("grp").applyInArrow(_greedy(dists), schema)
     if big_names.isEmpty():
         return fills
     big = items.join(big_names, "grp").select(*items.columns)
-    return fills.unionByName(_fills_in_rounds(big, max_dist, block, first_batch, pivots, small))
+    return fills.unionByName(_fills_in_rounds(big, dists, block, first_batch, pivots, most_pairs))
+
+
+def semantic_fills(items: DataFrame, max_dist: float, **options) -> DataFrame:
+    """The fills for one distance."""
+    return semantic_fill_masks(items, [max_dist], **options).drop("mask")
+
+
+def _fill_candidates(requests: DataFrame, prompts: DataFrame, model: str, prompt: str, ts: str, id_: str, can_fill) -> DataFrame:
+    """(grp, prompt, vec, first, fill): the first and the first fillable request of each prompt with a vector."""
+    at = F.struct(millis(F.col(ts)).alias("ms"), F.col(id_).alias("id"))
+    firsts = requests.filter(F.col(prompt).isNotNull()).groupBy(F.col(model).alias("grp"), F.col(prompt).alias("prompt")).agg(
+        F.min(F.when(can_fill, at)).alias("fill"), F.min(at).alias("first")
+    )
+    vectors = prompts.select(F.col(model).alias("grp"), F.col(prompt).alias("prompt"), "vec")
+    return firsts.join(vectors, ["grp", "prompt"])
+
+
+def _may_fill(items: DataFrame) -> DataFrame:
+    return items.filter(F.col("fill").isNotNull()).select("grp", F.col("fill.id").alias("id"), F.col("fill.ms").alias("ms"), "vec")
 
 
 def replay_semantic(
@@ -150,17 +303,9 @@ def replay_semantic(
     max_dist = sim.max_distance(threshold)
     rows = requests.withColumn("_ms", millis(F.col(ts)))
     can_fill = F.lit(True) if fillable is None else F.col(fillable)
-    firsts = rows.filter(F.col(prompt).isNotNull()).groupBy(F.col(model).alias("grp"), F.col(prompt).alias("prompt")).agg(
-        F.min(F.when(can_fill, F.struct(F.col("_ms").alias("ms"), F.col(id_).alias("id")))).alias("fill"),
-        F.min(F.struct(F.col("_ms").alias("ms"), F.col(id_).alias("id"))).alias("first"),
-    )
-    vectors = prompts.select(F.col(model).alias("grp"), F.col(prompt).alias("prompt"), "vec")
     # one row per distinct (model, prompt): used three times below, so it is kept
-    items = keep(firsts.join(vectors, ["grp", "prompt"]))
-    can = items.filter(F.col("fill").isNotNull()).select(
-        "grp", F.col("fill.id").alias("id"), F.col("fill.ms").alias("ms"), "vec"
-    )
-    fills = keep(semantic_fills(can, max_dist, small, block, first_batch, pivots))
+    items = keep(_fill_candidates(requests, prompts, model, prompt, ts, id_, can_fill))
+    fills = keep(semantic_fills(_may_fill(items), max_dist, small=small, block=block, first_batch=first_batch, pivots=pivots))
     asked = items.select("grp", F.col("first.id").alias("id"), F.col("first.ms").alias("ms"), "vec")
     found = sim.nearest(asked, fills, max_dist, records=True, pivots=pivots, block=block)
     # the record holders of a prompt: few, because each must be nearer than all before it
@@ -262,17 +407,32 @@ def threshold_sweep(
     )
 
 
-def threshold_sweep_exact(requests: DataFrame, prompts: DataFrame, thresholds: list[float], **options) -> DataFrame:
-    """Hits per threshold by a full replay for each (the list is short and given by the user)."""
-    out = None
-    for t in thresholds:
-        one = replay_semantic(requests, prompts, t, **options).agg(
-            F.lit(float(t)).alias("threshold"),
-            F.count("*").alias("requests"),
-            F.count_if(F.col("cache_hit") == "semantic").alias("hits"),
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
+def threshold_sweep_exact(
+    requests: DataFrame, prompts: DataFrame, thresholds: list[float], *, model: str = "model", prompt: str = "prompt",
+    ts: str = "ts", id_: str = "id", fillable: str | None = None, block: int = sim.BLOCK, pivots="auto", **options,
+) -> DataFrame:
+    """Hits per threshold, all of them from one replay (at most 60 thresholds).
+
+    The fills are found once, with a bit for each threshold that they are a fill for; one search at
+    the loosest distance gives each prompt its earliest fill per threshold, and all its requests
+    after that one are hits.
+    """
+    dists = [sim.max_distance(t) for t in thresholds]
+    if not 0 < len(dists) <= 60:
+        raise ValueError("1 to 60 thresholds")
+    can_fill = F.lit(True) if fillable is None else F.col(fillable)
+    items = keep(_fill_candidates(requests, prompts, model, prompt, ts, id_, can_fill), "sweep-items")
+    fills = keep(semantic_fill_masks(_may_fill(items), dists, block=block, pivots=pivots, **options), "sweep-fills")
+    asked = items.select("grp", F.col("first.id").alias("id"), F.col("first.ms").alias("ms"), "vec")
+    tree = sim.placed_for(fills, pivots, block)
+    found = sim.by_blocks(tree.place(asked, max(dists)), tree.entries, _first_fills(dists), "qid bigint, t bigint, ms bigint, id bigint", block)
+    earliest = [F.min(F.when(F.col("t") == t, F.struct("ms", "id"))).alias(f"_first{t}") for t in range(len(dists))]
+    firsts = found.groupBy("qid").agg(*earliest)
+    known = items.select(F.col("grp").alias(model), F.col("prompt").alias(prompt), F.col("first.id").alias("qid")).join(firsts, "qid").drop("qid")
+    joined = requests.withColumn("_at", F.struct(millis(F.col(ts)).alias("ms"), F.col(id_).alias("id"))).join(known, [model, prompt], "left")
+    hits = joined.agg(F.count("*").alias("requests"), *[F.count_if(F.col(f"_first{t}") < F.col("_at")).alias(f"hits{t}") for t in range(len(dists))])
+    levels = [F.struct(F.lit(float(v)).alias("threshold"), "requests", F.col(f"hits{t}").alias("hits")) for t, v in enumerate(thresholds)]
+    return hits.select(F.inline(F.array(*levels)))
 
 
 def semantic_collisions(replayed: DataFrame, context: list[str], id_: str = "id") -> DataFrame:

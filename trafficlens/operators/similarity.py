@@ -1,10 +1,10 @@
 """Nearest neighbours by cosine distance, within a group (the model).
 
-Nothing here emits pairs. Vectors are placed into cells around pivots; a query goes only to the
-cells that can hold a vector within the wanted distance (the bisector bound, which loses
-nothing), and every (cell, block of entries, block of queries) is one bounded matrix product
-that returns at most one row per query (or its few record holders over time). Cells with many rows are cut
-into more blocks, so a group that holds most vectors is spread like any other.
+Nothing here emits pairs of a group. Entries lie in a ball tree: a cell of more than ``LEAF`` blocks is split
+around pivots of its own, level by level, so no task and no node grows with the data. A query goes
+down only where a vector within the wanted distance can lie (the bisector and the ball bound, which
+lose nothing), and every (cell, block of entries, block of queries) is one bounded matrix product
+that returns at most one row per query (or its few record holders over time).
 
 Frames have the columns ``grp``, ``id`` (bigint), ``ms`` (bigint, time) and ``vec``; the order of
 two items is (ms, id). Distances are rounded to 9 decimals before they are compared.
@@ -17,14 +17,15 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import settings as S
+from ..session import keep
 
 BLOCK = 4096  # rows per side of one matrix product
-MAX_PIVOTS = 1024  # pivots are collected and shipped to every task: at most this many vectors
+LEAF = 8  # a cell of more blocks than this is split
+FAN = 64  # pivots of a node of the tree, at most
 DIGITS = 9
-ANYWHERE = -1  # the cell that holds a copy of all entries, for queries that reach very many cells
 
 
 def max_distance(threshold: float) -> float:
@@ -51,11 +52,15 @@ def to_matrix(column) -> np.ndarray:
 
 def sample_pivots(items: DataFrame, n: int) -> np.ndarray:
     """``n`` vectors picked by a hash of their id: the same ones on every run."""
-    n = min(n, MAX_PIVOTS)
     rows = items.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(n).collect()
-    if not rows:
+    return _as_pivots([r.vec for r in rows])
+
+
+def _as_pivots(vectors: list) -> np.ndarray:
+    """The distinct unit vectors among them."""
+    if not vectors:
         return np.zeros((0, 1))
-    m = np.unique(np.array([r.vec for r in rows], dtype=np.float64), axis=0)
+    m = np.unique(np.array(vectors, dtype=np.float64), axis=0)
     length = np.linalg.norm(m, axis=1, keepdims=True)
     return m[length[:, 0] > 0] / length[length > 0][:, None]
 
@@ -75,44 +80,23 @@ def cells_within(q: np.ndarray, pivots: np.ndarray, radius: float) -> np.ndarray
     return reach
 
 
-def choose_pivots(entries: DataFrame, max_dist: float, block: int = BLOCK) -> np.ndarray | None:
-    """Pivots for an exact search, or None where cells would not save work.
-
-    Cells pay off only for many entries, and only where the wanted distance is small against the
-    spread of the vectors; the pivots themselves show which share of the cells a query visits.
-    """
-    n = entries.count()
-    if n <= 8 * block:
-        return None
-    pivots = sample_pivots(entries, min(MAX_PIVOTS, math.ceil(math.sqrt(n))))
-    visited = cells_within(pivots, pivots, math.sqrt(2.0 * max_dist)).mean()
-    return pivots if visited <= 0.5 else None
-
-
-def _place(pivots: np.ndarray, pick, wide_over: int | None):
+def _place(pivots: np.ndarray, pick):
     def run(batches):
         for batch in batches:
-            vec = batch.column("vec")
-            reach = pick(to_matrix(vec), pivots)
-            cells = [np.flatnonzero(r).astype(np.int32) for r in reach]
-            if wide_over is not None:
-                cells = [c if len(c) <= wide_over else np.array([ANYWHERE], dtype=np.int32) for c in cells]
+            cells = [np.flatnonzero(r).astype(np.int64) for r in pick(to_matrix(batch.column("vec")), pivots)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(cells, type=pa.list_(pa.int32()))], names=[*batch.schema.names, "cells"]
+                [*batch.columns, pa.array(cells, type=pa.list_(pa.int64()))], names=[*batch.schema.names, "cells"]
             )
 
     return run
 
 
-def _with_cells(df: DataFrame, pivots: np.ndarray | None, pick, wide_over: int | None = None) -> DataFrame:
-    """Add ``cell``; a row that reaches several cells is repeated.
-
-    One that reaches more than ``wide_over`` cells gets the single cell ``ANYWHERE`` instead.
-    """
+def _with_cells(df: DataFrame, pivots: np.ndarray | None, pick) -> DataFrame:
+    """Add ``cell``; a row that reaches several cells is repeated."""
     if pivots is None or len(pivots) < 2:
-        return df.withColumn("cell", F.lit(0))
+        return df.withColumn("cell", F.lit(0).cast("bigint"))
     fields = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-    placed = df.mapInArrow(_place(pivots, pick, wide_over), f"{fields}, cells array<int>")
+    placed = df.mapInArrow(_place(pivots, pick), f"{fields}, cells array<bigint>")
     return placed.withColumn("cell", F.explode("cells")).drop("cells")
 
 
@@ -144,14 +128,140 @@ def place_entries(entries: DataFrame, pivots: np.ndarray | None) -> DataFrame:
     return _with_cells(entries, pivots, nearest_cell)
 
 
-def place_queries(queries: DataFrame, pivots: np.ndarray | None, pick, wide_over: int | None = None) -> DataFrame:
-    return _with_cells(queries, pivots, pick, wide_over)
+def place_queries(queries: DataFrame, pivots: np.ndarray | None, pick) -> DataFrame:
+    return _with_cells(queries, pivots, pick)
+
+
+# the tree ------------------------------------------------------------------------------------
+
+
+class Flat:
+    """Cells around given pivots, or one cell per group without any."""
+
+    def __init__(self, entries: DataFrame, pivots: np.ndarray | None):
+        self.pivots, self.entries = pivots, place_entries(entries, pivots)
+
+    def place(self, queries: DataFrame, max_dist: float) -> DataFrame:
+        return place_queries(queries, self.pivots, reachable_cells(max_dist))
 
 
-def blocks_of(n: int, block: int) -> int:
-    """Blocks that hold ``n`` entries. A query that reaches more cells than this is cheaper to
-    compare with all blocks."""
-    return max(1, math.ceil(n / block))
+def _below(pick):
+    """Send the rows of a node to its children: ``pick`` (rows, pivots, radii) says to which."""
+
+    def run(rows: pa.Table, node: pa.Table) -> pa.Table:
+        names = rows.schema.names
+        if not rows.num_rows or not node.num_rows:
+            children, dist = [], np.zeros(0)
+            rows = rows.slice(0, 0)
+        else:
+            pivots = _as_pivots(node["pivots"][0].as_py())
+            m = to_matrix(rows["vec"])
+            own = np.sqrt(np.maximum(2.0 - 2.0 * (m @ pivots.T), 0.0))
+            reach = pick(m, pivots, own, node["radii"][0].as_py())
+            base = node["cell"][0].as_py() * FAN + 1
+            children = [base + np.flatnonzero(r) for r in reach]
+            dist = np.where(reach, own, 0.0).max(axis=1)
+        return pa.table(
+            [*rows.columns, pa.array(children, pa.list_(pa.int64())), pa.array(dist, pa.float64())], names=[*names, "children", "dist"]
+        )
+
+    return run
+
+
+def _to_nearest(m, pivots, own, radii) -> np.ndarray:
+    return nearest_cell(m, pivots)
+
+
+def _to_reachable(max_dist: float):
+    radius = math.sqrt(2.0 * max_dist)
+
+    def pick(m, pivots, own, radii) -> np.ndarray:
+        # a child without entries has the radius -inf
+        return cells_within(m, pivots, radius) & (own - np.array(radii[: len(pivots)])[None, :] <= radius + 1e-6)
+
+    return pick
+
+
+class Tree:
+    """Entries in cells of at most ``LEAF`` blocks, and the nodes that lead there.
+
+    A node's pivots are picked by hash from its own entries (``FAN`` at most), and its entries go to
+    the nearest one. The nodes of a level are a table; rows meet the node they are in by a cogroup in
+    pieces of a block, so nothing is collected. Cells of equal vectors cannot be split and stay whole.
+    """
+
+    def __init__(self, entries: DataFrame, block: int = BLOCK):
+        self.block, self.levels = block, []
+        current = entries.withColumn("cell", F.lit(0).cast("bigint"))
+        full = current.groupBy("grp", "cell").agg(F.count("*").alias("n")).filter(F.col("n") > LEAF * block)
+        if not full.isEmpty():
+            current, full = keep(current, "tree-entries"), keep(full, "tree-cells")
+        # each row is written once per level it goes down; what stays behind is done
+        done = None
+        while not full.isEmpty():
+            left = current.join(full.select("grp", "cell"), ["grp", "cell"], "left_anti").select(*current.columns)
+            done = left if done is None else done.unionByName(left)
+            current, full = self._split(current, full)
+        self.entries = current if done is None else done.unionByName(current)
+
+    def _split(self, entries: DataFrame, full: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Split the cells named: their entries in the children, and the children that are still too large."""
+        key, turn = ["grp", "cell"], len(self.levels)
+        wanted = F.least(F.lit(FAN), F.ceil(2 * F.col("n") / self.block)).cast("int")
+        hashed = entries.join(full.withColumn("wanted", wanted), key).withColumn("_h", F.xxhash64("id", F.lit(turn)))
+        drawn = hashed.filter(F.pmod("_h", F.col("n")) < 8 * F.col("wanted"))
+        rank = F.row_number().over(Window.partitionBy(*key).orderBy("_h", "id"))
+        drawn = drawn.withColumn("_r", rank).filter("_r <= wanted")
+        # drawn by hash and sorted where they are used, so they are the same each time
+        pivots = drawn.groupBy(*key).agg(F.collect_list("vec").alias("pivots"))
+        nodes = pivots.withColumn("radii", F.array().cast("array<double>"))
+        columns = [c for c in entries.columns if c != "cell"]
+        moved = self._down(entries, nodes, full.select(*key, "n"), _to_nearest)
+        moved = keep(moved.select(*columns, "cell", F.col("children")[0].alias("child"), "dist"), "tree-moved")
+        children = moved.groupBy(*key, "child").agg(F.max("dist").alias("radius"), F.count("*").alias("n"))
+        radii = children.groupBy(*key).agg(
+            F.map_from_entries(F.collect_list(F.struct((F.col("child") - F.col("cell") * FAN - 1).cast("int"), "radius"))).alias("of")
+        )
+        each = F.transform(F.sequence(F.lit(0), F.lit(FAN - 1)), lambda i: F.coalesce(F.try_element_at("of", i), F.lit(float("-inf"))))
+        self.levels.append(keep(pivots.join(radii, key).select(*key, "pivots", each.alias("radii")), "tree-nodes"))
+        larger = children.join(full.select(*key, F.col("n").alias("before")), key)
+        again = larger.filter((F.col("n") > LEAF * self.block) & (F.col("n") < F.col("before")))
+        return moved.select(*columns, F.col("child").alias("cell")), keep(again.select("grp", F.col("child").alias("cell"), "n"), "tree-cells")
+
+    def _down(self, rows: DataFrame, nodes: DataFrame, sizes: DataFrame, pick) -> DataFrame:
+        """Rows of the nodes named, with the ``children`` they go to."""
+        key = ["grp", "cell"]
+        pieces = F.ceil(F.col("n") / self.block).cast("int")
+        dealt = rows.join(sizes, key).withColumn("piece", F.pmod(F.xxhash64("id"), pieces).cast("int")).select(*rows.columns, "piece")
+        spread = nodes.join(sizes, key).withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
+        # new names for the columns, as both sides may stem from the same frame
+        spread = spread.select(*[F.col(c).alias(c) for c in [*key, "piece", "pivots", "radii"]])
+        schema = ", ".join(f"`{n}` {t}" for n, t in dealt.dtypes) + ", children array<bigint>, dist double"
+        by = [*key, "piece"]
+        return dealt.groupBy(*by).cogroup(spread.groupBy(*by)).applyInArrow(_below(pick), schema)
+
+    def place(self, queries: DataFrame, max_dist: float) -> DataFrame:
+        """Queries with the cells that can hold a vector within the distance; one row per cell.
+
+        ``queries`` are read more than once, so they should be a written table.
+        """
+        current, key = queries.withColumn("cell", F.lit(0).cast("bigint")), ["grp", "cell"]
+        if not self.levels:
+            return current
+        done = None
+        for nodes in self.levels:
+            here = nodes.select(*key)
+            left = current.join(here, key, "left_anti").select(*current.columns)
+            done = left if done is None else done.unionByName(left)
+            inside = current.join(here, key).select(*current.columns)
+            sizes = inside.groupBy(*key).agg(F.count("*").alias("n"))
+            moved = self._down(inside, nodes, sizes, _to_reachable(max_dist)).withColumn("cell", F.explode("children"))
+            current = keep(moved.select(*current.columns), "tree-queries")
+        return done.unionByName(current)
+
+
+def placed_for(entries: DataFrame, pivots, block: int) -> Tree | Flat:
+    return Tree(entries, block) if isinstance(pivots, str) else Flat(entries, pivots)
 
 
 # blocked search ------------------------------------------------------------------------------
@@ -208,38 +318,37 @@ def _search(max_dist: float, earlier: bool, records: bool):
     return run
 
 
-def blocked_search(
-    queries: DataFrame, entries: DataFrame, max_dist: float, earlier: bool = False, records: bool = False,
-    block: int = BLOCK, anywhere: bool = False,
-) -> DataFrame:
-    """Matches of placed queries (grp, cell, id, ms, vec) among placed entries: qid, dist, ms, id.
-
-    One row per query: its nearest entry within ``max_dist``, the earliest among equals. With
-    ``earlier`` only entries before the query count. With ``records`` a query gets one row for
-    every entry, in time order, that is nearer than all before it. ``anywhere`` serves queries in
-    the cell ``ANYWHERE``.
-    """
+def by_blocks(queries: DataFrame, entries: DataFrame, compare, schema: str, block: int = BLOCK) -> DataFrame:
+    """``compare`` (queries, entries) over every block of queries and of entries of each cell."""
     key = ["grp", "cell"]
-    if anywhere:
-        entries = entries.unionByName(entries.withColumn("cell", F.lit(ANYWHERE)))
     blocks = lambda n: F.ceil(F.col(n) / F.lit(block)).cast("int")
     sizes = (
         queries.groupBy(*key).agg(F.count("*").alias("nq"))
         .join(entries.groupBy(*key).agg(F.count("*").alias("ne")), key)
         .select(*key, blocks("nq").alias("qbs"), blocks("ne").alias("ebs"))
     )
-    columns = ["grp", "cell", "qb", "eb", "id", "ms", "vec"]
     spread = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    q = queries.join(sizes, key).withColumn("qb", spread("qbs")).withColumn("eb", all_of("ebs")).select(*columns)
+    at = ["qb", "eb"]
+    q = queries.join(sizes, key).withColumn("qb", spread("qbs")).withColumn("eb", all_of("ebs")).select(*queries.columns, *at)
     e = entries.join(sizes, key).withColumn("eb", spread("ebs")).withColumn("qb", all_of("qbs"))
     # new names for the columns, as both sides may stem from the same frame
-    e = e.select(*[F.col(c).alias(c) for c in columns])
-    group = ["grp", "cell", "qb", "eb"]
-    found = (
-        q.groupBy(*group)
-        .cogroup(e.groupBy(*group))
-        .applyInArrow(_search(max_dist, earlier, records), "qid bigint, dist double, ms bigint, id bigint")
+    e = e.select(*[F.col(c).alias(c) for c in [*entries.columns, *at]])
+    return q.groupBy(*key, *at).cogroup(e.groupBy(*key, *at)).applyInArrow(compare, schema)
+
+
+def blocked_search(
+    queries: DataFrame, entries: DataFrame, max_dist: float, earlier: bool = False, records: bool = False, block: int = BLOCK
+) -> DataFrame:
+    """Matches of placed queries (grp, cell, id, ms, vec) among placed entries: qid, dist, ms, id.
+
+    One row per query: its nearest entry within ``max_dist``, the earliest among equals. With
+    ``earlier`` only entries before the query count. With ``records`` a query gets one row for
+    every entry, in time order, that is nearer than all before it.
+    """
+    columns = ["grp", "cell", "id", "ms", "vec"]
+    found = by_blocks(
+        queries.select(*columns), entries.select(*columns), _search(max_dist, earlier, records), "qid bigint, dist double, ms bigint, id bigint", block
     )
     if records:
         return merge_records(found)
@@ -249,8 +358,6 @@ def blocked_search(
 
 def merge_records(found: DataFrame) -> DataFrame:
     """Record holders over all blocks: rows nearer than every earlier row of the query."""
-    from pyspark.sql import Window
-
     before = Window.partitionBy("qid").orderBy("ms", "id").rowsBetween(Window.unboundedPreceding, -1)
     return found.withColumn("_min", F.min("dist").over(before)).filter(
         F.col("_min").isNull() | (F.col("dist") < F.col("_min"))
@@ -261,16 +368,9 @@ def nearest(
     queries: DataFrame, entries: DataFrame, max_dist: float, earlier: bool = False, records: bool = False,
     pivots: np.ndarray | str | None = "auto", block: int = BLOCK,
 ) -> DataFrame:
-    """Exact search: place both sides by pivots chosen for the data, then search block by block."""
-    if isinstance(pivots, str):
-        pivots = choose_pivots(entries, max_dist, block)
-    if pivots is None:
-        return blocked_search(
-            place_queries(queries, None, None), place_entries(entries, None), max_dist, earlier, records, block
-        )
-    wide = blocks_of(entries.count(), block)
-    placed = place_queries(queries, pivots, reachable_cells(max_dist), wide)
-    return blocked_search(placed, place_entries(entries, pivots), max_dist, earlier, records, block, anywhere=True)
+    """Exact search: entries in a tree (or around the pivots given), then block by block."""
+    tree = placed_for(entries, pivots, block)
+    return blocked_search(tree.place(queries, max_dist), tree.entries, max_dist, earlier, records, block)
 
 
 # lookups -------------------------------------------------------------------------------------
