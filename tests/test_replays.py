@@ -251,6 +251,19 @@ def test_sliding_counts_equal_loop(spark):
         assert {r.id: r.in_window for r in got.collect()} == want
 
 
+def test_windows_hold_times_and_not_rows(spark):
+    """A hundred requests of one millisecond are one entry, and no column of a row reaches a window."""
+    rows = [(i, "k", 5000 if i < 100 else 6000, True) for i in range(101)]
+    df = frame(spark, rows)
+    got = {r.id: r.in_window for r in timeline.sliding_counts(df, 10, key="key").collect()}
+    assert got == {i: 100 if i < 100 else 101 for i in range(101)}
+    fills = df.select("key", F.col("ts").alias("fill_ts"))
+    for out in (timeline.sliding_counts(df, 10, key="key"), timeline.asof_fill(df, fills, 20, key="key")):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        windows = [line for line in plan.splitlines() if "Window [" in line]
+        assert windows and not any("fillable" in line or "struct" in line for line in windows)
+
+
 def test_islands_equal_loop(spark):
     rows = random_rows(7)
     got = timeline.limiter_islands(frame(spark, rows), 30, key="key")

@@ -196,3 +196,24 @@ def test_filters(spark):
     assert filters.maybe_eq(u, "api_key_id").count() == 3 and filters.maybe_eq(u, "api_key_id", 2).count() == 2
     with pytest.raises(ValueError):
         filters.between_ts(u)
+
+
+def test_stored_sketches_merge_for_any_grouping(spark, tmp_path):
+    rows = [(i, i % 3, ("openai", "gemini")[i % 2], "success" if i % 10 else "error", i % 500, f"2024-01-{1 + i % 4:02d} {i % 24:02d}:00:00") for i in range(4000)]
+    log = spark.createDataFrame(rows, "id bigint, api_key_id bigint, provider string, status string, latency_ms int, created_at string")
+    log = log.withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+    usage.write_sketches(log, str(tmp_path / "s"))
+    usage.write_sketches(log.filter("day(created_at) = 2"), str(tmp_path / "s"))  # again: the other days stay
+    stored = spark.read.parquet(str(tmp_path / "s"))
+    ok = [r for r in rows if r[3] == "success"]
+    for by, of in ((["provider"], lambda r: r[2]), (["api_key_id"], lambda r: r[1]), (["day"], lambda r: r[5][:10])):
+        found = {str(r[0]): r for r in usage.latency_from_rollup(stored, by).collect()}
+        groups = {}
+        for r in ok:
+            groups.setdefault(str(of(r)), []).append(r[4])
+        assert set(found) == set(groups)
+        for g, values in groups.items():
+            assert found[g]["requests"] == len(values)
+            for name, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)):
+                below, upto = (sum(f(v, found[g][name]) for v in values) / len(values) for f in (int.__lt__, int.__le__))
+                assert below - 0.02 <= q <= upto + 0.02

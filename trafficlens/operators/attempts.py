@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import settings as S
 
@@ -18,12 +18,13 @@ def resolve_attempts(attempts: DataFrame, delay: float = S.RETRY_DELAY_SECONDS)
     """Per request: final outcome, provider, last error, attempts, fallbacks and waiting time.
 
     Providers are tried in order. A success or a fatal error ends the request; whatever the log
-    holds after that is ignored. Otherwise the error of the last attempt wins. Only mergeable
-    aggregates per (request, provider), so an oversized log of one request does no harm.
+    holds after that is ignored. Otherwise the error of the last attempt wins. The log is read and
+    shuffled once: the end of a request and the aggregates share the partitioning by request.
     """
     ends = (F.col("outcome") == "ok") | F.col("outcome").isin(S.FATAL)
-    stops = attempts.groupBy("request_id").agg(F.min(F.when(ends, F.col("attempt_no"))).alias("stop"))
-    counted = attempts.join(stops, "request_id").filter(F.col("stop").isNull() | (F.col("attempt_no") <= F.col("stop")))
+    stop = F.min(F.when(ends, F.col("attempt_no"))).over(Window.partitionBy("request_id"))
+    slim = attempts.filter("request_id IS NOT NULL").select("request_id", "attempt_no", "provider_ord", "provider", "outcome")
+    counted = slim.withColumn("stop", stop).filter(F.col("stop").isNull() | (F.col("attempt_no") <= F.col("stop")))
     per_provider = counted.groupBy("request_id", "provider_ord").agg(
         F.count("*").alias("tries"),
         F.max_by(F.struct("provider", "outcome"), "attempt_no").alias("last"),

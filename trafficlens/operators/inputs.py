@@ -16,12 +16,12 @@ def read_inputs(df: DataFrame, col: str = "input") -> DataFrame:
     """
     parsed = parsed_once(df, col, "_input")
     v = F.col("_input")
-    kind = F.schema_of_variant(v)
-    items = F.when(F.startswith(kind, F.lit("ARRAY")), F.try_variant_get(v, "$", "array<variant>"))
+    # the type of a whole list would be merged from all its items, so it is asked of items and of the rest only
+    items = F.try_variant_get(v, "$", "array<variant>")
     is_text = lambda x: F.coalesce(F.schema_of_variant(x) == "STRING", F.lit(False))
-    texts = F.when(kind == "STRING", F.array(F.try_variant_get(v, "$", "string"))).when(
-        F.forall(items, is_text), F.transform(items, lambda x: F.try_variant_get(x, "$", "string"))
-    )
+    texts = F.when(
+        items.isNotNull(), F.when(F.forall(items, is_text), F.transform(items, lambda x: F.try_variant_get(x, "$", "string")))
+    ).when(is_text(v), F.array(F.try_variant_get(v, "$", "string")))
     return parsed.withColumn("texts", texts).drop("_input")
 
 

@@ -64,6 +64,44 @@ def totals_of_groups(groups: DataFrame, keys: DataFrame) -> DataFrame:
     )
 
 
+def endpoint_of(model: Column) -> Column:
+    return F.when(model == "embeddings", "embeddings").otherwise("chat")
+
+
+def metric_samples(usage: DataFrame, errors: DataFrame, provider: str = "provider", name: str = "error_name") -> DataFrame:
+    """(metric, labels as a map, value) of the counters that tell endpoints and failing providers apart.
+
+    ``requests_total`` by endpoint, status, provider and cache layer, the count and sum of
+    ``request_duration_seconds`` by endpoint, and ``provider_errors_total`` by provider and class
+    from the log of upstream errors. Rejected requests count as requests of their status here.
+    """
+    endpoint = endpoint_of(F.col("model"))
+    done = F.col("status") == "success"
+    groups = usage.groupBy(endpoint.alias("endpoint"), "status", F.col(provider).alias("provider"), "cache_hit").agg(
+        F.count("*").cast("double").alias("n"),
+        F.count_if(done & F.col("latency_ms").isNotNull()).cast("double").alias("timed"),
+        F.coalesce(F.sum(F.when(done, F.col("latency_ms"))), F.lit(0)).cast("double").alias("ms"),
+    )
+
+    def labels(*names: str) -> Column:
+        return F.map_from_arrays(F.array(*[F.lit(x) for x in names]), F.array(*[F.coalesce(F.col(x).cast("string"), F.lit("")) for x in names]))
+
+    def item(metric: str, of: Column, value: Column) -> Column:
+        return F.struct(F.lit(metric).alias("metric"), of.alias("labels"), value.alias("value"))
+
+    items = F.array(
+        item("requests_total", labels("cache_hit", "endpoint", "provider", "status"), F.col("n")),
+        item("request_duration_seconds_count", labels("endpoint"), F.col("timed")),
+        item("request_duration_seconds_sum", labels("endpoint"), F.col("ms") / 1000.0),
+    )
+    classes = errors_by_provider(errors, provider, name).select(F.col(provider).alias("provider"), "error_class", F.col("errors").cast("double").alias("n"))
+    failed = classes.select(F.inline(F.array(item("provider_errors_total", labels("error_class", "provider"), F.col("n")))))
+    found = groups.select(F.inline(items)).unionByName(failed)
+    # a map is no grouping key: its entries are, in the order of their names
+    by = found.groupBy("metric", F.map_entries("labels").alias("_entries")).agg(money(F.sum("value")).alias("value"))
+    return by.select("metric", F.map_from_entries("_entries").alias("labels"), "value")
+
+
 def errors_by_provider(errors: DataFrame, provider: str = "provider", name: str = "error_name") -> DataFrame:
     """Provider errors by class and by what the caller does about them."""
     cls = classify_error(F.col(provider), F.col(name))

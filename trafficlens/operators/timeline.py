@@ -77,34 +77,35 @@ def sliding_counts(
 ) -> DataFrame:
     """Add the number of the key's requests in ``(ts - seconds, ts]``, rejected ones included.
 
-    The window is a whole number of cells long. The count at time t of cell c is the total of the
-    cells before c that lie in the window, plus what cell c has seen up to t, minus what the
-    cell dropping out had seen at the same offset. So each row appears twice, as an arrival in
-    its own cell and as an expiry one window later, and no task sees more than a cell of a key.
+    Requests are first counted per (key, millisecond). The window is a whole number of cells long.
+    The count at time t of cell c is the total of the cells before c that lie in the window, plus
+    what cell c has seen up to t, minus what the cell dropping out had seen at the same offset. So
+    each count appears twice, as an arrival in its own cell and as an expiry one window later, no
+    task sees more than a cell of a key, and no window holds rows: they join their time's count.
     """
     span_ms = seconds * 1000
     while span_ms % cell_ms:
         cell_ms //= 2
     k = span_ms // cell_ms
-    cell = cell_of(millis(F.col(ts)), cell_ms)
-    row = F.struct(*requests.columns)
+    rows = requests.withColumn("_ms", millis(F.col(ts)))
+    counts = rows.groupBy(F.col(key).alias("key"), F.col("_ms").alias("ms")).agg(F.count("*").alias("n"))
+    counts = counts.withColumn("cell", cell_of(F.col("ms"), cell_ms))
     moves = F.array(
-        F.struct(cell.alias("cell"), millis(F.col(ts)).alias("at"), F.lit(1).alias("move"), row.alias("row")),
-        F.struct(
-            (cell + k).alias("cell"), (millis(F.col(ts)) + span_ms).alias("at"), F.lit(-1).alias("move"),
-            F.lit(None).cast(requests.schema).alias("row"),
-        ),
+        F.struct("cell", F.col("ms").alias("at"), F.col("n").alias("move"), F.lit(True).alias("own")),
+        F.struct((F.col("cell") + k).alias("cell"), (F.col("ms") + span_ms).alias("at"), (-F.col("n")).alias("move"), F.lit(False).alias("own")),
     )
-    events = requests.select(F.col(key).alias("key"), F.inline(moves))
     inside = Window.partitionBy("key", "cell").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
-    running = events.withColumn("running", F.sum("move").over(inside)).filter(F.col("row").isNotNull())
+    running = counts.select("key", F.inline(moves)).withColumn("running", F.sum("move").over(inside)).filter("own")
     before = Window.partitionBy("key").orderBy("cell").rangeBetween(-k, -1)
     base = (
-        requests.groupBy(F.col(key).alias("key"), cell.alias("cell"))
-        .agg(F.count("*").alias("n"))
+        counts.groupBy("key", "cell")
+        .agg(F.sum("n").alias("n"))
         .select("key", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     )
-    return running.join(base, ["key", "cell"]).select("row.*", (F.col("base") + F.col("running")).alias(out))
+    totals = running.join(base, ["key", "cell"]).select(
+        F.col("key").alias(key), F.col("at").alias("_ms"), (F.col("base") + F.col("running")).alias(out)
+    )
+    return rows.join(totals, [key, "_ms"]).select(*requests.columns, out)
 
 
 def asof_last(
@@ -112,28 +113,23 @@ def asof_last(
 ) -> DataFrame:
     """Add to each left row the greatest ``value`` (a time) of the right rows of its key at or before it.
 
-    Inside a cell a window finds it; what lies before the cell comes from one row per (key, cell).
+    The times of a key are looked up, not its rows: inside a cell a window over distinct times finds
+    the value, what lies before the cell comes from one row per (key, cell), and the rows join the
+    result of their time.
     """
-    lrows = left.withColumn("_cell", cell_of(F.col(ms), cell_ms))
+    asked = left.select(key, F.col(ms).alias("_at")).filter(F.col("_at").isNotNull()).distinct().withColumn("_cell", cell_of(F.col("_at"), cell_ms))
     rrows = right.select(key, F.col(value).alias("_v")).distinct().withColumn("_cell", cell_of(F.col("_v"), cell_ms))
-    marks = rrows.groupBy(key, "_cell").agg(F.max("_v").alias("_vmax"))
-    needed = lrows.select(key, "_cell").distinct().withColumn("_vmax", F.lit(None).cast("bigint"))
-    earlier = Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        marks.unionByName(needed)
-        .groupBy(key, "_cell")
-        .agg(F.max("_vmax").alias("_vmax"))
-        .select(key, "_cell", F.max("_vmax").over(earlier).alias("_carry"))
-    )
-    row = F.struct(*[F.col(c) for c in left.columns])
-    both = lrows.select(key, "_cell", F.col(ms).alias("_at"), F.lit(None).cast("bigint").alias("_v"), row.alias("_row"))
-    both = both.unionByName(
-        rrows.select(key, "_cell", F.col("_v").alias("_at"), "_v", F.lit(None).cast(both.schema["_row"].dataType).alias("_row"))
+    both = asked.withColumns({"_v": F.lit(None).cast("bigint"), "_asked": F.lit(True)}).unionByName(
+        rrows.select(key, F.col("_v").alias("_at"), "_cell", "_v", F.lit(False).alias("_asked"))
     )
+    earlier = Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    carry = both.groupBy(key, "_cell").agg(F.max("_v").alias("_vmax")).select(key, "_cell", F.max("_vmax").over(earlier).alias("_carry"))
     upto = Window.partitionBy(key, "_cell").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumn("_seen", F.max("_v").over(upto)).filter(F.col("_row").isNotNull())
-    found = F.greatest(F.col("_seen"), F.col("_carry"))
-    return seen.join(carry, [key, "_cell"], "left").select("_row.*", found.alias(value))
+    seen = both.withColumn("_seen", F.max("_v").over(upto)).filter("_asked").drop("_v", "_asked")
+    found = seen.join(carry, [key, "_cell"], "left").select(
+        key, F.col("_at").alias(ms), F.greatest(F.col("_seen"), F.col("_carry")).alias(value)
+    )
+    return left.join(found, [key, ms], "left").select(*left.columns, value)
 
 
 def asof_fill(

@@ -268,6 +268,40 @@ def write_rollup(usage: DataFrame, path: str) -> None:
     )
 
 
+SKETCH_SIZE = 1000  # items of a quantile sketch: a rank error of about 0.3 %
+
+
+def latency_sketches(usage: DataFrame, size: int = SKETCH_SIZE) -> DataFrame:
+    """The rollup of latencies: one mergeable quantile sketch per day, hour, key and provider.
+
+    Only successful requests with a latency count, as in the other latency reports.
+    """
+    rows = success_only(usage).filter(F.col("latency_ms").isNotNull())
+    hour = bucket(F.col("created_at"), "hour").alias("t")
+    return rows.groupBy(to_day(F.col("created_at")).alias("day"), hour, "api_key_id", "provider").agg(
+        F.count("*").alias("requests"), F.kll_sketch_agg_bigint(F.col("latency_ms").cast("bigint"), size).alias("latency")
+    )
+
+
+def write_sketches(usage: DataFrame, path: str, size: int = SKETCH_SIZE) -> None:
+    """Rewrite only the day folders present in ``usage``."""
+    (
+        latency_sketches(usage, size)
+        .hint("rebalance", "day")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("day")
+        .parquet(path)
+    )
+
+
+def latency_from_rollup(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """(by, requests, p50, p95, p99) for any grouping and range of stored sketches; no raw row is read."""
+    merged = sketches.groupBy(*by).agg(F.sum("requests").alias("requests"), F.kll_merge_agg_bigint("latency").alias("latency"))
+    shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    return merged.select(*by, "requests", *[F.kll_sketch_get_quantile_bigint("latency", F.lit(q)).alias(n) for n, q in shares.items()])
+
+
 def retain(usage: DataFrame, as_of: str | datetime, days: float = 30, col: str = "created_at") -> DataFrame:
     """Raw rows young enough to keep."""
     from ..functions.times import window_start

@@ -85,7 +85,7 @@ add(
 )
 add(
     # every key is treated as a hot one: cut into islands at calm windows, replayed island by island
-    "rate_limit_islands",
+    "rate_limit_by_islands",
     lambda s, d: ratelimit.replay_rate_limit(
         flat(s, d), key="event_type", short_seconds=3600, per_short=4, per_long=90, hot_rows=0
     ).select(*OUT),

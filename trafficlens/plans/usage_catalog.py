@@ -9,6 +9,7 @@ from ..functions import credentials, display, errors, numbers, times
 from ..functions.times import bucket
 from ..operators import filters, keys, metrics, paging, quality, usage
 from ..operators.accounting import with_cost as price
+from ..session import scratch_path
 from ..sources.driver_views import base, view, with_views
 from ..sources.tables import pricing_df
 
@@ -152,6 +153,21 @@ def _rank_error(s, d):
     return usage.within_rank(rows, approx, "t")
 
 
+def _stored_sketches(s, d):
+    """Sketches written once and merged per provider, next to the ranks of the raw rows."""
+    path = scratch_path(s, "latency-sketches")
+    usage.write_sketches(u(s, d), path)
+    found = usage.latency_from_rollup(s.read.parquet(path), ["provider"])
+    rows = filters.success_only(u(s, d)).filter("latency_ms is not null").select("provider", "latency_ms")
+    near = usage.within_rank(rows, found, "provider", accuracy=50)
+    return near.join(found.select("provider", "requests"), "provider")
+
+
+add(
+    "latency_from_rollup", _stored_sketches,
+    f"""select provider, count(*) as requests, true as p50, true as p95, true as p99 from {U}
+        where status='success' and latency_ms is not null group by 1""", U,
+)
 add(
     "latency_hourly_approx", _rank_error,
     f"select date_trunc('hour', created_at) as t, true as p50, true as p95, true as p99 from {U} where status='success' and {window(MONTH)} group by 1", U,
@@ -497,6 +513,30 @@ add(
     from x group by 1,2""",
 )
 
+
+def _samples(s, d):
+    """Labels as text, as maps have no order to compare by."""
+    found = metrics.metric_samples(u(s, d), s.sql(ERROR_LOG, events=base(s, d, "events")))
+    pairs = F.transform(F.map_entries("labels"), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return found.select("metric", F.array_join(F.array_sort(pairs), ",").alias("labels"), "value")
+
+
+add(
+    "metric_samples", _samples,
+    f"""with e as ({ERROR_LOG.format(events='events')}),
+    c(provider, name, cls) as (values {CLASSES}),
+    x as (select e.provider, case when error_name='ProviderDisabledError' then 'disabled' else coalesce(cls,'other') end as error_class
+          from e left join c on c.provider=e.provider and c.name=e.error_name),
+    g as (select *, case when model='embeddings' then 'embeddings' else 'chat' end as endpoint from {U})
+    select 'requests_total' as metric, concat('cache_hit=',cache_hit,',endpoint=',endpoint,',provider=',provider,',status=',status) as labels,
+      count(*)::double as value from g group by 1, 2
+    union all select 'request_duration_seconds_count', concat('endpoint=',endpoint), (count(*) filter (where status='success' and latency_ms is not null))::double
+      from g group by 1, 2
+    union all select 'request_duration_seconds_sum', concat('endpoint=',endpoint), round(coalesce(sum(latency_ms) filter (where status='success'), 0)/1000.0::double, 8)
+      from g group by 1, 2
+    union all select 'provider_errors_total', concat('error_class=',error_class,',provider=',provider), count(*)::double from x group by 1, 2""", U,
+)
+
 # quality -------------------------------------------------------------------------------------
 
 
