@@ -299,6 +299,57 @@ def test_odd_vectors(spark):
     assert neighbours.nearest(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+
+def clustered_vectors(n, dim=32, clusters=60):
+    r = np.random.default_rng(17)
+    centre = r.normal(size=(clusters, dim))
+    centre /= np.linalg.norm(centre, axis=1)[:, None]
+    return centre[r.integers(0, clusters, n)] + 0.01 * r.normal(size=(n, dim))
+
+
+@pytest.mark.parametrize("kind", ["clustered", "long one", "spread"])
+def test_regions_over_the_table_find_the_nearest(spark, kind):
+    x = np.random.default_rng(3).normal(size=(3000, 32)) if kind == "spread" else clustered_vectors(3000)
+    if kind == "long one":
+        x[7] *= 30
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {(r["query_id"], r["vec_id"]) for r in neighbours.nearest(df, F.col("id") % 20 == 0, shard=200, sample=500).collect()}
+    score = x[::20] @ x.T
+    score[np.arange(len(score)), np.arange(0, 3000, 20)] = -np.inf
+    want = {(20 * i, int(j)) for i, s in enumerate(score) for j in np.argsort(-s)[:20]}
+    assert len(found) == len(want) and len(found & want) >= 0.97 * len(want)
+    exact = {(r["query_id"], r["vec_id"]) for r in neighbours.nearest(df, F.col("id") % 20 == 0, sure=1.0, shard=200).collect()}
+    assert exact == want
+
+
+def test_most_regions_are_skipped_where_vectors_cluster(spark):
+    x = clustered_vectors(8000)
+    points = neighbours.points_of(x)
+    regions = neighbours.Regions(points[::4], 6)
+    of = regions.of(points)
+    assert set(range(64)) >= set(of.tolist()) and np.bincount(of, minlength=64).max() <= 4 * 8000 / 64
+    number = np.unique(of)
+    regions.bounded([(r, points[of == r, :-1].min(axis=0), points[of == r, :-1].max(axis=0), points[of == r, -1].max()) for r in number])
+    least = np.sort(x[:200] @ x.T, axis=1)[:, -21]
+    assert (regions.held(x[:200], neighbours.SURE) >= least[:, None]).mean() < 0.2
+    rows = [(i, 32, i, v.tolist(), float(s)) for i, (v, s) in enumerate(zip(x[:200], least, strict=True))]
+    asked = spark.createDataFrame(rows, "id long, dim int, v1 long, vector array<double>, least double")
+    first = neighbours.sent(asked, {32: regions}, neighbours.SURE, True).count()
+    second = neighbours.sent(asked, {32: regions}, neighbours.SURE, False).count()
+    assert first == 200 and second < 0.2 * 200 * len(number)
+
+
+def test_a_vector_that_most_rows_hold_is_searched_once(spark):
+    x = clustered_vectors(300).tolist()
+    x[0] = [2 * v for v in x[0]]
+    rows = [(i, x[0] if i % 2 else x[i]) for i in range(300)] + [(1, x[0])] * 50
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = neighbours.nearest(df, F.col("id") % 20 == 0, k=3).collect()
+    assert len(found) == 15 * 3
+    same = [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == 0]
+    assert same == [1, 3, 5]
+
+
 def test_chi_square():
     x = np.random.default_rng(0).chisquare(8, 200_000)
     for t in (1.0, 4.0, 7.3, 15.0):

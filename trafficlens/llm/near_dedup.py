@@ -42,6 +42,8 @@ DOUBT = 7.0
 STEP = 1 << 20
 #: Members of a bucket that are compared in one piece of work.
 CHUNK = 512
+#: Rows of a class from which on they are joined with their group in SALTS parts.
+MANY, SALTS = 256, 64
 
 
 def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -305,7 +307,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE)
     found = keep(profiles(docs, shingle), "profiles")
     own = found.filter("node IS NOT NULL").groupBy("node")
     classes = keep(
-        own.agg(F.first("signature").alias("signature"), F.min("row_key").alias("row_key"), F.min("doc_id").alias("least_id")), "classes"
+        own.agg(
+            F.first("signature").alias("signature"), F.min("row_key").alias("row_key"), F.min("doc_id").alias("least_id"), F.count("*").alias("rows")
+        ),
+        "classes",
     )
     members = keep(bucket_members(classes), "members")
     sets = keep(full_sets(docs, classes, members.select("node").distinct(), shingle), "sets")
@@ -317,13 +322,27 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE)
     ids = comps.join(classes.select("node", "least_id"), "node")
     smallest = ids.groupBy("root").agg(F.min("least_id").alias("linked_id"))
     linked = comps.join(smallest, "root").select("node", "root", "linked_id")
-    labels = classes.select("node", "least_id").join(linked, "node", "left").select(
-        "node", F.coalesce("root", "node").alias("root"), F.when(F.col("root").isNull(), F.col("least_id")).otherwise(F.col("linked_id")).alias("component_id")
+    labels = classes.select("node", "least_id", "rows").join(linked, "node", "left").select(
+        "node", "rows", F.coalesce("root", "node").alias("root"), F.when(F.col("root").isNull(), F.col("least_id")).otherwise(F.col("linked_id")).alias("component_id")
     )
-    return found.join(labels, "node", "left").select(
-        "doc_id", "row_key", "n_shingles", "root",
-        F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-    )
+    return labelled(found, labels)
+
+
+def labelled(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """Each row with the root and component of its class.
+
+    Classes of many rows are few; they are joined first, on the class and a part of its rows, so that no
+    task gets all copies of a text. Rows without a class are joined with nothing.
+    """
+    columns = ["doc_id", "row_key", "n_shingles", "root", "component_id"]
+    many = keep(labels.filter(F.col("rows") >= MANY).drop("rows"), "large_classes")
+    part = F.pmod("row_key", F.lit(SALTS)).cast("int")
+    spread = many.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    first = found.filter("node IS NOT NULL").withColumn("part", part).join(spread, ["node", "part"], "left")
+    copies = first.filter("root IS NOT NULL").select(*columns)
+    others = first.filter("root IS NULL").drop("part", "root", "component_id").join(labels.filter(F.col("rows") < MANY).drop("rows"), "node")
+    empty = found.filter("node IS NULL").select("doc_id", "row_key", "n_shingles", F.lit(None).cast("binary").alias("root"), F.col("doc_id").alias("component_id"))
+    return copies.unionByName(others.select(*columns)).unionByName(empty)
 
 
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
