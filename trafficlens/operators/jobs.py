@@ -17,27 +17,46 @@ def _seconds(a: Column, b: Column) -> Column:
     return F.floor((millis(b) - millis(a)) / F.lit(1000)).cast("bigint")
 
 
-def job_lifecycle(events: DataFrame, as_of=None, stuck_after_seconds: int | None = None) -> DataFrame:
-    """State, queue wait and run time per job from its state-change events.
-
-    With ``as_of`` only earlier events count, and a job that has been running longer than
-    ``stuck_after_seconds`` by then is marked as stuck.
-    """
-    if as_of is not None:
-        events = events.filter(F.col("ts") <= ts_lit(as_of))
+def job_parts(events: DataFrame) -> DataFrame:
+    """One row per job with what its events say of it; rows of several sets of events can be merged."""
     rank = F.create_map(*[F.lit(x) for kv in STATE_RANK.items() for x in kv])[F.col("status")]
     done = F.col("status").isin("succeeded", "failed")
-    per_job = events.groupBy("job_id").agg(
-        F.max_by("status", F.struct(F.col("ts"), rank)).alias("status"),
+    return events.groupBy("job_id").agg(
+        F.max(F.struct("ts", rank.alias("rank"), "status")).alias("last"),
         F.min(F.when(F.col("status") == "pending", F.col("ts"))).alias("created_at"),
         F.min(F.when(F.col("status") == "running", F.col("ts"))).alias("started_at"),
         F.max(F.when(done, F.col("ts"))).alias("finished_at"),
     )
-    out = per_job.select(
-        "*",
+
+
+def merge_job_parts(parts: DataFrame) -> DataFrame:
+    """One row per job from the rows of several sets of events."""
+    return parts.groupBy("job_id").agg(
+        F.max("last").alias("last"),
+        F.min("created_at").alias("created_at"),
+        F.min("started_at").alias("started_at"),
+        F.max("finished_at").alias("finished_at"),
+    )
+
+
+def jobs_of_parts(parts: DataFrame) -> DataFrame:
+    """State, queue wait and run time of jobs with one row each."""
+    return parts.select(
+        "job_id", F.col("last.status").alias("status"), "created_at", "started_at", "finished_at",
         _seconds(F.col("created_at"), F.col("started_at")).alias("queue_seconds"),
         _seconds(F.col("started_at"), F.col("finished_at")).alias("run_seconds"),
     )
+
+
+def job_lifecycle(events: DataFrame, as_of=None, stuck_after_seconds: int | None = None) -> DataFrame:
+    """State, queue wait and run time per job from its state-change events.
+
+    With ``as_of`` only earlier events count, and a job that has been running longer than
+    ``stuck_after_seconds`` by then is marked as stuck.
+    """
+    if as_of is not None:
+        events = events.filter(F.col("ts") <= ts_lit(as_of))
+    out = jobs_of_parts(job_parts(events))
     if as_of is not None and stuck_after_seconds is not None:
         running = F.col("status") == "running"
         age = _seconds(F.col("started_at"), ts_lit(as_of))

@@ -25,9 +25,11 @@ def add(name, fn, sql=None, *views):
         ORACLES[name] = with_views(sql, *views) if views else sql
 
 
-def stream_table(spark, d, name):
+def stream_table(spark, d, name, arrival=lambda part: part):
     """A given table as a file stream that takes several micro-batches, in the order of its first time column.
 
+    ``arrival`` gives the part that rows come in, from the part their time lies in.
+
     Each part is dealt over as many files as the table has partitions, and a micro-batch takes just
     that many files: a part. Rows without a time come first.
     """
@@ -40,18 +42,18 @@ def stream_table(spark, d, name):
     path = scratch_path(spark, f"stream_{name}")
     files = table.rdd.getNumPartitions()
     for i in range(PARTS):
-        table.filter(F.coalesce(part(F.col(at)), F.lit(0)) == i).repartition(files).write.mode("append").parquet(path)
+        table.filter(arrival(F.coalesce(part(F.col(at)), F.lit(0))) == i).repartition(files).write.mode("append").parquet(path)
         # a part of few rows may leave files out; files without rows keep the next part out of its batch
         for _ in range((i + 1) * files - len(spark.read.schema(table.schema).parquet(path).inputFiles())):
             table.limit(0).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def stream_view(spark, d, name, streamed):
+def stream_view(spark, d, name, streamed, **how):
     """A view whose table ``streamed`` arrives as a stream."""
     text = dv.VIEWS[name]
     frames = {
-        t: stream_table(spark, d, t) if t == streamed else base(spark, d, t) for t in dv.tables_of(text)
+        t: stream_table(spark, d, t, **how) if t == streamed else base(spark, d, t) for t in dv.tables_of(text)
     }
     return spark.sql(text, **frames)
 
@@ -93,7 +95,7 @@ add(
 )
 add(
     "stream_jobs",
-    lambda s, d: live.drain_updates(live.stream_jobs(stream_view(s, d, "job_events", "orders")), ["job_id"], "jobs")
+    lambda s, d: live.live_jobs(stream_view(s, d, "job_events", "orders"))
     .select("job_id", "status", "created_at", "started_at", "finished_at"),
     """select job_id, arg_max(status, (ts, case status when 'pending' then 0 when 'running' then 1 else 2 end)) as status,
       min(ts) filter (where status='pending') as created_at, min(ts) filter (where status='running') as started_at,
@@ -101,6 +103,37 @@ add(
     "job_events",
 )
 
+#: Seconds after which a row is late; every seventh row arrives one part late.
+LATE = 7200
+BEHIND = 7
+
+
+def _punctual(s, d):
+    path = scratch_path(s, "punctual")
+    behind = (F.col("event_id") % BEHIND == 0).cast("int")
+    rows = stream_view(s, d, "usage_logs", "events", arrival=lambda part: F.least(F.lit(PARTS - 1), part + behind))
+    minute = F.date_trunc("minute", "created_at").cast("timestamp_ntz").alias("minute")
+    count = lambda df: df.groupBy(minute).agg(F.count("*").alias("on_time"))
+    live.write_punctual(rows, path, count, ["minute"], 60, LATE).awaitTermination()
+    on_time = live.totals(s, path, ["minute"]).withColumn("late", F.lit(0).cast("bigint"))
+    late = live.late_rows(s, path).groupBy(minute).agg(F.lit(0).cast("bigint").alias("on_time"), F.count("*").alias("late"))
+    return on_time.unionByName(late).groupBy("minute").agg(F.sum("on_time").alias("on_time"), F.sum("late").alias("late"))
+
+
+add(
+    "stream_rpm_late", _punctual,
+    f"""with ends as (select min(epoch_us(created_at)) as lo, max(epoch_us(created_at)) as hi from usage_logs),
+    parts as (select created_at, date_trunc('minute', created_at) as minute,
+      least({PARTS - 1}, coalesce(cast(floor((epoch_us(created_at) - lo) * {PARTS} / (hi - lo + 1)) as int), 0)
+        + case when id % {BEHIND} = 0 then 1 else 0 end) as part from usage_logs, ends),
+    seen as (select x.part, max(y.created_at) as seen from (select distinct part from parts) x
+      left join parts y on y.part < x.part group by 1)
+    select minute, count(*) filter (where not late) as on_time, count(*) filter (where late) as late from (
+      select minute, minute is null or coalesce(epoch_ms(minute) + 60000 <= epoch_ms(seen) - {LATE * 1000}, false) as late
+      from parts join seen using (part)) z group by 1""",
+    "usage_logs",
+)
+
 
 def _stream_cache(s, d):
     path = scratch_path(s, "exact")

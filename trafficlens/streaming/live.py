@@ -1,17 +1,25 @@
 """Live versions of the reports: Structured Streaming aggregates kept in tables.
 
 Windows still open change with every micro-batch, so results are written as updates: each batch
-goes to its own folder (a repeated batch overwrites it, which makes the sink exactly-once) and
-the newest row per key is the current result.
+appends its own to a table merged in ``levels`` (a repeated batch overwrites its folder, which makes the
+sink exactly-once) and the newest row per key is the current result.
+
+Reports that are sums need no stream state at all: each batch is reduced by itself and adds its
+row per key to such a table (``write_totals``). Jobs keep state for the open ones only (``write_jobs``).
+A watermark drops late rows unseen; ``write_punctual`` decides lateness itself and keeps them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.jobs import job_lifecycle
+from ..functions.times import millis
+from ..operators.jobs import job_parts, jobs_of_parts, merge_job_parts
 from ..operators.metrics import label_groups, totals_of_groups
-from ..session import scratch_path
+from ..session import keep, remove, scratch, scratch_path
+from . import levels
 
 EVENT_TIME = "created_at"
 
@@ -59,16 +67,6 @@ def stream_latency(usage: DataFrame, late: str = "1 hour", accuracy: int = 10_00
     )
 
 
-def stream_label_groups(usage: DataFrame) -> DataFrame:
-    """Running counts and sums per label set; there are few label sets, so no watermark."""
-    return label_groups(usage)
-
-
-def stream_jobs(events: DataFrame) -> DataFrame:
-    """Current state of every job, a mergeable aggregate over its state changes."""
-    return job_lifecycle(events)
-
-
 def stream_dedupe(usage: DataFrame, late: str = "1 hour") -> DataFrame:
     """One row per request id, even if a writer repeats itself within the lateness."""
     rows = _timed(usage, late).dropDuplicatesWithinWatermark(["request_id"])
@@ -78,14 +76,9 @@ def stream_dedupe(usage: DataFrame, late: str = "1 hour") -> DataFrame:
 # running -------------------------------------------------------------------------------------
 
 
-def write_updates(stream: DataFrame, path: str, **trigger):
-    """Start writing every batch of updates of ``stream`` to its own folder under ``path``."""
-
-    def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/updates/batch_id={batch_id}")
-
+def _start_batches(stream: DataFrame, path: str, save, trigger: dict, mode: str = "append"):
     return (
-        stream.writeStream.outputMode("update")
+        stream.writeStream.outputMode(mode)
         .option("checkpointLocation", f"{path}/checkpoint")
         .foreachBatch(save)
         .trigger(**(trigger or {"availableNow": True}))
@@ -93,12 +86,113 @@ def write_updates(stream: DataFrame, path: str, **trigger):
     )
 
 
+def write_updates(stream: DataFrame, path: str, keys: list[str], **trigger):
+    """Start writing the updates of ``stream`` to the table of updates under ``path``."""
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumn("_batch", F.lit(batch_id).cast("bigint"))
+        levels.append(rows, f"{path}/updates", batch_id, levels.newest(keys, "_batch"))
+
+    return _start_batches(stream, path, save, trigger, "update")
+
+
 def current(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """The newest row per key among all updates."""
-    updates = spark.read.parquet(f"{path}/updates")
-    others = [c for c in updates.columns if c not in (*keys, "batch_id")]
-    newest = F.max_by(F.struct(*others), "batch_id")
-    return updates.groupBy(*keys).agg(newest.alias("_r")).select(*keys, "_r.*")
+    return levels.newest(keys, "_batch")(levels.read(spark, f"{path}/updates")).drop("_batch")
+
+
+def write_totals(stream: DataFrame, path: str, reduce: Callable[[DataFrame], DataFrame], keys: list[str], **trigger):
+    """Start adding ``reduce`` of every batch, sums per ``keys``, to the totals under ``path``."""
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        levels.append(reduce(batch), f"{path}/totals", batch_id, levels.summed(keys))
+
+    return _start_batches(stream, path, save, trigger)
+
+
+def totals(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The sums per key over all batches so far."""
+    return levels.summed(keys)(levels.read(spark, f"{path}/totals"))
+
+
+def write_punctual(
+    stream: DataFrame, path: str, reduce: Callable[[DataFrame], DataFrame], keys: list[str],
+    width_seconds: int = 60, late_seconds: int = 600, at: str = EVENT_TIME, **trigger,
+):
+    """Start adding ``reduce`` of the rows on time to the totals under ``path`` and keeping late rows whole.
+
+    As with a watermark, a row is late if its window of ``width_seconds`` ended ``late_seconds`` or more
+    before the latest time that earlier batches have seen. A row without a time has no window and counts as late.
+    """
+    width = width_seconds * 1000
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        with scratch(spark):
+            rows = keep(batch, "punctual")
+            seen = spark.read.parquet(f"{path}/seen/batch_id={batch_id - 1}").head()[0] if batch_id else None
+            latest = rows.agg(F.greatest(F.max(millis(F.col(at))), F.lit(seen).cast("bigint")).alias("seen"))
+            latest.write.mode("overwrite").parquet(f"{path}/seen/batch_id={batch_id}")
+            mark = F.lit(None if seen is None else seen - late_seconds * 1000).cast("bigint")
+            end = (F.floor(millis(F.col(at)) / F.lit(width)) + 1) * F.lit(width)
+            late = F.col(at).isNull() | F.coalesce(end <= mark, F.lit(False))
+            out = rows.filter(late).withColumn("watermark", F.timestamp_millis(mark).cast("timestamp_ntz"))
+            out.write.mode("overwrite").parquet(f"{path}/late/batch_id={batch_id}")
+            levels.append(reduce(rows.filter(~late)), f"{path}/totals", batch_id, levels.summed(keys))
+        remove(spark, f"{path}/seen/batch_id={batch_id - 2}")
+
+    return _start_batches(stream, path, save, trigger)
+
+
+def late_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The late rows so far, with the batch they came in and the watermark they missed."""
+    return spark.read.parquet(f"{path}/late")
+
+
+def write_jobs(events: DataFrame, path: str, timeout_seconds: int = 7 * 86_400, **trigger):
+    """Start following jobs by their state changes; the state holds one row per open job.
+
+    A job leaves the state when it has succeeded or failed, or when its last change is ``timeout_seconds``
+    older than the latest one of its batch. Events that come after that open a row of their own, which the table of
+    ended jobs and every reader merge with the earlier ones, so they need not be looked up.
+    """
+    # a job's row has the same columns in the state and in the table of ended jobs
+    schema = job_parts(events.sparkSession.createDataFrame([], events.schema)).schema
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        with scratch(spark):
+            parts = job_parts(batch)
+            if batch_id:
+                parts = merge_job_parts(_open_parts(spark, path, schema, batch_id).unionByName(parts))
+            parts = keep(parts, "jobs")
+            ms = millis(F.col("last.ts"))
+            now = parts.agg(F.max(ms)).head()[0]
+            quiet = ms <= F.lit(None if now is None else now - timeout_seconds * 1000)
+            ended = F.coalesce(F.col("last.status").isin("succeeded", "failed"), F.lit(False)) | F.coalesce(quiet, F.lit(True))
+            parts.filter(~ended).write.mode("overwrite").parquet(f"{path}/open/batch_id={batch_id}")
+            levels.append(parts.filter(ended), f"{path}/ended", batch_id, merge_job_parts)
+        remove(spark, f"{path}/open/batch_id={batch_id - 2}")
+
+    return _start_batches(events, path, save, trigger)
+
+
+def _open_parts(spark: SparkSession, path: str, schema, n: int) -> DataFrame:
+    """The open jobs after ``n`` batches."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(f"{path}/open/batch_id={n - 1}")
+
+
+def open_jobs(spark: SparkSession, path: str) -> DataFrame:
+    """The jobs that the stream still follows."""
+    return jobs_of_parts(_open_parts(spark, path, None, levels.batches(spark, f"{path}/ended")))
+
+
+def current_jobs(spark: SparkSession, path: str) -> DataFrame:
+    """Every job's state, wait and run time by the events so far."""
+    n = levels.batches(spark, f"{path}/ended")
+    ended = levels.read(spark, f"{path}/ended", n=n)
+    return jobs_of_parts(merge_job_parts(ended.unionByName(_open_parts(spark, path, ended.schema, n))))
 
 
 def write_rows(stream: DataFrame, path: str, **trigger):
@@ -116,7 +210,7 @@ def write_rows(stream: DataFrame, path: str, **trigger):
 def drain_updates(stream: DataFrame, keys: list[str], name: str = "updates") -> DataFrame:
     """Process what is available now and return the current result."""
     path = scratch_path(stream.sparkSession, name)
-    write_updates(stream, path).awaitTermination()
+    write_updates(stream, path, keys).awaitTermination()
     return current(stream.sparkSession, path, keys)
 
 
@@ -126,7 +220,18 @@ def drain_rows(stream: DataFrame, name: str = "rows") -> DataFrame:
     return stream.sparkSession.read.parquet(f"{path}/rows")
 
 
+LABELS = ["status", "provider", "cache_hit", "api_key_id"]
+
+
 def live_counters(usage: DataFrame, keys: DataFrame) -> DataFrame:
     """Counter totals of everything the stream has seen so far."""
-    groups = drain_updates(stream_label_groups(usage), ["status", "provider", "cache_hit", "api_key_id"], "counters")
-    return totals_of_groups(groups, keys)
+    path = scratch_path(usage.sparkSession, "counters")
+    write_totals(usage, path, label_groups, LABELS).awaitTermination()
+    return totals_of_groups(totals(usage.sparkSession, path, LABELS), keys)
+
+
+def live_jobs(events: DataFrame) -> DataFrame:
+    """Current state of every job by the events the stream has seen so far."""
+    path = scratch_path(events.sparkSession, "jobs")
+    write_jobs(events, path).awaitTermination()
+    return current_jobs(events.sparkSession, path)

@@ -1,10 +1,11 @@
 """Live replays: the batch operators applied per micro-batch, with their state in a table.
 
 A keyed state operator would put all requests of one hot key of a micro-batch into one task. The
-batch replays do not, so each micro-batch runs them, starting from the state that the previous
-batch wrote. State and rows of a batch live in folders named by the batch number: a batch that
-is run again after a failure reads the state of its predecessor and overwrites its own output. Older
-states and the tables of a batch's own work are removed.
+batch replays do not, so each micro-batch runs them, starting from the state that earlier
+batches left. The state is a table merged in ``levels``: a batch reads the live entries of its own keys only
+and writes its own changes only, expired entries go when folders are merged, and idle keys are not touched in between.
+Rows of a batch live in folders named by the batch number: a batch that is run again after a failure
+reads the same state and overwrites its own output. The tables of a batch's own work are removed.
 Rows are expected in event order from batch to batch, as a log written at arrival is.
 """
 
@@ -16,35 +17,33 @@ from .. import settings as S
 from ..functions.times import millis
 from ..operators.exact_cache import replay_exact_cache
 from ..operators.ratelimit import replay_rate_limit
-from ..session import keep, remove, scratch
-
-
-def _state_before(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
-    if batch_id == 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/state/batch_id={batch_id - 1}")
+from ..session import keep, scratch
+from . import levels
 
 
 def _save(df: DataFrame, path: str, kind: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/{kind}/batch_id={batch_id}")
 
 
-def _drop_old_state(spark: SparkSession, path: str, batch_id: int) -> None:
-    """Only the state before this batch, for running it again, and the state after it stay."""
-    remove(spark, f"{path}/state/batch_id={batch_id - 2}")
+def _state(batch: DataFrame, path: str, batch_id: int, schema: str, key: str, lifetime_ms: int, merge: levels.Merge) -> DataFrame:
+    """What the batches before left for the keys of this one and its time, one row per entry."""
+    first = batch.agg(F.min(millis(F.col("ts")))).head()[0]
+    state = levels.read(batch.sparkSession, f"{path}/state", schema, batch_id)
+    alive = state.filter(F.col("ms") > F.lit(None if first is None else first - lifetime_ms).cast("bigint"))
+    return merge(alive.join(batch.select(F.col(key).alias("key")).distinct(), "key", "left_semi"))
 
 
-def _unexpired(state: DataFrame, batch: DataFrame, lifetime_ms: int) -> DataFrame:
-    """State rows still of use after the batch; an empty batch has no time and expires nothing."""
+def _add_state(changes: DataFrame, batch: DataFrame, path: str, batch_id: int, lifetime_ms: int, merge: levels.Merge) -> None:
+    """Add the batch's entries to the state; merged folders lose what is expired by the batch's time."""
     now = batch.agg(F.max(millis(F.col("ts")))).head()[0]
-    return state if now is None else state.filter(F.col("ms") > F.lit(now - lifetime_ms))
+    alive = F.lit(True) if now is None else F.col("ms") > F.lit(now - lifetime_ms)
+    levels.append(changes.filter(alive), f"{path}/state", batch_id, lambda rows: merge(rows.filter(alive)))
 
 
 def _start(stream: DataFrame, path: str, step, trigger: dict):
     def tidy(batch: DataFrame, batch_id: int) -> None:
         with scratch(batch.sparkSession):
             step(batch, batch_id)
-        _drop_old_state(batch.sparkSession, path, batch_id)
 
     return (
         stream.writeStream.option("checkpointLocation", f"{path}/checkpoint")
@@ -64,17 +63,20 @@ def stream_exact_cache(
     fillable: str | None = None, **trigger,
 ):
     """Exact-cache attribution of a request stream; the state is the last live fill per hash."""
+    ttl_ms = ttl_seconds * 1000
+
+    def last(fills: DataFrame) -> DataFrame:
+        return fills.groupBy("key").agg(F.max(F.struct("ms", "id")).alias("f")).select("key", "f.ms", "f.id")
+
     schema = f"key {stream.schema[key].dataType.simpleString()}, ms bigint, id bigint"
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fills = _state_before(spark, path, batch_id, schema)
-        out = keep(replay_exact_cache(batch, ttl_seconds, key=key, fillable=fillable, earlier_fills=fills))
+        rows = keep(batch, "batch")
+        fills = keep(_state(rows, path, batch_id, schema, key, ttl_ms, last), "fills")
+        out = keep(replay_exact_cache(rows, ttl_seconds, key=key, fillable=fillable, earlier_fills=fills))
         _save(out, path, "rows", batch_id)
         new = out.filter("is_fill").select(F.col(key).alias("key"), millis(F.col("ts")).alias("ms"), "id")
-        last = fills.unionByName(new).groupBy("key").agg(F.max(F.struct("ms", "id")).alias("f"))
-        live = _unexpired(last.select("key", "f.ms", "f.id"), out, ttl_seconds * 1000)
-        _save(live, path, "state", batch_id)
+        _add_state(last(new), out, path, batch_id, ttl_ms, last)
 
     return _start(stream, path, step, trigger)
 
@@ -85,17 +87,16 @@ def stream_rate_limit(
 ):
     """Admission of a request stream; the state is the accepted slots of the longest window."""
     schema = f"key {stream.schema[key].dataType.simpleString()}, ms bigint, n bigint"
+    together = levels.summed(["key", "ms"])
     widest = 1000 * max(options.get("short_seconds", S.MINUTE_SECONDS), options.get("long_seconds", S.DAY_SECONDS))
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        slots = _state_before(spark, path, batch_id, schema)
-        out = keep(replay_rate_limit(batch, limits, key=key, earlier_slots=slots, **options))
+        rows = keep(batch, "batch")
+        slots = keep(_state(rows, path, batch_id, schema, key, widest, together), "slots")
+        out = keep(replay_rate_limit(rows, limits, key=key, earlier_slots=slots, **options))
         _save(out, path, "rows", batch_id)
-        taken = out.filter(F.col("decision") == "ok").select(
-            F.col(key).alias("key"), millis(F.col("ts")).alias("ms"), F.lit(1).cast("bigint").alias("n")
-        )
-        all_slots = slots.unionByName(taken).groupBy("key", "ms").agg(F.sum("n").alias("n"))
-        _save(_unexpired(all_slots, out, widest), path, "state", batch_id)
+        ms = millis(F.col("ts")).alias("ms")
+        taken = out.filter(F.col("decision") == "ok").groupBy(F.col(key).alias("key"), ms).agg(F.count("*").alias("n"))
+        _add_state(taken, out, path, batch_id, widest, together)
 
     return _start(stream, path, step, trigger or {})
