@@ -286,6 +286,27 @@ SELECT r.doc_id, l.leaf, t.subroot, u.digest AS root, sha256(r.proof) AS proof_s
 FROM rise r JOIN leaves l ON l.doc_id = r.doc_id JOIN tops t ON t.source IS NOT DISTINCT FROM l.source, (SELECT digest FROM upper WHERE n = 1) u
 WHERE r.n = 1"""
 
+#: Every 200-byte string of every text by its start, those that start twice, and what their runs leave.
+_STRINGS = """
+WITH texts AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+starts AS (
+  SELECT r, unnest(range(octet_length(b) - 199)) AS i, b FROM texts WHERE octet_length(b) >= 200),
+strings AS (SELECT r, i, md5_number(array_slice(b, i + 1, i + 200)) AS s FROM starts),
+repeated AS (SELECT s FROM strings GROUP BY s HAVING count(*) > 1),
+hit AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM strings JOIN repeated USING (s)),
+heads AS (SELECT r, i, sum(CASE WHEN before IS NULL OR i > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS span FROM hit),
+spans AS (SELECT r, span, min(i) AS first, max(i) + 200 AS past FROM heads GROUP BY 1, 2),
+gaps AS (SELECT r, first, past, coalesce(lag(past) OVER (PARTITION BY r ORDER BY first), 0) AS done FROM spans),
+cut AS (
+  SELECT r, sum(past - first) AS n_removed, count(*) AS n_spans, max(past) AS last,
+    string_agg(hex(array_slice(b, done + 1, first)), '' ORDER BY first) AS head
+  FROM gaps JOIN texts USING (r) GROUP BY r)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || hex(array_slice(b, coalesce(last, 0) + 1, octet_length(b))))) AS kept_sha256
+FROM texts LEFT JOIN cut USING (r)"""
+
 #: How many neighbours there are, by brute force over all pairs of a query and a vector.
 _FOUND = """
 WITH v AS (
@@ -298,6 +319,7 @@ SELECT count(*) AS expected, true AS good FROM pairs WHERE rank <= 20"""
 
 ORACLES: dict[str, str] = {
     "op1_mixing": _MIXING,
+    "op2_suffix_dedup": _STRINGS,
     "op5_window_dedup": _WINDOWS,
     "op7_near_dedup": _NEAR,
     "op8_neighbours_recall": _FOUND,
