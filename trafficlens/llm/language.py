@@ -69,6 +69,7 @@ def gram_counts(data: np.ndarray, at: np.ndarray, begin_before: int | None = Non
     low = _folded(data)
     kept = np.ones(len(low), bool)
     kept[1:] = (low[1:] != 32) | (low[:-1] != 32)
+    kept[at[:-1][at[:-1] < len(low)]] = True  # whatever the text before ends with
     if begin_before is not None:
         begin_before = int(np.count_nonzero(kept[:begin_before]))
     text = np.repeat(np.arange(n), np.diff(at))[kept]
