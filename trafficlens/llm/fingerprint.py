@@ -13,8 +13,8 @@ Sums do not depend on the order, and ``plus`` and ``minus`` insert or delete par
 rest of the text. Equal texts have equal fingerprints.
 
 Defined cases: a null text is empty; an empty text has the zero fingerprint, alike only to itself;
-rows that repeat (id and text) follow one another in the order of the edited texts. Only doc_id
-and text are read; extra columns of any name do no harm.
+rows that repeat (id and text) follow one another in the order of the edited texts; very long texts
+are hashed whole; an empty table gives no rows. Only doc_id and text are read; extra columns of any name do no harm.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ classes; a class of fewer than ``FEW`` takes the limit of the class below, the s
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0 and rejected; rows with
 a null language or text are no training rows; without training rows every text is ``und``. Rows
-that repeat are predicted each by itself. Only doc_id, text and (to learn) lang are read.
+that repeat are predicted each by itself; equal cosines go to the first centroid in the order of the languages;
+very long texts are counted whole, in stretches; an empty table gives no rows. Only doc_id, text and (to learn) lang are read.
 """
 
 from __future__ import annotations

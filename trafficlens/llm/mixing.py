@@ -6,7 +6,7 @@ that is crossed. A source is walked by document size, so the error of its words
 largest document. Sums are exact (billionths of a copy as bigint), so reruns agree.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; rows
-that repeat are sampled each by itself; an empty table gives an empty mix; a source without words
+that repeat are sampled each by itself; an empty table gives an empty mix; very long texts are counted whole; a source without words
 has target 0 and no copies. Only the named columns are read, others pass through ``mix``.
 """
 

@@ -18,7 +18,7 @@ equal sets form one class; everything below works on classes, so copies cost not
 
 Defined cases: a null text or one without words has an empty set, is linked with nothing and is
 kept; with fewer words than a shingle the whole sequence is the only one; rows that repeat are one
-class. A null doc_id is never the smallest unless its group has no other. Only doc_id and text
+class. A null doc_id is never the smallest unless its group has no other; an empty table gives no rows. Only doc_id and text
 are read.
 """
 

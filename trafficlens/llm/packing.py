@@ -9,6 +9,7 @@ place that the patterns hold for that length, which is two binary searches in a
 depends on the sequence length alone. Ranks are found without gathering a length in one task.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are packed each by itself;
+very long texts are encoded whole and give many pieces;
 an empty table gives no pieces. Only doc_id and text are read.
 """
 

@@ -12,7 +12,8 @@ share of labels at the end, so that the score is a probability. Scoring reads ev
 
 Defined cases: a null or empty text has no words and statistics 0, and is scored like any other;
 null labels are no training rows; without training rows every score is 0.5, with a single label it
-is that label. Rows that repeat are scored each by itself. Only doc_id and text are read.
+is that label. Rows that repeat are scored each by itself, an id of several texts is learnt by the one
+of least hash. Very long texts are read whole; an empty table gives no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations

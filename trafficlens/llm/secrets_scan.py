@@ -8,7 +8,8 @@ candidates are verified with the expression. A rule without mandatory trigrams (
 every document. ASCII letters are folded in the index, so one query serves both cases.
 
 Defined cases: a null or empty text has no spans; spans are code points, end exclusive; spans of
-different kinds may overlap. Repeated rows are scanned each by itself. Only doc_id and text are read.
+different kinds may overlap. Repeated rows are scanned each by itself; very long
+texts are scanned whole; an empty table gives no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations
