@@ -1,6 +1,7 @@
 """Classifiers next to plain versions of them, from the same fitted model."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -46,6 +47,29 @@ def test_language_is_the_nearest_centroid(spark, docs, sf):
         assert (r["lang_pred"], r["rejected"]) == (lang, rejected) or abs(score - model.least).min() < 1e-4
 
 
+def test_language_learns_from_every_text(spark):
+    """One centroid a language is the unit mean of all its texts, and their lowest hundredth sets the limits."""
+    r = random.Random(3)
+    texts = [("".join(r.choice("abcdefgh ") for _ in range(60)), ("aa", "bb")[i % 2]) for i in range(1300)]
+    texts += [("".join(r.choice("opqrstuv ") for _ in range(60)), "aa") for _ in range(300)] + [("a " * 900 + "xyz", "bb")]
+    model = language.fit(spark.createDataFrame(texts, "text string, lang string").repartition(5), k=1)
+    counts = np.vstack([c for _, _, c in language.count_batches(pa.array([t for t, _ in texts]))])
+    assert np.array_equal(language.unpacked(language.packed(counts)), counts)
+    assert np.allclose(model.idf, np.log((1 + len(texts)) / (1 + (counts > 0).sum(axis=0))) + 1, atol=1e-5)
+    x = language.vectors(counts, model.idf)
+    assert np.allclose(language.unpacked(language.packed(counts), model.idf), x, atol=1e-6)
+    for i, lang in enumerate(model.languages):
+        mean = x[[v == lang for _, v in texts]].sum(axis=0)
+        assert np.allclose(model.centroids[i], mean / np.linalg.norm(mean), atol=1e-5)
+    kinds, near = language.length_class(counts[:1600]), (x[:1600] @ model.centroids.T).max(axis=1)
+    kind = np.bincount(kinds).argmax()
+    parts = [s for t, _ in texts for s in language.stretches(language.window(t.encode()))]
+    for _, _, c in language.count_batches(pa.array(parts, pa.binary())):
+        kinds = np.append(kinds, language.length_class(c))
+        near = np.append(near, (language.vectors(c, model.idf) @ model.centroids.T).max(axis=1))
+    assert abs(model.least[kind] - language.SLACK * np.quantile(near[kinds == kind], language.LOW)) < 1e-3
+
+
 def test_language_of_a_text_does_not_depend_on_its_neighbours():
     texts = ["one sentence.", "  another one", "¿qué?", "", "42 birds ", " 7 more", None, "straße"]
     alone = np.vstack([language.gram_counts(*language.as_bytes(pa.array([t], pa.string()))) for t in texts])

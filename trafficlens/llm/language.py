@@ -3,13 +3,15 @@
 A text is the TF-IDF vector of its hashed byte n-grams (one to three bytes; letters in lower case,
 bytes of longer characters as they are, everything else a blank), with unit length. Document
 frequencies come from all training texts. The centroids are spherical k-means clusters within each
-language, fitted on a bounded sample of labelled texts (``PER_LANGUAGE`` different ones of each language at
-most, those with the smallest hashes). A text gets the language of the centroid with the largest cosine.
+language, fitted on all labelled texts: their n-gram counts are written once, and each round of k-means is
+a pass over them. A text gets the language of the centroid with the largest cosine.
 It is rejected when it has no letters or is too far from every centroid for its length: its cosine
-is below ``SLACK`` times the lowest hundredth of the sample's cosines in its class of length. Length
+is below ``SLACK`` times the lowest hundredth of the training texts' cosines in its class of length (counted
+in steps of 1/``LEVELS``). Length
 is the number of different n-grams, so that a text that repeats a word counts as short; a class
-spans a factor of sqrt(2). The sample's texts and stretches of 8 to 2,048 bytes of them fill the
+spans a factor of sqrt(2). All training texts and stretches of 8 to 2,048 bytes of them fill the
 classes; a class of fewer than ``FEW`` takes the limit of the class below, the shortest have none.
+Training rows that repeat count as often as they come.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0 and rejected; rows with
 a null language or text are no training rows; without training rows every text is ``und``. Rows
@@ -33,16 +35,18 @@ from .words import as_bytes, mixed, runs
 
 BUCKETS = 1 << 12
 LONGEST = 3
-PER_LANGUAGE = 400
 CLUSTERS = 4
 SLACK = 0.6
 LOW = 0.01
+LEVELS = 10_000
 FEW = 50
 STRETCHES = [1 << k for k in range(3, 12)]
 #: Labels that a table may have; more is an error, as each has centroids.
 MOST_LABELS = 1000
 STEP = 1 << 20
 UNKNOWN = "und"
+#: Sums over tasks are of whole multiples of this, so their order does not matter.
+UNIT = 2.0**-30
 
 
 def _letters() -> np.ndarray:
@@ -133,12 +137,13 @@ def stretches(text: bytes) -> list[bytes]:
     return [text[a : a + n] for n, a in places]
 
 
-def limits(kinds: np.ndarray, cosines: np.ndarray) -> np.ndarray:
-    """The least cosine of each class of length that is not rejected."""
+def limits(found: np.ndarray) -> np.ndarray:
+    """The least cosine of each class of length that is not rejected; ``found`` counts class x level."""
     out = np.zeros(CLASSES)
     for c in range(CLASSES):
-        own = cosines[kinds == c]
-        out[c] = SLACK * np.quantile(own, LOW) if len(own) >= FEW else out[max(c - 1, 0)]
+        n = int(found[c].sum())
+        low = np.searchsorted(np.cumsum(found[c]), int(LOW * (n - 1)), side="right") if n >= FEW else 0
+        out[c] = SLACK * low / LEVELS if n >= FEW else out[max(c - 1, 0)]
     return out
 
 
@@ -151,18 +156,65 @@ class Model:
     least: np.ndarray  # cosine below which a text is rejected, by class of length
 
 
-def document_frequency(rows: DataFrame) -> tuple[int, np.ndarray]:
+def packed(counts: np.ndarray) -> list[bytes]:
+    """Each row of counts as a bitmap of its buckets and their counts, a byte each where all are below 256."""
+    bits = np.packbits(counts > 0, axis=1)
+    out = []
+    for row, mask in zip(counts, bits, strict=True):
+        n = row[row > 0]
+        out.append(mask.tobytes() + n.astype(np.uint8 if n.max(initial=0) < 256 else np.uint32).tobytes())
+    return out
+
+
+def unpacked(values: list[bytes], idf: np.ndarray | None = None) -> np.ndarray:
+    """The counts again, texts x buckets; with ``idf`` their unit TF-IDF vectors."""
+    size = BUCKETS // 8
+    there = np.unpackbits(np.frombuffer(b"".join(v[:size] for v in values), np.uint8)).reshape(-1, BUCKETS).view(bool)
+    each = np.count_nonzero(there, axis=1)
+    found = [np.frombuffer(v, np.uint8 if len(v) - size == n else np.uint32, offset=size) for v, n in zip(values, each.tolist(), strict=True)]
+    out = np.zeros(there.shape, np.float32)
+    if not found:
+        return out
+    n = np.concatenate(found).astype(np.float32)
+    if idf is not None:
+        text, bucket = np.divmod(np.flatnonzero(there), BUCKETS)
+        n = np.log1p(n) * idf[bucket]
+        n /= np.maximum(np.sqrt(np.bincount(text, n * n, len(values))), 1e-12).astype(np.float32)[text]
+    out[there] = n
+    return out
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """(lang, counts) of (text, lang) rows, written once."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for i, j, counts in count_batches(batch.column("text")):
+                columns = [batch.column("lang").slice(i, j - i), pa.array(packed(counts), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "counts"])
+
+    return keep(rows.select("text", "lang").mapInArrow(run, "lang string, counts binary"), "gram-counts")
+
+
+def count_parts(batch: pa.RecordBatch, idf: np.ndarray | None = None) -> Iterator[tuple[list, np.ndarray]]:
+    """(languages, counts or vectors) of a batch of ``counted``, few texts at a time."""
+    for i in range(0, batch.num_rows, 128):
+        part = batch.slice(i, 128)
+        yield part.column("lang").to_pylist(), unpacked(part.column("counts").to_pylist(), idf)
+
+
+def document_frequency(table: DataFrame) -> tuple[int, np.ndarray]:
     """(texts, texts that hold each bucket) over all rows; each task sends one row per bucket."""
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS + 1, np.int64)
         for batch in it:
-            for i, j, counts in count_batches(batch.column("text")):
-                total[0] += j - i
+            for langs, counts in count_parts(batch):
+                total[0] += len(langs)
                 total[1:] += (counts > 0).sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS + 1)), pa.array(total)], names=["bucket", "n"])
 
-    sums = rows.select("text").mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n"))
+    sums = table.mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n"))
     total = np.zeros(BUCKETS + 1, np.int64)
     for bucket, n in sums.collect():
         total[bucket] = n
@@ -199,65 +251,129 @@ def sample_by_label(rows: DataFrame, label: str, most: int) -> DataFrame:
     return hashed.mapInArrow(once, hashed.schema).dropDuplicates(["_hash"]).select(*rows.columns)
 
 
-def clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means: starts from the mean, then from the vectors that are farthest away."""
-    centres = x.mean(axis=0, keepdims=True)
-    centres /= max(np.linalg.norm(centres), 1e-12)
-    while len(centres) < min(k, len(x)):
-        centres = np.vstack([centres, x[np.argmin((x @ centres.T).max(axis=1))]])
+def own_cosines(x: np.ndarray, langs: np.ndarray, centres: np.ndarray, language: np.ndarray) -> np.ndarray:
+    """Cosines with the centroids of each text's own language; -2 for the others."""
+    return np.where(langs[:, None] == language[None, :], x @ centres.T, -2.0)
+
+
+def means(table: DataFrame, idf: np.ndarray, number: dict[str, int], centres: np.ndarray | None, language: np.ndarray) -> dict[int, np.ndarray]:
+    """The unit mean of the texts next to each centroid; without centroids, of each language."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in it:
+            for names, x in count_parts(batch, idf):
+                own = np.array([number[v] for v in names])
+                if centres is not None:
+                    own = np.argmax(own_cosines(x, own, centres, language), axis=1)
+                present = np.unique(own)
+                for c, total in zip(present.tolist(), (own == present[:, None]).astype(np.float32) @ x, strict=True):
+                    sums[c] = sums.get(c, 0) + total.astype(np.float64)
+        data = [np.rint(v / UNIT).astype(np.int64).tobytes() for v in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(data, pa.binary())], names=["cluster", "total"])
+
+    def add(part: pa.Table) -> pa.Table:
+        total = np.zeros(BUCKETS, np.int64)
+        for v in part["total"]:
+            total += np.frombuffer(v.as_py(), np.int64)
+        return pa.table({"cluster": part["cluster"].slice(0, 1), "total": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "cluster bigint, total binary"
+    found = {c: np.frombuffer(bytes(v), np.int64) * UNIT for c, v in table.mapInArrow(run, schema).groupBy("cluster").applyInArrow(add, schema).collect()}
+    return {c: (m / np.linalg.norm(m)).astype(np.float32) for c, m in found.items() if m.any()}
+
+
+def farthest(table: DataFrame, idf: np.ndarray, number: dict[str, int], centres: np.ndarray, language: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(language, vector) of the text of each language that is farthest from the centroids, if it is not one of them."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[int, tuple[float, bytes]] = {}
+        for batch in it:
+            for names, x in count_parts(batch, idf):
+                langs = np.array([number[v] for v in names])
+                near = own_cosines(x, langs, centres, language).max(axis=1)
+                near[~x.any(axis=1)] = 2.0
+                for c in np.unique(langs).tolist():
+                    mine = np.flatnonzero(langs == c)
+                    i = mine[np.argmin(near[mine])]
+                    least[c] = min(least.get(c, (2.0, b"")), (float(near[i]), x[i].astype(np.float32).tobytes()))
+        columns = [pa.array(list(least), pa.int64()), pa.array([n for n, _ in least.values()]), pa.array([v for _, v in least.values()], pa.binary())]
+        yield pa.RecordBatch.from_arrays([columns[0], columns[1].cast(pa.float64()), columns[2]], names=["lang", "near", "x"])
+
+    found = table.mapInArrow(run, "lang bigint, near double, x binary").groupBy("lang").agg(F.min(F.struct("near", "x")).alias("m"))
+    return sorted(((c, np.frombuffer(bytes(m["x"]), np.float32)) for c, m in found.collect() if m["near"] < 1 - 1e-6), key=lambda v: v[0])
+
+
+def clusters(table: DataFrame, idf: np.ndarray, number: dict[str, int], k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """Spherical k-means within each language over all its texts: (centroids, the number of each one's language).
+
+    Starts from the mean, then from the vectors that are farthest away.
+    """
+    start = sorted(means(table, idf, number, None, np.zeros(0, int)).items())
+    if not start:
+        return np.zeros((0, BUCKETS), np.float32), np.zeros(0, int)
+    for _ in range(k - 1):
+        more = farthest(table, idf, number, np.stack([v for _, v in start]), np.array([c for c, _ in start]))
+        if not more:
+            break
+        start += more
+    start.sort(key=lambda v: v[0])
+    centres, language = np.stack([v for _, v in start]), np.array([c for c, _ in start])
     for _ in range(rounds):
-        own = np.argmax(x @ centres.T, axis=1)
-        for c in range(len(centres)):
-            if (own == c).any():
-                m = x[own == c].sum(axis=0)
-                centres[c] = m / max(np.linalg.norm(m), 1e-12)
-    return centres
+        before = centres.copy()
+        for c, m in means(table, idf, number, before, language).items():
+            centres[c] = m
+        if np.array_equal(centres, before):
+            break
+    return centres, language
 
 
-def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, k: int = CLUSTERS) -> Model:
-    """Learn from (text, lang) rows; nulls are left out."""
-    rows = rows.select("text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL")
-    n, found = document_frequency(rows)
-    idf = (np.log((1 + n) / (1 + found)) + 1).astype(np.float32)
+def cosine_counts(rows: DataFrame, column: str, take, idf: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Class of length x level of the cosine with the nearest centroid: how many of the texts that ``take`` gives."""
 
-    def featurise(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CLASSES * (LEVELS + 1), np.int64)
         for batch in it:
-            for i, j, counts in count_batches(batch.column("text")):
-                texts = batch.column("text").slice(i, j - i).cast(pa.binary()).to_pylist()
-                columns = [
-                    batch.column("lang").slice(i, j - i),
-                    pa.array([v.tobytes() for v in vectors(counts, idf)], pa.binary()),
-                    pa.array(length_class(counts)),
-                    pa.array([window(t) for t in texts], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "x", "kind", "part"])
-
-    sample = sample_by_label(rows, "lang", per_language).mapInArrow(featurise, "lang string, x binary, kind bigint, part binary")
-    by: dict[str, list[tuple[bytes, int, bytes]]] = {}
-    for lang, x, kind, part in sample.collect():
-        by.setdefault(lang, []).append((bytes(x), kind, bytes(part)))
-    languages, centroids, language = sorted(by), [], []
-    for i, lang in enumerate(languages):
-        x = np.stack([np.frombuffer(v, np.float32) for v, _, _ in sorted(by[lang])])
-        x = x[np.linalg.norm(x, axis=1) > 0]
-        if len(x):
-            c = clusters(x, k)
-            centroids.append(c)
-            language += [i] * len(c)
-    if not centroids:
-        return Model([], idf, np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), np.zeros(CLASSES))
-    centres = np.vstack(centroids).astype(np.float32)
-    kinds, cosines = [], []
-    for rows_ in by.values():
-        x = np.stack([np.frombuffer(v, np.float32) for v, _, _ in rows_])
-        kinds.append(np.array([kind for _, kind, _ in rows_]))
-        cosines.append((x @ centres.T).max(axis=1))
-        for _, _, counts in count_batches(pa.array([s for _, _, part in rows_ for s in stretches(part)], pa.binary())):
-            kinds.append(length_class(counts))
-            cosines.append((vectors(counts, idf) @ centres.T).max(axis=1))
-    kinds, cosines = np.concatenate(kinds), np.concatenate(cosines)
-    lettered = cosines > 0
-    return Model(languages, idf, centres, np.array(language), limits(kinds[lettered], cosines[lettered]))
+            for counts in take(batch):
+                near = (vectors(counts, idf) @ centres.T).max(axis=1)
+                place = length_class(counts) * (LEVELS + 1) + np.clip(near * LEVELS, 0, LEVELS).astype(int)
+                np.add.at(total, place[near > 0], 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["place", "n"])
+
+    out = np.zeros(CLASSES * (LEVELS + 1), np.int64)
+    for place, n in rows.select(column, *[c for c in ("lang",) if c != column]).mapInArrow(run, "place bigint, n bigint").groupBy("place").agg(F.sum("n")).collect():
+        out[place] = n
+    return out.reshape(CLASSES, -1)
+
+
+def whole_counts(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for _, counts in count_parts(batch):
+        yield counts
+
+
+def stretch_counts(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    texts = batch.column("text").cast(pa.binary())
+    for i in range(0, len(texts), 512):
+        parts = [s for t in texts.slice(i, 512).to_pylist() for s in stretches(window(t))]
+        for _, _, counts in count_batches(pa.array(parts, pa.binary())):
+            yield counts
+
+
+def fit(rows: DataFrame, k: int = CLUSTERS) -> Model:
+    """Learn from all (text, lang) rows; nulls are left out."""
+    rows = rows.select("text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL")
+    table = counted(rows)
+    languages = sorted(lang for lang, in table.select("lang").distinct().limit(MOST_LABELS + 1).collect())
+    if len(languages) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
+    n, found = document_frequency(table)
+    idf = (np.log((1 + n) / (1 + found)) + 1).astype(np.float32)
+    centres, language = clusters(table, idf, {v: i for i, v in enumerate(languages)}, k)
+    if not len(centres):
+        return Model([], idf, centres, language, np.zeros(CLASSES))
+    seen = cosine_counts(table, "counts", whole_counts, idf, centres) + cosine_counts(rows, "text", stretch_counts, idf, centres)
+    return Model(languages, idf, centres, language, limits(seen))
 
 
 def predict(rows: DataFrame, model: Model) -> DataFrame:
