@@ -218,6 +218,16 @@ def test_pieces_of_any_shape_end_in_few_rounds(spark, monkeypatch, shape, most_p
     assert most_pairs == 8 or len(rounds) <= 3
 
 
+def test_rounds_write_no_pairs(spark, monkeypatch):
+    """What the rounds write grows with the items, not with their pairs, of which a crowd has n * n / 2."""
+    n, written, kept = 1500, [], sc.keep
+    rows = [("a", i, i, [1.0, 0.0001 * (i % 97) + 0.00001 * (i // 97)]) for i in range(n)]
+    monkeypatch.setattr(sc, "keep", lambda df, *name: (out := kept(df, *name), written.append(out.count()))[0])
+    got = sc.semantic_fill_masks(items(spark, rows), [0.01], small=0, block=256)
+    assert [r["id"] for r in got.collect()] == [0]
+    assert sum(written) <= 10 * n
+
+
 @pytest.mark.parametrize("options", [{}, {"small": 0, "first_batch": 8, "block": 32}])
 def test_sweep_equals_a_replay_for_each_threshold(spark, options):
     rows, vec = requests(12)

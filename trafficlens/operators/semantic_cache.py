@@ -21,6 +21,7 @@ from .ratelimit import replay_rate_limit
 
 SMALL_GROUP = 8192  # a group of at most this many distinct prompts is decided in one task
 FIRST_BATCH = 1024  # undecided prompts per cell that are examined in the first round, at most
+MOST_EXAMINED = 1 << 16  # items of a group that one task decides in a round; more are decided by their pairs
 MOST_PAIRS = 4_000_000  # near pairs (ids only) of a group's round that one task decides
 HALVES = 12  # an early part is as small as 1/2**HALVES of a cell, at least
 
@@ -37,17 +38,19 @@ def _masks(bits: np.ndarray) -> np.ndarray:
 def _greedy(dists: float | list[float]):
     """Fills among one small group: each item is compared with the fills so far, in time order.
 
-    Bit t of ``mask`` tells that the item is a fill for the distance t; one product serves all.
+    Bit t of ``mask`` tells that the item is a fill for the distance t; one product serves all. Items with
+    ``open`` are decided only for the distances whose bits it has.
     """
     dists = dists if isinstance(dists, list) else [dists]
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("ms", "ascending"), ("id", "ascending")])
         m = sim.to_matrix(table["vec"])
+        open_ = _bits(table["open"].to_numpy(), len(dists)) if "open" in table.column_names else np.ones((len(m), len(dists)), bool)
         fills, bits = [], []
         for at in range(0, len(m), 256):
             part = m[at : at + 256]
-            free = np.ones((len(part), len(dists)), dtype=bool)
+            free = open_[at : at + 256].copy()
             if fills:
                 apart, of = np.round(1.0 - part @ m[fills].T, sim.DIGITS), np.array(bits)
                 for t, d in enumerate(dists):
@@ -202,44 +205,62 @@ def _fills_in_rounds(
 ) -> DataFrame:
     """Fills of groups of any size, in rounds over all groups at once.
 
-    A round examines the earliest undecided items and finds the near pairs among them. The graph of
-    these pairs, ids without vectors, is decided whole: connected pieces of any shape, such as a chain of
-    near prompts or a crowd, end in one round. Should a group have more pairs than one task takes, only
-    items without an earlier near one are decided, and the next round goes on. Every later neighbour
-    of a fill, examined or not, is a hit. The batch grows each round, and each round is written to the
-    shared folder. ``open`` holds a bit for each distance that an item is not decided for.
+    A round examines the earliest undecided items of each group and decides them in one task a group, as a
+    small group is; should times that repeat bring more than one task takes, ``_by_pairs`` decides them. Every
+    later neighbour of a fill is a hit. The batch grows each round up to what one task takes, and each round
+    is written to the shared folder. ``open`` holds a bit for each distance that an item is not decided for.
     """
     loosest = max(dists)
     tree = sim.placed_for(items, pivots, block)
     undecided = keep(tree.entries.withColumn("open", F.lit((1 << len(dists)) - 1).cast("bigint")), "undecided")
     fills, batch = None, first_batch
     columns = undecided.columns
-    grp = undecided.schema["grp"].dataType.simpleString()
+    decided = ", ".join(f"`{n}` {t}" for n, t in undecided.dtypes) + ", mask bigint"
     while not undecided.isEmpty():
-        examined = keep(_earliest(undecided, batch).select(*columns), "examined")
-        asked = tree.place(examined.drop("cell"), loosest)
-        pairs = sim.by_blocks(asked, examined, _near_pairs(dists), f"grp {grp}, qid bigint, qms bigint, id bigint, dist double", block)
-        pairs = keep(pairs, "near-pairs")
-        few = pairs.groupBy("grp").agg(F.count("*").alias("n")).filter(F.col("n") <= most_pairs).select("grp")
-        whole = pairs.join(few, "grp", "left_semi").groupBy("grp").cogroup(
-            examined.select("grp", "id", "open").join(few, "grp", "left_semi").groupBy("grp")
-        ).applyInArrow(_decided(dists), "id bigint, mask bigint")
-        later = pairs.select(F.col("qid").alias("id"), "grp").distinct()
-        left = later.join(few, "grp", "left_anti").select("id", F.lit(-1).cast("bigint").alias("mask"))
-        # -1: undecided; no row: nothing near before it
-        found = keep(examined.join(whole.unionByName(left), "id", "left"), "decided").select(*columns, "mask")
-        new = found.filter("mask IS NULL OR mask > 0").select(*columns, F.coalesce("mask", "open").alias("mask"))
-        rest = keep(undecided.join(found.filter("mask IS NULL OR mask >= 0").select("id"), "id", "left_anti").select(*columns), "rest")
-        hit = sim.by_blocks(tree.place(rest.drop("cell"), loosest), new.drop("open"), _answered(dists), "qid bigint, mask bigint", block)
+        whole = undecided.withColumn("cell", F.lit(0).cast("bigint"))
+        chosen = _earliest(whole, batch).select("id")
+        examined = keep(undecided.join(chosen, "id", "left_semi").select(*columns), "examined")
+        sizes = examined.groupBy("grp").agg(F.count("*").alias("_n"))
+        crowds = keep(sizes.filter(F.col("_n") > 2 * MOST_EXAMINED).select("grp"), "crowds")
+        alone = examined.join(crowds, "grp", "left_anti").select(*columns)
+        new = alone.groupBy("grp").applyInArrow(_greedy(dists), decided)
+        done = alone.select("id")
+        if not crowds.isEmpty():
+            found = _by_pairs(examined.join(crowds, "grp", "left_semi").select(*columns), tree, dists, block, most_pairs)
+            new = new.unionByName(found.filter("mask IS NULL OR mask > 0").withColumn("mask", F.coalesce("mask", "open")))
+            done = done.unionByName(found.filter("mask IS NULL OR mask >= 0").select("id"))
+        new = keep(new, "fills")
+        rest = keep(undecided.join(done, "id", "left_anti").select(*columns), "rest")
+        hit = sim.crossed(rest, new.drop("open"), _answered(dists), "qid bigint, mask bigint", loosest, block)
         hit = hit.groupBy(F.col("qid").alias("id")).agg(F.bit_or("mask").alias("mask"))
         still = F.col("open").bitwiseAND(F.bitwise_not(F.coalesce("mask", F.lit(0).cast("bigint"))))
         undecided = keep(rest.join(hit, "id", "left").withColumn("open", still).filter("open <> 0").select(*columns), "undecided")
         fills = new if fills is None else fills.unionByName(new)
-        batch = min(8 * batch, 1 << 40)
+        batch = min(8 * batch, MOST_EXAMINED)
     names = [*items.columns, "mask"]
     return items.limit(0).withColumn("mask", F.lit(0).cast("bigint")) if fills is None else fills.select(*names)
 
 
+def _by_pairs(examined: DataFrame, tree, dists: list[float], block: int, most_pairs: int) -> DataFrame:
+    """The examined items with ``mask``: null where nothing earlier is near, -1 where a further round has to decide.
+
+    The graph of the near pairs, ids without vectors, is decided whole. Should a group have more pairs than
+    one task takes, only items without an earlier near one are decided.
+    """
+    columns, grp = examined.columns, examined.schema["grp"].dataType.simpleString()
+    examined = keep(examined, "crowd")
+    asked = tree.place(examined.drop("cell"), max(dists))
+    pairs = sim.by_blocks(asked, examined, _near_pairs(dists), f"grp {grp}, qid bigint, qms bigint, id bigint, dist double", block)
+    pairs = keep(pairs, "near-pairs")
+    few = pairs.groupBy("grp").agg(F.count("*").alias("n")).filter(F.col("n") <= most_pairs).select("grp")
+    whole = pairs.join(few, "grp", "left_semi").groupBy("grp").cogroup(
+        examined.select("grp", "id", "open").join(few, "grp", "left_semi").groupBy("grp")
+    ).applyInArrow(_decided(dists), "id bigint, mask bigint")
+    later = pairs.select(F.col("qid").alias("id"), "grp").distinct()
+    left = later.join(few, "grp", "left_anti").select("id", F.lit(-1).cast("bigint").alias("mask"))
+    return keep(examined.join(whole.unionByName(left), "id", "left"), "decided").select(*columns, "mask")
+
+
 def semantic_fill_masks(
     items: DataFrame, dists: list[float], small: int = SMALL_GROUP, block: int = sim.BLOCK,
     first_batch: int = FIRST_BATCH, pivots="auto", most_pairs: int = MOST_PAIRS,

@@ -26,6 +26,7 @@ BLOCK = 4096  # rows per side of one matrix product
 LEAF = 8  # a cell of more blocks than this is split
 FAN = 64  # pivots of a node of the tree, at most
 DIGITS = 9
+FOUND = "qid bigint, dist double, ms bigint, id bigint"
 
 
 def max_distance(threshold: float) -> float:
@@ -337,6 +338,55 @@ def by_blocks(queries: DataFrame, entries: DataFrame, compare, schema: str, bloc
     return q.groupBy(*key, *at).cogroup(e.groupBy(*key, *at)).applyInArrow(compare, schema)
 
 
+def packed(df: DataFrame, block: int) -> DataFrame:
+    """(grp, data): the rows of each cell in blocks, a block being one row that holds them as an Arrow stream."""
+    key = ["grp", "cell"]
+    sizes = df.groupBy(*key).agg(F.ceil(F.count("*") / F.lit(block)).alias("_blocks"))
+    dealt = df.join(sizes, key).withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks"))).drop("_blocks")
+
+    def pack(rows: pa.Table) -> pa.Table:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as out:
+            out.write_table(rows.combine_chunks())
+        return pa.table({"grp": rows["grp"].slice(0, 1), "data": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+    return dealt.groupBy(*key, "_block").applyInArrow(pack, f"grp {df.schema['grp'].dataType.simpleString()}, data binary")
+
+
+def _may_reach(queries: np.ndarray, entries: np.ndarray, max_dist: float) -> np.ndarray:
+    """Which queries can have an entry within the distance, by the ball around the entries."""
+    centre = entries.mean(axis=0)
+    radius = np.linalg.norm(entries - centre, axis=1).max()
+    # a zero vector is at distance 1 of all, whatever its place
+    return (np.linalg.norm(queries - centre, axis=1) <= radius + math.sqrt(2.0 * max_dist) + 1e-6) | (max_dist >= 0.5)
+
+
+def crossed(queries: DataFrame, entries: DataFrame, compare, schema: str, max_dist: float, block: int = BLOCK) -> DataFrame:
+    """``compare`` (queries, entries) over every block of queries and every block of entries of a group.
+
+    Rows are shuffled once, into blocks. Blocks meet in a join without an equality, which reads them again
+    instead of shuffling a copy for every block on the other side. ``queries`` need no cells.
+    """
+    n = 2 * queries.sparkSession.sparkContext.defaultParallelism
+    if "cell" not in queries.columns:
+        queries = queries.withColumn("cell", F.lit(0).cast("bigint"))
+    q = keep(packed(queries, block).select("grp", F.col("data").alias("q"), F.xxhash64("grp").alias("_qg")), "query-blocks")
+    e = keep(packed(entries, block).select(F.col("data").alias("e"), F.xxhash64("grp").alias("_eg")), "entry-blocks")
+    met = q.repartition(n).join(e.repartition(n), F.col("_qg").bitwiseXOR(F.col("_eg")) == 0).select("q", "e")
+
+    def run(batches):
+        for batch in batches:
+            for a, b in zip(batch.column("q"), batch.column("e"), strict=True):
+                mine, theirs = (pa.ipc.open_stream(x.as_buffer()).read_all() for x in (a, b))
+                if mine["grp"][0].as_py() != theirs["grp"][0].as_py():
+                    continue
+                mine = mine.filter(pa.array(_may_reach(to_matrix(mine["vec"]), to_matrix(theirs["vec"]), max_dist)))
+                if mine.num_rows:
+                    yield from compare(mine, theirs).to_batches(max_chunksize=100_000)
+
+    return met.mapInArrow(run, schema)
+
+
 def blocked_search(
     queries: DataFrame, entries: DataFrame, max_dist: float, earlier: bool = False, records: bool = False, block: int = BLOCK
 ) -> DataFrame:
@@ -348,8 +398,13 @@ def blocked_search(
     """
     columns = ["grp", "cell", "id", "ms", "vec"]
     found = by_blocks(
-        queries.select(*columns), entries.select(*columns), _search(max_dist, earlier, records), "qid bigint, dist double, ms bigint, id bigint", block
+        queries.select(*columns), entries.select(*columns), _search(max_dist, earlier, records), FOUND, block
     )
+    return _merged(found, records)
+
+
+def _merged(found: DataFrame, records: bool) -> DataFrame:
+    """One row per query, or its record holders, of what the blocks found."""
     if records:
         return merge_records(found)
     best = found.groupBy("qid").agg(F.min(F.struct("dist", "ms", "id")).alias("b"))
@@ -369,8 +424,9 @@ def nearest(
     pivots: np.ndarray | str | None = "auto", block: int = BLOCK,
 ) -> DataFrame:
     """Exact search: entries in a tree (or around the pivots given), then block by block."""
-    tree = placed_for(entries, pivots, block)
-    return blocked_search(tree.place(queries, max_dist), tree.entries, max_dist, earlier, records, block)
+    tree, columns = placed_for(entries, pivots, block), ["grp", "id", "ms", "vec"]
+    compare = _search(max_dist, earlier, records)
+    return _merged(crossed(queries.select(*columns), tree.entries.select(*columns, "cell"), compare, FOUND, max_dist, block), records)
 
 
 # lookups -------------------------------------------------------------------------------------
