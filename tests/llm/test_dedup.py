@@ -161,3 +161,22 @@ def test_signatures_drop_hardly_a_link(percent):
     n, p = near_dedup.HASHES, percent / 100
     need = ceil(n * near_dedup._likely(p))
     assert sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(need)) < 1e-9
+
+
+def test_sets_go_only_to_members_with_a_possible_pair(spark, monkeypatch):
+    """Members of an open bucket whose signatures leave no pair possible are not sent with their sets."""
+    rng = np.random.default_rng(3)
+    sig = rng.integers(0, 1 << 32, (4, near_dedup.HASHES), np.uint32)
+    sig[1] = sig[0]
+    sig[:, :4] = sig[0, :4]
+    sets = [np.sort(rng.integers(0, 1 << 62, 50).astype(np.uint64)) for _ in range(4)]
+    sets[1] = sets[0]
+    names = [b"n%d" % i for i in range(4)]
+    members = spark.createDataFrame([(7, 0, n, 4) for n in names], "bucket bigint, band int, node binary, members bigint")
+    classes = spark.createDataFrame([(n, s.tobytes()) for n, s in zip(names, sig, strict=True)], "node binary, signature binary")
+    full = spark.createDataFrame([(n, s.tobytes()) for n, s in zip(names, sets, strict=True)], "node binary, shingles binary")
+    written, keep = {}, near_dedup.keep
+    monkeypatch.setattr(near_dedup, "keep", lambda df, name="kept": written.setdefault(name, keep(df, name)))
+    links = near_dedup.open_links(members, members.limit(0).selectExpr("node", "node AS root"), classes, full, 85)
+    assert {frozenset((bytes(r.a), bytes(r.b))) for r in links.collect()} == {frozenset(names[:2])}
+    assert {bytes(r.node) for r in written["possible"].collect()} == set(names[:2])

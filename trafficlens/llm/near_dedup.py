@@ -8,8 +8,8 @@ equal sets form one class; everything below works on classes, so copies cost not
 * Pairs are tested in two steps, so that no bucket ever emits its pairs: every class with the
   leaders of its buckets (a leader is the member that shares the most buckets, which in a group of
   near copies is the one most others resemble); then, in buckets that still hold several
-  components, the members outside the largest component with all others, chunk by chunk, where a
-  task emits a link only between what it has not joined yet. A pair is tested in the first band
+  components, the members outside the largest component with all others, chunk by chunk, by signatures
+  and then, for members with a possible pair, by sets, where a task emits a link only between what it has not joined yet. A pair is tested in the first band
   that it shares only. This loses no link.
 * A pair is tested by its signatures first (``DOUBT`` standard deviations below the threshold
   drop it) and then exactly on the full sets.
@@ -248,23 +248,49 @@ def _blobs(column, dtype) -> list[np.ndarray]:
     return [np.frombuffer(x, dtype) for x in column.to_pylist()]
 
 
+def _cell(table: pa.Table, least: float):
+    """The members of a pair of chunks: node, component number, minor, and for a minor member the others of
+    another component that its signature leaves possible, the likeliest first."""
+    node, band = table.column("node").to_pylist(), table.column("band")[0].as_py()
+    comp = np.unique(np.array(table.column("comp").to_pylist(), object), return_inverse=True)[1]
+    sig = np.stack(_blobs(table.column("signature"), np.uint32))
+    minor = np.array(table.column("minor").to_pylist(), bool)
+    rest = np.flatnonzero(~minor)
+
+    def others(x: int) -> np.ndarray:
+        other = rest[comp[rest] != comp[x]]
+        same = sig[other] == sig[x]
+        share = same.mean(axis=1)
+        shared = same.reshape(len(other), BANDS, HASHES // BANDS).all(axis=2)
+        near = np.flatnonzero((share >= least) & (shared.argmax(axis=1) == band))
+        return other[near[np.argsort(-share[near], kind="stable")]]
+
+    return node, comp, minor, others
+
+
+def _possible(least: float):
+    """The members of a pair of chunks that are in a pair which signatures leave possible, without their signatures."""
+
+    def mark(key, table):
+        _, _, minor, others = _cell(table, least)
+        some = np.zeros(len(minor), bool)
+        for x in np.flatnonzero(minor):
+            near = others(x)
+            some[near] = True
+            some[x] = len(near) > 0
+        return table.drop_columns(["signature"]).filter(pa.array(some))
+
+    return mark
+
+
 def _compare(percent: int, least: float):
     """Links between the members of a pair of chunks that join components, one for each join."""
 
     def compare(key, table):
-        node, band = table.column("node").to_pylist(), table.column("band")[0].as_py()
-        comp = np.unique(np.array(table.column("comp").to_pylist(), object), return_inverse=True)[1]
-        sig = np.stack(_blobs(table.column("signature"), np.uint32))
-        sets = _blobs(table.column("shingles"), U)
-        minor = np.array(table.column("minor").to_pylist(), bool)
-        rest, a, b = np.flatnonzero(~minor), [], []
+        node, comp, minor, others = _cell(table, least)
+        sets, a, b = _blobs(table.column("shingles"), U), [], []
         for x in np.flatnonzero(minor):
-            other = rest[comp[rest] != comp[x]]
-            same = sig[other] == sig[x]
-            share = same.mean(axis=1)
-            shared = same.reshape(len(other), BANDS, HASHES // BANDS).all(axis=2)
-            near = np.flatnonzero((share >= least) & (shared.argmax(axis=1) == band))
-            for y in other[near[np.argsort(-share[near], kind="stable")]]:
+            for y in others(x):
                 if comp[y] != comp[x] and linked(sets[x], sets[y], percent):
                     comp[comp == comp[y]] = comp[x]
                     a.append(node[x])
@@ -278,8 +304,9 @@ def open_links(members: DataFrame, comps: DataFrame, classes: DataFrame, sets: D
     """The links (a, b) that join components: in buckets with several of them, members outside the
     largest one are compared with all others.
 
-    Members are dealt into chunks of bounded size, and each pair of chunks is one piece of work
-    that holds their signatures and sets and emits no more links than it has members.
+    Members are dealt into chunks of bounded size, and each pair of chunks is one piece of work. The first
+    pass holds signatures alone and names the members that are in a pair they leave possible; only these are
+    sent with their sets, to the second, which emits no more links than it has members.
     """
     placed = keep(_placed(members, comps), "open_buckets")
     sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
@@ -296,10 +323,13 @@ def open_links(members: DataFrame, comps: DataFrame, classes: DataFrame, sets: D
     as_any = F.transform(numbers("minors"), lambda i: F.struct(i.alias("i"), F.col("any_no").alias("j"), F.lit(False).alias("minor")))
     as_minor = F.transform(numbers("chunks"), lambda j: F.struct(F.col("minor_no").alias("i"), j.alias("j"), F.lit(True).alias("minor")))
     places = F.when(F.col("minor"), F.concat(as_any, as_minor)).otherwise(as_any)
-    full = classes.select("node", "signature").join(sets, "node")
-    cells = marked.join(full, "node").select("bucket", "band", "node", "comp", "signature", "shingles", F.explode(places).alias("at"))
-    cells = cells.select("bucket", "at.i", "at.j", "at.minor", "band", "node", "comp", "signature", "shingles")
-    return cells.groupBy("bucket", "i", "j").applyInArrow(_compare(percent, _likely(percent / 100)), "a binary, b binary")
+    names, least = ["bucket", "i", "j", "minor", "band", "node", "comp"], _likely(percent / 100)
+    signed = marked.join(classes.select("node", "signature"), "node").withColumn("at", F.explode(places))
+    cells = signed.select("bucket", "at.i", "at.j", "at.minor", "band", "node", "comp", "signature")
+    fields = ", ".join(f"{n} {t}" for n, t in cells.select(*names).dtypes)
+    possible = keep(cells.groupBy("bucket", "i", "j").applyInArrow(_possible(least), fields), "possible")
+    full = possible.join(classes.select("node", "signature"), "node").join(sets, "node").select(*names, "signature", "shingles")
+    return full.groupBy("bucket", "i", "j").applyInArrow(_compare(percent, least), "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE) -> DataFrame:
