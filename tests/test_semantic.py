@@ -348,3 +348,48 @@ def test_embedder_is_deterministic_and_unit():
     embed = embedding.hashed_terms(32)()
     a, b = embed(["Ein Wort, noch ein Wort", ""], None), embed(["ein wort, NOCH ein Wort", ""], "m")
     assert np.allclose(a, b) and abs(np.linalg.norm(a[0]) - 1) < 1e-6 and not a[1].any()
+
+
+def test_funnel_derives_its_requests_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [(i, i % 3, T0 + timedelta(seconds=i % 7), "m", f"p{i % 5}", f"h{i % 5}") for i in range(60)]
+    schema = "id bigint, api_key_id bigint, ts timestamp_ntz, model string, prompt string, request_hash string"
+    given = spark.createDataFrame(rows, schema).mapInArrow(count, schema)
+    vec = spark.createDataFrame([("m", f"p{i}", [1.0, float(i)]) for i in range(5)], "model string, prompt string, vec array<float>")
+    assert len(sc.replay_funnel(given, vec, limiter={"per_short": 12, "per_long": 10_000}).collect()) == 60
+    assert read.value == 60
+
+
+@pytest.mark.parametrize("max_dist", [0.2, 0.03, 1.4])
+def test_near_pairs_are_those_of_double_precision(max_dist):
+    rng = np.random.default_rng(4)
+    q, e = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (rng.normal(size=(n, 6)) for n in (700, 900)))
+    # pairs at the distance, and nearer and farther by less than single precision tells
+    for k, off in enumerate([0.0, 4e-10, 6e-10, 3e-9, -3e-9, 1e-7, -1e-7]):
+        cos = 1.0 - max_dist - off
+        e[k] = cos * q[k] + np.sqrt(1 - cos**2) * np.linalg.qr(np.column_stack([q[k], q[k + 300]]))[0][:, 1]
+    e[50], q[60] = 0.0, np.nan
+    want = np.round(1.0 - q @ e.T, 9)
+    got = list(sim.near_pairs(q, e, max_dist))
+    i, j, dist = (np.concatenate(x) for x in zip(*got, strict=True))
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(want <= max_dist)), strict=True))
+    assert np.abs(dist - want[i, j]).max() <= 1.1e-9
+    some = np.array([0, 60, *range(100, 140)])
+    m = np.concatenate([e, q[some]])
+    near = sc._any_near(q, m, m.astype(np.float32), np.arange(900), max_dist)
+    assert (near == (want <= max_dist).any(axis=1)).all()
+
+
+def test_records_are_below_all_before():
+    rng = np.random.default_rng(8)
+    i = np.sort(rng.integers(0, 40, 500))
+    dist = np.round(rng.random(500), 1)
+    want = [k for k in range(500) if all(dist[k] < dist[n] for n in range(k) if i[n] == i[k])]
+    assert sim._records(i, dist).tolist() == want
+    assert sim._records(i[:0], dist[:0]).tolist() == []

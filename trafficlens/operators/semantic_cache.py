@@ -35,6 +35,21 @@ def _masks(bits: np.ndarray) -> np.ndarray:
     return (bits.astype(np.int64) << np.arange(bits.shape[1])[None, :]).sum(axis=1)
 
 
+def _any_near(part: np.ndarray, m: np.ndarray, single: np.ndarray, fills: np.ndarray, dist: float) -> np.ndarray:
+    """Which rows of ``part`` have a fill (a row of ``m``; ``single`` holds it in single precision) within the distance.
+
+    The greatest product in single precision tells, but for the rows where it is too close to the distance.
+    """
+    near = np.zeros(len(part), bool)
+    if len(fills):
+        most, slack = (part.astype(np.float32) @ single[fills].T).max(axis=1), sim.slack(m.shape[1])
+        near = most > 1.0 - dist + slack
+        doubt = np.flatnonzero(~near & ~(most < 1.0 - dist - slack))
+        if len(doubt):
+            near[doubt] = (np.round(1.0 - part[doubt] @ m[fills].T, sim.DIGITS) <= dist).any(axis=1)
+    return near
+
+
 def _greedy(dists: float | list[float]):
     """Fills among one small group: each item is compared with the fills so far, in time order.
 
@@ -47,14 +62,14 @@ def _greedy(dists: float | list[float]):
         table = table.sort_by([("ms", "ascending"), ("id", "ascending")])
         m = sim.to_matrix(table["vec"])
         open_ = _bits(table["open"].to_numpy(), len(dists)) if "open" in table.column_names else np.ones((len(m), len(dists)), bool)
-        fills, bits = [], []
+        single, fills, bits = m.astype(np.float32), [], []
         for at in range(0, len(m), 256):
             part = m[at : at + 256]
             free = open_[at : at + 256].copy()
             if fills:
-                apart, of = np.round(1.0 - part @ m[fills].T, sim.DIGITS), np.array(bits)
+                of = np.array(bits)
                 for t, d in enumerate(dists):
-                    free[:, t] = ~(apart[:, of[:, t]] <= d).any(axis=1)
+                    free[:, t] = ~_any_near(part, m, single, np.array(fills)[of[:, t]], d)
             inside = np.round(1.0 - part @ part.T, sim.DIGITS)
             for i in np.flatnonzero(free.any(axis=1)):
                 mine = free[i].copy()
@@ -117,18 +132,17 @@ def _answered(dists: list[float]):
     def run(q: pa.Table, e: pa.Table) -> pa.Table:
         ids, masks = [], []
         if q.num_rows and e.num_rows:
-            e, em, ei, before = _before(q, e)
-            entries, queries = sim.to_matrix(e["vec"]), sim.to_matrix(q["vec"])
-            qm, qi, bits = q["ms"].to_numpy(), q["id"].to_numpy(), _bits(e["mask"].to_numpy(), len(dists))
-            step = max(1, 2_000_000 // len(em))
-            for at in range(0, len(qi), step):
-                part = slice(at, at + step)
-                apart = np.round(1.0 - queries[part] @ entries.T, sim.DIGITS)
-                apart[~before(qm[part], qi[part])] = np.inf
-                hit = np.stack([(apart[:, bits[:, t]] <= d).any(axis=1) for t, d in enumerate(dists)], axis=1)
-                some = np.flatnonzero(hit.any(axis=1))
-                ids.append(qi[part][some])
-                masks.append(_masks(hit[some]))
+            em, ei, bits = e["ms"].to_numpy(), e["id"].to_numpy(), _bits(e["mask"].to_numpy(), len(dists))
+            qm, qi = q["ms"].to_numpy(), q["id"].to_numpy()
+            for i, j, apart in sim.near_pairs(sim.to_matrix(q["vec"]), sim.to_matrix(e["vec"]), max(dists)):
+                before = (em[j] < qm[i]) | ((em[j] == qm[i]) & (ei[j] < qi[i]))
+                some, at = np.unique(i[before], return_inverse=True)
+                hit = np.zeros((len(some), len(dists)), bool)
+                for t, d in enumerate(dists):
+                    hit[at[bits[j[before], t] & (apart[before] <= d)], t] = True
+                some, hit = some[hit.any(axis=1)], hit[hit.any(axis=1)]
+                ids.append(qi[some])
+                masks.append(_masks(hit))
         return pa.table(
             {c: pa.array(np.concatenate(v) if v else [], pa.int64()) for c, v in (("qid", ids), ("mask", masks))}
         )
@@ -369,6 +383,8 @@ def replay_funnel(
     a hash is filled at most once: a request that is no fill is an exact hit while the fill of its
     own hash lives, and a semantic hit otherwise. Requests without prompt use the exact cache alone.
     """
+    # read by every step below; what it takes to derive the rows is done once
+    requests = keep(requests, "requests")
     columns = requests.columns
     slim = ["id", "api_key_id", "ts", "model", "prompt", "request_hash"] + ([fillable] if fillable else [])
     gated = keep(replay_rate_limit(requests.select(*slim), limits, **(limiter or {})))

@@ -48,6 +48,35 @@ def to_matrix(column) -> np.ndarray:
     return m / np.where(length > 0, length, 1.0)
 
 
+def slack(dims: int) -> float:
+    """How far a product of unit vectors in single precision is from the exact one, at most (rounding included)."""
+    return 1e-6 + 1.2e-7 * dims
+
+
+def near_pairs(queries: np.ndarray, entries: np.ndarray, max_dist: float):
+    """(i, j, dist) of all rows within the distance, by steps of queries and in row order.
+
+    A product in single precision names every pair that can be near; only these are computed in double precision,
+    or the whole step where they are many.
+    """
+    if not len(queries) or not len(entries):
+        return
+    q32, e32 = queries.astype(np.float32), entries.astype(np.float32).T
+    least = np.float32(1.0 - max_dist - slack(queries.shape[1]))
+    step = max(1, 2_000_000 // len(entries))
+    for at in range(0, len(queries), step):
+        i, j = np.nonzero(q32[at : at + step] @ e32 >= least)
+        if 16 * len(i) > min(step, len(queries) - at) * len(entries):
+            dist = (queries[at : at + step] @ entries.T)[i, j]
+        else:
+            parts = [slice(a, a + 65_536) for a in range(0, len(i), 65_536)]
+            dots = [np.einsum("nk,nk->n", queries[at + i[p]], entries[j[p]]) for p in parts]
+            dist = np.concatenate([*dots, np.zeros(0)])
+        dist = np.round(1.0 - dist, DIGITS) + 0.0
+        near = dist <= max_dist
+        yield at + i[near], j[near], dist[near]
+
+
 # pivots and cells ----------------------------------------------------------------------------
 
 
@@ -270,53 +299,36 @@ def placed_for(entries: DataFrame, pivots, block: int) -> Tree | Flat:
 
 def _search(max_dist: float, earlier: bool, records: bool):
     def run(q: pa.Table, e: pa.Table) -> pa.Table:
-        out_q, out_d, out_ms, out_id = [], [], [], []
+        out = {"qid": [], "dist": [], "ms": [], "id": []}
         if q.num_rows and e.num_rows:
             e = e.sort_by([("ms", "ascending"), ("id", "ascending")])
             em, ei = e["ms"].to_numpy(), e["id"].to_numpy()
-            entries = to_matrix(e["vec"])
             qm, qi = q["ms"].to_numpy(), q["id"].to_numpy()
-            queries = to_matrix(q["vec"])
-            step = max(1, 2_000_000 // len(em))
-            for at in range(0, len(qi), step):
-                part = slice(at, at + step)
-                dist = np.round(1.0 - queries[part] @ entries.T, DIGITS) + 0.0
-                ok = dist <= max_dist
+            for i, j, dist in near_pairs(to_matrix(q["vec"]), to_matrix(e["vec"]), max_dist):
                 if earlier:
-                    t, i = qm[part][:, None], qi[part][:, None]
-                    ok &= (em[None, :] < t) | ((em[None, :] == t) & (ei[None, :] < i))
-                found = np.flatnonzero(ok.any(axis=1))
-                dist = np.where(ok, dist, np.inf)
+                    ok = (em[j] < qm[i]) | ((em[j] == qm[i]) & (ei[j] < qi[i]))
+                    i, j, dist = i[ok], j[ok], dist[ok]
+                # entries are in time order, so the first of equals is the earliest
                 if records:
-                    for r in found:
-                        d = dist[r]
-                        best = np.minimum.accumulate(d)
-                        keep = np.flatnonzero(d < np.concatenate([[np.inf], best[:-1]]))
-                        out_q.append(np.full(len(keep), qi[at + r]))
-                        out_d.append(d[keep])
-                        out_ms.append(em[keep])
-                        out_id.append(ei[keep])
+                    kept = _records(i, dist)
                 else:
-                    # entries are in time order, so argmin takes the earliest of equals
-                    j = dist[found].argmin(axis=1)
-                    out_q.append(qi[at + found])
-                    out_d.append(dist[found, j])
-                    out_ms.append(em[j])
-                    out_id.append(ei[j])
+                    best = np.lexsort((j, dist, i))
+                    kept = best[np.flatnonzero(np.diff(i[best], prepend=-1))]
+                for c, v in (("qid", qi[i[kept]]), ("dist", dist[kept]), ("ms", em[j[kept]]), ("id", ei[j[kept]])):
+                    out[c].append(v)
+        types = {"qid": pa.int64(), "dist": pa.float64(), "ms": pa.int64(), "id": pa.int64()}
+        return pa.table({c: pa.array(np.concatenate(v) if v else [], types[c]) for c, v in out.items()})
 
-        def column(parts, kind):
-            return pa.array(np.concatenate(parts) if parts else [], type=kind)
+    return run
 
-        return pa.table(
-            {
-                "qid": column(out_q, pa.int64()),
-                "dist": column(out_d, pa.float64()),
-                "ms": column(out_ms, pa.int64()),
-                "id": column(out_id, pa.int64()),
-            }
-        )
 
-    return run
+def _records(i: np.ndarray, dist: np.ndarray) -> np.ndarray:
+    """Places of the rows whose distance is below all before them of the same ``i``, which ascends."""
+    rank = np.unique(dist, return_inverse=True)[1].astype(np.int64)
+    # each i has whole numbers of its own, below those of all i before it
+    turn = rank - i.astype(np.int64) * (len(i) + 1)
+    least = np.minimum.accumulate(turn)
+    return np.flatnonzero(np.concatenate(([True], turn[1:] < least[:-1]))[: len(i)])
 
 
 def by_blocks(queries: DataFrame, entries: DataFrame, compare, schema: str, block: int = BLOCK) -> DataFrame:
