@@ -393,3 +393,55 @@ def test_records_are_below_all_before():
     want = [k for k in range(500) if all(dist[k] < dist[n] for n in range(k) if i[n] == i[k])]
     assert sim._records(i, dist).tolist() == want
     assert sim._records(i[:0], dist[:0]).tolist() == []
+
+
+def test_rounds_write_an_item_as_often_whatever_their_number(spark, monkeypatch):
+    """An item is written for its block, its round and as a fill, however many rounds come before its own."""
+    n, written, kept = 600, [], sc.keep
+    monkeypatch.setattr(sc, "MOST_EXAMINED", 64)
+    count = lambda df: df.selectExpr("sum(n)").head()[0] or 0 if "n" in df.columns else df.count()
+    monkeypatch.setattr(sc, "keep", lambda df, *name: (out := kept(df, *name), written.append(count(out)))[0])
+    rng = np.random.default_rng(3)
+    rows = [("a", i, i // 150, v.tolist()) for i, v in enumerate(rng.normal(size=(n, 12)))]
+    got = sc.semantic_fill_masks(items(spark, rows), [0.001], small=0, block=32, first_batch=64)
+    assert got.count() == n
+    assert sum(written) <= 6 * n
+
+
+def test_only_prompts_without_a_fill_are_searched(spark, monkeypatch):
+    rows, vec = requests(13)
+    asked, search = [], sim.records_among
+    monkeypatch.setattr(sim, "records_among", lambda q, *rest: asked.append(q.count()) or search(q, *rest))
+    got = sc.replay_semantic(request_frame(spark, rows), prompt_frame(spark, vec), 0.95, fillable="fillable", small=0, block=16)
+    want = brute_semantic(rows, vec, 0.05)
+    assert {r.id: (r.cache_hit, r.is_fill, r.fill_id) for r in got.collect()} == want
+    known = {(m, p) for _, m, p, _, _ in rows if p in vec}
+    assert asked == [len(known) - sum(w[1] for w in want.values())]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10_000), st.floats(0.0, 0.7), st.floats(0.0, 1.0))
+def test_bands_lose_nothing(seed, max_dist, spread):
+    rng = np.random.default_rng(seed)
+    centre = rng.normal(size=6)
+    q, e = (sim.to_matrix(_list_column(centre + spread * rng.normal(size=(n, 6)))) for n in (150, 170))
+    e[:3], q[:3], q[3] = q[5:8], 0.0, -q[4]
+    rows, others, steps = sim._bands(q, e, max_dist)
+    met = np.zeros((len(q), len(e)), bool)
+    for at, to, lo, hi in steps:
+        met[np.ix_(rows[at:to], others[lo:hi])] = True
+    assert met[np.round(1 - q @ e.T, 9) <= max_dist].all()
+
+
+def _list_column(m):
+    import pyarrow as pa
+
+    return pa.array(m.tolist(), pa.list_(pa.float64()))
+
+
+def test_bands_spare_rows_at_other_angles():
+    angle = np.linspace(0, 1.5, 4000)
+    m = np.stack([np.cos(angle), np.sin(angle)], axis=1)
+    products = sum((to - at) * (hi - lo) for at, to, lo, hi in sim._bands(m, m, 0.001)[2])
+    # a pair is near up to 0.045 of 1.5, on either side of the common direction
+    assert products < 0.25 * 4000 * 4000

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import settings as S
 from ..functions.times import millis
@@ -20,10 +20,8 @@ from .exact_cache import replay_exact_cache
 from .ratelimit import replay_rate_limit
 
 SMALL_GROUP = 8192  # a group of at most this many distinct prompts is decided in one task
-FIRST_BATCH = 1024  # undecided prompts per cell that are examined in the first round, at most
-MOST_EXAMINED = 1 << 16  # items of a group that one task decides in a round; more are decided by their pairs
-MOST_PAIRS = 4_000_000  # near pairs (ids only) of a group's round that one task decides
-HALVES = 12  # an early part is as small as 1/2**HALVES of a cell, at least
+FIRST_BATCH = 1024  # undecided prompts of a group that are examined in the first round, in whole blocks
+MOST_EXAMINED = 1 << 16  # items of a group that one task decides in a round
 
 
 def _bits(mask: np.ndarray, n: int) -> np.ndarray:
@@ -95,57 +93,36 @@ def _before(q: pa.Table, e: pa.Table):
     return e, em, ei, before
 
 
-def _near_pairs(dists: list[float]):
-    """(grp, qid, qms, id, dist) of all earlier entries that are near for a distance still open to both."""
+def _answer(m: np.ndarray, mask: np.ndarray, fills: np.ndarray, theirs: np.ndarray, dists: list[float]) -> None:
+    """Add to ``mask`` the distances for which a row of ``m`` has a near one among the fills, all of them earlier.
 
-    def run(q: pa.Table, e: pa.Table) -> pa.Table:
-        out = {"qid": [], "qms": [], "id": [], "dist": []}
-        if q.num_rows and e.num_rows:
-            e, em, ei, before = _before(q, e)
-            entries, queries = sim.to_matrix(e["vec"]), sim.to_matrix(q["vec"])
-            qm, qi = q["ms"].to_numpy(), q["id"].to_numpy()
-            q_open, e_open = (_bits(x["open"].to_numpy(), len(dists)) for x in (q, e))
-            step = max(1, 2_000_000 // len(em))
-            for at in range(0, len(qi), step):
-                part = slice(at, at + step)
-                apart = np.round(1.0 - queries[part] @ entries.T, sim.DIGITS) + 0.0
-                near = np.zeros(apart.shape, bool)
-                for t, d in enumerate(dists):
-                    near |= (apart <= d) & q_open[part, t][:, None] & e_open[:, t][None, :]
-                i, j = np.nonzero(near & before(qm[part], qi[part]))
-                out["qid"].append(qi[part][i])
-                out["qms"].append(qm[part][i])
-                out["id"].append(ei[j])
-                out["dist"].append(apart[i, j])
-        types = {"qid": pa.int64(), "qms": pa.int64(), "id": pa.int64(), "dist": pa.float64()}
-        columns = {c: pa.array(np.concatenate(v) if v else [], types[c]) for c, v in out.items()}
-        grp = (q if q.num_rows else e)["grp"]
-        name = pa.array([grp[0].as_py()] * len(columns["qid"]), grp.type) if len(grp) else pa.array([], grp.type)
-        return pa.table({"grp": name, **columns})
-
-    return run
+    Rows that are answered for all distances are left out.
+    """
+    left = np.flatnonzero(mask != (1 << len(dists)) - 1)
+    left = left[sim._may_reach(m[left], fills, max(dists))] if len(left) else left
+    bits = _bits(theirs, len(dists))
+    for i, j, apart in sim.near_pairs(m[left], fills, max(dists)):
+        for t, d in enumerate(dists):
+            mask[left[i[(apart <= d) & bits[j, t]]]] |= 1 << t
 
 
 def _answered(dists: list[float]):
-    """(qid, mask): the distances for which a query has an earlier fill near enough."""
-
-    def run(q: pa.Table, e: pa.Table) -> pa.Table:
-        ids, masks = [], []
-        if q.num_rows and e.num_rows:
-            em, ei, bits = e["ms"].to_numpy(), e["id"].to_numpy(), _bits(e["mask"].to_numpy(), len(dists))
-            qm, qi = q["ms"].to_numpy(), q["id"].to_numpy()
-            for i, j, apart in sim.near_pairs(sim.to_matrix(q["vec"]), sim.to_matrix(e["vec"]), max(dists)):
-                before = (em[j] < qm[i]) | ((em[j] == qm[i]) & (ei[j] < qi[i]))
-                some, at = np.unique(i[before], return_inverse=True)
-                hit = np.zeros((len(some), len(dists)), bool)
-                for t, d in enumerate(dists):
-                    hit[at[bits[j[before], t] & (apart[before] <= d)], t] = True
-                some, hit = some[hit.any(axis=1)], hit[hit.any(axis=1)]
-                ids.append(qi[some])
-                masks.append(_masks(hit))
-        return pa.table(
-            {c: pa.array(np.concatenate(v) if v else [], pa.int64()) for c, v in (("qid", ids), ("mask", masks))}
-        )
+    """(grp, no, mask): for the blocks of items that a task is given, the distances for which each row has a near fill."""
+
+    def run(pairs):
+        held = {}
+        for no, a, b in pairs:
+            if no not in held:
+                rows = sim.unpacked(a)
+                held[no] = rows["grp"].slice(0, 1), sim.to_matrix(rows["vec"]), np.zeros(rows.num_rows, np.int64)
+            grp, m, mask = held[no]
+            fills = sim.unpacked(b)
+            if fills["grp"][0].as_py() == grp[0].as_py():
+                _answer(m, mask, sim.to_matrix(fills["vec"]), fills["mask"].to_numpy(), dists)
+        for no, (grp, _, mask) in held.items():
+            if mask.any():
+                found = mask.astype(np.min_scalar_type((1 << len(dists)) - 1)).tobytes()
+                yield pa.table({"grp": grp, "no": pa.array([no], pa.int64()), "mask": pa.array([found], pa.binary())})
 
     return run
 
@@ -173,115 +150,70 @@ def _first_fills(dists: list[float]):
     return run
 
 
-def _decided(dists: list[float]):
-    """(id, mask): the fills among the examined items that have near pairs, per distance.
-
-    Items are taken in time order; one is a fill for a distance unless one of its earlier near items is.
-    All of these are examined too, those without pairs being fills for all distances open to them.
-    """
-
-    def run(pairs: pa.Table, items: pa.Table) -> pa.Table:
-        ids, masks = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if items.num_rows and pairs.num_rows:
-            order = np.argsort(items["id"].to_numpy(), kind="stable")
-            ids, open_ = items["id"].to_numpy()[order], items["open"].to_numpy()[order]
-            q, e = (np.searchsorted(ids, pairs[c].to_numpy()) for c in ("qid", "id"))
-            turn = np.lexsort((pairs["qid"].to_numpy(), pairs["qms"].to_numpy()))
-            q, e, apart = q[turn], e[turn], pairs["dist"].to_numpy()[turn]
-            close = np.stack([apart <= d for d in dists], axis=1)
-            state = _bits(open_, len(dists))
-            edge = np.flatnonzero(np.diff(q)) + 1
-            for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(q)], strict=True):
-                state[q[lo]] &= ~(close[lo:hi] & state[e[lo:hi]]).any(axis=0)
-            asked = np.unique(q)
-            ids, masks = ids[asked], _masks(state[asked])
-        return pa.table({"id": pa.array(ids, pa.int64()), "mask": pa.array(masks, pa.int64())})
+def _decided(dists: list[float], block: int):
+    """Fills among the blocks of one group's round, in blocks; ``found`` holds what earlier rounds answer of them."""
+    greedy, of = _greedy(dists), np.min_scalar_type((1 << len(dists)) - 1)
+
+    def run(examined: pa.Table, found: pa.Table) -> pa.Table:
+        answered, made = {}, []
+        for no, mask in zip(found["no"].to_pylist(), found["mask"], strict=True):
+            answered[no] = answered.get(no, 0) | np.frombuffer(mask.as_buffer(), of).astype(np.int64)
+        examined = examined.sort_by("no")
+        for no, data in zip(examined["no"].to_pylist(), examined["data"], strict=True):
+            rows = sim.unpacked(data)
+            m, mask = sim.to_matrix(rows["vec"]), np.zeros(rows.num_rows, np.int64) | answered.get(no, 0)
+            for fills, theirs, _ in made:
+                _answer(m, mask, fills, theirs, dists)
+            open_ = ((1 << len(dists)) - 1) & ~mask
+            some = np.flatnonzero(open_)
+            if len(some):
+                new = greedy(rows.take(pa.array(some)).append_column("open", pa.array(open_[some], pa.int64()))).drop_columns(["open"])
+                made.append((sim.to_matrix(new["vec"]), new["mask"].to_numpy(), new))
+        if not made:
+            return examined.slice(0, 0)
+        return sim.block_rows(pa.concat_tables([new for _, _, new in made]), block)
 
     return run
 
 
-def _earliest(undecided: DataFrame, batch: int) -> DataFrame:
-    """All items of a group up to a time, with about ``batch`` items in its fullest cell; all of them
-    where no cell has more.
-
-    Nothing earlier is left out, so these items need to be compared only with each other. The time
-    is a quantile from mergeable sketches, so no task sorts a group.
-    """
-    parts = F.percentile_approx("ms", [2.0**-k for k in range(HALVES + 1)], 20_000)
-    halvings = F.least(F.greatest(F.ceil(F.log2(F.col("n") / F.lit(batch))), F.lit(0)), F.lit(HALVES)).cast("int")
-    cells = undecided.groupBy("grp", "cell").agg(F.count("*").alias("n"), parts.alias("q"))
-    ends = cells.groupBy("grp").agg(F.min(F.when(halvings > 0, F.element_at("q", halvings + 1))).alias("_end"))
-    return undecided.join(ends, "grp").filter("_end IS NULL OR ms <= _end").drop("_end")
+def _earliest(blocks: DataFrame, end: int) -> DataFrame:
+    """The blocks with fewer than ``end`` items of their group before them."""
+    return blocks.filter(F.col("before") < end)
 
 
-def _fills_in_rounds(
-    items: DataFrame, dists: list[float], block: int, first_batch: int, pivots, most_pairs: int = MOST_PAIRS
-) -> DataFrame:
-    """Fills of groups of any size, in rounds over all groups at once.
+def _fills_in_rounds(items: DataFrame, dists: list[float], block: int, first_batch: int) -> DataFrame:
+    """Fills of groups of any size, as blocks, in rounds over all groups at once.
 
-    A round examines the earliest undecided items of each group and decides them in one task a group, as a
-    small group is; should times that repeat bring more than one task takes, ``_by_pairs`` decides them. Every
-    later neighbour of a fill is a hit. The batch grows each round up to what one task takes, and each round
-    is written to the shared folder. ``open`` holds a bit for each distance that an item is not decided for.
+    Items are written once, in blocks by time. A round takes the next blocks of each group, compares them with all
+    fills so far, many tasks at a time, and decides what is left of them in one task a group, block by block.
+    So each item meets each earlier fill once, and nothing is written but the items, once more for their round, and the
+    fills. The batch grows each round up to what one task takes; many items at one time make no difference.
     """
-    loosest = max(dists)
-    tree = sim.placed_for(items, pivots, block)
-    undecided = keep(tree.entries.withColumn("open", F.lit((1 << len(dists)) - 1).cast("bigint")), "undecided")
-    fills, batch = None, first_batch
-    columns = undecided.columns
-    decided = ", ".join(f"`{n}` {t}" for n, t in undecided.dtypes) + ", mask bigint"
-    while not undecided.isEmpty():
-        whole = undecided.withColumn("cell", F.lit(0).cast("bigint"))
-        chosen = _earliest(whole, batch).select("id")
-        examined = keep(undecided.join(chosen, "id", "left_semi").select(*columns), "examined")
-        sizes = examined.groupBy("grp").agg(F.count("*").alias("_n"))
-        crowds = keep(sizes.filter(F.col("_n") > 2 * MOST_EXAMINED).select("grp"), "crowds")
-        alone = examined.join(crowds, "grp", "left_anti").select(*columns)
-        new = alone.groupBy("grp").applyInArrow(_greedy(dists), decided)
-        done = alone.select("id")
-        if not crowds.isEmpty():
-            found = _by_pairs(examined.join(crowds, "grp", "left_semi").select(*columns), tree, dists, block, most_pairs)
-            new = new.unionByName(found.filter("mask IS NULL OR mask > 0").withColumn("mask", F.coalesce("mask", "open")))
-            done = done.unionByName(found.filter("mask IS NULL OR mask >= 0").select("id"))
-        new = keep(new, "fills")
-        rest = keep(undecided.join(done, "id", "left_anti").select(*columns), "rest")
-        hit = sim.crossed(rest, new.drop("open"), _answered(dists), "qid bigint, mask bigint", loosest, block)
-        hit = hit.groupBy(F.col("qid").alias("id")).agg(F.bit_or("mask").alias("mask"))
-        still = F.col("open").bitwiseAND(F.bitwise_not(F.coalesce("mask", F.lit(0).cast("bigint"))))
-        undecided = keep(rest.join(hit, "id", "left").withColumn("open", still).filter("open <> 0").select(*columns), "undecided")
+    blocks = keep(sim.in_time(keep(items, "of-big-groups"), block), "item-blocks")
+    earlier = Window.partitionBy("grp").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
+    order = keep(blocks.select("no", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")), "order")
+    last = order.agg(F.max("before")).head()[0]
+    schema = sim.block_schema(blocks)
+    answer = f"grp {blocks.schema['grp'].dataType.simpleString()}, no bigint, mask binary"
+    fills, start, batch = None, 0, first_batch
+    while last is not None and start <= last:
+        named = _earliest(order.filter(F.col("before") >= start), start + batch).select("no")
+        examined = keep(blocks.join(named, "no", "left_semi").select(*blocks.columns), "examined")
+        known = examined.select("grp", "no", F.col("data").alias("mask")).limit(0) if fills is None else sim.met(examined, fills, _answered(dists), answer)
+        new = keep(examined.groupBy("grp").cogroup(known.groupBy("grp")).applyInArrow(_decided(dists, block), schema), "fills")
         fills = new if fills is None else fills.unionByName(new)
-        batch = min(8 * batch, MOST_EXAMINED)
-    names = [*items.columns, "mask"]
-    return items.limit(0).withColumn("mask", F.lit(0).cast("bigint")) if fills is None else fills.select(*names)
-
-
-def _by_pairs(examined: DataFrame, tree, dists: list[float], block: int, most_pairs: int) -> DataFrame:
-    """The examined items with ``mask``: null where nothing earlier is near, -1 where a further round has to decide.
-
-    The graph of the near pairs, ids without vectors, is decided whole. Should a group have more pairs than
-    one task takes, only items without an earlier near one are decided.
-    """
-    columns, grp = examined.columns, examined.schema["grp"].dataType.simpleString()
-    examined = keep(examined, "crowd")
-    asked = tree.place(examined.drop("cell"), max(dists))
-    pairs = sim.by_blocks(asked, examined, _near_pairs(dists), f"grp {grp}, qid bigint, qms bigint, id bigint, dist double", block)
-    pairs = keep(pairs, "near-pairs")
-    few = pairs.groupBy("grp").agg(F.count("*").alias("n")).filter(F.col("n") <= most_pairs).select("grp")
-    whole = pairs.join(few, "grp", "left_semi").groupBy("grp").cogroup(
-        examined.select("grp", "id", "open").join(few, "grp", "left_semi").groupBy("grp")
-    ).applyInArrow(_decided(dists), "id bigint, mask bigint")
-    later = pairs.select(F.col("qid").alias("id"), "grp").distinct()
-    left = later.join(few, "grp", "left_anti").select("id", F.lit(-1).cast("bigint").alias("mask"))
-    return keep(examined.join(whole.unionByName(left), "id", "left"), "decided").select(*columns, "mask")
+        start, batch = start + batch, min(8 * batch, MOST_EXAMINED)
+    return blocks.limit(0) if fills is None else fills
 
 
 def semantic_fill_masks(
     items: DataFrame, dists: list[float], small: int = SMALL_GROUP, block: int = sim.BLOCK,
-    first_batch: int = FIRST_BATCH, pivots="auto", most_pairs: int = MOST_PAIRS,
+    first_batch: int = FIRST_BATCH, pivots="auto", most_pairs: int | None = None,
 ) -> DataFrame:
     """The fills among items (grp, id, ms, vec), in (ms, id) order per group; bit t of ``mask``: for distance t.
 
-    Groups whose checked size fits one task are decided there; all others in rounds.
+    Groups whose checked size fits one task are decided there; all others in rounds. These use no tree and write
+    no pairs, so ``pivots`` and ``most_pairs`` steer nothing and stay for callers that name them.
     """
     items = items.select("grp", "id", "ms", "vec")
     sizes = items.groupBy("grp").agg(F.count("*").alias("_n"))
@@ -293,7 +225,8 @@ def semantic_fill_masks(
     if big_names.isEmpty():
         return fills
     big = items.join(big_names, "grp").select(*items.columns)
-    return fills.unionByName(_fills_in_rounds(big, dists, block, first_batch, pivots, most_pairs))
+    rows = lambda batches: (r for b in batches for data in b.column("data") for r in sim.unpacked(data).to_batches())
+    return fills.unionByName(_fills_in_rounds(big, dists, block, first_batch).select("data").mapInArrow(rows, schema))
 
 
 def semantic_fills(items: DataFrame, max_dist: float, **options) -> DataFrame:
@@ -302,10 +235,11 @@ def semantic_fills(items: DataFrame, max_dist: float, **options) -> DataFrame:
 
 
 def _fill_candidates(requests: DataFrame, prompts: DataFrame, model: str, prompt: str, ts: str, id_: str, can_fill) -> DataFrame:
-    """(grp, prompt, vec, first, fill): the first and the first fillable request of each prompt with a vector."""
+    """(grp, prompt, vec, first, last, fill): the first and the first fillable request of each prompt with a vector,
+    and the last time it is asked."""
     at = F.struct(millis(F.col(ts)).alias("ms"), F.col(id_).alias("id"))
     firsts = requests.filter(F.col(prompt).isNotNull()).groupBy(F.col(model).alias("grp"), F.col(prompt).alias("prompt")).agg(
-        F.min(F.when(can_fill, at)).alias("fill"), F.min(at).alias("first")
+        F.min(F.when(can_fill, at)).alias("fill"), F.min(at).alias("first"), F.max(at["ms"]).alias("last")
     )
     vectors = prompts.select(F.col(model).alias("grp"), F.col(prompt).alias("prompt"), "vec")
     return firsts.join(vectors, ["grp", "prompt"])
@@ -333,7 +267,8 @@ def replay_semantic(
     """Add ``cache_hit`` (none or semantic), ``is_fill``, ``fill_id`` and ``dist`` to each request.
 
     ``prompts`` holds one ``vec`` per (model, prompt). A hit names the nearest fill made before
-    the request. Requests without a prompt, or whose prompt has no vector, skip this cache.
+    the request. Requests without a prompt, or whose prompt has no vector, skip this cache. ``pivots`` steers
+    nothing any more.
     """
     max_dist = sim.max_distance(threshold)
     rows = requests.withColumn("_ms", millis(F.col(ts)))
@@ -341,8 +276,17 @@ def replay_semantic(
     # one row per distinct (model, prompt): used three times below, so it is kept
     items = keep(_fill_candidates(requests, prompts, model, prompt, ts, id_, can_fill))
     fills = keep(semantic_fills(_may_fill(items), max_dist, small=small, block=block, first_batch=first_batch, pivots=pivots))
-    asked = items.select("grp", F.col("first.id").alias("id"), F.col("first.ms").alias("ms"), "vec")
-    found = sim.nearest(asked, fills, max_dist, records=True, pivots=pivots, block=block)
+    # a fill has no near one before it and is at distance 0 of its own prompt, so only the others are searched for;
+    # a vector without a direction is at no such distance
+    directed = F.exists("vec", lambda x: F.abs(x) > 1e-150) & ~F.exists("vec", lambda x: F.abs(x) > 1e150)
+    own = fills.filter(directed).select("grp", F.struct("ms", "id").alias("fill"), F.xxhash64("vec").alias("_v"))
+    marked = items.withColumn("_v", F.xxhash64("vec"))
+    key = ["grp", "fill", "_v"]
+    found = marked.select(*key, F.col("first.id").alias("qid")).join(own, key).select(
+        "qid", F.lit(0.0).alias("dist"), F.col("fill.ms").alias("ms"), F.col("fill.id").alias("id")
+    )
+    asked = keep(marked.join(own, key, "left_anti").select("grp", F.col("first.id").alias("id"), F.col("last").alias("ms"), "vec"), "asked")
+    found = found.unionByName(sim.records_among(asked, fills, max_dist, small, block))
     # the record holders of a prompt: few, because each must be nearer than all before it
     stairs = found.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("ms", "id", "dist"))).alias("_stairs"))
     known = items.select(
