@@ -1,6 +1,7 @@
 """Vector search and semantic replays against brute force."""
 
 import random
+import re
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -445,3 +446,33 @@ def test_bands_spare_rows_at_other_angles():
     products = sum((to - at) * (hi - lo) for at, to, lo, hi in sim._bands(m, m, 0.001)[2])
     # a pair is near up to 0.045 of 1.5, on either side of the common direction
     assert products < 0.25 * 4000 * 4000
+
+
+def test_words_are_those_of_a_split():
+    import pyarrow as pa
+
+    r = random.Random(3)
+    texts = ["", " ", "a", "a ", " a", "x\ty\r\n\fz", "b\x0bc d", "日本 語", "", "\x00 e"]
+    texts += ["".join(r.choice(" \t\n\r\faÄé日\x0b") for _ in range(r.randrange(12))) for _ in range(300)]
+    for part in (texts, texts[:1], [], ["", " "]):
+        # a slice, so the offsets do not begin at 0
+        column = pa.array(["x y", *part], pa.large_string()).slice(1)
+        rows, words = embedding._words(column)
+        want = [(i, w) for i, t in enumerate(part) for w in re.split(r"[ \t\n\r\f]+", t) if w]
+        assert list(zip(rows.tolist(), words.to_pylist(), strict=True)) == want
+
+
+def test_embedding_of_a_column_keeps_nulls_and_calls(spark):
+    def build():
+        def embed(texts, model):
+            assert len(texts) <= 3
+            return np.array([[len(t), 1.0] for t in texts], dtype=np.float32)
+
+        return embed
+
+    texts = ["ab", None, "", "abcd", None, "x", "yz", "abc", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").coalesce(1)
+    got = rows.withColumn("vec", embedding.embed_udf(build, batch=3)("text")).collect()
+    assert {x.id: x.vec for x in got} == {i: None if t is None else [float(len(t)), 1.0] for i, t in enumerate(texts)}
+    none = rows.filter("text IS NULL").withColumn("vec", embedding.embed_udf(build, batch=3)("text")).collect()
+    assert [x.vec for x in none] == [None] * 3

@@ -18,7 +18,28 @@ from ..session import scratch_path
 Embedder = Callable[[list[str], str | None], np.ndarray]
 EmbedderFactory = Callable[[], Embedder]
 
-_SPACE = r"[ \t\n\r\f]+"
+_SPACE = np.isin(np.arange(256), [ord(c) for c in " \t\n\r\f"])
+
+
+def _words(texts: pa.LargeStringArray) -> tuple[np.ndarray, pa.LargeStringArray]:
+    """All words of the texts and the number of the text that each is from."""
+    if not len(texts):
+        return np.zeros(0, np.int64), pa.array([], pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    inside = ~_SPACE[data]
+    starts = inside.copy()
+    starts[1:] &= ~inside[:-1]
+    # a text begins a word even where the one before it ends without a space
+    begins = ends[:-1][ends[:-1] < ends[1:]]
+    starts[begins] = inside[begins]
+    at = np.flatnonzero(starts)
+    kept = np.cumsum(inside, dtype=np.int64)
+    offsets = np.append(kept[at] - 1, kept[-1:])
+    offsets = offsets if len(at) else np.zeros(1, np.int64)
+    words = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data[inside]))
+    return np.searchsorted(ends, at, side="right") - 1, words
 
 
 def hashed_terms(dim: int = S.EMBEDDING_DIM) -> EmbedderFactory:
@@ -31,22 +52,21 @@ def hashed_terms(dim: int = S.EMBEDDING_DIM) -> EmbedderFactory:
         places: dict[str, int] = {}
 
         def place(word: str) -> int:
-            p = places.get(word)
-            if p is None:
-                if len(places) > 500_000:
-                    places.clear()
-                p = places[word] = int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16) % dim
-            return p
+            return int.from_bytes(hashlib.md5(word.encode("utf-8")).digest()[:4], "big") % dim
 
         def embed(texts: list[str], model: str | None) -> np.ndarray:
-            lower = pc.utf8_lower(pa.array(texts, type=pa.large_string()))
-            split = pc.split_pattern_regex(lower, _SPACE)
-            rows = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy())
-            words = split.flatten().dictionary_encode()
-            at = np.array([place(w) if w else -1 for w in words.dictionary.to_pylist()], dtype=np.int64)
+            rows, words = _words(pc.utf8_lower(pa.array(texts, type=pa.large_string())))
+            words = words.dictionary_encode()
+            names = words.dictionary.to_numpy(zero_copy_only=False)
+            if len(places) > 500_000:
+                places.clear()
+            found = [*map(places.get, names)]
+            new = [k for k, p in enumerate(found) if p is None]
+            for k in new:
+                found[k] = places[names[k]] = place(names[k])
+            at = np.array(found, dtype=np.int64)
             where = at[words.indices.to_numpy()] if len(at) else np.zeros(0, dtype=np.int64)
-            real = where >= 0
-            out = np.bincount(rows[real] * dim + where[real], minlength=len(texts) * dim).reshape(len(texts), dim)
+            out = np.bincount(rows * dim + where, minlength=len(texts) * dim).reshape(len(texts), dim)
             length = np.linalg.norm(out.astype(np.float64), axis=1, keepdims=True)
             return (out / np.where(length > 0, length, 1.0)).astype(np.float32)
 
@@ -58,17 +78,20 @@ def hashed_terms(dim: int = S.EMBEDDING_DIM) -> EmbedderFactory:
 def embed_udf(factory: EmbedderFactory, model: str | None = None, batch: int = S.CHUNK_SIZES["openai"]):
     """A column function text -> array<float>; the embedder sees at most ``batch`` texts per call."""
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def embed(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def embed(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
         embedder = factory()
         for texts in column:
-            vectors: list = [None] * len(texts)
-            known = [i for i, t in enumerate(texts) if t is not None]
-            for at in range(0, len(known), batch):
-                part = known[at : at + batch]
-                for i, v in zip(part, embedder([texts.iloc[i] for i in part], model)):
-                    vectors[i] = v
-            yield pd.Series(vectors)
+            there = texts.is_valid().to_numpy(zero_copy_only=False)
+            known = texts.filter(there)
+            made = [embedder(known.slice(at, batch).to_pylist(), model) for at in range(0, len(known), batch)]
+            lengths = np.zeros(len(texts), np.int32)
+            lengths[there] = [len(v) for part in made for v in part]
+            ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int32)])
+            # a null in front of its end makes a list null
+            offsets = pa.array(ends, pa.int32(), mask=np.append(~there, False))
+            flat = np.concatenate([np.ravel(v) for part in made for v in ([part] if isinstance(part, np.ndarray) else part)] or [[]])
+            yield pa.ListArray.from_arrays(offsets, pa.array(flat, pa.float32()))
 
     # keeps the optimizer from moving filters on the vectors, and so a second run, below a distinct
     return embed.asNondeterministic()
