@@ -110,15 +110,19 @@ def _answered(dists: list[float]):
     """(grp, no, mask): for the blocks of items that a task is given, the distances for which each row has a near fill."""
 
     def run(pairs):
-        held = {}
-        for no, a, b in pairs:
+        held, read = {}, {}
+        for no, a, eno, b in pairs:
             if no not in held:
                 rows = sim.unpacked(a)
                 held[no] = rows["grp"].slice(0, 1), sim.to_matrix(rows["vec"]), np.zeros(rows.num_rows, np.int64)
-            grp, m, mask = held[no]
-            fills = sim.unpacked(b)
-            if fills["grp"][0].as_py() == grp[0].as_py():
-                _answer(m, mask, sim.to_matrix(fills["vec"]), fills["mask"].to_numpy(), dists)
+            if eno not in read:
+                if len(read) == 64:
+                    read.clear()
+                fills = sim.unpacked(b)
+                read[eno] = fills["grp"][0].as_py(), sim.to_matrix(fills["vec"]), fills["mask"].to_numpy()
+            (grp, m, mask), (group, *fills) = held[no], read[eno]
+            if group == grp[0].as_py():
+                _answer(m, mask, *fills, dists)
         for no, (grp, _, mask) in held.items():
             if mask.any():
                 found = mask.astype(np.min_scalar_type((1 << len(dists)) - 1)).tobytes()
