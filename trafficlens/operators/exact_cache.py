@@ -60,9 +60,11 @@ def islands(rows: DataFrame, gap_ms: int) -> DataFrame:
     """(key, cell, island): stretches of a key that a silence of a TTL and its longest delay separates.
 
     After such a silence every answer has arrived and expired, so each island can be followed by
-    itself. Only the ends of each cell are ranked. A silence inside a cell is left alone.
+    itself. Only the ends of each cell are ranked. A silence inside a cell is left alone. Rows without
+    ``delay`` are answered at once.
     """
-    ends = rows.groupBy("key", "cell").agg(F.min("ms").alias("first"), F.max("ms").alias("last"), F.max("delay").alias("delay"))
+    delay = F.col("delay") if "delay" in rows.columns else F.lit(0)
+    ends = rows.groupBy("key", "cell").agg(F.min("ms").alias("first"), F.max("ms").alias("last"), F.max(delay).alias("delay"))
     order = Window.partitionBy("key").orderBy("cell")
     longest = F.greatest(F.max("delay").over(Window.partitionBy("key")), F.lit(0))
     new = (F.col("first") - F.lag("last").over(order) >= longest + F.lit(gap_ms)).cast("int")
